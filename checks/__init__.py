@@ -1,0 +1 @@
+"""Registered queries over the test tables, each with its SQL twin where SQL can express it."""
