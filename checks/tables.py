@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.operators.ingest import fixed_chunks
+from foliant.plans.sizing import spread
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -14,11 +15,14 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def sources(spark: SparkSession, d: str) -> DataFrame:
     """Documents as sources; copies of one text count once (lowest id)."""
-    docs = table(spark, d, "documents").withColumn("sha256", F.sha2(F.encode("text", "UTF-8"), 256))
-    once = docs.groupBy("sha256").agg(F.min_by(F.struct("doc_id", "source", "text", "lang"), "doc_id").alias("d"))
-    name = F.concat("d.source", F.lit("-"), F.col("d.doc_id").cast("string"))
-    return once.select(name.alias("name"), F.concat(name, F.lit(".txt")).alias("path"), "sha256",
-                       F.col("d.text").alias("content"), F.col("d.source").alias("corpus"), "d.doc_id")
+    docs = spread(table(spark, d, "documents"), "doc_id").withColumn("sha256", F.sha2(F.encode("text", "UTF-8"), 256))
+    # only hashes and ids are grouped; copies combine before the shuffle
+    hashes = table(spark, d, "documents").select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("sha256"))
+    first = hashes.groupBy("sha256").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    name = F.concat("source", F.lit("-"), F.col("doc_id").cast("string"))
+    return docs.join(first, "doc_id", "left_semi").select(
+        name.alias("name"), F.concat(name, F.lit(".txt")).alias("path"), "sha256", F.col("text").alias("content"),
+        F.col("source").alias("corpus"), "doc_id")
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lists
-from .text import col, strip, words
+from .text import col, let, strip, words
 
 _ANY = "(?U)"
 
@@ -62,17 +62,13 @@ def merge_spaced_letters(x) -> Column:
     return F.when(c.rlike(r"(?mU)^\s*[A-Z]\s+[A-Z]"), F.array_join(F.transform(_lines(c), fix), "\n")).otherwise(c)
 
 
-def _collapse(lines: Column) -> Column:
-    bare = lambda s: strip(s)
-    return F.filter(
-        lines,
-        lambda line, i: (bare(line) == "") | (i == 0) | (bare(line) != bare(F.get(lines, i - 1))),
-    )
-
-
 def collapse_repeats(x) -> Column:
     """Drop a line equal to the line right before it; a blank line starts afresh."""
-    return F.array_join(_collapse(_lines(x)), "\n")
+    def keep(pairs):
+        bare = lambda i: F.get(pairs, i)["bare"]
+        kept = F.filter(pairs, lambda p, i: (p["bare"] == "") | (i == 0) | (p["bare"] != bare(i - 1)))
+        return F.array_join(F.transform(kept, lambda p: p["line"]), "\n")
+    return let(F.transform(_lines(x), lambda s: F.struct(s.alias("line"), strip(s).alias("bare"))), keep)
 
 
 def is_noise_line(line) -> Column:

@@ -28,10 +28,12 @@ def has_phrase(normalized, phrases) -> Column:
     return col(normalized).rlike("(?U)" + phrase_pattern(phrases))
 
 
-def phrase_hits(normalized, phrases) -> Column:
-    """Every phrase that occurs, sorted. Overlapping phrases all count."""
-    found = [F.when(has_phrase(normalized, [p]), F.lit(p)) for p in sorted(phrases)]
-    return F.array_compact(F.array(*found))
+def phrase_hits(normalized: str, phrases) -> Column:
+    """Every phrase that occurs in the named column, sorted. Overlapping phrases all count."""
+    literal = lambda text: "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    found = [f"CASE WHEN {normalized} RLIKE {literal('(?U)' + phrase_pattern([p]))} THEN {literal(p)} END"
+             for p in sorted(phrases)]
+    return F.expr(f"array_compact(array({', '.join(found)}))")
 
 
 def _label(hits: Column) -> Column:

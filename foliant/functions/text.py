@@ -6,6 +6,7 @@ matter, because corpora are multilingual.
 
 from __future__ import annotations
 
+import json
 import sys
 import unicodedata
 from functools import lru_cache
@@ -21,8 +22,8 @@ def col(x) -> Column:
 
 
 def words(values) -> Column:
-    """A literal array of strings."""
-    return F.array(*[F.lit(v) for v in values])
+    """A literal array of strings (one literal that the optimizer folds, however long the list)."""
+    return F.split(F.lit("\n".join(values)), "\n", -1)
 
 
 def any_of(text, phrases) -> Column:
@@ -34,6 +35,11 @@ def quote(phrase: str) -> str:
     return "".join("\\" + ch if not (ch.isalnum() or ch.isspace()) else ch for ch in phrase)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` with ``value`` computed once per row, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 # -- whitespace -----------------------------------------------------------------
 
 def squeeze(x) -> Column:
@@ -121,12 +127,12 @@ def _compat_runs() -> tuple[tuple[str, str], ...]:
 def compat_form(x) -> Column:
     """Unicode compatibility form of the characters that can become ASCII, without leaving the JVM."""
     c = col(x)
-    out = F.translate(c, *_compat_pairs())
+    pairs = F.from_json(F.lit(json.dumps([{"ch": ch, "form": form} for ch, form in _compat_runs()])),
+                        "array<struct<ch:string,form:string>>")
     ligatures = "".join(ch for ch, _ in _compat_runs())
-    many = out
-    for ch, form in _compat_runs():
-        many = F.replace(many, F.lit(ch), F.lit(form))
-    return F.when(~c.rlike(r"[^\x00-\x7F]"), c).when(out.rlike(f"[{ligatures}]"), many).otherwise(out)
+    spelled = F.when(c.rlike(f"[{ligatures}]"), F.aggregate(
+        pairs, c, lambda text, p: F.replace(text, p["ch"], p["form"]))).otherwise(c)
+    return F.when(c.rlike(r"[^\x00-\x7F]"), F.translate(spelled, *_compat_pairs())).otherwise(c)
 
 
 def search_norm(x) -> Column:
@@ -208,8 +214,11 @@ def is_multi_part(query) -> Column:
 
 def query_variants(query) -> Column:
     """The query, its parts, and entity-centred forms, distinct and in order."""
-    c = col(query)
-    subject = F.trim(F.array_join(F.slice(entity_words(c), 1, 2), " "))
+    subject = F.trim(F.array_join(F.slice(entity_words(query), 1, 2), " "))
+    return let(subject, lambda bound: _variants(col(query), bound))
+
+
+def _variants(c: Column, subject: Column) -> Column:
     has_subject = F.length(subject) > 0
     parts = F.filter(
         F.transform(F.split(c, r"(?iU)\s+and\s+", -1), lambda p: strip_chars(p, " ,.?")), lambda p: F.length(p) > 0)
@@ -230,8 +239,7 @@ def query_variants(query) -> Column:
 def expanded_terms(query, direct_terms, synonyms: dict[str, str] | None = None) -> Column:
     """Synonyms and cue terms of a query, without its direct terms and stop words."""
     table = lists.QUERY_SYNONYMS if synonyms is None else synonyms
-    lookup = F.create_map(*[F.lit(v) if i == 0 else words(v.split())
-                            for key, value in table.items() for i, v in enumerate((key, value))])
+    lookup = F.from_json(F.lit(json.dumps({k: v.split() for k, v in table.items()})), "map<string,array<string>>")
     none = F.array().cast("array<string>")
     direct = col(direct_terms)
     lowered = F.lower(col(query))
@@ -256,11 +264,10 @@ def sentences(x, min_chars: int = 1) -> Column:
 
 def sentence_windows(x, max_chars: int = 420, min_chars: int = 30) -> Column:
     """Each sentence, and each sentence joined to its successor while the pair is short."""
-    return windows_of(sentences(x), max_chars, min_chars)
+    return let(sentences(x), lambda parts: _windows(parts, max_chars, min_chars))
 
 
-def windows_of(parts, max_chars: int = 420, min_chars: int = 30) -> Column:
-    parts = col(parts)
+def _windows(parts: Column, max_chars: int, min_chars: int) -> Column:
 
     def both(sentence, index):
         pair = F.concat(sentence, F.lit(" "), F.get(parts, index + 1))

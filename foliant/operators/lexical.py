@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from ..functions import lists
 from ..functions import text as T
 from ..plans.scans import top_rows
-from ..plans.sizing import bounded_broadcast
+from ..plans.sizing import bounded_broadcast, spread
 from ..session import cut
 
 CHUNK = ["source_name", "chunk_index", "chunk_id"]
+FACTS = ["direct", "expanded", "entity", "weights", "phrases", "variant_terms", "description", "role"]
 MIN_SCORE = 1.4
 SLACK = 1e-6
 
@@ -74,7 +75,12 @@ def feature_terms(features: DataFrame, keys: list[str]) -> DataFrame:
 # -- corpus -----------------------------------------------------------------------------
 
 def chunk_tokens(chunks: DataFrame) -> DataFrame:
-    """Chunk key, distinct tokens and question-mark flag; the text itself is left behind."""
+    """Chunk key, distinct tokens and question-mark flag; the text itself is left behind.
+
+    A chunk table written with its ``tokens`` is taken as it is.
+    """
+    if "tokens" in chunks.columns:
+        return chunks.select(*CHUNK, "tokens", F.contains("content", F.lit("?")).alias("has_question"))
     return chunks.select(*CHUNK, "content", T.search_norm("content").alias("norm")).select(
         *CHUNK, T.search_token_set("norm").alias("tokens"), F.contains("content", F.lit("?")).alias("has_question"))
 
@@ -141,25 +147,31 @@ def combine_score(direct_sum, expanded_sum, entity_sum, direct_n, expanded_n, en
     return F.when(matched, F.greatest(score, F.lit(0.0))).otherwise(0.0)
 
 
-def pair_score(text, features: dict[str, Column] | None = None) -> Column:
-    """struct<hits, score> of a text against the query features on the same row."""
-    f = features or {c: F.col(c) for c in (
-        "direct", "expanded", "entity", "weights", "phrases", "variant_terms", "description", "role")}
-    norm = T.search_norm(text)
-    tokens = T.search_token_set(norm)
+def unit(text) -> Column:
+    """What scoring needs of a text: struct<norm, tokens, question>."""
+    return T.let(T.search_norm(text), lambda norm: F.struct(
+        norm.alias("norm"), T.search_token_set(norm).alias("tokens"), F.contains(T.col(text), F.lit("?")).alias("question")))
+
+
+def pair_score(u: Column, f: dict[str, Column] | None = None) -> Column:
+    """struct<hits, score> of a ``unit`` against the query features on the same row."""
+    f = f or {c: F.col(c) for c in FACTS}
+    norm, tokens = u["norm"], u["tokens"]
+    total = lambda shared: F.aggregate(shared, F.lit(0.0), lambda s, t: s + f["weights"][t])
 
-    def total(shared):
-        return F.aggregate(shared, F.lit(0.0), lambda s, t: s + f["weights"][t])
+    def scored(p):
+        score = combine_score(
+            total(p["direct"]), total(p["expanded"]), total(p["entity"]),
+            F.size(p["direct"]), F.size(p["expanded"]), F.size(p["entity"]), p["hits"],
+            F.size(F.filter(f["variant_terms"], lambda s: F.arrays_overlap(s, tokens))), f["description"], f["role"],
+            F.arrays_overlap(tokens, T.words(lists.DESCRIPTION_CUES)),
+            F.arrays_overlap(tokens, T.words(lists.ROLE_CUES)), u["question"])
+        return F.struct(p["hits"].alias("hits"), score.alias("score"))
 
-    direct, expanded, entity = (F.array_intersect(f[c], tokens) for c in ("direct", "expanded", "entity"))
-    hits = F.size(F.filter(f["phrases"], lambda p: F.contains(norm, p)))
-    variants = F.size(F.filter(f["variant_terms"], lambda s: F.arrays_overlap(s, tokens)))
-    score = combine_score(
-        total(direct), total(expanded), total(entity), F.size(direct), F.size(expanded), F.size(entity), hits, variants,
-        f["description"], f["role"], F.arrays_overlap(tokens, T.words(lists.DESCRIPTION_CUES)),
-        F.arrays_overlap(tokens, T.words(lists.ROLE_CUES)), F.contains(T.col(text), F.lit("?")))
-    empty = F.size(tokens) == 0
-    return F.struct(F.when(empty, 0).otherwise(hits).alias("hits"), F.when(empty, 0.0).otherwise(score).alias("score"))
+    parts = F.struct(*[F.array_intersect(f[c], tokens).alias(c) for c in ("direct", "expanded", "entity")],
+                     F.size(F.filter(f["phrases"], lambda p: F.contains(norm, p))).alias("hits"))
+    return F.when(F.size(tokens) == 0, F.struct(F.lit(0).alias("hits"), F.lit(0.0).alias("score"))).otherwise(
+        T.let(parts, scored))
 
 
 def phrase_hits(chunks: DataFrame, features: DataFrame) -> DataFrame:
@@ -235,7 +247,7 @@ def lexical_candidates(chunks: DataFrame, features: DataFrame, limit: int, prune
 
     Columns: query_id, chunk key, score, hits, whole, best_window, intro, lpos.
     """
-    tokens = chunk_tokens(chunks).repartition(*CHUNK)
+    tokens = spread(chunk_tokens(chunks), *CHUNK)
     pairs = whole_scores(chunks, tokens, features)
     if _has_any(features, "(description or role) and size(entity) > 0"):
         bonus = intro_bonus(tokens, features, entity_intro(tokens, features))
@@ -252,13 +264,16 @@ def lexical_candidates(chunks: DataFrame, features: DataFrame, limit: int, prune
             (F.col("_n") < limit) | (F.col("hits") > F.col("floor.hits"))
             | ((F.col("hits") == F.col("floor.hits")) & (F.col("top") >= F.col("floor.sure") - SLACK)))
     pairs = cut(pairs.select("query_id", *CHUNK, "hits", "whole", "intro"))
-    texts = chunks.select(*CHUNK, "content").join(bounded_broadcast(pairs), CHUNK)
-    facts = features.select("query_id", "direct", "expanded", "entity", "weights", "phrases", "variant_terms",
-                            "description", "role")
+    wanted = bounded_broadcast(pairs.select(*CHUNK).distinct())
+    # windows are built once per chunk, then meet the few queries that still want the chunk
+    texts = spread(chunks.select(*CHUNK, "content").join(wanted, CHUNK), *CHUNK).select(
+        *CHUNK, F.transform(T.sentence_windows("content"), lambda w: unit(w)).alias("units"))
+    facts = features.select("query_id", *FACTS)
     nothing = F.struct(F.lit(0).alias("hits"), F.lit(0.0).alias("score"))
-    scored = texts.withColumnRenamed("hits", "whole_hits").join(bounded_broadcast(facts), "query_id").select(
+    scored = texts.join(bounded_broadcast(pairs.withColumnRenamed("hits", "whole_hits")), CHUNK).join(
+        bounded_broadcast(facts), "query_id").select(
         "query_id", *CHUNK, "whole", "whole_hits", "intro",
-        F.coalesce(F.array_max(F.transform(T.sentence_windows("content"), pair_score)), nothing).alias("window"))
+        F.coalesce(F.array_max(F.transform("units", lambda u: pair_score(u))), nothing).alias("window"))
     best = F.col("window.score")
     scored = scored.select(
         "query_id", *CHUNK, "whole", best.alias("best_window"), "intro",

@@ -10,8 +10,8 @@ from ..functions import text as T
 from ..plans.scans import top_rows
 from ..plans.sizing import bounded_broadcast
 from ..session import cut
-from .lexical import (CHUNK, chunk_tokens, document_frequency, feature_terms, lexical_candidates, pair_score,
-                      query_features, term_weights, variant_features, with_weights)
+from .lexical import (CHUNK, FACTS, chunk_tokens, document_frequency, feature_terms, lexical_candidates, pair_score,
+                      query_features, term_weights, unit, variant_features, with_weights)
 from .vectors import best_relevance, embed, nearest
 
 TOP_K = 4
@@ -78,11 +78,11 @@ def nearby_support(keys: list[str]) -> Column:
 def prepare_queries(queries: DataFrame, chunks: DataFrame, query: str = "query", corpus_size: int | None = None,
                     synonyms: dict[str, str] | None = None):
     """Query and variant features with corpus weights, both as written tables, and the corpus size."""
-    features = query_features(queries, ["query_id"], query, synonyms=synonyms)
-    parts = variant_features(features, synonyms)
+    features = cut(query_features(queries, ["query_id"], query, synonyms=synonyms))
+    parts = cut(variant_features(features, synonyms))
     total = chunks.count() if corpus_size is None else corpus_size
-    wanted = cut(feature_terms(features, ["query_id"]).select("term").union(
-        feature_terms(parts, ["query_id"]).select("term")).distinct())
+    wanted = feature_terms(features, ["query_id"]).select("term").union(
+        feature_terms(parts, ["query_id"]).select("term")).distinct()
     frequency = document_frequency(chunk_tokens(chunks), wanted)
     weights = cut(term_weights(wanted, frequency, total))
     return (cut(with_weights(features, ["query_id"], weights)),
@@ -154,10 +154,9 @@ def rank_candidates(expanded: DataFrame, chunks: DataFrame, features: DataFrame)
 
 def variant_picks(ranked: DataFrame, parts: DataFrame) -> DataFrame:
     """For each part of a multi-part query, its best candidate by own score and nearby support."""
-    names = ("direct", "expanded", "entity", "weights", "phrases", "variant_terms", "description", "role")
-    facts = parts.select("query_id", "variant_no", F.struct(*names).alias("f"))
-    score = pair_score("content", {c: F.col("f")[c] for c in names})["score"]
-    scored = ranked.select("query_id", *CHUNK, "content", "nearby").join(facts, "query_id").select(
+    facts = parts.select("query_id", "variant_no", F.struct(*FACTS).alias("f"))
+    score = pair_score(F.col("unit"), {c: F.col("f")[c] for c in FACTS})["score"]
+    scored = ranked.select("query_id", *CHUNK, unit("content").alias("unit"), "nearby").join(facts, "query_id").select(
         "query_id", "variant_no", *CHUNK,
         F.round(score + F.least(F.lit(4.0), F.col("nearby") * 2.0), 6).alias("own"))
     return top_rows(scored, ["query_id", "variant_no"], [F.desc("own"), F.col("chunk_id"), F.col("source_name")], 1).groupBy(
@@ -231,10 +230,10 @@ def focused_excerpts(queries: DataFrame, retrieved: DataFrame, max_excerpts: int
         return table.join(maps, keys, "left").withColumn("weights", F.coalesce("weights", F.create_map().cast("map<string,double>")))
 
     texts = hits.select("query_id", "rank", "chunk_id", "source_name", "relevance",
-                        F.posexplode(T.sentence_windows("content")).alias("window_no", "window"))
+                        F.posexplode(T.sentence_windows("content")).alias("window_no", "window")).withColumn("unit", unit("window"))
 
     def scored(table: DataFrame, keys: list[str], boost: float) -> DataFrame:
-        rows = texts.join(weighted(table, keys), "query_id").withColumn("s", pair_score("window")["score"]).filter("s > 0")
+        rows = texts.join(weighted(table, keys), "query_id").withColumn("s", pair_score(F.col("unit"))["score"]).filter("s > 0")
         return rows.select(*keys, "rank", "window_no", "chunk_id", "source_name",
                            F.round(F.col("s") + F.col("relevance") * boost, 6).alias("score"),
                            T.strip(F.substring("window", 1, max_chars)).alias("text"))

@@ -17,3 +17,11 @@ def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint when ``df`` has at most ``rows`` rows; otherwise ``df`` as it is,
     so that the join shuffles and adaptive execution splits its skewed keys."""
     return F.broadcast(df) if is_small(df, rows) else df
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by key into a fixed number of tasks, before work that costs far more
+    CPU than its byte size suggests (adaptive coalescing looks at bytes only)."""
+    spark = df.sparkSession
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), spark.sparkContext.defaultParallelism)
+    return df.repartition(width, *keys)
