@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-GROUPS = ["ingest", "retrieval"]
+GROUPS = ["ingest", "retrieval", "pages"]
 
 
 def _collect(attribute: str) -> dict:

@@ -188,7 +188,7 @@ def j16(spark, d):
 @register("a01_a02_term_weights", f"""
 WITH {R.lexical('mixed')} SELECT term, coalesce(df, 0) AS df, round(weight, 6) AS weight FROM w LEFT JOIN df USING (term)""")
 def a01(spark, d):
-    c = S.chunks(spark, d)
+    c = S.stored_chunks(spark, d)
     f = L.query_features(mixed_queries(spark, d), ["query_id"])
     terms = L.feature_terms(f, ["query_id"]).select("term").union(
         L.feature_terms(L.variant_features(f), ["query_id"]).select("term")).distinct()
@@ -200,25 +200,25 @@ def a01(spark, d):
 @register("a03_entity_intro", f"WITH {R.lexical('mixed')} SELECT source_name, term, first AS intro_index FROM intro")
 def a03(spark, d):
     f = L.query_features(mixed_queries(spark, d), ["query_id"])
-    return L.entity_intro(L.chunk_tokens(S.chunks(spark, d)), f)
+    return L.entity_intro(L.chunk_tokens(S.stored_chunks(spark, d)), f)
 
 
 @register("w05_intro_bonus", f"WITH {R.lexical('mixed')} SELECT query_id, source_name, chunk_index, chunk_id, CAST(intro AS DOUBLE) AS intro FROM bonus")
 def w05(spark, d):
     f = L.query_features(mixed_queries(spark, d), ["query_id"])
-    tokens = L.chunk_tokens(S.chunks(spark, d))
+    tokens = L.chunk_tokens(S.stored_chunks(spark, d))
     return L.intro_bonus(tokens, f, L.entity_intro(tokens, f))
 
 
 @register("j11_phrase_join", f"WITH {R.lexical('mixed')} SELECT query_id, source_name, chunk_index, chunk_id, ph AS phrases FROM ws_ph")
 def j11(spark, d):
-    return L.phrase_hits(S.chunks(spark, d), L.query_features(mixed_queries(spark, d), ["query_id"]))
+    return L.phrase_hits(S.stored_chunks(spark, d), L.query_features(mixed_queries(spark, d), ["query_id"]))
 
 
 @register("j10_m03_whole_scores", f"""
 WITH {R.lexical('mixed')} SELECT query_id, chunk_id, hits, round(score, 6) AS score FROM ws""")
 def m03(spark, d):
-    c = S.chunks(spark, d)
+    c = S.stored_chunks(spark, d)
     features, _, _ = H.prepare_queries(mixed_queries(spark, d), c)
     return L.whole_scores(c, L.chunk_tokens(c), features).select(
         "query_id", "chunk_id", F.col("hits").cast("int").alias("hits"), F.round("whole", 6).alias("score"))
@@ -236,18 +236,18 @@ def _lexical(queries, c):
 
 @register("m04_a14_t02_lexical_candidates", f"WITH {R.lexical('plain')} {_LEX}")
 def m04(spark, d):
-    return _lexical(S.benchmark_queries(spark, d), S.chunks(spark, d))
+    return _lexical(S.benchmark_queries(spark, d), S.stored_chunks(spark, d))
 
 
 @register("m04_lexical_candidates_mixed", f"WITH {R.lexical('mixed')} {_LEX}")
 def m04b(spark, d):
-    return _lexical(mixed_queries(spark, d), S.chunks(spark, d))
+    return _lexical(mixed_queries(spark, d), S.stored_chunks(spark, d))
 
 
 @register("a15_max_lexical_score", f"""
 WITH {R.lexical('plain')} SELECT query_id, chunk_id, round(score / max(score) OVER (PARTITION BY query_id), 6) AS share FROM lex""")
 def a15(spark, d):
-    c = S.chunks(spark, d)
+    c = S.stored_chunks(spark, d)
     features, _, total = H.prepare_queries(S.benchmark_queries(spark, d), c)
     out = L.lexical_candidates(c, features, H.candidate_limit_value(total))
     return out.select("query_id", "chunk_id", F.round(F.col("score") / F.max("score").over(Window.partitionBy("query_id")), 6).alias("share"))
@@ -258,7 +258,7 @@ WITH {R.lexical('plain')}
 SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
   SELECT query_id, chunk_id, round(sum(weight), 6) AS score FROM held JOIN f_d USING (term) JOIN w USING (term) GROUP BY ALL)) WHERE rank <= 4""")
 def direct_top(spark, d):
-    c = S.chunks(spark, d)
+    c = S.stored_chunks(spark, d)
     features, _, _ = H.prepare_queries(S.benchmark_queries(spark, d), c)
     terms = features.select("query_id", F.explode("weights").alias("term", "weight"), "direct").filter(
         F.array_contains("direct", F.col("term"))).drop("direct")
@@ -306,14 +306,14 @@ def _stages(queries, c):
 @register("j09_vector_candidates", f"""
 WITH {R.vector('plain')} SELECT query_id, chunk_id, distance, round(relevance, 6) AS relevance, vpos FROM vec""")
 def vec_candidates(spark, d):
-    _, _, _, _, vec = _stages(S.benchmark_queries(spark, d), S.chunks(spark, d))
+    _, _, _, _, vec = _stages(S.benchmark_queries(spark, d), S.stored_chunks(spark, d))
     return vec.select("query_id", "chunk_id", "distance", F.round("relevance", 6).alias("relevance"), "vpos")
 
 
 @register("j13_u01_fused_candidates", f"""
 WITH {R.hybrid('plain')} SELECT query_id, chunk_id, round(v, 6) AS v, round(l, 6) AS l, hits FROM fu""")
 def j13(spark, d):
-    c = S.chunks(spark, d)
+    c = S.stored_chunks(spark, d)
     features, _, _, limit, vec = _stages(S.benchmark_queries(spark, d), c)
     fused = H.fuse(vec, L.lexical_candidates(c, features, limit))
     return fused.select("query_id", "chunk_id", F.round("v", 6).alias("v"), F.round("l", 6).alias("l"), "hits")
@@ -322,7 +322,7 @@ def j13(spark, d):
 @register("w04_ranked_candidates", f"""
 WITH {R.hybrid('plain')} SELECT query_id, chunk_id, nearby, combined, relevance, global_rank FROM ra""")
 def w04(spark, d):
-    c = S.chunks(spark, d)
+    c = S.stored_chunks(spark, d)
     features, _, total, limit, vec = _stages(S.benchmark_queries(spark, d), c)
     fused = H.fuse(vec, L.lexical_candidates(c, features, limit))
     return H.rank_candidates(H.expand(fused, features, limit, total), c, features).select(
@@ -334,12 +334,12 @@ _RET = "SELECT query_id, rank, chunk_id, source_name, chunk_index, content, dist
 
 @register("m05_t04_hybrid_retrieval", f"WITH {R.hybrid('plain')} {_RET}")
 def m05(spark, d):
-    return H.retrieve(S.benchmark_queries(spark, d), S.chunks(spark, d))
+    return H.retrieve(S.benchmark_queries(spark, d), S.stored_chunks(spark, d))
 
 
 @register("m05_t05_hybrid_retrieval_mixed", f"WITH {R.hybrid('mixed')} {_RET}")
 def m05b(spark, d):
-    return H.retrieve(mixed_queries(spark, d), S.chunks(spark, d))
+    return H.retrieve(mixed_queries(spark, d), S.stored_chunks(spark, d))
 
 
 _BLOCK = "'[Excerpt ' || {n} || ' | chunk_id=' || chunk_id || ' | source=' || source_name || ']' || chr(10) || {t}"
@@ -348,7 +348,7 @@ _BLOCK = "'[Excerpt ' || {n} || ' | chunk_id=' || chunk_id || ' | source=' || so
 @register("m06_context", f"""
 WITH {R.hybrid('plain')} SELECT query_id, string_agg({_BLOCK.format(n='rank', t='content')}, chr(10) || chr(10) ORDER BY rank) AS context FROM ret GROUP BY 1""")
 def m06(spark, d):
-    return H.build_context(H.retrieve(S.benchmark_queries(spark, d), S.chunks(spark, d)))
+    return H.build_context(H.retrieve(S.benchmark_queries(spark, d), S.stored_chunks(spark, d)))
 
 
 @register("m07_w12_focused_context", f"""
@@ -356,12 +356,12 @@ WITH {R.focused(R.hybrid('mixed'))} SELECT query_id, string_agg({_BLOCK.format(n
 def m07(spark, d):
     q = mixed_queries(spark, d)
     from foliant.session import cut
-    return H.focused_context(q, cut(H.retrieve(q, S.chunks(spark, d))))
+    return H.focused_context(q, cut(H.retrieve(q, S.stored_chunks(spark, d))))
 
 
 @register("a08_unique_sources", f"""
 WITH {R.hybrid('plain')}, s AS (SELECT query_id, list(source_name ORDER BY rank) AS l FROM ret GROUP BY 1)
 SELECT query_id, array_to_string(list_filter(l, lambda e, i: list_position(l, e) = i), '|') AS sources FROM s""")
 def a08(spark, d):
-    r = H.retrieve(S.benchmark_queries(spark, d), S.chunks(spark, d))
+    r = H.retrieve(S.benchmark_queries(spark, d), S.stored_chunks(spark, d))
     return H.unique_sources(r).select("query_id", F.array_join("source_names", "|").alias("sources"))

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.operators.ingest import fixed_chunks
+from foliant.operators.lexical import with_tokens
 from foliant.plans.sizing import spread
+from foliant.session import cut
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -29,6 +31,11 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     return fixed_chunks(sources(spark, d))
 
 
+def stored_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The chunk table as ingestion leaves it for retrieval: written once, with its tokens."""
+    return cut(with_tokens(chunks(spark, d)))
+
+
 def benchmark_queries(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lists
-from .text import col, let, strip, words
+from .text import col, let, quote, strip, words
 
 _ANY = "(?U)"
 
@@ -72,10 +72,9 @@ def collapse_repeats(x) -> Column:
 
 
 def is_noise_line(line) -> Column:
-    s = strip(line)
-    return (F.length(s) > 0) & (
+    return let(strip(line), lambda s: (F.length(s) > 0) & (
         s.rlike(r"(?U)^[\W_]+$|^\d{1,4}$") | s.rlike(r"^[a-zA-Z0-9]{1,2}$")
-        | s.rlike(r"""(?U)^[|{}()\[\]<>/\\!?*+=\-_~`^"'.,;:\s]{0,4}$"""))
+        | s.rlike(r"""(?U)^[|{}()\[\]<>/\\!?*+=\-_~`^"'.,;:\s]{0,4}$""")))
 
 
 def drop_noise_lines(x) -> Column:
@@ -84,28 +83,60 @@ def drop_noise_lines(x) -> Column:
     return strip(F.regexp_replace(F.array_join(blanked, "\n"), "\n{3,}", "\n\n"))
 
 
-def heavy_clean(x) -> Column:
-    """All text-only cleanup steps for one page."""
+STEPS = (plain_punctuation, join_breaks, drop_cap_across_lines, split_glued, drop_cap_inline, space_after_marks,
+         merge_spaced_letters, collapse_repeats, drop_noise_lines)
+
+
+def heavy_clean(x, steps=STEPS) -> Column:
+    """All text-only cleanup steps for one page, in order."""
     c = col(x)
-    for step in (plain_punctuation, join_breaks, drop_cap_across_lines, split_glued, drop_cap_inline,
-                 space_after_marks, merge_spaced_letters, collapse_repeats, drop_noise_lines):
-        c = step(c)
+    for step in steps:
+        c = let(c, step)
     return c
 
 
+def is_bad_extraction(x) -> Column:
+    """Whether extracted text looks broken and another reading of the page is wanted."""
+    text = strip(F.coalesce(col(x), F.lit("")))
+
+    def judged(s):
+        count = lambda part: F.length(s) - F.length(F.replace(s, F.lit(part)))
+        lines = F.filter(F.transform(F.split(s, "\n", -1), strip), lambda v: v != "")
+        few = F.size(F.filter(lines, lambda v: F.length(v) <= 2)).cast("double")
+        short = F.array_sort(F.regexp_extract_all(s, F.lit(r"(?U)\b\w{1,3}\b"), F.lit(0)))
+        # longest run of one word in sorted order
+        start = F.struct(F.lit("").alias("word"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+        def step(state, w):
+            run = F.when(state["word"] == w, state["run"] + 1).otherwise(1)
+            return F.struct(w.alias("word"), run.alias("run"), F.greatest(state["best"], run).alias("best"))
+        top = F.aggregate(short, start, step, lambda state: state["best"])
+        return (
+            F.when(F.length(s) < 30, True)
+            .when((count("\ufffd") > 3) | (count("\u00ad") > 8), True)
+            .when(F.regexp_count(s, F.lit(r"\p{L}")) / F.length(s) < 0.4, True)
+            .when((F.size(lines) >= 8) & (few / F.size(lines) > 0.35), True)
+            .when(F.size(short) >= 20, (top > 12) & (top / F.size(short) > 0.5))
+            .otherwise(False))
+
+    return let(text, judged)
+
+
 # -- lines ---------------------------------------------------------------------------------
 
 def is_boilerplate(line, patterns=lists.BOILERPLATE_LINES, credits=lists.CREDIT_MARKS) -> Column:
-    s = strip(line)
+    return let(strip(line), lambda s: _is_furniture(s, patterns, credits))
+
+
+def _is_furniture(s: Column, patterns, credits) -> Column:
     cased = "|".join(f"(?:{p})" for p, ignore in patterns if not ignore)
     uncased = "|".join(f"(?:{p})" for p, ignore in patterns if ignore)
     hit = s.rlike("(?iU)" + lists.MAP_COORDINATE)
+    if credits:
+        hit = hit | s.rlike("|".join(quote(m) for m in credits))
     if cased:
         hit = hit | s.rlike("(?U)" + cased)
     if uncased:
         hit = hit | s.rlike("(?iU)" + uncased)
-    for mark in credits:
-        hit = hit | s.contains(mark)
     kept = F.lit(False)
     for start in lists.KEPT_LINE_STARTS:
         kept = kept | s.startswith(start)
@@ -113,7 +144,10 @@ def is_boilerplate(line, patterns=lists.BOILERPLATE_LINES, credits=lists.CREDIT_
 
 
 def is_heading(line) -> Column:
-    s = strip(line)
+    return let(strip(line), _reads_like_heading)
+
+
+def _reads_like_heading(s: Column) -> Column:
     tokens = F.regexp_extract_all(s, F.lit(r"(?U)[A-Za-z][\w'-]*"), F.lit(0))
     fillers = words(lists.HEADING_FILLERS)
     solid = F.filter(tokens, lambda w: ~F.array_contains(fillers, F.lower(w)))
@@ -165,11 +199,14 @@ def caption_without_echo(x) -> Column:
 
 def caption_clean(x) -> Column:
     """Keep the description part of a caption that shows its working."""
-    original = strip(F.replace(F.coalesce(col(x), F.lit("")), F.lit("\r")))
+    return let(strip(F.replace(F.coalesce(col(x), F.lit("")), F.lit("\r"))), _described)
+
+
+def _described(original: Column) -> Column:
     c = F.regexp_replace(original, r"(?iU)^\s*thinking process:\s*", "")
     c = F.regexp_replace(c, r"(?iU)^\s*here(?:'s| is)\s+a\s+thinking\s+process.*?:\s*", "")
-    after = F.regexp_replace(F.regexp_replace(c, "(?isU)^.*?" + lists.CAPTION_MARKER, ""), r"^[ :*\-]+", "")
-    c = F.when(c.rlike("(?iU)" + lists.CAPTION_MARKER), after).otherwise(c)
+    c = let(c, lambda t: F.when(t.rlike("(?iU)" + lists.CAPTION_MARKER), F.regexp_replace(
+        F.regexp_replace(t, "(?isU)^.*?" + lists.CAPTION_MARKER, ""), r"^[ :*\-]+", "")).otherwise(t))
 
     def tidy(line):
         s = F.regexp_replace(strip(line), r"(?U)^(?:[-*]\s*)+", "")
@@ -182,7 +219,13 @@ def caption_clean(x) -> Column:
                     & ~s.rlike("(?iU)" + lists.CAPTION_NOISE))
     trim_marks = lambda t: F.regexp_replace(t, r"^[ :\-]+|[ :\-]+$", "")
     body = trim_marks(F.regexp_replace(F.array_join(kept, " "), r"(?U)\s+", " "))
-    flat = strip(F.regexp_replace(original, r"(?U)\s+", " "))
+    parts = F.struct(body.alias("body"), strip(F.regexp_replace(original, r"(?U)\s+", " ")).alias("flat"))
+    return F.when(original == "", F.lit("")).otherwise(let(parts, lambda p: _with_fallback(p["body"], p["flat"])))
+
+
+def _with_fallback(body: Column, flat: Column) -> Column:
+    """Title and first image sentence where too little of the caption is left."""
+    trim_marks = lambda t: F.regexp_replace(t, r"^[ :\-]+|[ :\-]+$", "")
     title = F.regexp_replace(strip(F.regexp_extract(flat, "(?iU)" + lists.CAPTION_TITLE, 1)), r"^[ .:\-]+|[ .:\-]+$", "")
     image = trim_marks(F.regexp_extract(flat, "(?iU)" + lists.CAPTION_IMAGE_SENTENCE, 1))
     bits = F.filter(F.array(
@@ -190,7 +233,6 @@ def caption_clean(x) -> Column:
         F.when(image != "", F.concat(F.regexp_replace(image, r"\.+$", ""), F.lit("."))),
     ), lambda b: b.isNotNull())
     weak = (F.length(body) < 48) | body.rlike("(?iU)" + lists.CAPTION_NOISE)
-    second = F.when(weak & (F.size(bits) > 0), F.array_join(bits, " ")).otherwise(body)
-    tail = F.regexp_extract(flat, "(?iU)" + lists.CAPTION_IMAGE_TAIL, 1)
-    third = F.when((F.length(second) < 48) & (tail != ""), trim_marks(tail)).otherwise(second)
-    return F.when(original == "", F.lit("")).otherwise(third)
+    second = F.when(weak, let(bits, lambda b: F.when(F.size(b) > 0, F.array_join(b, " ")).otherwise(body))).otherwise(body)
+    tail = lambda: F.regexp_extract(flat, "(?iU)" + lists.CAPTION_IMAGE_TAIL, 1)
+    return let(second, lambda t: F.when((F.length(t) < 48) & (tail() != ""), trim_marks(tail())).otherwise(t))

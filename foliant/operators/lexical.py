@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import lists
 from ..functions import text as T
 from ..plans.scans import top_rows
-from ..plans.sizing import bounded_broadcast, spread
+from ..plans.sizing import bounded_broadcast, is_small, spread
 from ..session import cut
 
 CHUNK = ["source_name", "chunk_index", "chunk_id"]
@@ -74,6 +74,11 @@ def feature_terms(features: DataFrame, keys: list[str]) -> DataFrame:
 
 # -- corpus -----------------------------------------------------------------------------
 
+def with_tokens(chunks: DataFrame) -> DataFrame:
+    """Chunks with their distinct search tokens, to be written once and searched often."""
+    return chunks.withColumn("tokens", T.search_token_set(T.search_norm("content")))
+
+
 def chunk_tokens(chunks: DataFrame) -> DataFrame:
     """Chunk key, distinct tokens and question-mark flag; the text itself is left behind.
 
@@ -257,10 +262,13 @@ def lexical_candidates(chunks: DataFrame, features: DataFrame, limit: int, prune
     pairs = pairs.withColumn("top", F.col("bound") + F.least("bound", "whole") * 0.2 + F.col("intro")).filter(
         (F.col("hits") > 0) | (F.col("top") >= MIN_SCORE - SLACK))
     if prune:
+        pairs = cut(pairs.select("query_id", *CHUNK, "hits", "whole", "intro", "top"))
         pairs = pairs.withColumn("sure", F.col("whole") * 0.75 + F.col("intro"))
         kth = top_rows(pairs, ["query_id"], [F.col("hits").desc(), F.col("sure").desc()], limit).groupBy("query_id").agg(
             F.min(F.struct("hits", "sure")).alias("floor"), F.count("*").alias("_n"))
-        pairs = pairs.join(bounded_broadcast(kth), "query_id").filter(
+        if is_small(features):  # one row per query at most
+            kth = F.broadcast(kth)
+        pairs = pairs.join(kth, "query_id").filter(
             (F.col("_n") < limit) | (F.col("hits") > F.col("floor.hits"))
             | ((F.col("hits") == F.col("floor.hits")) & (F.col("top") >= F.col("floor.sure") - SLACK)))
     pairs = cut(pairs.select("query_id", *CHUNK, "hits", "whole", "intro"))

@@ -135,7 +135,8 @@ def expand(fused: DataFrame, features: DataFrame, limit: int, corpus_size: int,
 def rank_candidates(expanded: DataFrame, chunks: DataFrame, features: DataFrame) -> DataFrame:
     """Bonuses, combined score, relevance and global rank of every candidate."""
     flags = features.select("query_id", "has_quote", "multi_part", "description", "role")
-    rows = chunks.join(bounded_broadcast(cut(expanded)), ["source_name", "chunk_index"]).join(
+    texts = chunks.select(*CHUNK, "content")
+    rows = texts.join(bounded_broadcast(cut(expanded)), ["source_name", "chunk_index"]).join(
         bounded_broadcast(flags), "query_id")
     in_expansion = F.col("support").isNotNull()
     only_expansion = in_expansion & F.col("_candidate").isNull()
@@ -182,7 +183,8 @@ def retrieve(queries: DataFrame, chunks: DataFrame, vectors: DataFrame | None =
     features, parts, total = prepare_queries(queries, chunks, query, synonyms=synonyms)
     limit = candidate_limit_value(total, top_k)
     if vectors is None:
-        vectors = embed(chunks.select(*CHUNK, "content"), "content", embed_fn)
+        known = ["tokens"] if "tokens" in chunks.columns and embed_fn is None else []
+        vectors = embed(chunks.select(*CHUNK, "content", *known), "content", embed_fn)
     lexical = lexical_candidates(chunks, features, limit)
     fused = fuse(vector_candidates(features, vectors, limit, embed_fn), lexical)
     expanded = expand(fused, features, limit, total, top_k, neighbor_window)

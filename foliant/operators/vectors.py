@@ -57,7 +57,10 @@ def embed(texts: DataFrame, text: str, embed_fn: Callable | None = None) -> Data
     fields = [f for f in texts.schema.fields if f.name in keep]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", embedding array<double>"
     if embed_fn is None:
-        body = texts.select(*keep, search_token_set(search_norm(text)).alias("tokens"))
+        tokens = F.col("tokens") if "tokens" in keep else search_token_set(search_norm(text))
+        keep = [c for c in keep if c != "tokens"]
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields if f.name in keep) + ", embedding array<double>"
+        body = texts.select(*keep, tokens.alias("tokens"))
         return body.mapInPandas(hash_embedding, schema)
     body = texts.select(*keep, F.when(F.length(text) > 0, F.col(text)).otherwise(F.lit(" ")).alias("text"))
 
