@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-GROUPS = ["ingest", "retrieval", "pages"]
+GROUPS = ["ingest", "retrieval", "pages", "chat"]
 
 
 def _collect(attribute: str) -> dict:

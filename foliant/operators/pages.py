@@ -11,6 +11,7 @@ from ..functions import pages as P
 from ..functions.text import squeeze, strip
 from ..plans.scans import carry_forward, running_sum
 from ..plans.sizing import bounded_broadcast
+from ..session import cut
 
 TEXT_RICH = 1400
 SHORT_PAGE = 60
@@ -92,7 +93,7 @@ def section_pages(pages: DataFrame, steps=P.STEPS, ratio: float = 0.3, min_pages
     carries the section; pages left empty still move the section on.
     """
     base = pages.withColumn("text", P.heavy_clean("text", steps)) if clean else pages
-    headers = header_lists(running_headers(base, "text", ratio, min_pages, exclude_end_marks))
+    headers = cut(header_lists(running_headers(base, "text", ratio, min_pages, exclude_end_marks)))
     none = F.array().cast("array<string>")
     rows = base.join(bounded_broadcast(headers), "source", "left").withColumn("headers", F.coalesce("headers", none))
     rows = rows.withColumn("text", strip_furniture(F.col("text"), F.col("headers")))
