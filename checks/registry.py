@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-GROUPS = ["ingest", "retrieval", "pages", "chat"]
+GROUPS = ["ingest", "retrieval", "pages", "chat", "learning", "catalog"]
 
 
 def _collect(attribute: str) -> dict:
