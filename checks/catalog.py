@@ -232,7 +232,7 @@ def s07(spark, d):
 
 def stream_events(df):
     kinds = F.when(F.col("event_type") == "click", "token").when(F.col("event_type") == "view", "reasoning").otherwise(F.col("event_type"))
-    return df.select(F.col("user_id").alias("session_id"), "ts", kinds.alias("kind"), "event_id")
+    return df.select(F.col("user_id").alias("session_id"), F.col("ts").cast("timestamp").alias("ts"), kinds.alias("kind"), "event_id")
 
 
 def open_stream(spark, d, name):
@@ -251,10 +251,10 @@ def finished(spark, stream, mode="append"):
     schema = stream.schema
 
     def write(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{base}/out" if mode == "complete" else f"{base}/out/b={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{base}/out/all" if mode == "complete" else f"{base}/out/{batch_id}")
 
     J.run_available(stream, write, f"{base}/state", mode)
-    return spark.read.schema(schema).parquet(f"{base}/out")
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{base}/out")
 
 
 @register("r01_streamed_ingest", "SELECT sha256, count(*) AS copies FROM (SELECT DISTINCT sha256(text) AS sha256 FROM documents) GROUP BY 1")

@@ -6,11 +6,13 @@ array work. Exact phrase labels are only built for texts that are flagged.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import policy_lists as P
-from .text import any_of, col, quote, rstrip, squeeze
+from .text import any_of, col, let, quote, squeeze
 
 FINDING = "struct<category:string,reason:string,confidence:double>"
 
@@ -28,12 +30,11 @@ def has_phrase(normalized, phrases) -> Column:
     return col(normalized).rlike("(?U)" + phrase_pattern(phrases))
 
 
-def phrase_hits(normalized: str, phrases) -> Column:
-    """Every phrase that occurs in the named column, sorted. Overlapping phrases all count."""
-    literal = lambda text: "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    found = [f"CASE WHEN {normalized} RLIKE {literal('(?U)' + phrase_pattern([p]))} THEN {literal(p)} END"
-             for p in sorted(phrases)]
-    return F.expr(f"array_compact(array({', '.join(found)}))")
+def phrase_hits(normalized, phrases) -> Column:
+    """Every phrase that occurs, sorted. Overlapping phrases all count."""
+    table = json.dumps([{"label": p, "pattern": "(?U)" + phrase_pattern([p])} for p in sorted(phrases)])
+    pairs = F.from_json(F.lit(table), "array<struct<label:string,pattern:string>>")
+    return F.transform(F.filter(pairs, lambda p: F.rlike(col(normalized), p["pattern"])), lambda p: p["label"])
 
 
 def _label(hits: Column) -> Column:
@@ -186,24 +187,32 @@ def with_policy(df: DataFrame, text: str, purpose: str, out: str = "decision") -
 
     Findings keep category order; confidence is the highest of them.
     """
+    return df.withColumn(out, policy_decision(text, purpose))
+
+
+def policy_decision(text, purpose: str) -> Column:
+    """The decision as one expression: the normal form and the findings are each bound once."""
     allowed = P.PURPOSE_CATEGORIES.get(purpose, P.PURPOSE_CATEGORIES["user_query"])
-    n, f = "_policy_norm", "_policy_findings"
-    base = df.withColumn(n, F.lower(squeeze(F.coalesce(col(text), F.lit("")))))
-    found = F.array(*[RULES[c](n, F.coalesce(col(text), F.lit("")), purpose).cast(FINDING) for c in P.CATEGORY_ORDER if c in allowed])
-    kept = F.filter(found, lambda x: x.isNotNull() & (x["confidence"] >= MIN_CONFIDENCE))
+    t = F.coalesce(col(text), F.lit(""))
     none = F.array().cast(f"array<{FINDING}>")
-    base = base.withColumn(f, F.when(F.length(n) == 0, none).otherwise(kept))
-    decision = F.struct(
-        (F.size(f) > 0).alias("blocked"),
-        F.array_distinct(F.transform(f, lambda x: x["category"])).alias("categories"),
-        F.col(f).alias("findings"),
-        F.coalesce(F.array_max(F.transform(f, lambda x: x["confidence"])), F.lit(0.0)).alias("confidence"),
-    )
-    return base.withColumn(out, decision).drop(n, f)
+
+    def findings(n):
+        found = F.array(*[RULES[c](n, t, purpose).cast(FINDING) for c in P.CATEGORY_ORDER if c in allowed])
+        kept = F.filter(found, lambda x: x.isNotNull() & (x["confidence"] >= MIN_CONFIDENCE))
+        return F.when(F.length(n) == 0, none).otherwise(kept)
+
+    def decide(f):
+        return F.struct(
+            (F.size(f) > 0).alias("blocked"),
+            F.array_distinct(F.transform(f, lambda x: x["category"])).alias("categories"),
+            f.alias("findings"),
+            F.coalesce(F.array_max(F.transform(f, lambda x: x["confidence"])), F.lit(0.0)).alias("confidence"))
+
+    return let(F.lower(squeeze(t)), lambda n: let(findings(n), decide))
 
 
 def is_blocked(df: DataFrame, text: str, purpose: str, out: str = "blocked") -> DataFrame:
-    return with_policy(df, text, purpose, "_decision").withColumn(out, F.col("_decision.blocked")).drop("_decision")
+    return df.withColumn(out, policy_decision(text, purpose)["blocked"])
 
 
 def refusal_message(decision) -> Column:

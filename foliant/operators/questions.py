@@ -203,7 +203,8 @@ def generate_questions(chunks: DataFrame, history: DataFrame | None = None, cand
     by a model go through the stricter filters and join the rule-built ones.
     """
     ready = eligible_chunks(chunks, dataset)
-    made = speech_questions(ready).select(dataset, "chunk_id", "source_name", "question", "model_answer")
+    # written once: the filters below look at question and answer many times over
+    made = cut(speech_questions(ready).select(dataset, "chunk_id", "source_name", "question", "model_answer"))
     if candidates is not None:
         extra = candidates.select(dataset, "chunk_id", "source_name", T.squeeze("question").alias("question"),
                                   T.squeeze("model_answer").alias("model_answer"))
