@@ -210,50 +210,95 @@ def _has_any(features: DataFrame, condition) -> bool:
     return len(features.filter(condition).select(F.lit(1)).head(1)) > 0
 
 
-def whole_scores(chunks: DataFrame, tokens: DataFrame, features: DataFrame) -> DataFrame:
-    """Score of every (query, chunk) pair that shares a term or a phrase, and its upper bound.
-
-    ``tokens`` is spread by chunk key first, so exploding, joining the terms and
-    grouping by (query, chunk) all happen inside one partition.
-    """
+def weighted_terms(features: DataFrame) -> DataFrame:
+    """Query terms with weight and a mark of the variants they belong to."""
     terms = feature_terms(features, ["query_id"]).join(
         features.select("query_id", F.explode("weights").alias("term", "weight")), ["query_id", "term"])
-    flags = features.select("query_id", "description", "role")
-    cues = tokens.select(
-        *CHUNK, "has_question",
-        F.arrays_overlap("tokens", T.words(lists.DESCRIPTION_CUES)).alias("description_cue"),
-        F.arrays_overlap("tokens", T.words(lists.ROLE_CUES)).alias("role_cue"), F.explode("tokens").alias("term"))
+    bits = F.aggregate("in_variants", F.lit(0).cast("long"), lambda m, i: m.bitwiseOR(
+        F.when(i < 63, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))))
+    return terms.withColumn("variant_bits", bits)
+
+
+def score_units(units: DataFrame, key: list[str], terms: DataFrame, features: DataFrame,
+                pairs: DataFrame | None = None, said: DataFrame | None = None) -> DataFrame:
+    """Score and upper bound of every (query, unit) that shares a term or a phrase.
+
+    ``units``: key, tokens, has_question, spread by chunk, so that exploding,
+    joining the terms and grouping all happen inside one partition. ``pairs``
+    limits the queries of each chunk. ``said``: query_id, key, phrases.
+    """
+    facts = ["has_question", "description_cue", "role_cue"]
+    base = units.select(
+        *key, "has_question", F.arrays_overlap("tokens", T.words(lists.DESCRIPTION_CUES)).alias("description_cue"),
+        F.arrays_overlap("tokens", T.words(lists.ROLE_CUES)).alias("role_cue"), "tokens")
+    held = base.select(*key, *facts, F.explode("tokens").alias("term"))
+    if pairs is None:
+        met = held.join(bounded_broadcast(terms), "term")
+    else:
+        met = held.join(bounded_broadcast(pairs.select("query_id", *CHUNK)), CHUNK).join(
+            bounded_broadcast(terms), ["query_id", "term"])
     weight = lambda flag: F.sum(F.when(F.col(flag), F.col("weight")).otherwise(0.0))
-    matched = (
-        cues.join(bounded_broadcast(cut(terms)), "term").groupBy("query_id", *CHUNK)
-        .agg(weight("is_direct").alias("ds"), weight("is_expanded").alias("xs"), weight("is_entity").alias("es"),
-             F.count_if("is_direct").alias("dn"), F.count_if("is_expanded").alias("xn"),
-             F.count_if("is_entity").alias("en"),
-             F.size(F.array_distinct(F.flatten(F.collect_list("in_variants")))).alias("vn"),
-             F.any_value("has_question").alias("has_question"), F.any_value("description_cue").alias("description_cue"),
-             F.any_value("role_cue").alias("role_cue")))
-    if _has_any(features, "has_quote"):
-        said = phrase_hits(chunks, features).join(
-            tokens.select(*CHUNK, F.col("has_question").alias("_q"), (F.size("tokens") > 0).alias("_t")), CHUNK)
-        matched = matched.join(said, ["query_id", *CHUNK], "full_outer").withColumn(
-            "has_question", F.coalesce("has_question", "_q")).filter(F.coalesce("_t", F.lit(True)))
-        matched = matched.na.fill(0).na.fill(False, ["description_cue", "role_cue"]).drop("_q", "_t")
+    # up to 63 variants fit one number, which aggregates far cheaper than lists
+    if _has_any(features, F.size("variant_terms") > 63):
+        variants = F.size(F.array_distinct(F.flatten(F.collect_list("in_variants"))))
+    else:
+        variants = F.bit_count(F.bit_or("variant_bits"))
+    matched = met.groupBy("query_id", *key).agg(
+        weight("is_direct").alias("ds"), weight("is_expanded").alias("xs"), weight("is_entity").alias("es"),
+        F.count_if("is_direct").alias("dn"), F.count_if("is_expanded").alias("xn"), F.count_if("is_entity").alias("en"),
+        variants.alias("vn"), *[F.max(c).alias(c) for c in facts])
+    if said is not None:
+        known = base.filter(F.size("tokens") > 0).select(*key, *[F.col(c).alias(f"_{c}") for c in facts])
+        matched = matched.join(said.join(known, key), ["query_id", *key], "full_outer")
+        for c in facts:
+            matched = matched.withColumn(c, F.coalesce(c, f"_{c}"))
+        matched = matched.na.fill(0)
     else:
         matched = matched.withColumn("phrases", F.lit(0))
+    flags = features.select("query_id", "description", "role")
     args = [F.col(c) for c in ("ds", "xs", "es", "dn", "xn", "en", "phrases", "vn", "description", "role",
                                "description_cue", "role_cue", "has_question")]
     return matched.join(bounded_broadcast(flags), "query_id").select(
-        "query_id", *CHUNK, F.col("phrases").alias("hits"), combine_score(*args).alias("whole"),
+        "query_id", *key, F.col("phrases").cast("int").alias("hits"), combine_score(*args).alias("score"),
         combine_score(*args, bound=True).alias("bound"))
 
 
+def whole_scores(chunks: DataFrame, tokens: DataFrame, features: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """Score of every (query, chunk) pair that shares a term or a phrase, and its upper bound."""
+    said = phrase_hits(chunks, features) if _has_any(features, "has_quote") else None
+    terms = cut(weighted_terms(features)) if terms is None else terms
+    return score_units(tokens, CHUNK, terms, features, said=said).withColumnRenamed("score", "whole")
+
+
+def window_scores(chunks: DataFrame, pairs: DataFrame, features: DataFrame, terms: DataFrame) -> DataFrame:
+    """Best window (phrase hits, then score) of the given (query, chunk) pairs.
+
+    Windows are built once per chunk and then meet the few queries that want it.
+    """
+    wanted = bounded_broadcast(pairs.select(*CHUNK).distinct())
+    texts = spread(chunks.select(*CHUNK, "content").join(wanted, CHUNK), *CHUNK)
+    units = texts.select(*CHUNK, F.posexplode(F.transform(T.sentence_windows("content"), lambda w: unit(w))).alias("window_no", "u"))
+    units = units.select(*CHUNK, "window_no", "u.norm", "u.tokens", F.col("u.question").alias("has_question"))
+    key = [*CHUNK, "window_no"]
+    said = None
+    if _has_any(features, "has_quote"):
+        # a window can only hold phrases its chunk holds
+        quoting = pairs.filter("hits > 0").select("query_id", *CHUNK)
+        phrases = features.select("query_id", F.explode("phrases").alias("phrase"))
+        said = units.select(*key, "norm").join(bounded_broadcast(quoting), CHUNK).join(bounded_broadcast(phrases), "query_id").filter(
+            F.contains("norm", F.col("phrase"))).groupBy("query_id", *key).agg(F.count_distinct("phrase").alias("phrases"))
+    scored = score_units(units, key, terms, features, pairs, said)
+    return scored.groupBy("query_id", *CHUNK).agg(F.max(F.struct("hits", "score")).alias("window"))
+
+
 def lexical_candidates(chunks: DataFrame, features: DataFrame, limit: int, prune: bool = True) -> DataFrame:
     """Best ``limit`` chunks per query by (phrase hits, lexical score).
 
     Columns: query_id, chunk key, score, hits, whole, best_window, intro, lpos.
     """
     tokens = spread(chunk_tokens(chunks), *CHUNK)
-    pairs = whole_scores(chunks, tokens, features)
+    terms = cut(weighted_terms(features))
+    pairs = whole_scores(chunks, tokens, features, terms)
     if _has_any(features, "(description or role) and size(entity) > 0"):
         bonus = intro_bonus(tokens, features, entity_intro(tokens, features))
         pairs = pairs.join(bonus, ["query_id", *CHUNK], "left").withColumn("intro", F.coalesce("intro", F.lit(0.0)))
@@ -272,16 +317,10 @@ def lexical_candidates(chunks: DataFrame, features: DataFrame, limit: int, prune
             (F.col("_n") < limit) | (F.col("hits") > F.col("floor.hits"))
             | ((F.col("hits") == F.col("floor.hits")) & (F.col("top") >= F.col("floor.sure") - SLACK)))
     pairs = cut(pairs.select("query_id", *CHUNK, "hits", "whole", "intro"))
-    wanted = bounded_broadcast(pairs.select(*CHUNK).distinct())
-    # windows are built once per chunk, then meet the few queries that still want the chunk
-    texts = spread(chunks.select(*CHUNK, "content").join(wanted, CHUNK), *CHUNK).select(
-        *CHUNK, F.transform(T.sentence_windows("content"), lambda w: unit(w)).alias("units"))
-    facts = features.select("query_id", *FACTS)
     nothing = F.struct(F.lit(0).alias("hits"), F.lit(0.0).alias("score"))
-    scored = texts.join(bounded_broadcast(pairs.withColumnRenamed("hits", "whole_hits")), CHUNK).join(
-        bounded_broadcast(facts), "query_id").select(
-        "query_id", *CHUNK, "whole", "whole_hits", "intro",
-        F.coalesce(F.array_max(F.transform("units", lambda u: pair_score(u))), nothing).alias("window"))
+    scored = pairs.withColumnRenamed("hits", "whole_hits").join(
+        window_scores(chunks, pairs, features, terms), ["query_id", *CHUNK], "left").withColumn(
+        "window", F.coalesce("window", nothing))
     best = F.col("window.score")
     scored = scored.select(
         "query_id", *CHUNK, "whole", best.alias("best_window"), "intro",

@@ -25,3 +25,10 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     spark = df.sparkSession
     width = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), spark.sparkContext.defaultParallelism)
     return df.repartition(width, *keys)
+
+
+def widen(df: DataFrame, *keys: str) -> DataFrame:
+    """``spread`` only when the input has fewer splits than there are cores, as with one small file."""
+    if df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism:
+        return spread(df, *keys)
+    return df
