@@ -193,7 +193,7 @@ def caption_without_echo(x) -> Column:
     for token in lists.CAPTION_ECHO_TOKENS:
         echoed = echoed | F.lower(lead).contains(token)
     once = strip(F.substr(c, start + 1))
-    # the cut is applied twice at the same offset, as callers of the original rule expect
+    # the lead is cut twice at the same offset
     return F.when((start > 0) & echoed, strip(F.substr(once, start + 1))).otherwise(c)
 
 

@@ -32,7 +32,7 @@ def json_string(x) -> Column:
     def escape(ch):
         # UTF-16 units in hexadecimal, so characters beyond the basic plane become a pair
         units = F.lower(F.hex(F.encode(ch, "UTF-16BE")))
-        return F.regexp_replace(units, "(.{4})", r"\\\\u$1")
+        return F.regexp_replace(units, "(.{4})", r"\\u$1")
 
     escaped = F.array_join(F.transform(
         F.regexp_extract_all(inner, F.lit(r"[\x00-\x7F]+|[^\x00-\x7F]"), F.lit(0)),
