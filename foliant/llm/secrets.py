@@ -83,9 +83,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> li
     chosen = F.xxhash64(F.col("id").cast("string")).bitwiseAND(F.lit((1 << 30) - 1)) < F.lit(int(share * (1 << 30)))
     sample = _with_base(_texts(docs, id_col, text_col).filter(chosen))
     values = F.concat(F.transform("_assign", lambda x: F.regexp_extract(x["match"], ASSIGN, 2)), F.transform("_access", lambda x: x["match"]), F.transform("_hex", lambda x: x["match"]))
-    every = F.regexp_extract_all("text", F.lit(TOKEN % 4), F.lit(0))
-    sample = sample.select(values.alias("random"), every.alias("every"))
-    sample = sample.select("random", F.filter("every", lambda t: ~F.exists("random", lambda v: v.contains(t) | t.contains(v))).alias("ordinary"))
+    rest = F.col("text")
+    for pattern in (ASSIGN, ACCESS, HEX):
+        rest = F.regexp_replace(rest, pattern, " ")
+    sample = sample.select(values.alias("random"), F.regexp_extract_all(rest, F.lit(TOKEN % 4), F.lit(0)).alias("ordinary"))
     digest = F.unhex(F.sha2(F.col("id").cast("string"), 256))
     made = spark.range(SAMPLE_RANDOM).select(F.regexp_replace(F.base64(digest), "=", "").alias("word"))
     words = (sample.select(F.explode("random").alias("word")).unionByName(made).withColumn("random", F.lit(True))
