@@ -146,14 +146,15 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tu
     return languages, np.vstack([np.log(counts / counts.sum(axis=0)), np.log(prior / max(prior.sum(), 1))]).astype(np.float32)
 
 
-def _predicted(languages: list[str], model):
+def _predicted(languages: list[str], model, text_at: int, kept: int):
+    """Reads the text from column ``text_at`` and passes the first ``kept`` columns on."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.value
         weights, prior = np.ascontiguousarray(table[:-1]), table[-1].astype(float)
         for batch in batches:
             rows = batch.num_rows
             total, n, letters = np.zeros((rows, len(languages))), np.zeros(rows), np.zeros(rows, bool)
-            for first, last, chars, places in _blocks(batch.column("text")):
+            for first, last, chars, places in _blocks(batch.column(text_at)):
                 bucket, row = grams(chars, places)
                 own = np.bincount(row, minlength=last - first)
                 n[first:last] += own
@@ -169,7 +170,7 @@ def _predicted(languages: list[str], model):
                 top = tempered.argmax(axis=1)
                 best = [languages[t] if ok else UNKNOWN for t, ok in zip(top.tolist(), letters.tolist(), strict=True)]
                 score = np.where(letters, post[np.arange(rows), top], 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(best, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names[:-1], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(best, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names[:kept], "lang_pred", "score"])
     return run
 
 
@@ -181,10 +182,11 @@ def predict(docs: DataFrame, languages: list[str], table: np.ndarray, text_col:
     language that comes first by name. Other columns are ignored.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("_text"))
-    named = rows.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col("_text").alias("text"))
-    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in named.schema if f.name != "text"]
-    out = named.mapInArrow(_predicted(languages, docs.sparkSession.sparkContext.broadcast(table)), ", ".join([*kinds, "lang_pred string", "score double"]))
+    text_at = list(keep).index(text_col) if text_col in keep else len(keep)
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], *[F.col(f"`{text_col}`").cast("string").alias("text")] * (text_at == len(keep)))
+    kinds = [f"k{i} {rows.schema[i].dataType.simpleString()}" for i in range(len(keep))]
+    sent = docs.sparkSession.sparkContext.broadcast(table)
+    out = rows.mapInArrow(_predicted(languages, sent, text_at, len(keep)), ", ".join([*kinds, "lang_pred string", "score double"]))
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score")
 
 
