@@ -214,7 +214,8 @@ def _boundaries(marks: np.ndarray, penalty: np.ndarray, window: int) -> tuple[np
     wide = np.flatnonzero(gaps > (SPANS - 1) * window)
     if not len(wide):
         return marks, penalty
-    extra = np.concatenate([np.arange(marks[k] - gaps[k] + window, marks[k], window) for k in wide])
+    step = max(1, window // 16)
+    extra = np.concatenate([np.arange(marks[k] - gaps[k] + step, marks[k], step) for k in wide])
     order = np.argsort(all_marks := np.concatenate([marks, extra]), kind="stable")
     return all_marks[order], np.concatenate([penalty, np.full(len(extra), HARD_CUT)])[order]
 
