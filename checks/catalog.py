@@ -311,11 +311,11 @@ def answer_events(df):
     """Each conversation as a token stream: every turn a token, some replaced, the last one done."""
     kind = F.when(F.col("turn") == F.col("last"), "done").when(F.pmod(F.col("conv_id") + F.col("turn"), F.lit(6)) == 5, "replace").otherwise("token")
     return df.select(F.col("conv_id").cast("string").alias("session_id"), F.timestamp_seconds(F.col("turn") + 1).alias("ts"), F.col("turn").alias("seq"),
-                     kind.alias("kind"), F.col("role").alias("text"))
+                     kind.alias("kind"), F.col("text"))
 
 
 @register("r04_assembled_answers", """
-WITH e AS (SELECT CAST(conv_id AS VARCHAR) AS session_id, turn AS seq, role AS text, CASE WHEN turn = max(turn) OVER (PARTITION BY conv_id) THEN 'done' WHEN (conv_id + turn) % 6 = 5 THEN 'replace' ELSE 'token' END AS kind FROM conversations),
+WITH e AS (SELECT CAST(conv_id AS VARCHAR) AS session_id, turn AS seq, text, CASE WHEN turn = max(turn) OVER (PARTITION BY conv_id) THEN 'done' WHEN (conv_id + turn) % 6 = 5 THEN 'replace' ELSE 'token' END AS kind FROM conversations),
 c AS (SELECT session_id, max(seq) FILTER (kind = 'replace') AS cut_at FROM e GROUP BY 1)
 SELECT session_id, coalesce(string_agg(text, '' ORDER BY seq) FILTER (kind <> 'done' AND seq >= coalesce(cut_at, -1)), '') AS answer, count(*) FILTER (kind = 'token') AS tokens FROM e JOIN c USING (session_id) GROUP BY 1""")
 def r04(spark, d):

@@ -80,10 +80,10 @@ LEADS = ["", "continue with ", "what about this ", "do you remember what i asked
 
 def led(spark, d):
     lead = F.element_at(F.array(*[F.lit(a) for a in LEADS]), (F.pmod(F.col("conv_id") * 5 + F.col("turn") * 3, F.lit(len(LEADS))) + 1).cast("int"))
-    return messages(spark, d).withColumn("content", F.concat(lead, F.array_join(F.slice(F.split("content", " "), 1, 40), " ")))
+    return messages(spark, d).withColumn("content", F.concat(lead, "content"))
 
 
-_LED = f"""led AS (SELECT conv_id, turn, role, {S.arr(LEADS)}[(conv_id * 5 + turn * 3) % {len(LEADS)} + 1] || array_to_string(string_split(text, ' ')[1:40], ' ') AS content FROM conversations)"""
+_LED = f"""led AS (SELECT conv_id, turn, role, {S.arr(LEADS)}[(conv_id * 5 + turn * 3) % {len(LEADS)} + 1] || text AS content FROM conversations)"""
 
 
 def _starts(x, values):
@@ -222,14 +222,15 @@ _LASTLINE = r"list_filter(list_transform(string_split(s, chr(10)), lambda v: reg
 @register("p12_m28_truncation_audit", rf"""
 WITH {_LED}, r AS (SELECT conv_id, regexp_replace(content, '\s+$', '') AS s FROM led WHERE role = 'assistant'),
 l AS (SELECT conv_id, s, {S.strip(f"({_LASTLINE})[-1]")} AS last FROM r),
-x AS (SELECT conv_id, s, last, (length(s) - length(replace(s, '```', ''))) // 3 % 2 = 1 AS fence,
+x AS (SELECT conv_id, s, last, (length(s) - length(replace(s, '```', ''))) // 3 % 2 = 1 AS fence, regexp_full_match(last, '([-*+]|[0-9]+\.)\s*') AS bare,
   list_contains({S.arr(LI.DANGLING_CONNECTORS)}, lower(regexp_extract(s, '([a-zA-Z'']+)$'))) AS conn,
   len(regexp_extract_all(last, '[A-Za-z0-9'']+')) AS n, len(regexp_extract_all(s, '[A-Za-z0-9'']+')) AS total, right(last, 1) AS e FROM l),
-y AS (SELECT conv_id, CASE WHEN s = '' THEN 'empty' WHEN fence THEN 'open_fence' WHEN conn THEN 'dangling_connector'
+y AS (SELECT conv_id, CASE WHEN s = '' THEN 'empty' WHEN fence THEN 'open_fence' WHEN bare THEN 'bare_list_marker' WHEN conn THEN 'dangling_connector'
   WHEN e IN ('.', '!', '?', ')', ']', '}}', '"', '''', '`') THEN NULL WHEN e IN (':', ';', ',', '-', '/', '\', '(', '[', '{{') THEN 'unterminated_sentence'
   WHEN regexp_matches(last, '[=:{{}}()\[\]<>]') THEN NULL WHEN n >= 4 OR (total >= 40 AND n >= 2) THEN 'unterminated_sentence' END AS reason FROM x)
-SELECT conv_id, count(*) AS responses, count(reason) AS cut_off, count(*) FILTER (reason = 'open_fence') AS open_fence,
-  count(*) FILTER (reason = 'dangling_connector') AS dangling_connector, count(*) FILTER (reason = 'unterminated_sentence') AS unterminated FROM y GROUP BY 1""")
+SELECT conv_id, count(*) AS responses, count(reason) AS cut_off, count(*) FILTER (reason = 'empty') AS empty, CAST(0 AS BIGINT) AS length, count(*) FILTER (reason = 'open_fence') AS open_fence,
+  CAST(0 AS BIGINT) AS open_brackets, count(*) FILTER (reason = 'bare_list_marker') AS bare_list_marker,
+  count(*) FILTER (reason = 'dangling_connector') AS dangling_connector, count(*) FILTER (reason = 'unterminated_sentence') AS unterminated_sentence FROM y GROUP BY 1""")
 def m28(spark, d):
     return C.truncation_audit(led(spark, d))
 

@@ -192,9 +192,7 @@ def caption_without_echo(x) -> Column:
     echoed = F.lit(False)
     for token in lists.CAPTION_ECHO_TOKENS:
         echoed = echoed | F.lower(lead).contains(token)
-    once = strip(F.substr(c, start + 1))
-    # the lead is cut twice at the same offset
-    return F.when((start > 0) & echoed, strip(F.substr(once, start + 1))).otherwise(c)
+    return F.when((start > 0) & echoed, strip(F.substr(c, start + 1))).otherwise(c)
 
 
 def caption_clean(x) -> Column:

@@ -114,25 +114,37 @@ def _compat_pairs() -> tuple[str, str]:
 
 
 @lru_cache(maxsize=1)
-def _compat_runs() -> tuple[tuple[str, str], ...]:
-    """Latin ligatures and the like: one character whose form is several ASCII letters."""
-    runs = []
-    for code in [*range(0xFB00, 0xFB07), *range(0x2160, 0x2180), 0x2026, 0x2116, 0x2121, 0x2122]:
-        form = unicodedata.normalize("NFKC", chr(code))
-        if len(form) > 1:
-            runs.append((chr(code), form))
-    return tuple(runs)
+def _compat_runs() -> dict[str, str]:
+    """Characters whose compatibility form has several characters, of which one is ASCII, by the Unicode rule."""
+    forms = ((chr(code), unicodedata.normalize("NFKC", chr(code))) for code in range(0x80, sys.maxunicode + 1)
+             if not 0xD800 <= code <= 0xDFFF and unicodedata.decomposition(chr(code)))
+    return {ch: form for ch, form in forms if len(form) > 1 and not form.isspace() and any(ord(x) < 0x80 for x in form)}
+
+
+@lru_cache(maxsize=1)
+def _composed() -> str:
+    """A pattern of an ASCII letter and a mark that compose to another letter, by the Unicode rule."""
+    letters: dict[str, str] = {}
+    for mark in map(chr, range(0x300, 0x370)):
+        for letter in map(chr, range(0x41, 0x7B)):
+            if letter.isalpha() and len(unicodedata.normalize("NFC", letter + mark)) == 1:
+                letters[mark] = letters.get(mark, "") + letter
+    return "|".join(f"[{own}]{mark}" for mark, own in letters.items())
 
 
 def compat_form(x) -> Column:
-    """Unicode compatibility form of the characters that can become ASCII, without leaving the JVM."""
+    """Unicode compatibility form as far as ASCII characters go, without leaving the JVM.
+
+    Characters that become ASCII are spelled out; an ASCII letter that composes with the
+    mark behind it becomes a letter that isn't ASCII.
+    """
     c = col(x)
-    pairs = F.from_json(F.lit(json.dumps([{"ch": ch, "form": form} for ch, form in _compat_runs()])),
-                        "array<struct<ch:string,form:string>>")
-    ligatures = "".join(ch for ch, _ in _compat_runs())
-    spelled = F.when(c.rlike(f"[{ligatures}]"), F.aggregate(
-        pairs, c, lambda text, p: F.replace(text, p["ch"], p["form"]))).otherwise(c)
-    return F.when(c.rlike(r"[^\x00-\x7F]"), F.translate(spelled, *_compat_pairs())).otherwise(c)
+    forms = F.from_json(F.lit(json.dumps(_compat_runs())), "map<string,string>")
+    held = "[" + "".join(f"\\x{{{ord(ch):x}}}" for ch in _compat_runs()) + "]"
+    spelled = F.when(c.rlike(held), F.array_join(F.transform(
+        F.split(c, ""), lambda ch: F.coalesce(F.try_element_at(forms, ch), ch)), "")).otherwise(c)
+    composed = F.regexp_replace(spelled, _composed(), "\u00e9")
+    return F.when(c.rlike(r"[^\x00-\x7F]"), F.translate(composed, *_compat_pairs())).otherwise(c)
 
 
 def search_norm(x) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lists
 from ..functions import text as T
+from ..functions.responses import TRUNCATION_REASONS, truncation_reason
 from ..functions.policy import is_refusal, refusal_message, with_policy
 from ..plans.scans import dense_index, preceding_rows, running_sum, top_rows
 
@@ -333,12 +334,10 @@ def public_attachments(payload, session_id, message_id) -> Column:
                  T.col(message_id).cast("string"), F.lit("/attachments/"), i.cast("string")).alias("download_url")))
 
 
-def truncation_audit(messages: DataFrame, conv: str = "conv_id", content: str = "content") -> DataFrame:
-    """Share of cut-off assistant messages per conversation, by reason."""
-    from ..functions.responses import truncation_reason
-    rows = messages.filter("role = 'assistant'").withColumn("reason", truncation_reason(content))
+def truncation_audit(messages: DataFrame, conv: str = "conv_id", content: str = "content", done_reason: str | None = None) -> DataFrame:
+    """Cut-off assistant messages per conversation, and how many for each reason."""
+    rows = messages.filter("role = 'assistant'").withColumn(
+        "reason", truncation_reason(content, F.col(done_reason) if done_reason else None))
     return rows.groupBy(conv).agg(
         F.count("*").alias("responses"), F.count("reason").alias("cut_off"),
-        F.count_if(F.col("reason") == "open_fence").alias("open_fence"),
-        F.count_if(F.col("reason") == "dangling_connector").alias("dangling_connector"),
-        F.count_if(F.col("reason") == "unterminated_sentence").alias("unterminated"))
+        *[F.count_if(F.col("reason") == reason).alias(reason) for reason in TRUNCATION_REASONS])

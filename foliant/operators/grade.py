@@ -153,6 +153,13 @@ def rubric(score) -> Column:
 
 # -- the job ----------------------------------------------------------------------------------
 
+def _whole_score(x) -> Column:
+    """A model's score as a whole number: numbers lose their fraction, a missing one is 0, anything else is null."""
+    number = T.strip(T.col(x).cast("string"))
+    exact = F.when(number.rlike(r"^[+-]?\d+(\.\d*)?$"), F.regexp_extract(number, r"^([+-]?\d+)", 1).try_cast("int"))
+    return F.when(T.col(x).isNull(), 0).otherwise(exact)
+
+
 def grading_contexts(attempts: DataFrame, chunks: DataFrame, window: int = 2) -> DataFrame:
     """Context text per attempt from its question's chunks and their neighbors."""
     wanted = attempts.select("attempt_id", F.posexplode("source_chunk_ids").alias("seed_no", "chunk_id"))
@@ -221,7 +228,7 @@ def grade(attempts: DataFrame, contexts: DataFrame, responses: DataFrame | None
         share_of = lambda a, b, whole: T.overlap(a, b).cast("double") / F.greatest(F.size(whole), F.lit(1))
         blend = blended_similarity(sim, ev, share_of(words("context"), words("user"), words("user")),
                                    share_of(words("model_answer"), words("user"), words("model_answer")))
-        rows = rows.join(responses.select("attempt_id", F.col("score").cast("int").alias("_given"), T.squeeze(
+        rows = rows.join(responses.select("attempt_id", _whole_score("score").alias("_given"), T.squeeze(
             F.coalesce("feedback", F.lit(""))).alias("_said")), "attempt_id", "left").withColumn("_fallback", similarity_score(blend))
         open_ = early.isNull() & F.col("floor").between(3, 7)
         usable_ = F.col("_given").isNotNull() & (F.col("_said") != "")

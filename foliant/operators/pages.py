@@ -92,7 +92,7 @@ def section_pages(pages: DataFrame, steps=P.STEPS, ratio: float = 0.3, min_pages
     ``pages``: source, page, text. One shuffle counts headers, one blocked scan
     carries the section; pages left empty still move the section on.
     """
-    base = pages.withColumn("text", P.heavy_clean("text", steps)) if clean else pages
+    base = cut(pages.withColumn("text", P.heavy_clean("text", steps))) if clean else pages  # cleaned once, read three times
     headers = cut(header_lists(running_headers(base, "text", ratio, min_pages, exclude_end_marks)))
     none = F.array().cast("array<string>")
     rows = base.join(bounded_broadcast(headers), "source", "left").withColumn("headers", F.coalesce("headers", none))

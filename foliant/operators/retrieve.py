@@ -136,7 +136,7 @@ def rank_candidates(expanded: DataFrame, chunks: DataFrame, features: DataFrame)
     """Bonuses, combined score, relevance and global rank of every candidate."""
     flags = features.select("query_id", "has_quote", "multi_part", "description", "role")
     texts = chunks.select(*CHUNK, "content")
-    rows = texts.join(bounded_broadcast(cut(expanded)), ["source_name", "chunk_index"]).join(
+    rows = texts.join(bounded_broadcast(expanded), ["source_name", "chunk_index"]).join(
         bounded_broadcast(flags), "query_id")
     in_expansion = F.col("support").isNotNull()
     only_expansion = in_expansion & F.col("_candidate").isNull()

@@ -97,13 +97,20 @@ def missing_vectors(chunks: DataFrame, stored: DataFrame, model: str) -> DataFra
 # -- nearest neighbours --------------------------------------------------------------------------
 
 def _best_of(matrix: np.ndarray, items: pd.DataFrame, queries: np.ndarray, keys: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Nearest ``k`` rows of one block for each query row; distance ties at place k are kept."""
+    """Nearest ``k`` rows of one block for each query row; equal distances go by the items' keys."""
     gaps = np.maximum(
         (queries * queries).sum(1)[:, None] + (matrix * matrix).sum(1)[None, :] - 2.0 * (queries @ matrix.T), 0.0)
     gaps = np.round(gaps, 6)
     if matrix.shape[0] > k:
         limit = np.partition(gaps, k - 1, axis=1)[:, k - 1]
         rows, cols = np.nonzero(gaps <= limit[:, None])
+        place = np.empty(len(items), np.int64)
+        place[items.reset_index(drop=True).sort_values(list(items.columns), kind="stable").index] = np.arange(len(items))
+        order = np.lexsort((place[cols], gaps[rows, cols], rows))
+        rows, cols = rows[order], cols[order]
+        first = np.searchsorted(rows, np.arange(gaps.shape[0]))
+        best = np.arange(len(rows)) - first[rows] < k
+        rows, cols = rows[best], cols[best]
     else:
         rows, cols = np.indices(gaps.shape).reshape(2, -1)
     out = pd.concat([keys.iloc[rows].reset_index(drop=True), items.iloc[cols].reset_index(drop=True)], axis=1)

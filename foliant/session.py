@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +21,9 @@ def build_session(app_name: str = "foliant", master: str | None = None, **conf)
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+        "spark.sql.execution.arrow.maxBytesPerBatch": "16777216",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
         # long column expressions are built many times faster without a captured stack per call
         "spark.python.sql.dataFrameDebugging.enabled": "false",
@@ -35,16 +37,15 @@ def build_session(app_name: str = "foliant", master: str | None = None, **conf)
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage through a reliable checkpoint in the cluster's shared folder.
 
-    The folder is the session's ``spark.checkpoint.dir``. A private folder is
-    made only where none is named, as in tests on one machine.
+    The folder is the session's ``spark.checkpoint.dir``. Where none is named, a private
+    folder is made if driver and executors are one process, as in tests; on a cluster
+    that is an error, since executors would not see each other's files.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint(eager=True)
-
-
-def cores(spark: SparkSession) -> int:
-    return int(spark.sparkContext.defaultParallelism or os.cpu_count() or 1)

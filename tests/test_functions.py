@@ -1,3 +1,4 @@
+import unicodedata
 from pyspark.sql import functions as F
 
 from foliant.functions import pages as P
@@ -16,6 +17,9 @@ def test_singular_content_terms(one):
 
 def test_compatibility_form_reaches_ascii(one):
     assert one(T.search_norm(F.lit("ＡＢＣ ﬁne ²"))) == "abc fine 2"
+    for text in ("5 ㎏ of ½ ĳ", "e\u0301te\u0301 n\u0303o", "\u2460\u2167 ㏒ x\u0332y", "plain"):
+        kept = "".join(c if c.isascii() else " " for c in unicodedata.normalize("NFKC", text).lower())
+        assert one(T.search_norm(F.lit(text))).split() == "".join(c if c.isalnum() or c == "'" else " " for c in kept).split()
 
 
 def test_variants_of_a_multi_part_query(one):
@@ -51,6 +55,11 @@ def test_caption_cleanup(one):
     assert one(P.caption_clean(F.lit(text))) == "The image shows a long river that crosses a wide green valley."
 
 
+def test_caption_echo_is_cut_once(one):
+    text = "Task 1 and constraint list. The image shows a large map of Africa with rivers."
+    assert one(P.caption_without_echo(F.lit(text))) == "The image shows a large map of Africa with rivers."
+
+
 def test_bad_extraction(one):
     assert one(P.is_bad_extraction(F.lit(""))) and one(P.is_bad_extraction(F.lit("1234567890 " * 9)))
     assert one(P.is_bad_extraction(F.lit("the " * 30 + "end of it"))) and not one(
@@ -92,6 +101,8 @@ def test_truncation_rules(one):
 def test_json_candidates(one):
     assert one(R.json_candidate(F.lit('x ```json {"a": 1} ``` y'))) == '{"a": 1}'
     assert one(R.json_candidate(F.lit("no brace"))) is None
-    assert R.mend_brackets(__import__("pandas").Series(['{"a": [1, 2}', '{"a": "]"'])).tolist() == ['{"a": [1, 2]}', '{"a": "]"}']
+    broken = {'{"a": [1, 2}': '{"a": [1, 2]}', '{"a": "]"': '{"a": "]"}', '{"a": [1]]': '{"a": [1]}', '[{"k": "x\\"}"': '[{"k": "x\\"}"}]', '"open \\': '"open \\', "}": "", "": ""}
+    for text, mended in broken.items():
+        assert one(R.mend_json(F.lit(text))) == mended
     assert one(R.evidence_id(F.lit("chunk_id=abcdefabcdef-0001"))) == "abcdefabcdef-0001"
     assert one(R.plain_answer(F.lit("Answer: the river is long"))) == "the river is long"
