@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from checks import tables as S
+from checks.pages import ASKS, sql_policy
 from foliant.functions import text as T
 from foliant.operators import catalog as K
 from foliant.session import cut
@@ -271,9 +272,8 @@ def r01b(spark, d):
     return spark.read.parquet(f"{base}/chunks").select("chunk_id", "chunk_index")
 
 
-@register("r02_streamed_policy")
+@register("r02_streamed_policy", f"WITH {sql_policy()} SELECT conv_id, turn, categories <> '' AS blocked FROM decided")
 def r02(spark, d):
-    from checks.pages import ASKS
     m = open_stream(spark, d, "conversations")
     lead = F.element_at(F.array(*[F.lit(a) for a in ASKS]), (F.pmod(F.col("conv_id") * 7 + F.col("turn"), F.lit(len(ASKS))) + 1).cast("int"))
     tagged = J.tagged_messages(m.withColumn("text", F.concat(lead, "text")), "text")

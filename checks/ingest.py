@@ -36,8 +36,8 @@ def s01(spark, d):
 @register("s02_source_profile", """
 SELECT doc_id, sha256(text) AS sha256, CAST(length(text) AS BIGINT) AS n_chars FROM documents""")
 def s02(spark, d):
-    return S.table(spark, d, "documents").select(
-        "doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("sha256"), F.length("text").cast("long").alias("n_chars"))
+    named = S.table(spark, d, "documents").select(F.col("doc_id").alias("name"), F.lit("").alias("path"), F.col("text").alias("content"))
+    return X.with_profile(named).select(F.col("name").alias("doc_id"), "sha256", F.length("content").cast("long").alias("n_chars"))
 
 
 @register("s03_dataset_id", f"""
