@@ -59,27 +59,23 @@ def grams(chars: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray
     low = np.where(letter, _LOWER[chars], 0).astype(np.uint64)
     if not len(low):
         return np.zeros(0, np.int64), np.zeros(0, np.int32)
-    # a run's marks: the blank before it and the blank after it are 0, as are the rows' ends
-    gap = np.zeros(1, np.uint64)
+    # marks: a 0 before each row and after the last, as blanks within a row are 0
+    firsts = places[:-1]
+    wide = np.append(np.insert(low, firsts, 0), np.uint64(0))
+    owner = np.append(np.insert(row, firsts, np.arange(len(firsts), dtype=np.int32)), row[-1])
+    inner = wide > 0
     buckets, rows = [], []
     with np.errstate(over="ignore"):
         for n in ORDERS:
-            if n == 1:
-                h, ok, at = low, letter, row
-            else:
-                wide = np.concatenate([gap, low, gap])
-                inner = np.concatenate([[False], letter, [False]])
-                owner = np.concatenate([row[:1], row, row[-1:]])
-                m = len(wide) - n + 1
-                h, ok = np.zeros(m, np.uint64), np.ones(m, bool)
-                for k in range(n):
-                    h = h * np.uint64(0x100000001B3) + wide[k:k + m] + np.uint64(1)
-                    if 0 < k < n - 1:
-                        ok &= inner[k:k + m]
-                if n == 2:
-                    ok &= inner[:m] | inner[1:1 + m]
-                ok &= owner[:m] == owner[n - 1:n - 1 + m]
-                at = owner[:m]
+            m = len(wide) - n + 1
+            h, ok = np.zeros(m, np.uint64), np.ones(m, bool)
+            for k in range(n):
+                h = h * np.uint64(0x100000001B3) + wide[k:k + m] + np.uint64(1)
+                if 0 < k < n - 1:
+                    ok &= inner[k:k + m]
+            if n < 3:
+                ok = inner[:m] | inner[n - 1:n - 1 + m]
+            at = np.where(inner[:m], owner[:m], owner[1:1 + m]) if n == 2 else owner[n // 2:n // 2 + m]
             h = mix(h + np.uint64(n << 32)) >> np.uint64(64 - BUCKETS.bit_length() + 1)
             buckets.append(h[ok].astype(np.int64))
             rows.append(at[ok])
@@ -146,48 +142,47 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tu
     return languages, np.vstack([np.log(counts / counts.sum(axis=0)), np.log(prior / max(prior.sum(), 1))]).astype(np.float32)
 
 
-def _predicted(languages: list[str], model, text_at: int, kept: int):
-    """Reads the text from column ``text_at`` and passes the first ``kept`` columns on."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scored(languages: list[str], model):
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.StructArray]:
         table = model.value
-        weights, prior = np.ascontiguousarray(table[:-1]), table[-1].astype(float)
-        for batch in batches:
-            rows = batch.num_rows
-            total, n, letters = np.zeros((rows, len(languages))), np.zeros(rows), np.zeros(rows, bool)
-            for first, last, chars, places in _blocks(batch.column(text_at)):
+        weights, prior = np.ascontiguousarray(table[:-1].T), table[-1].astype(float)
+        for texts in batches:
+            rows = len(texts)
+            total, n = np.zeros((rows, len(languages))), np.zeros(rows)
+            for first, last, chars, places in _blocks(texts):
                 bucket, row = grams(chars, places)
-                own = np.bincount(row, minlength=last - first)
-                n[first:last] += own
-                letters[first:last] |= own > 0
-                if len(languages):
-                    for k in range(len(languages)):
-                        total[first:last, k] += np.bincount(row, weights[:, k][bucket], minlength=last - first)
+                n[first:last] += np.bincount(row, minlength=last - first)
+                for k in range(len(languages)):
+                    total[first:last, k] += np.bincount(row, weights[k][bucket], minlength=last - first)
             best, score = [UNKNOWN] * rows, np.zeros(rows)
             if len(languages):
                 tempered = total * (np.minimum(n, EVIDENCE) / np.maximum(n, 1))[:, None] + prior
                 post = np.exp(tempered - tempered.max(axis=1, keepdims=True))
                 post /= post.sum(axis=1, keepdims=True)
                 top = tempered.argmax(axis=1)
-                best = [languages[t] if ok else UNKNOWN for t, ok in zip(top.tolist(), letters.tolist(), strict=True)]
-                score = np.where(letters, post[np.arange(rows), top], 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(best, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names[:kept], "lang_pred", "score"])
+                best = [languages[t] if some else UNKNOWN for t, some in zip(top.tolist(), n.tolist(), strict=True)]
+                score = np.where(n > 0, post[np.arange(rows), top], 0.0)
+            yield pa.StructArray.from_arrays([pa.array(best, pa.string()), pa.array(score, pa.float64())], ["lang_pred", "score"])
     return run
 
 
-def predict(docs: DataFrame, languages: list[str], table: np.ndarray, text_col: str = "text", keep: list[str] = ("doc_id",)) -> DataFrame:
-    """``keep`` and ``lang_pred``, ``score``: one row per row of ``docs``.
+def predict(docs: DataFrame, languages: list[str], table: np.ndarray, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``score`` (which replace columns of these names).
 
     A text that is null or has no letter is ``und`` with score 0, as is every text where
     the model has no language. Equal texts get equal results; equal scores go to the
-    language that comes first by name. Other columns are ignored.
+    language that comes first by name. An empty table gives an empty result.
     """
-    small_batches(docs.sparkSession)
-    text_at = list(keep).index(text_col) if text_col in keep else len(keep)
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], *[F.col(f"`{text_col}`").cast("string").alias("text")] * (text_at == len(keep)))
-    kinds = [f"k{i} {rows.schema[i].dataType.simpleString()}" for i in range(len(keep))]
-    sent = docs.sparkSession.sparkContext.broadcast(table)
-    out = rows.mapInArrow(_predicted(languages, sent, text_at, len(keep)), ", ".join([*kinds, "lang_pred string", "score double"]))
-    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score")
+    spark = docs.sparkSession
+    small_batches(spark)
+    run = _scored(languages, spark.sparkContext.broadcast(table))
+
+    def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return run(texts)
+
+    udf = F.arrow_udf(scored, "lang_pred string, score double")
+    judged = docs.withColumn("_judged", udf(F.col(f"`{text_col}`").cast("string")))
+    return judged.withColumns({"lang_pred": F.col("_judged.lang_pred"), "score": F.col("_judged.score")}).drop("_judged")
 
 
 def held_out(doc_id: Column) -> Column:

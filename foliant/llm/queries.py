@@ -42,7 +42,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from the three quarters that aren't held out."""
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs.filter(~langid.held_out(F.col("doc_id"))))
-    return langid.predict(docs, *model).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return langid.predict(docs.select("doc_id", "text"), *model).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
