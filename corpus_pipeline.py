@@ -30,7 +30,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(docs)
     if not model[0]:
         return docs.filter(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
-    scored = langid.predict(docs, *model, keep=[*COLUMNS])
+    scored = langid.predict(docs.select(*COLUMNS), *model)
     return scored.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
 
 
