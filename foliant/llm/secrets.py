@@ -8,12 +8,13 @@ likelihood ratio per character is at least THRESHOLD.
 
 Labelled samples: base matches of at most SAMPLE_DOCS documents (chosen by a hash of the
 id) and SAMPLE_RANDOM encoded digests are random strings; the other tokens of those
-documents are ordinary ones.
+documents, and names made of neighbouring ones, are ordinary.
 """
 
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,10 +32,11 @@ KINDS = ["assign", "access", "hex", "random"]
 #: A run of token characters; shorter ones are never taken for secrets.
 LEAST_TOKEN = 20
 TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}"
-THRESHOLD = 0.6
-SAMPLE_DOCS = 5_000
+THRESHOLD = 1.5
+SAMPLE_DOCS = 2_000
 SAMPLE_RANDOM = 5_000
-SMOOTHING = 0.5
+#: Added to each character's count, and the weight of single characters against pairs.
+SMOOTHING, BACKOFF = 0.5, 5.0
 _SPAN = "array<struct<start:int,kind:int,end:int,match:string>>"
 
 
@@ -89,19 +91,23 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> li
     sample = sample.select(values.alias("random"), F.regexp_extract_all(rest, F.lit(TOKEN % 4), F.lit(0)).alias("ordinary"))
     digest = F.unhex(F.sha2(F.col("id").cast("string"), 256))
     made = spark.range(SAMPLE_RANDOM).select(F.regexp_replace(F.base64(digest), "=", "").alias("word"))
+    # names as programs have them, of neighbouring words
+    shapes = lambda a, b: F.array(F.concat(F.lower(a), F.initcap(b)), F.concat(F.initcap(a), F.initcap(b)), F.concat_ws("_", F.lower(a), F.lower(b)), F.concat_ws("_", F.upper(a), F.upper(b)), F.concat_ws("/", a, b), F.concat_ws("-", a, b))
+    names = F.flatten(F.zip_with("ordinary", F.slice("ordinary", 2, F.size("ordinary")), lambda a, b: F.when(b.isNotNull(), shapes(a, b)).otherwise(F.array(a))))
     words = (sample.select(F.explode("random").alias("word")).unionByName(made).withColumn("random", F.lit(True))
-             .unionByName(sample.select(F.explode("ordinary").alias("word")).withColumn("random", F.lit(False))))
+             .unionByName(sample.select(F.explode(F.concat("ordinary", names)).alias("word")).withColumn("random", F.lit(False))))
     words = words.groupBy("random", "word").agg(F.count("*").alias("n")).filter(F.length("word") > 1)
     pairs = words.select("random", "n", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring("word", i, 2))).alias("pair"))
     counted = pairs.groupBy("random", "pair").agg(F.sum("n").alias("n")).collect()  # of 2 * 65**2 kinds at most
-    counts = {True: {}, False: {}}
-    totals = {True: {}, False: {}}
+    pair, first, second, total = (defaultdict(int) for _ in range(4))
     for r in counted:
-        counts[r["random"]][r["pair"]] = r["n"]
-        totals[r["random"]][r["pair"][0]] = totals[r["random"]].get(r["pair"][0], 0) + r["n"]
+        kind, (a, b) = r["random"], r["pair"]
+        for table, key in ((pair, (kind, a, b)), (first, (kind, a)), (second, (kind, b)), (total, kind)):
+            table[key] += r["n"]
 
     def logp(random: bool, a: str, b: str) -> float:
-        return math.log((counts[random].get(a + b, 0) + SMOOTHING) / (totals[random].get(a, 0) + SMOOTHING * 65))
+        alone = (second[random, b] + SMOOTHING) / (total[random] + SMOOTHING * 65)
+        return math.log((pair[random, a, b] + BACKOFF * alone) / (first[random, a] + BACKOFF))
 
     chars = [chr(c) for c in range(128)]
     return [logp(True, a, b) - logp(False, a, b) for a in chars for b in chars]

@@ -235,9 +235,10 @@ def test_base_secrets_match_regular_expressions(spark):
 
 def test_random_tokens_are_told_from_identifiers(spark):
     words = "this is a perfectly ordinary text with some long_identifier_names_in_it and getCurrentUserSettings or maximumNumberOfConnections there"
-    frame = docs_of(spark, [words] * 30 + ["key xK9fQ2vLp8ZtR4wYb7Nc1DhJ here", "call initializeDatabaseConnectionPool here", "token = 8f3a9c1b7e5d2f4a6b8c0d1e"])
-    got = {r["doc_id"]: r["spans"] for r in secrets.report(secrets.find(frame, secrets.train(frame))).collect()}
-    assert got[30] == "random:4:28" and got[31] == "" and got[0] == "" and got[32].startswith("assign:0:")
+    model = secrets.train(docs_of(spark, [words] * 30 + ["the token = 8f3a9c1b7e5d2f4a6b8c0d1e was here"]))
+    texts = ["key xK9fQ2vLp8ZtR4wYb7Nc1DhJ here", "call maximumNumberOfTextConnections here", words, "token = 8f3a9c1b7e5d2f4a6b8c0d1e"]
+    got = {r["doc_id"]: r["spans"] for r in secrets.report(secrets.find(docs_of(spark, texts), model)).collect()}
+    assert got[0] == "random:4:28" and got[1] == "" and got[2] == "" and got[3].startswith("assign:0:")
 
 
 # licences
