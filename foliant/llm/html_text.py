@@ -32,6 +32,7 @@ APART_WORDS = set(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup "
     "nav navbar navigation menu menubar breadcrumb breadcrumbs toc sidebar aside footer header masthead topbar comment comments commentlist respond reply replies discussion disqus related recommended recommendations "
     "share sharing social widget pagination pager login search searchform toolbar skip copyright legal complementary contentinfo".split())
+OFTEN_IN_ARTICLES = {"header", "widget", "legal"}
 ARTICLES = {"article", "main"}
 
 _TOKEN = re.compile(
@@ -48,25 +49,26 @@ def _apart(name: str, attrs: str, in_article: bool) -> bool:
         return True
     if not attrs.strip() or name in ("html", "body"):
         return False
+    apart_words = APART_WORDS - OFTEN_IN_ARTICLES if in_article else APART_WORDS
     words = {w for m in _NAMED.finditer(attrs) for w in _SPLIT.split((m[1] or m[2] or m[3] or "").lower())}
-    return bool(words & APART_WORDS) or bool(_HIDDEN.search(attrs))
+    return bool(words & apart_words) or bool(_HIDDEN.search(attrs))
 
 
 def lines_of(page: str) -> list[tuple[str, int, bool]]:
     """Text, weight and whether it is in an article element, of each line; apart lines weigh 0."""
     out, text, link_chars, links = [], [], 0, 0
     stack: list[tuple[str, bool, bool]] = []  # name, apart, in an article
-    apart = article = False
+    apart = article = aside = False  # aside: the block itself says that it is apart
     at = 0
 
     def end_block() -> None:
-        nonlocal link_chars
+        nonlocal link_chars, aside
         line = " ".join(html.unescape("".join(text)).split())
         text.clear()
         if line:
-            weight = 0 if apart else max(0, len(line) - link_chars) + (IN_ARTICLE if article else 0)
+            weight = 0 if apart or aside else max(0, len(line) - link_chars) + (IN_ARTICLE if article else 0)
             out.append((line, weight, article and not apart))
-        link_chars = 0
+        link_chars, aside = 0, False
 
     for m in _TOKEN.finditer(page):
         if piece := page[at:m.start()]:
@@ -82,6 +84,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             text.append(" ")
         if name in BLOCKS:
             end_block()
+            aside = name not in CONTAINERS and not m["close"] and _apart(name, m["attrs"], article)
         if name in CONTAINERS:
             if not m["close"]:
                 if not m["attrs"].rstrip().endswith("/"):

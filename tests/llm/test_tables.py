@@ -150,6 +150,7 @@ def body(article, wrap):
 def test_articles_are_found(wrap):
     inner = f"<h1>{ARTICLE[0]}</h1>" + "".join(f"<p>{x}" + "</p>" * (k % 2) for k, x in enumerate(ARTICLE[1:]))
     assert html_text.main_text(body(inner, wrap)) == KEPT
+    assert html_text.main_text(body(inner.replace("<p>Short.", "<p class='ad'>Buy this thing now.</p><p>Short."), wrap)) == KEPT
     assert html_text.main_text(body(inner.replace("<p>Short.", "<div class='ad'><p>Buy this.</p></div><p>Short."), wrap)) == KEPT
 
 
