@@ -261,7 +261,9 @@ def finished(spark, stream, mode="append"):
 @register("r01_streamed_ingest", "SELECT sha256, count(*) AS copies FROM (SELECT DISTINCT sha256(text) AS sha256 FROM documents) GROUP BY 1")
 def r01(spark, d):
     files = open_stream(spark, d, "documents").select(F.concat("source", F.col("doc_id").cast("string")).alias("name"), F.lit("p").alias("path"), F.col("text").alias("content"))
-    return finished(spark, J.ingest_stream(files).select("sha256")).groupBy("sha256").agg(F.count("*").alias("copies"))
+    base = scratch(spark)
+    J.run_available(J.ingest_stream(files), J.write_new_sources(f"{base}/sources"), f"{base}/state")
+    return spark.read.parquet(f"{base}/sources").groupBy("sha256").agg(F.count("*").alias("copies"))
 
 
 @register("r01_streamed_chunks")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.policy import with_policy
@@ -24,15 +24,43 @@ def run_available(stream: DataFrame, each_batch: Callable[[DataFrame, int], None
 
 
 def ingest_stream(files: DataFrame) -> DataFrame:
-    """New sources, each content once. ``files``: name, path, content."""
-    return with_profile(files).drop("modified_at").dropDuplicates(["sha256"])
+    """Sources with their content hash. ``files``: name, path, content. Keeps no state: the
+    writers below drop what their table already holds."""
+    return with_profile(files).drop("modified_at")
+
+
+def of_other_batches(spark: SparkSession, path: str, batch_id: int, schema: str) -> DataFrame:
+    """What other batches wrote below ``path``, nothing before the first one. What this batch
+    wrote before a restart is no history."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], f"{schema}, batch long").drop("batch")
+    return spark.read.schema(f"{schema}, batch long").parquet(path).filter(F.col("batch") != batch_id).drop("batch")
+
+
+def _append(rows: DataFrame, batch_id: int, path: str) -> None:
+    """A batch id is written once, also after a restart."""
+    rows.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").partitionBy("batch").option(
+        "partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def new_sources(batch: DataFrame, batch_id: int, path: str, held_as: str) -> DataFrame:
+    """One source for each content hash that the table at ``path`` doesn't hold yet in its column ``held_as``."""
+    held = of_other_batches(batch.sparkSession, path, batch_id, f"{held_as} string").select(F.col(held_as).alias("sha256"))
+    return batch.dropDuplicates(["sha256"]).join(held, "sha256", "left_anti")
+
+
+def write_new_sources(path: str) -> Callable[[DataFrame, int], None]:
+    """Batch writer for ``ingest_stream``: each content once."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        _append(new_sources(batch, batch_id, path, "sha256"), batch_id, path)
+    return write
 
 
 def write_new_chunks(path: str, chunker=recursive_chunks) -> Callable[[DataFrame, int], None]:
-    """Batch writer for ``ingest_stream``; a batch id is written once, also after a restart."""
+    """Batch writer for ``ingest_stream``: the chunks of each content once."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        chunker(batch).withColumn("batch", F.lit(batch_id)).write.mode("overwrite").partitionBy("batch").option(
-            "partitionOverwriteMode", "dynamic").parquet(path)
+        _append(chunker(new_sources(batch, batch_id, path, "source_sha256")), batch_id, path)
     return write
 
 
@@ -121,15 +149,7 @@ def reject_asked(path: str) -> Callable[[DataFrame, int], None]:
     compared by a distributed join. Batches: dataset_id, question_id, seq, question.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch
-        try:
-            # what this batch wrote before a restart is not history
-            accepted = spark.read.parquet(path).filter(F.col("batch") != batch_id).select("dataset_id", "question")
-            fresh = not_asked_before(batch, accepted)
-        except Exception as missing:  # the table does not exist before the first batch
-            if "PATH_NOT_FOUND" not in str(missing) and "UNABLE_TO_INFER_SCHEMA" not in str(missing):
-                raise
-        keep_first(fresh).withColumn("batch", F.lit(batch_id)).write.mode("overwrite").partitionBy("batch").option(
-            "partitionOverwriteMode", "dynamic").parquet(path)
+        key = batch.schema["dataset_id"].dataType.simpleString()
+        accepted = of_other_batches(batch.sparkSession, path, batch_id, f"dataset_id {key}, question string")
+        _append(keep_first(not_asked_before(batch, accepted)), batch_id, path)
     return write

@@ -234,3 +234,29 @@ def test_interaction_rows_append(spark, tmp_path):
 
 def test_quote_words_match_python(one):
     assert one(T.quoted_content(F.lit('He said, “come in,” and "sit".'))) == "come in sit"
+
+
+def test_streamed_sources_are_written_once(spark, tmp_path):
+    from foliant.sources.text_files import with_profile
+    from foliant.streaming import jobs as J
+    write = J.write_new_sources(str(tmp_path / "sources"))
+    batch = lambda *texts: with_profile(spark.createDataFrame([(str(i), "p", t) for i, t in enumerate(texts)], "name string, path string, content string")).drop("modified_at")
+    for number, texts in ((0, ["a", "b", "b"]), (1, ["b", "c"]), (1, ["b", "c"]), (2, ["a", "c"])):
+        write(batch(*texts), number)
+    got = spark.read.parquet(str(tmp_path / "sources")).select("content", "batch").collect()
+    assert sorted(map(tuple, got)) == [("a", 0), ("b", 0), ("c", 1)]
+
+
+def test_equal_distances_keep_k_rows(spark):
+    from foliant.operators.vectors import nearest
+    items = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(500)], "item long, embedding array<double>")
+    queries = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0])], "query long, embedding array<double>")
+    for few in (10, 0):
+        got = nearest(queries, ["query"], items, ["item"], 4, broadcast_vectors=few).select("query", "item").collect()
+        assert sorted(map(tuple, got)) == [(q, i) for q in (1, 2) for i in range(4)]
+
+
+def test_model_scores_that_are_no_numbers(spark):
+    from foliant.operators.grade import _whole_score
+    rows = spark.createDataFrame([("7.5",), ("high",), (None,), ("12",), ("",), ("99999999999",)], "score string")
+    assert [r[0] for r in rows.select(_whole_score("score")).collect()] == [7, None, 0, 12, None, None]
