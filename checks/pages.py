@@ -324,6 +324,16 @@ def p17(spark, d):
     return S.table(spark, d, "documents").select("doc_id", P.is_caption_refusal(F.concat(lead, "text")).alias("refusal"))
 
 
+ECHOES = ["Task 1 and constraint list. ", "A plain lead. ", "", "INPUT: a map "]
+
+
+@register("f32_caption_echo", f"""
+SELECT doc_id, CASE WHEN doc_id % 4 IN (0, 3) THEN '' ELSE {S.arr(ECHOES)}[doc_id % 4 + 1] END || 'The image shows ' || {S.sq('text')} AS caption FROM documents""")
+def f32_echo(spark, d):
+    lead = F.element_at(F.array(*[F.lit(x) for x in ECHOES]), (F.pmod("doc_id", F.lit(len(ECHOES))) + 1).cast("int"))
+    return S.table(spark, d, "documents").select("doc_id", P.caption_without_echo(F.concat(lead, F.lit("The  image shows "), "text")).alias("caption"))
+
+
 @register("f32_caption_clean")
 def f32(spark, d):
     lead = F.lit("Thinking process:\n1. **Analyze** the request\n- Title: Maps\nDetailed Description: ")

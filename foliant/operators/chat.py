@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import lists
 from ..functions import text as T
 from ..functions.responses import TRUNCATION_REASONS, truncation_reason
-from ..functions.policy import is_refusal, refusal_message, with_policy
+from ..functions.policy import is_refusal, policy_decision, refusal_message, with_policy
 from ..plans.scans import dense_index, preceding_rows, running_sum, top_rows
 
 HISTORY_MESSAGES = 20
@@ -33,15 +33,14 @@ def flag(payload: Column, key: str) -> Column:
 
 def mark_safe(messages: DataFrame, content: str = "content") -> DataFrame:
     """Add ``safe``: whether a message may be used as history."""
-    rows = with_policy(messages, content, "user_query", "_as_query")
-    rows = with_policy(rows, content, "model_output", "_as_output")
     payload = F.col("payload") if "payload" in messages.columns else F.lit(None).cast("string")
     role = F.lower(T.strip("role"))
-    user_ok = ~F.col("_as_query.blocked") & ~F.coalesce(F.get_json_object(payload, "$.blocked_stage") == "user_query", F.lit(False))
-    assistant_ok = ~F.col("_as_output.blocked") & ~is_refusal(content) & ~flag(payload, "safety_refusal")
+    blocked = lambda purpose: policy_decision(content, purpose)["blocked"]  # decided for the message's own role only
+    user_ok = ~blocked("user_query") & ~F.coalesce(F.get_json_object(payload, "$.blocked_stage") == "user_query", F.lit(False))
+    assistant_ok = ~blocked("model_output") & ~is_refusal(content) & ~flag(payload, "safety_refusal")
     safe = ~T.is_blank(F.coalesce(content, F.lit(""))) & ~flag(payload, "exclude_from_history") & (
         F.when(role == "user", user_ok).when(role == "assistant", assistant_ok).otherwise(False))
-    return rows.withColumn("safe", safe).drop("_as_query", "_as_output")
+    return messages.withColumn("safe", safe)
 
 
 def turn_numbers(messages: DataFrame, conv: str = "conv_id", order: str = "turn", block: int = 8192) -> DataFrame:

@@ -76,10 +76,6 @@ def dataset_ids(sources: DataFrame, corpus: str = "corpus") -> DataFrame:
     return ordered.mapInPandas(feed, "corpus string, dataset_id string, source_count long")
 
 
-def status_key(path) -> Column:
-    return F.substring(F.sha2(col(path), 256), 1, 24)
-
-
 def corpus_labels(sources: DataFrame, corpus: str, order: str, name: str = "name", limit: int = 80) -> DataFrame:
     """Names joined by ``, `` and cut to ``limit``: only the names that can still show are gathered."""
     shown = top_rows(sources.select(F.col(corpus).alias("corpus"), F.col(name).alias("name"), F.col(order).alias("_o")),
