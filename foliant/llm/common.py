@@ -43,11 +43,11 @@ def written(df: DataFrame, folder: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def dropped(spark: SparkSession, path: str) -> None:
-    """Delete a folder that ``written`` made, through the file system that holds it."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def dropped(spark: SparkSession, *paths: str) -> None:
+    """Delete tables that ``written`` made and nothing reads any more, through the file system that holds them."""
+    for path in paths:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def only(df: DataFrame, **columns: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import mix, only, small_batches, text_or_empty, utf8, written
+from foliant.llm.common import dropped, mix, only, shared_folder, small_batches, text_or_empty, utf8, written
 from foliant.llm.graph import components
 from foliant.llm.shingles import shingle_sets
 
@@ -146,7 +146,7 @@ def _sets_of(texts: DataFrame, heads: DataFrame, comp: DataFrame, words: int) ->
     """The full sets of the digests in ``comp``; ``heads`` has their texts' ids."""
     chosen = texts.join(heads.select(F.col("low").alias("id")).distinct(), "id", "left_semi")
     sets = chosen.mapInArrow(_sets(words), "digest binary, packed binary").join(comp.select("digest"), "digest", "left_semi")
-    return written(sets.groupBy("digest").agg(F.first("packed").alias("packed")))
+    return sets.groupBy("digest").agg(F.first("packed").alias("packed"))
 
 
 def _open_buckets(members: DataFrame, comp: DataFrame, aggregate: list) -> tuple[DataFrame, DataFrame]:
@@ -218,7 +218,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, id_col:
     smallest unless all ids are null; then component_id is null and the row is kept. An
     empty table gives an empty result. Other columns of ``docs`` are ignored.
     """
-    spark = docs.sparkSession
+    spark, base = docs.sparkSession, shared_folder(docs.sparkSession)
     small_batches(spark)
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), text_or_empty(F.col(f"`{text_col}`")).alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
@@ -229,16 +229,16 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, id_col:
                     .agg(F.min("id").alias("low"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
     buckets = heads.select("digest", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    members = written(buckets.join(shared, "bucket", "left_semi"))
+    members = written(buckets.join(shared, "bucket", "left_semi"), f"{base}/members")
     comp = written(members.select("digest").distinct().withColumn("comp", F.col("digest")))
-    sets = _sets_of(texts, heads.join(comp, "digest", "left_semi").select("low"), comp, words)
+    sets = written(_sets_of(texts, heads.join(comp, "digest", "left_semi").select("low"), comp, words), f"{base}/sets")
 
     # stars: each member of a bucket against its pivot
-    stars = written(_stars(members, comp))
+    stars = written(_stars(members, comp), f"{base}/stars")
     pivots = stars.filter("pivot").select("bucket", F.col("digest").alias("other"))
     pairs = (stars.filter("not pivot").join(pivots, "bucket")
              .select(F.least("digest", "other").alias("a"), F.greatest("digest", "other").alias("b")).distinct())
-    alike = written(_with_both(pairs, heads, "sig").mapInArrow(_alike(LEAST_EQUAL), "a binary, b binary"))
+    alike = written(_with_both(pairs, heads, "sig").mapInArrow(_alike(LEAST_EQUAL), "a binary, b binary"), f"{base}/alike")
     links = _with_both(alike, sets, "packed").mapInArrow(_confirm(percent), "a binary, b binary")
     comp = components(links, comp)
 
@@ -246,6 +246,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, id_col:
     cells = _cells(stars.filter("not pivot").select("bucket", "digest"), comp, sets)
     links = cells.groupBy("bucket", "i", "j").applyInArrow(_within_cells(percent), "a binary, b binary")
     comp = components(links, comp)
+    dropped(spark, *[f"{base}/{x}" for x in ("members", "sets", "stars", "alike")])
     lowest = comp.join(heads.select("digest", "low"), "digest").groupBy("comp").agg(F.min("low").alias("component"))
     placed = heads.select("digest", "low").join(comp.join(lowest, "comp"), "digest", "left").select("digest", F.coalesce("component", "low").alias("component"))
     rows = sketches.select("id", "n_shingles", "digest").join(placed, "digest", "left")
