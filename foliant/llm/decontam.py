@@ -13,7 +13,7 @@ A passage of 10 % edits differs in less than half of the embedded places on aver
 nearly always shares one of WALKS * REPEATS keys of SAMPLED places (tests measure it); an
 unrelated window seldom does.
 
-Items are taken in blocks of BLOCK_ITEMS, each broadcast and read against all documents.
+Items are taken in blocks of about BLOCK_ITEMS items and BLOCK_CHARS characters, each broadcast and read against all documents.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ from foliant.llm.common import small_batches, stream, text_or_empty
 EDITS = 0.1
 SEED = 8
 WALKS, REPEATS, SAMPLED = 5, 12, 3
-BLOCK_ITEMS = 4096
-_BLOCK = 1 << 22
+BLOCK_ITEMS, BLOCK_CHARS = 4096, 4 << 20
+_BLOCK = 1 << 21
 #: Windows that walk together.
 _TOGETHER = 2048
 _BITS = 20
@@ -259,7 +259,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, id_col: s
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), text_or_empty(F.col(f"`{text_col}`")).alias("text"))
     known = benchmark.select(F.col(f"`{item_col}`").alias("item"), text_or_empty(F.col(f"`{item_text_col}`")).alias("text"))
     kinds = texts.schema["id"].dataType.simpleString(), known.schema["item"].dataType.simpleString()
-    blocks = max(1, -(-known.count() // BLOCK_ITEMS))
+    size = known.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).head()
+    blocks = max(1, -(-size["n"] // BLOCK_ITEMS), -(-size["chars"] // BLOCK_CHARS))
     out = None
     for block in range(blocks):
         rows = known.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).orderBy("item", "text").toArrow()
