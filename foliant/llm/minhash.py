@@ -144,7 +144,7 @@ def _with_both(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
 
 def _sets_of(texts: DataFrame, heads: DataFrame, comp: DataFrame, words: int) -> DataFrame:
     """The full sets of the digests in ``comp``; ``heads`` has their texts' ids."""
-    chosen = texts.join(heads.select(F.col("low").alias("id")).distinct(), "id", "left_semi")
+    chosen = texts.join(heads.select("low").distinct(), F.col("id").eqNullSafe(F.col("low")), "left_semi")
     sets = chosen.mapInArrow(_sets(words), "digest binary, packed binary").join(comp.select("digest"), "digest", "left_semi")
     return sets.groupBy("digest").agg(F.first("packed").alias("packed"))
 

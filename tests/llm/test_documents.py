@@ -88,6 +88,9 @@ def test_large_buckets_are_compared_in_cells(spark, monkeypatch):
 def test_near_duplicates_of_odd_ids(spark):
     got = minhash.near_duplicates(docs_of(spark, ["a b c d e"] * 3 + ["q r s t"], [None, 4, 4, None])).collect()
     assert sorted((str(r["doc_id"]), str(r["component_id"]), r["kept"]) for r in got) == [("4", "4", True), ("4", "4", True), ("None", "4", False), ("None", "None", True)]
+    long = " ".join(f"w{i}" for i in range(60))
+    got = minhash.near_duplicates(docs_of(spark, [long, long + " more", long + " less"], [7, None, None])).collect()
+    assert sorted((str(r["doc_id"]), r["component_id"], r["kept"]) for r in got) == [("7", 7, True), ("None", 7, False), ("None", 7, False)]
     assert minhash.near_duplicates(docs_of(spark, [])).count() == 0
 
 
