@@ -31,7 +31,7 @@ EVIDENCE = 50
 #: Languages a model may hold; more are refused, since the matrix is broadcast.
 MOST_LANGUAGES = 500
 UNKNOWN = "und"
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 _LOWER = np.arange(0x110000, dtype=np.uint32)
 _LETTER = np.zeros(0x110000, bool)
 
