@@ -4,7 +4,10 @@ A page becomes lines, one for each block of text. A line weighs the characters o
 text that aren't link text; lines of menus, headers, footers, sidebars, notices, adverts,
 forms and comments weigh nothing, lines of an article element weigh IN_ARTICLE more. The
 weights of WINDOW lines from each line on are summed: text begins where that sum surges
-to at least SURGE, and ends where it dives to zero; what lies between is kept.
+to at least SURGE, and ends where it dives to zero; what lies between is kept. A window's
+IN_ARTICLE alone is below SURGE, so lengths decide on every page, inside and outside of
+article elements. Where article lines hold most of a page's text, lines outside are summed
+apart from them: scraps beside an article are no part of it, but longer text is kept.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,7 +25,7 @@ from foliant.llm.common import small_batches, text_or_empty
 
 WINDOW = 3
 SURGE = 80
-IN_ARTICLE = 100
+IN_ARTICLE = 25
 
 #: Element names and words in class, id or role by what they mean here.
 RAW = "script|style|noscript|template|textarea|title|svg|iframe|object|select|option|math|canvas|audio|video"
@@ -55,7 +59,7 @@ def _apart(name: str, attrs: str, in_article: bool) -> bool:
 
 
 def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """Text, weight and whether it is in an article element, of each line; apart lines weigh 0."""
+    """Text, weight and whether it is in an article element, of each line; apart lines weigh 0, those inside an article are left out."""
     out, text, link_chars, links = [], [], 0, 0
     stack: list[tuple[str, bool, bool]] = []  # name, apart, in an article
     apart = article = aside = False  # aside: the block itself says that it is apart
@@ -65,7 +69,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         nonlocal link_chars, aside
         line = " ".join(html.unescape("".join(text)).split())
         text.clear()
-        if line:
+        if line and not (article and (apart or aside)):
             weight = 0 if apart or aside else max(0, len(line) - link_chars) + (IN_ARTICLE if article else 0)
             out.append((line, weight, article and not apart))
         link_chars, aside = 0, False
@@ -105,19 +109,23 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
 def main_text(page: str) -> str:
     """Kept lines, joined by line breaks."""
     lines = lines_of(page)
-    if any(x[2] for x in lines):  # elsewhere in a page with an article there is none
-        lines = [(x, w if inside else 0, inside) for x, w, inside in lines]
-    weights = [w for _, w, _ in lines]
-    sums = [sum(weights[k:k + WINDOW]) for k in range(len(weights))]
-    top = min(SURGE, max(sums, default=0)) or SURGE
-    kept, inside = [], False
-    for k, (line, weight, _) in enumerate(lines):
-        if not inside:
-            inside = weight > 0 and sums[k] >= top
-        elif sums[k] == 0:
-            inside = False
-        if inside and weight:
-            kept.append(line)
+    chars = [(len(line), inside) for line, weight, inside in lines if weight]
+    if 2 * sum(n for n, inside in chars if inside) > sum(n for n, _ in chars):
+        runs = [list(x) for _, x in groupby(lines, key=lambda x: x[2])]
+    else:
+        runs = [lines]
+    sums = [[sum(w for _, w, _ in run[k:k + WINDOW]) for k in range(len(run))] for run in runs]
+    top = min(SURGE, max((x for run in sums for x in run), default=0)) or SURGE
+    kept = []
+    for run, ahead in zip(runs, sums):
+        inside = False
+        for (line, weight, _), total in zip(run, ahead):
+            if not inside:
+                inside = weight > 0 and total >= top
+            elif total == 0:
+                inside = False
+            if inside and weight:
+                kept.append(line)
     return "\n".join(kept)
 
 

@@ -154,6 +154,20 @@ def test_articles_are_found(wrap):
     assert html_text.main_text(body(inner.replace("<p>Short.", "<div class='ad'><p>Buy this.</p></div><p>Short."), wrap)) == KEPT
 
 
+def test_lengths_choose_the_block_beside_an_article():
+    long = [f"Paragraph {k} of the main text, which goes on for a good number of words so that it counts as text." for k in range(4)]
+    main = "".join(f"<p>{x}</p>" for x in long)
+    for tag in ("div", "section"):
+        assert html_text.main_text(f"<body><{tag}>{main}</{tag}><p><a href='x'>More</a></p><p><a href='x'>All</a></p><p><a href='x'>Top</a></p><article><h3>Next story</h3></article></body>") == "\n".join(long)
+        quoted = html_text.main_text(f"<body><{tag}>{main}<article><p>A post.</p></article><p>The end.</p></{tag}></body>")
+        assert quoted == "\n".join([*long, "A post.", "The end."])
+    # an article that holds most of the text: scraps beside it don't join it, longer text stands by itself, a last short line stays
+    ad = "<div class='ad'><p>Buy</p><p>this</p><p>now</p><p>today</p></div>"
+    page = f"<body><div>Site name</div><article>{main}{ad}<p>The end.</p></article><div>Print</div></body>"
+    assert html_text.main_text(page) == "\n".join([*long, "The end."])
+    assert html_text.main_text(page.replace("<div>Print</div>", f"<div><p>{long[0]}</p></div>")) == "\n".join([*long, "The end.", long[0]])
+
+
 def test_odd_pages(spark):
     long = "<p>word</p>" * 50_000
     pages = [(1, "u", None), (2, None, ""), (3, "u", "no markup at all"), (4, "u", "<p>a < b and c > d <"), (5, "u", "<article><p>cut off in the mid"), (6, "u", f"<main>{long}</main>"), (6, "u", f"<main>{long}</main>"), (None, "u", "<nav>x</nav>")]
