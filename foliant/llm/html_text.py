@@ -28,7 +28,8 @@ SURGE = 80
 IN_ARTICLE = 25
 
 #: Element names and words in class, id or role by what they mean here.
-RAW = "script|style|noscript|template|textarea|title|svg|iframe|object|select|option|math|canvas|audio|video"
+RAW = set("script style textarea title iframe".split())  # their content is no markup; without an end tag it is the rest of the page
+DROPPED = set("noscript template svg object select datalist canvas audio video".split())  # with their content, up to the end tag; a start tag without one drops nothing
 BLOCKS = set("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul caption".split())
 CONTAINERS = set("article aside blockquote body center dd details dialog div dl dt fieldset figure footer form head header html li main menu nav ol section table tbody td tfoot th thead tr ul".split())
 APART = set("aside button dialog fieldset footer form head menu nav".split())
@@ -40,8 +41,9 @@ OFTEN_IN_ARTICLES = {"header", "widget", "legal"}
 ARTICLES = {"article", "main"}
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<(?P<raw>" + RAW + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|$)"
-    r"|<(?P<close>/?)(?P<name>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*(?:>|$)|<[a-z][^>]*(?:>|$)", re.I | re.S)
+    r"<!--.*?(?:-->|$)|<(?P<close>/?)(?P<name>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*(?:>|$)|<[a-z][^>]*(?:>|$)", re.I | re.S)
+_RAW_END = {x: re.compile(rf"</{x}(?=[\s/>])[^>]*(?:>|$)", re.I) for x in RAW}
+_ANY_DROPPED = re.compile(rf"<(?:{'|'.join(sorted(DROPPED))})(?=[\s/>])", re.I)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
@@ -58,6 +60,45 @@ def _apart(name: str, attrs: str, in_article: bool) -> bool:
     return bool(words & apart_words) or bool(_HIDDEN.search(attrs))
 
 
+def _tokens(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """Start, end, name ("" if not an element), whether it closes, and attributes, of each tag and comment; raw content belongs to its start tag."""
+    at, in_svg = 0, False
+    while m := _TOKEN.search(page, at):
+        at = m.end()
+        name, close, attrs = (m["name"] or "").lower(), bool(m["close"]), m["attrs"] or ""
+        empty = attrs.rstrip().endswith("/")
+        if name == "svg":
+            in_svg = not close and not empty
+        elif name in BLOCKS:
+            in_svg = False
+        if name in RAW and not close:
+            if not (in_svg and empty):
+                end = _RAW_END[name].search(page, at)
+                at = end.end() if end else len(page)
+            name = ""
+        yield m.start(), at, name, close, attrs
+
+
+def _dropped(page: str) -> Iterator[tuple[int, int]]:
+    """Outermost spans of DROPPED elements that have an end tag, in order; each end tag belongs to the last open start tag of its name."""
+    if not _ANY_DROPPED.search(page):
+        return
+    opened, spans = {x: [] for x in DROPPED}, []
+    for start, end, name, close, attrs in _tokens(page):
+        if name not in DROPPED:
+            continue
+        if not close:
+            if not (name == "svg" and attrs.rstrip().endswith("/")):
+                opened[name].append(start)
+        elif opened[name]:
+            spans.append((opened[name].pop(), end))
+    until = 0
+    for start, end in sorted(spans):
+        if start >= until:
+            yield start, end
+            until = end
+
+
 def lines_of(page: str) -> list[tuple[str, int, bool]]:
     """Text, weight and whether it is in an article element, of each line; apart lines weigh 0, those inside an article are left out."""
     out, text, link_chars, links = [], [], 0, 0
@@ -74,25 +115,31 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             out.append((line, weight, article and not apart))
         link_chars, aside = 0, False
 
-    for m in _TOKEN.finditer(page):
-        if piece := page[at:m.start()]:
+    dropped = _dropped(page)
+    span = next(dropped, None)
+    for start, end, name, close, attrs in _tokens(page):
+        if end <= at:  # in a dropped element
+            continue
+        if piece := page[at:start]:
             text.append(piece)
             link_chars += len(" ".join(piece.split())) if links else 0
-        at = m.end()
-        name = (m["name"] or "").lower()
+        at = end
+        if span and start == span[0]:
+            at, span = span[1], next(dropped, None)
+            continue
         if not name:
             continue
         if name == "a":
-            links = 0 if m["close"] else 1
+            links = 0 if close else 1
         elif name in ("br", "td", "th"):
             text.append(" ")
         if name in BLOCKS:
             end_block()
-            aside = name not in CONTAINERS and not m["close"] and _apart(name, m["attrs"], article)
+            aside = name not in CONTAINERS and not close and _apart(name, attrs, article)
         if name in CONTAINERS:
-            if not m["close"]:
-                if not m["attrs"].rstrip().endswith("/"):
-                    own = _apart(name, m["attrs"], article)
+            if not close:
+                if not attrs.rstrip().endswith("/"):
+                    own = _apart(name, attrs, article)
                     stack.append((name, apart, article))
                     apart = own if name in ARTICLES and not article else apart or own
                     article = (article or name in ARTICLES) and not (own and name in ARTICLES)

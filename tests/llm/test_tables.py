@@ -168,6 +168,23 @@ def test_lengths_choose_the_block_beside_an_article():
     assert html_text.main_text(page.replace("<div>Print</div>", f"<div><p>{long[0]}</p></div>")) == "\n".join([*long, "The end.", long[0]])
 
 
+@pytest.mark.parametrize("ahead", [
+    "<datalist id='d'><option value='a'><option value='b'></datalist>", "<div><option value='a'></div>", "<svg class='i' viewBox='0 0 1 1'/>", "<svg><title/><style/><path d='M0'/></svg>", "<svg><path d='M0'></p>", "<math/>",
+    "<video-player src='x'></video-player>", "<select-menu></select-menu>", "<audio src='x'>", "<object data='x'>", "<noscript><p>Turn scripts on, please, for all that there is to see on this long page of ours.</p></noscript>",
+    "<svg><svg></svg><text>no</text></svg>", "<select><option>One<option>Two</select>", "<script-x></script-x><script>if (a</b) '</p>'</script >", "<datalist><select><option>One</select><option>Two</datalist>"])
+def test_elements_without_an_end_tag_lose_no_text(ahead):
+    first, second = (f"The {x} paragraph of the text, with a good number of words in it, so that it counts as text." for x in ("first", "second"))
+    page = f"<body>{ahead}<article><p>{first}</p><p>And <svg/>so on <math><mi>x</mi><mo>=</mo><mn>1</mn></math> <svg><text>no</text></svg>it goes.</p><p>{second}</p></article></body>"
+    assert html_text.main_text(page) == f"{first}\nAnd so on x=1 it goes.\n{second}"
+
+
+def test_raw_text_runs_to_the_end_of_the_page():
+    for name in ("script", "style", "textarea", "title", "iframe"):
+        assert html_text.main_text(f"<article><p>Some text.</p><{name}><p>no</p>") == "Some text."
+    many = "<object><video><svg>" * 20_000
+    assert html_text.main_text(f"<article>{many}<p>Some text.</p></article>") == "Some text."
+
+
 def test_odd_pages(spark):
     long = "<p>word</p>" * 50_000
     pages = [(1, "u", None), (2, None, ""), (3, "u", "no markup at all"), (4, "u", "<p>a < b and c > d <"), (5, "u", "<article><p>cut off in the mid"), (6, "u", f"<main>{long}</main>"), (6, "u", f"<main>{long}</main>"), (None, "u", "<nav>x</nav>")]
