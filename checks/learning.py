@@ -313,10 +313,18 @@ def f49(spark, d):
     return m.select("attempt_id", *[F.round(F.col("m")[k], 6).alias(k) for k in ("precision", "recall", "context_support", "extra_support", "unsupported")])
 
 
+def item_chunks(spark, d, c):
+    """All chunk ids of each item's document, in order; a copy has those of the stored first copy."""
+    docs = S.table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), F.sha2(F.encode("text", "UTF-8"), 256).alias("source_sha256"))
+    ids = F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_id")))
+    return S.table(spark, d, "benchmark").select("item_id").join(docs, "item_id").join(c.select("source_sha256", "chunk_index", "chunk_id"), "source_sha256").groupBy(
+        "item_id").agg(F.transform(ids, lambda x: x["chunk_id"]).alias("source_chunk_ids"))
+
+
 def _graded(spark, d, responses=None):
+    """Every attempt, with its whole document as evidence; one whose document has no chunk is graded without."""
     c = S.stored_chunks(spark, d)
-    first = c.filter("chunk_index = 0").select(F.substring_index("source_name", "-", -1).cast("long").alias("item_id"), F.array("chunk_id").alias("source_chunk_ids"))
-    a = cut(attempts(spark, d).join(first, "item_id"))
+    a = cut(attempts(spark, d).join(item_chunks(spark, d, c), "item_id", "left"))
     return G.grade(a, G.grading_contexts(a, c), responses)
 
 
@@ -335,6 +343,14 @@ def m18b(spark, d):
 WITH {S.CHUNKS}, {_ATTEMPTS} SELECT attempt_id, 10 AS score, {S.lit(LI.RUBRIC[10])} AS feedback FROM att WHERE attempt_id % 5 < 2
   AND item_id IN (SELECT doc_id FROM src JOIN chunks ON source_name = name WHERE chunk_index = 0)""")
 def m18c(spark, d):
+    """Attempts on items whose own document is stored, as the SQL has it; the next query has all."""
+    stored = S.chunks(spark, d).filter("chunk_index = 0").select(F.substring_index("source_name", "-", -1).cast("long").alias("item_id"))
+    return m18d(spark, d).withColumn("item_id", F.expr("attempt_id div 5")).join(stored, "item_id", "left_semi").select("attempt_id", "score", "feedback")
+
+
+@register("m18_all_identical_answers", f"""
+WITH {_ATTEMPTS} SELECT attempt_id, 10 AS score, {S.lit(LI.RUBRIC[10])} AS feedback FROM att WHERE attempt_id % 5 < 2""")
+def m18d(spark, d):
     return _graded(spark, d).filter("attempt_id % 5 < 2").select("attempt_id", "score", "feedback")
 
 

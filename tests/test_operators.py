@@ -260,3 +260,21 @@ def test_model_scores_that_are_no_numbers(spark):
     from foliant.operators.grade import _whole_score
     rows = spark.createDataFrame([("7.5",), ("high",), (None,), ("12",), ("",), ("99999999999",)], "score string")
     assert [r[0] for r in rows.select(_whole_score("score")).collect()] == [7, None, 0, 12, None, None]
+
+
+def test_every_attempt_is_graded_against_its_whole_document(spark, tmp_path):
+    from checks import learning, tables
+    late = "The harbour master counted seventeen barrels of salted herring that morning."
+    long = "Nothing of interest was seen along the northern road today. " * 120 + late
+    docs = [(0, long, "en", "web"), (1, long, "en", "web"), (2, "too short", "en", "web")]
+    d = str(tmp_path)
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(k, late) for k in range(4)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    c = tables.stored_chunks(spark, d)
+    ids = {r["item_id"]: r["source_chunk_ids"] for r in learning.item_chunks(spark, d, c).collect()}
+    assert set(ids) == {0, 1} and ids[0] == ids[1] and len(ids[0]) == c.count() > 5
+    attempts = learning.attempts(spark, d).join(learning.item_chunks(spark, d, c), "item_id", "left")
+    contexts = {r["attempt_id"]: r["context"] for r in G.grading_contexts(attempts, c).collect()}
+    assert set(contexts) == set(range(10)) and all(late in x and x.count("chunk_id=") == len(ids[0]) for x in contexts.values())
+    assert sorted(r["attempt_id"] for r in learning.m18(spark, d).collect()) == list(range(20))
+    assert sorted(r["attempt_id"] for r in learning.m18d(spark, d).collect()) == [0, 1, 5, 6, 10, 11, 15, 16]
