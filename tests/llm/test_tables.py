@@ -133,6 +133,19 @@ def test_digests_read_the_output_back(spark):
         assert r["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
 
 
+@pytest.mark.parametrize("name", ["op1_warc_archive", "op2_mtree_top_k"])
+def test_whole_results_equal_their_sql(spark, name):
+    import duckdb
+
+    from checks.compare import rows_of
+    from foliant.llm.queries import ORACLES, QUERIES
+    d, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("pages", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
+    want, got = con.execute(ORACLES[name]), QUERIES[name](spark, d)
+    assert rows_of(got.columns, map(tuple, got.collect())) == rows_of([c[0] for c in want.description], want.fetchall())
+
+
 # pages
 
 ARTICLE = ["A heading of some length", "First paragraph with a good number of words in it, so that it counts as text.", "Short.", "Second paragraph &amp; more words, with\n a <b>bold</b> part&nbsp;and a <a href='x'>link</a> in it."]
