@@ -40,6 +40,8 @@ BANDS = 32
 LEAST_EQUAL = 76
 #: Bytes of sets in one block of a large bucket.
 CELL_BYTES = 8 << 20
+#: A class of equal sets with more than one in so many of all rows is looked up by a broadcast table, which so has at most that many rows.
+HOT = 1000
 #: Orders in which an empty bin looks for another's entry; each row is a permutation of all bins.
 _ORDERS = np.stack([np.random.default_rng(1_000 + i).permutation(BINS) for i in range(BINS)])
 _SHIFT = np.uint64(64 - BINS.bit_length() + 1)
@@ -226,7 +228,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, id_col:
 
     # one head for each class of equal sets, from partial sums: a class of any size is no hot group
     heads = written(sketches.filter("n_shingles > 0").groupBy("digest")
-                    .agg(F.min("id").alias("low"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
+                    .agg(F.min("id").alias("low"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.count("*").alias("rows")))
     buckets = heads.select("digest", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
     members = written(buckets.join(shared, "bucket", "left_semi"), f"{base}/members")
@@ -248,7 +250,18 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, id_col:
     comp = components(links, comp)
     dropped(spark, *[f"{base}/{x}" for x in ("members", "sets", "stars", "alike")])
     lowest = comp.join(heads.select("digest", "low"), "digest").groupBy("comp").agg(F.min("low").alias("component"))
-    placed = heads.select("digest", "low").join(comp.join(lowest, "comp"), "digest", "left").select("digest", F.coalesce("component", "low").alias("component"))
-    rows = sketches.select("id", "n_shingles", "digest").join(placed, "digest", "left")
-    rows = rows.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
+    placed = heads.select("digest", "low", "rows").join(comp.join(lowest, "comp"), "digest", "left").select("digest", "rows", F.coalesce("component", "low").alias("component"))
+    return _of_rows(sketches.select("id", "n_shingles", "digest"), written(placed), id_col)
+
+
+def _of_rows(sketches: DataFrame, placed: DataFrame, id_col: str) -> DataFrame:
+    """Every row with its class's component. Rows without words and those of large classes, which would meet in one task, aren't shuffled."""
+    total = placed.agg(F.coalesce(F.sum("rows"), F.lit(0))).head()[0]
+    large = F.broadcast(placed.filter(F.col("rows") * HOT > total).select("digest", "component"))
+    wordless = sketches.filter("digest is null").withColumn("component", F.col("id"))
+    worded = sketches.filter("digest is not null")
+    known = worded.join(large, "digest")
+    others = worded.join(large, "digest", "left_anti").join(placed.select("digest", "component"), "digest")
+    columns = [F.col("id").alias(id_col), "n_shingles", F.col("component").alias("component_id")]
+    rows = wordless.select(*columns).unionByName(known.select(*columns)).unionByName(others.select(*columns))
     return rows.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
