@@ -19,6 +19,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.functions.text import let
 from foliant.llm.common import text_or_empty
 
 #: The base kinds in order, their patterns and the words that an assignment starts with.
@@ -40,17 +41,36 @@ SMOOTHING, BACKOFF = 0.5, 5.0
 _SPAN = "array<struct<start:int,kind:int,end:int,match:string>>"
 
 
+def _before(values: Column, combine, first: int) -> Column:
+    """For each number of an array what ``combine`` makes of ``first`` and all numbers before it, and, last, of all.
+
+    The array is cut into about as many parts as each has numbers: arrays that grow (and are
+    copied) in a fold hold one part's results, so that time grows with n ** 1.5, not n ** 2.
+    """
+    fold = lambda part, start: F.aggregate(part, start, combine)
+    nothing = F.array().cast("array<int>")
+
+    def scan(part: Column, start: Column) -> Column:
+        step = lambda acc, x: F.struct(combine(acc["at"], x).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out"))
+        return F.aggregate(part, F.struct(start.alias("at"), nothing.alias("out")), step, lambda acc: acc["out"])
+
+    def of_parts(parts: Column) -> Column:
+        starts = scan(F.transform(parts, lambda part: fold(part, F.lit(first))), F.lit(first))
+        return let(starts, lambda s: F.flatten(F.transform(parts, lambda part, k: scan(part, F.get(s, k)))))
+
+    def whole(values: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(values))).cast("int")
+        parts = let(size, lambda n: F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / n).cast("int")), lambda k: F.slice(values, k * n + 1, n)))
+        return F.when(F.size(values) > 0, F.array_append(let(parts, of_parts), fold(values, F.lit(first)))).otherwise(F.array(F.lit(first)))
+
+    return let(values, whole)
+
+
 def _runs(gaps: Column, found: Column, kind: int) -> Column:
     """Spans of all matches, from the matches and the text between them."""
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["match"])
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["match"].alias("match"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
-
-    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("match"))
-    nothing = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
-    return F.aggregate(pairs, nothing, step, lambda acc: acc["out"])
+    lengths = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda gap, match: F.length(gap) + F.length(match))
+    span = lambda starts, match, k: F.struct((F.get(starts, k + 1) - F.length(match)).alias("start"), F.lit(kind).alias("kind"), F.get(starts, k + 1).alias("end"), match.alias("match"))
+    return let(_before(lengths, lambda x, y: x + y, 0), lambda starts: F.transform(found, lambda match, k: span(starts, match, k)))
 
 
 def _with_runs(df: DataFrame, name: str, pattern: str, kind: int, where: Column | None = None) -> DataFrame:
@@ -119,6 +139,16 @@ def _mean_ratio(token: Column, table: Column) -> Column:
     return F.aggregate(steps, F.lit(0.0), lambda acc, x: acc + F.coalesce(x, F.lit(0.0))) / (F.length(token) - 1)
 
 
+def _overlapping(spans: Column) -> Column:
+    """For each of some spans in order whether it meets a base span: one that starts no later and ends behind its start, or one after it that starts before its end."""
+    far = 2**31 - 1
+    ends = F.transform(spans, lambda x: F.when(x["kind"] < 3, x["end"]).otherwise(F.lit(0)))
+    starts = F.transform(F.reverse(spans), lambda x: F.when(x["kind"] < 3, x["start"]).otherwise(F.lit(far)))
+    before, behind = _before(ends, lambda x, y: F.greatest(x, y), 0), _before(starts, lambda x, y: F.least(x, y), far)
+    n = F.size(spans)
+    return let(before, lambda b: let(behind, lambda a: F.transform(spans, lambda x, k: (F.get(b, k) > x["start"]) | (F.get(a, n - 1 - k) < x["end"]))))
+
+
 def find(docs: DataFrame, model: list[float], id_col: str = "doc_id", text_col: str = "text", keep: list[str] = ()) -> DataFrame:
     """One row per row of ``docs``: the id, ``keep`` and ``found``, an array of (start, kind, end, match).
 
@@ -128,11 +158,11 @@ def find(docs: DataFrame, model: list[float], id_col: str = "doc_id", text_col:
     extra = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)]
     df = docs.select(F.col(f"`{id_col}`").alias("id"), *extra, text_or_empty(F.col(f"`{text_col}`")).alias("text"))
     df = _with_runs(_with_base(df), "_token", TOKEN % LEAST_TOKEN, 3)
-    df = df.withColumn("_base", F.concat("_assign", "_access", "_hex"))
-    apart = F.filter("_token", lambda t: ~F.exists("_base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    df = df.withColumn("_all", F.array_sort(F.concat("_assign", "_access", "_hex", "_token")))
     table = F.expr("array(" + ",".join(f"{x:.6f}D" for x in model) + ")")
-    df = df.withColumn("_token", F.when(F.size("_token") > 0, F.filter(apart, lambda t: _mean_ratio(t["match"], table) >= THRESHOLD)).otherwise(F.col("_token")))
-    return df.select(F.col("id").alias(id_col), *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.array_sort(F.concat("_base", "_token")).alias("found"))
+    random = lambda x, apart: apart & (_mean_ratio(x["match"], table) >= THRESHOLD)
+    kept = let(_overlapping(F.col("_all")), lambda hit: F.filter("_all", lambda x, k: (x["kind"] < 3) | random(x, ~F.get(hit, k))))
+    return df.select(F.col("id").alias(id_col), *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.when(F.size("_token") > 0, kept).otherwise(F.col("_all")).alias("found"))
 
 
 def as_text(found: Column) -> Column:
@@ -142,14 +172,17 @@ def as_text(found: Column) -> Column:
 
 
 def masked(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
-    """``text`` with every span, or run of overlapping spans, replaced by ``mark``."""
-    def step(acc: Column, x: Column) -> Column:
-        fresh = x["start"] >= acc["at"]
-        piece = F.when(fresh, F.concat(F.substr(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark))).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], piece).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.when(F.size(found) > 0, F.aggregate(found, start, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))).otherwise(text)
+    """``text`` with every span, or run of overlapping spans, replaced by ``mark``.
+
+    Pieces are cut from a form of four bytes a character, so that no cut walks through the text.
+    """
+    def pieces(wide: Column) -> Column:
+        part = lambda start, end: F.decode(F.substring(wide, start * 4 + 1, (end - start) * 4), "UTF-32")
+        piece = lambda x, at: F.when(x["start"] >= at, F.concat(part(at, x["start"]), F.lit(mark))).otherwise(F.lit(""))
+        joined = lambda at: F.concat(F.array_join(F.transform(found, lambda x, k: piece(x, F.get(at, k))), ""), part(F.get(at, F.size(found)), F.length(text)))
+        return let(_before(F.transform(found, lambda x: x["end"]), lambda x, y: F.greatest(x, y), 0), joined)
+
+    return F.when(F.size(found) > 0, let(F.encode(text, "UTF-32"), pieces)).otherwise(text)
 
 
 def report(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
