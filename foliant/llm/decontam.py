@@ -1,9 +1,11 @@
 """Benchmark decontamination: passages of documents within a small edit distance of a benchmark item.
 
 Texts are lower-cased and their white space squeezed. A document's windows of an item's
-length stand where seeds say so: an item is cut into pieces of SEED characters, and a
+length stand where seeds say so: an item is cut into pieces of SEED characters (shorter ones,
+where those would be no more than the edits that it may have), and a
 passage within e edits keeps all but e of them, each at most e places off; so every
-passage to be found has a window (no passage is lost here). Windows and items are embedded
+passage to be found has a window (no passage is lost here). Windows of items that may have no
+edit are compared as they are. Other windows and items are embedded
 by random walks (CGK): at step j the walk writes the character it is at and moves on or
 not by a coin that depends on j and that character, so that edit distance becomes Hamming
 distance. Repeated samples of SAMPLED embedded places are the hash keys; a window that
@@ -34,8 +36,9 @@ SEED = 8
 WALKS, REPEATS, SAMPLED = 5, 12, 3
 BLOCK_ITEMS, BLOCK_CHARS = 4096, 4 << 20
 _BLOCK = 1 << 21
-#: Windows that walk together.
-_TOGETHER = 2048
+#: Windows that walk together, and regions that are aligned together, at most; fewer where they are so long that they would have more than _CELLS characters.
+_TOGETHER, _ALIGNED = 2048, 256
+_CELLS = 2 << 20
 _BITS = 20
 
 
@@ -47,13 +50,12 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def _seed_hashes(chars: np.ndarray) -> np.ndarray:
-    """Hash of the SEED characters from each place on."""
-    h, n = chars, 1
+def _seed_hashes(chars: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the ``size`` characters from each place on."""
+    h = np.zeros(max(0, len(chars) - size + 1), np.uint32)
     with np.errstate(over="ignore"):
-        while n < SEED:
-            h = h[:-n] * np.uint32(pow(0x9E3779B1, n, 1 << 32)) + h[n:]
-            n *= 2
+        for k in range(size):
+            h = h * np.uint32(0x9E3779B1) + chars[k:len(h) + k]
         return (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B)
 
 
@@ -112,6 +114,16 @@ def least_edits(items: list[np.ndarray], regions: list[np.ndarray], most: np.nda
     return out
 
 
+def _together(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of sizes in ascending order: at most ``most`` of them, and at most _CELLS when all are as long as the last; a longer one stands alone."""
+    a = 0
+    while a < len(sizes):
+        part = sizes[a:a + most]
+        b = a + max(1, int((np.arange(1, len(part) + 1) * part <= _CELLS).sum()))
+        yield a, b
+        a = b
+
+
 class Items:
     """A block of benchmark items with their seeds and embeddings."""
 
@@ -119,23 +131,20 @@ class Items:
         self.ids, self.texts = ids, texts
         self.chars = [_codes(t) for t in texts]
         self.length = np.array([len(c) for c in self.chars], np.int64)
-        pieces = self.length // SEED
-        self.most = np.minimum((self.length * edits).astype(np.int64), np.maximum(pieces - 1, 0))
+        self.most = (self.length * edits).astype(np.int64)
+        seed = np.where(self.length // SEED > self.most, SEED, self.length // (self.most + 1))
+        pieces = self.length // np.maximum(seed, 1)
         self.least = pieces - self.most
-        hashes, items, offsets = [], [], []
-        for k, c in enumerate(self.chars):
-            if pieces[k]:
-                own = _seed_hashes(c)[:(pieces[k] - 1) * SEED + 1:SEED]
-                hashes.append(own)
-                items.append(np.full(len(own), k))
-                offsets.append(np.arange(len(own)) * SEED)
-        self.hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint32)
-        order = np.argsort(self.hashes, kind="stable")
-        self.hashes = self.hashes[order]
-        self.item = np.concatenate(items)[order] if items else np.zeros(0, np.int64)
-        self.offset = np.concatenate(offsets)[order] if items else np.zeros(0, np.int64)
-        self.seen = np.zeros(1 << _BITS, bool)
-        self.seen[self.hashes >> np.uint32(32 - _BITS)] = True
+        # by length of the seeds: their hashes in order, the item and the offset of each, and which leading bits they have
+        self.seeds: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        for size in np.unique(seed[seed > 0]).tolist():
+            own = np.flatnonzero(seed == size)
+            hashes = np.concatenate([_seed_hashes(self.chars[k], size)[:(pieces[k] - 1) * size + 1:size] for k in own])
+            item, offset = np.repeat(own, pieces[own]), np.concatenate([np.arange(pieces[k]) * size for k in own])
+            order = np.argsort(hashes, kind="stable")
+            seen = np.zeros(1 << _BITS, bool)
+            seen[hashes >> np.uint32(32 - _BITS)] = True
+            self.seeds.append((size, hashes[order], item[order], offset[order], seen))
 
     @cached_property
     def places(self) -> np.ndarray:
@@ -158,20 +167,26 @@ class Items:
 
     @cached_property
     def own_keys(self) -> np.ndarray:
-        return self.keys(self.chars, np.arange(len(self.chars)))
+        out = np.empty((len(self.chars), WALKS * REPEATS, SAMPLED), np.uint32)
+        order = np.argsort(self.length, kind="stable")
+        for a, b in _together(self.length[order], _TOGETHER):
+            out[order[a:b]] = self.keys([self.chars[k] for k in order[a:b]], order[a:b])
+        return out
 
     def seeded(self, chars: np.ndarray, row: np.ndarray) -> np.ndarray:
         """(row, item, start) of the windows that hold enough of an item's pieces; ``row``: of each character, < 0 between rows."""
-        if len(chars) < SEED or not len(self.hashes):
-            return np.zeros((0, 3), np.int64)
-        h = _seed_hashes(chars)
-        at = np.flatnonzero(self.seen[h >> np.uint32(32 - _BITS)])
-        low, high = np.searchsorted(self.hashes, h[at]), np.searchsorted(self.hashes, h[at], "right")
+        found = [self._seeded(chars, row, *seeds) for seeds in self.seeds if len(chars) >= seeds[0]]
+        return np.concatenate(found) if found else np.zeros((0, 3), np.int64)
+
+    def _seeded(self, chars: np.ndarray, row: np.ndarray, size: int, hashes: np.ndarray, items: np.ndarray, offsets: np.ndarray, seen: np.ndarray) -> np.ndarray:
+        h = _seed_hashes(chars, size)
+        at = np.flatnonzero(seen[h >> np.uint32(32 - _BITS)])
+        low, high = np.searchsorted(hashes, h[at]), np.searchsorted(hashes, h[at], "right")
         n = high - low
         at, low, n = at[n > 0], low[n > 0], n[n > 0]
         which = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        pos, item = np.repeat(at, n), self.item[which]
-        start, own = pos - self.offset[which], row[pos]
+        pos, item = np.repeat(at, n), items[which]
+        start, own = pos - offsets[which], row[pos]
         ok = own >= 0
         own, item, start = own[ok], item[ok], start[ok]
         width = self.most[item] + 1
@@ -194,10 +209,12 @@ class Items:
     def found(self, chars: np.ndarray, begin: np.ndarray, end: np.ndarray, row: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(row, item, start, end, edits) of the best passage of each item in each row."""
         windows = self.seeded(chars, row)
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        exact = self.most[windows[:, 1]] == 0
+        best = self._equal(windows[exact], chars, begin, end)
+        windows = windows[~exact]
         windows = windows[np.argsort(self.length[windows[:, 1]], kind="stable")]
-        for a in range(0, len(windows), _TOGETHER):
-            group = windows[a:a + _TOGETHER]
+        for a, b in _together(self.length[windows[:, 1]], _TOGETHER):
+            group = windows[a:b]
             cut = [chars[max(begin[r], s):min(end[r], s + self.length[k])] for r, k, s in group.tolist()]
             alike = (self.keys(cut, group[:, 1]) == self.own_keys[group[:, 1]]).all(axis=2).any(axis=1)
             inexact = []
@@ -208,8 +225,8 @@ class Items:
                 else:
                     inexact.append((r, k, s))
             inexact = [x for x in inexact if best.get(x[:2], (1,))[0]]
-            for c in range(0, len(inexact), 256):
-                part = inexact[c:c + 256]
+            for c, d in _together(np.array([len(self.chars[k]) + 2 * int(self.most[k]) for _, k, _ in inexact]), _ALIGNED):
+                part = inexact[c:d]
                 most = np.array([self.most[k] for _, k, _ in part])
                 low = [max(int(begin[r]), s - int(m)) for (r, _, s), m in zip(part, most, strict=True)]
                 regions = [chars[x:min(int(end[r]), s + len(self.chars[k]) + int(m))] for (r, k, s), m, x in zip(part, most, low, strict=True)]
@@ -218,6 +235,20 @@ class Items:
                         best[r, k] = min(best.get((r, k), (edits, x + u, x + v)), (edits, x + u, x + v))
         return [(r, k, s - int(begin[r]), e - int(begin[r]), edits) for (r, k), (edits, s, e) in sorted(best.items())]
 
+    def _equal(self, windows: np.ndarray, chars: np.ndarray, begin: np.ndarray, end: np.ndarray) -> dict[tuple[int, int], tuple[int, int, int]]:
+        """The first of each row's windows that equal their item; such items are short."""
+        row, item, start = windows.T
+        length = self.length[item]
+        same = (start >= begin[row]) & (start + length <= end[row])
+        for k in range(int(length.max(initial=0))):
+            own = np.array([c[k] if k < len(c) and not m else 0 for c, m in zip(self.chars, self.most.tolist(), strict=True)], np.uint32)
+            same &= (k >= length) | (chars[np.minimum(start + k, len(chars) - 1)] == own[item])
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        _, first = np.unique(row[same] * len(self.ids) + item[same], return_index=True)  # windows come in order of their starts
+        for r, k, s in windows[same][first].tolist():
+            best[r, k] = (0, s, s + int(self.length[k]))
+        return best
+
 
 def _leaks(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,8 +280,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, id_col: s
     """One row per document and item of which it holds a passage: the ids, ``start, end, edits, item_chars``.
 
     The passage of the fewest edits counts, the first of those; places are those of the
-    normalised text. Items of fewer than SEED characters, null or empty identify nothing
-    and are never found; neither is anything in null or empty texts. Repeated documents or
+    normalised text. An item may have EDITS of its characters in edits, rounded down, so one of fewer than
+    10 characters none. Null and empty items are never found; neither is anything in null or empty texts. Repeated documents or
     items give rows of their own. An empty table on either side gives an empty result. Other
     columns are ignored.
     """
