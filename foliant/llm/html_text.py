@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -38,6 +39,8 @@ APART_WORDS = set(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs toc sidebar aside footer header masthead topbar comment comments commentlist respond reply replies discussion disqus related recommended recommendations "
     "share sharing social widget pagination pager login search searchform toolbar skip copyright legal complementary contentinfo".split())
 OFTEN_IN_ARTICLES = {"header", "widget", "legal"}
+#: Words that name content too; inside an article a long line with little link text overrules them.
+WEAK_WORDS = {"related", "recommended", "recommendations", "share", "sharing", "social", "skip", "menu"}
 ARTICLES = {"article", "main"}
 
 _TOKEN = re.compile(
@@ -49,15 +52,21 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=]|$)|aria-hidden\s*=\s*[\"']?true|di
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
-def _apart(name: str, attrs: str, in_article: bool) -> bool:
-    """Whether an element's text is no part of an article, by its name and attributes."""
+NOT_APART, WEAKLY_APART, IS_APART = range(3)
+
+
+def _apart(name: str, attrs: str, in_article: bool) -> int:
+    """Whether an element's text is no part of an article, by its name and attributes; weakly if only WEAK_WORDS in an article say so."""
     if name in APART or (name == "header" and not in_article):
-        return True
+        return IS_APART
     if not attrs.strip() or name in ("html", "body"):
-        return False
+        return NOT_APART
     apart_words = APART_WORDS - OFTEN_IN_ARTICLES if in_article else APART_WORDS
     words = {w for m in _NAMED.finditer(attrs) for w in _SPLIT.split((m[1] or m[2] or m[3] or "").lower())}
-    return bool(words & apart_words) or bool(_HIDDEN.search(attrs))
+    found = words & apart_words
+    if _HIDDEN.search(attrs) or found - WEAK_WORDS or (found and not in_article):
+        return IS_APART
+    return WEAKLY_APART if found else NOT_APART
 
 
 def _tokens(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
@@ -99,21 +108,23 @@ def _dropped(page: str) -> Iterator[tuple[int, int]]:
             until = end
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """Text, weight and whether it is in an article element, of each line; apart lines weigh 0, those inside an article are left out."""
+def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
+    """Text, weight, whether it is in an article element, and whether it is apart, of each line; apart lines weigh 0, those inside an article are left out."""
     out, text, link_chars, links = [], [], 0, 0
-    stack: list[tuple[str, bool, bool]] = []  # name, apart, in an article
-    apart = article = aside = False  # aside: the block itself says that it is apart
-    at = 0
+    stack: list[tuple[str, int, bool]] = []  # name, apart, in an article
+    opened_as: Counter[str] = Counter()
+    article, apart, aside, at = False, NOT_APART, NOT_APART, 0  # aside: the block itself says that it is apart
 
     def end_block() -> None:
         nonlocal link_chars, aside
         line = " ".join(html.unescape("".join(text)).split())
         text.clear()
-        if line and not (article and (apart or aside)):
-            weight = 0 if apart or aside else max(0, len(line) - link_chars) + (IN_ARTICLE if article else 0)
-            out.append((line, weight, article and not apart))
-        link_chars, aside = 0, False
+        own, level = max(0, len(line) - link_chars), max(apart, aside)
+        if article and level == WEAKLY_APART and own >= SURGE:
+            level = NOT_APART
+        if line and not (article and level):
+            out.append((line, 0 if level else own + (IN_ARTICLE if article else 0), article and not level, bool(level)))
+        link_chars, aside = 0, NOT_APART
 
     dropped = _dropped(page)
     span = next(dropped, None)
@@ -135,17 +146,19 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             text.append(" ")
         if name in BLOCKS:
             end_block()
-            aside = name not in CONTAINERS and not close and _apart(name, attrs, article)
+            aside = _apart(name, attrs, article) if name not in CONTAINERS and not close else NOT_APART
         if name in CONTAINERS:
             if not close:
                 if not attrs.rstrip().endswith("/"):
                     own = _apart(name, attrs, article)
                     stack.append((name, apart, article))
-                    apart = own if name in ARTICLES and not article else apart or own
+                    opened_as[name] += 1
+                    apart = own if name in ARTICLES and not article else max(apart, own)
                     article = (article or name in ARTICLES) and not (own and name in ARTICLES)
-            elif any(x[0] == name for x in stack):
+            elif opened_as[name]:
                 while True:
                     opened, apart, article = stack.pop()
+                    opened_as[opened] -= 1
                     if opened == name:
                         break
     text.append(page[at:])
@@ -156,22 +169,22 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
 def main_text(page: str) -> str:
     """Kept lines, joined by line breaks."""
     lines = lines_of(page)
-    chars = [(len(line), inside) for line, weight, inside in lines if weight]
+    chars = [(len(line), inside) for line, weight, inside, _ in lines if weight]
     if 2 * sum(n for n, inside in chars if inside) > sum(n for n, _ in chars):
         runs = [list(x) for _, x in groupby(lines, key=lambda x: x[2])]
     else:
         runs = [lines]
-    sums = [[sum(w for _, w, _ in run[k:k + WINDOW]) for k in range(len(run))] for run in runs]
+    sums = [[sum(x[1] for x in run[k:k + WINDOW]) for k in range(len(run))] for run in runs]
     top = min(SURGE, max((x for run in sums for x in run), default=0)) or SURGE
     kept = []
     for run, ahead in zip(runs, sums):
         inside = False
-        for (line, weight, _), total in zip(run, ahead):
+        for (line, weight, _, apart), total in zip(run, ahead):
             if not inside:
                 inside = weight > 0 and total >= top
             elif total == 0:
                 inside = False
-            if inside and weight:
+            if inside and not apart:  # a line that is all link, between others, is text as well
                 kept.append(line)
     return "\n".join(kept)
 
