@@ -66,11 +66,14 @@ def from_rows(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn
 def _folded(events: Iterator[tuple]) -> Iterator[tuple]:
     """(conv_id, role, text) of each turn that is left. ``events``: ordered (conv_id, turn, seq, kind, role, text).
 
-    Events of one turn number and role after a ``message`` belong to it; another message of
-    the same number is a turn of its own.
+    Events of one turn number after a ``message`` belong to it, whatever role they name; another
+    message of the same number is a turn of its own. A turn whose first event is no message
+    starts with that event and its role. Events of a kind that isn't in KINDS change nothing.
     """
     key, role, text, alive = None, "", [], False
     for conv, turn, _, kind, of, piece in events:
+        if kind not in KINDS:
+            continue
         if kind == "message" or (conv, turn) != key:
             if alive:
                 yield key[0], role, "".join(text)
@@ -116,7 +119,7 @@ def format_log(log: DataFrame) -> DataFrame:
     """One row per conversation with a turn left: ``conv_id, formatted, n_turns``.
 
     ``log``: conv_id, turn, seq, kind (of KINDS), role, text; others are ignored. Events
-    count in the order of turn, then seq, then kind, role and text, nulls first; a null
+    count in the order of turn, then seq, then kind, role and text, nulls first; events of other kinds are left out; a null
     text, role or kind counts as empty (as ``message`` for the kind), rows without a
     conversation are one conversation of their own, and repeated rows are repeated events.
     """

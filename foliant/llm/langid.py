@@ -28,8 +28,8 @@ ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16
 SMOOTHING = 0.5
 EVIDENCE = 50
-#: Languages a model may hold; more are refused, since the matrix is broadcast.
-MOST_LANGUAGES = 500
+#: Languages a model holds at most, since the matrix is broadcast: those with the most texts, ties to the first by name.
+MOST_LANGUAGES = 200
 UNKNOWN = "und"
 _BLOCK = 1 << 18
 _LOWER = np.arange(0x110000, dtype=np.uint32)
@@ -125,18 +125,21 @@ def _counted(languages: list[str]):
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
     """Languages, and the log probabilities (BUCKETS x languages, with the log priors in a last row).
 
-    Takes all rows whose language and text are not null; without any there are no languages.
+    Takes all rows whose language and text are not null, of MOST_LANGUAGES languages at most;
+    without any there are no languages.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text")).filter("lang is not null and text is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
     languages = sorted(sizes)
+    rows = rows.filter(F.col("lang").isin(languages))
     counts = np.zeros((BUCKETS, len(languages)))
     if languages:
-        summed = rows.mapInArrow(_counted(languages), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-        counts[summed["bucket"], np.searchsorted(languages, summed["lang"])] = summed["n"]
+        summed = rows.mapInArrow(_counted(languages), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+        number = F.array_position(F.array(*map(F.lit, languages)), F.col("lang")).cast("int") - 1
+        for part in summed.select("bucket", number.alias("lang"), "n").toArrow().to_batches():  # at most BUCKETS x MOST_LANGUAGES rows of 20 bytes
+            bucket, lang, n = (part.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "lang", "n"))
+            counts[bucket, lang] = n
     counts += SMOOTHING
     prior = np.array([sizes[x] for x in languages], float)
     return languages, np.vstack([np.log(counts / counts.sum(axis=0)), np.log(prior / max(prior.sum(), 1))]).astype(np.float32)

@@ -31,13 +31,21 @@ PAGE = 256
 QUERIES = 1024
 #: Slack of floating-point distances, relative to the largest.
 SLACK = 1e-9
+#: Squared length of a quantised vector up to which no score can leave 64 bits.
+LONGEST = float(1 << 62)
 _PAGES = "dims int, shard long, page int, leaf boolean, ids binary, vectors binary, radii binary, parent binary, children binary"
 
 
 def quantised(vector: Column, scale: int = 256) -> Column:
-    """floor(scale * x) of each component, or null if the vector or any component is null or not finite."""
+    """floor(scale * x) of each component, or null if the vector or any component is null or not finite. Components end at 2 ** 32, beyond which no vector takes part in a search."""
     fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    return F.when(vector.isNotNull() & fine, F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long")))
+    whole = lambda x: F.floor(F.greatest(F.least(x.cast("double") * scale, F.lit(float(1 << 32))), F.lit(-float(1 << 32))))
+    return F.when(vector.isNotNull() & fine, F.transform(vector, lambda x: whole(x).cast("long")))
+
+
+def _norm(vector: Column) -> Column:
+    """Squared length, in doubles, which huge components don't overflow."""
+    return F.aggregate(vector, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
 
 
 def _lifted(x: np.ndarray, longest: float) -> np.ndarray:
@@ -163,15 +171,16 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: int = 256, id_
     ``queries``: which rows are queries. The score is the inner product of the vectors
     quantised by ``scale``, in 64-bit integers; ties go to the smaller id. Null vectors, null
     ids, and vectors with a null or non-finite component or of no components take no part;
-    vectors of different lengths aren't compared. A repeated id is a candidate in each of
+    vectors of different lengths aren't compared. Vectors whose quantised squared length is over LONGEST take
+    no part either: their scores may not fit 64 bits. A repeated id is a candidate in each of
     its rows, never of itself, and as a query once, with the smallest of its vectors. An empty table gives no rows. Other columns are ignored.
     """
     spark = vectors.sparkSession
     small_batches(spark)
     flag = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.coalesce(queries, F.lit(False)).alias("is_query"), quantised(F.col(f"`{vector_col}`"), scale).alias("vector"))
     used = written(flag.filter("vec_id is not null and size(vector) > 0").withColumn("dims", F.size("vector")))
-    norm = F.aggregate("vector", F.lit(0).cast("long"), lambda acc, x: acc + x * x)
-    told = used.agg(F.count("*").alias("n"), F.coalesce(F.max(norm), F.lit(0)).cast("double").alias("longest"), F.count_if("is_query").alias("queries")).head()
+    used = used.filter(_norm(F.col("vector")) <= LONGEST)
+    told = used.agg(F.count("*").alias("n"), F.coalesce(F.max(_norm(F.col("vector"))), F.lit(0.0)).alias("longest"), F.count_if("is_query").alias("queries")).head()
     shards, blocks = -(-told["n"] // SHARD) or 1, -(-told["queries"] // QUERIES) or 1
     of_id = lambda salt, n: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n))
     pages = written(used.withColumn("shard", of_id("shard", shards)).groupBy("dims", "shard").applyInArrow(_built(told["longest"]), _PAGES))

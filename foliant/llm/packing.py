@@ -41,6 +41,8 @@ SPACING = 24
 CHUNK = 1 << 19
 #: Distinct pieces of text whose ids a task remembers, and the characters it looks up at a time.
 REMEMBERED = 400_000
+#: Longer pieces (whole sentences, where a script has no spaces) aren't remembered, so that memory is bounded in bytes too.
+LONGEST_REMEMBERED = 64
 #: Fixed value: the public pre-token pattern of byte-level BPE.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A text with a space after another blank, or with a blank that only some libraries call one, is encoded as a whole.
@@ -107,6 +109,8 @@ class Ids:
 
     def _of_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces, and how many each has. Pieces beyond REMEMBERED are encoded each time."""
+        if max(map(len, pieces)) > LONGEST_REMEMBERED:
+            return self._with_long_pieces(pieces)
         which = np.fromiter(map(self.number.get, pieces, repeat(-1)), np.int64, len(pieces))
         missing = np.flatnonzero(which < 0)
         if len(missing):
@@ -131,6 +135,18 @@ class Ids:
         place = np.repeat(starts[which] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
         return self.pool[place], count
 
+    def _with_long_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_of_pieces``; long pieces are encoded together and leave nothing behind."""
+        long = np.fromiter((len(p) > LONGEST_REMEMBERED for p in pieces), bool, len(pieces))
+        parts = [([p for p, x in zip(pieces, long.tolist(), strict=True) if x], self._encode_pieces), ([p for p, x in zip(pieces, long.tolist(), strict=True) if not x], self._of_pieces)]
+        done = [encode(own) if own else (np.zeros(0, np.uint32), np.zeros(0, np.int64)) for own, encode in parts]
+        count = np.empty(len(pieces), np.int64)
+        count[long], count[~long] = done[0][1], done[1][1]
+        of_long = np.repeat(long, count)
+        ids = np.empty(len(of_long), np.uint32)
+        ids[of_long], ids[~of_long] = done[0][0], done[1][0]
+        return ids, count
+
     def of(self, text: str) -> np.ndarray:
         return self.of_all([text])[0]
 
