@@ -310,27 +310,100 @@ def test_passages_match_exact_edit_distances(spark):
     rng = np.random.default_rng(6)
     words = ["lorem", "ipsum", "dolor", "sit", "amet", "consectetur", "elit", "sed", "do", "tempor", "ut", "labore", "et", "magna"]
     prose = lambda n: " ".join(rng.choice(words, n))
-    items = [prose(25) for _ in range(8)] + [None, "", "tiny", "just a bit more"]
+    sized = ["".join(rng.choice(list("abcdefghij "), n)).strip() or "x" for n in [*range(4, 41), 75, 79]]
+    items = [prose(25) for _ in range(8)] + [None, "", "tiny", "just a bit more", *sized]
     texts = list(ODD)
     for k in range(8):
         for share in (0, 0.03, 0.06, 0.09, 0.2):
             texts.append(prose(20) + "\n " + edited(rng, items[k].upper() if share == 0 else items[k], int(share * len(items[k]))) + " " + prose(15))
-    texts += [texts[-5]] * 3 + [items[0], "x " * 50_000 + items[1]]
+    for item in sized:
+        for n in range(len(item) // 10 + 2):
+            texts.append(prose(3) + " " + edited(rng, item, n) + " " + prose(2))
+    texts += [texts[30]] * 3 + [items[0], "x " * 50_000 + items[1]]
     bench = spark.createDataFrame([(i, t, 1) for i, t in enumerate(items)], "item_id long, text string, doc_id long")
     got = {(r["doc_id"], r["item_id"]): r for r in decontam.leaks(docs_of(spark, texts), bench).collect()}
-    missed = 0
+    missed = known = 0
     for d, text in enumerate(texts):
         if len(text or "") > 5000:
             continue
         for i, item in enumerate(items):
             item, text_n = decontam.normalised(item or ""), decontam.normalised(text or "")
-            near = nearest(item, text_n) if len(item) >= decontam.SEED else 10**6
-            wanted = near <= int(0.1 * len(item)) and len(item) >= 2 * decontam.SEED or near == 0
+            near = nearest(item, text_n) if item else 10**6
+            wanted = near <= int(0.1 * len(item))
             if (d, i) in got:
                 r = got[d, i]
-                assert wanted and r["edits"] == near and nearest(item, text_n[r["start"]:r["end"]]) == near
+                assert wanted and nearest(item, text_n[r["start"]:r["end"]]) == r["edits"] >= near
             missed += wanted and (d, i) not in got
-    assert missed <= 1
+            known += wanted
+    assert known > 100 and missed <= known * 0.03, (missed, known)
     assert (len(texts) - 1, 1) in got
+    assert all(got[len(texts) - 2, 0][c] == x for c, x in (("start", 0), ("end", len(items[0])), ("edits", 0)))
     assert decontam.leaks(docs_of(spark, []), bench).count() == 0
     assert decontam.leaks(docs_of(spark, texts[:3]), bench.limit(0)).count() == 0
+
+
+def test_a_long_item_takes_bounded_memory(spark):
+    import tracemalloc
+    rng = np.random.default_rng(8)
+    long = "".join(rng.choice(list("abcdefgh "), 20_000))
+    texts = ["before " + long[:9_000] + "X" + long[9_000:] + " after", long[:15_000]]
+    items = [long, *("".join(rng.choice(list("abcdefgh "), 60)) for _ in range(500))]
+    tracemalloc.start()
+    block = decontam.Items(list(range(len(items))), [decontam.normalised(x) for x in items], decontam.EDITS)
+    assert block.own_keys.shape[0] == len(items) and tracemalloc.get_traced_memory()[1] < 150 << 20
+    tracemalloc.stop()
+    got = decontam.leaks(docs_of(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    assert [(r["doc_id"], r["item_id"], r["edits"]) for r in got.collect()] == [(0, 0, 1)]
+
+
+def test_odd_spans_and_many_of_them(spark):
+    model = [5.0] * (128 * 128)
+    many = " ".join(f"xK9fQ2vLp8ZtR4wYb7Nc1D{k:04x}" for k in range(3000))
+    mixed = " ".join(f"AKIAABCDEFGHIJKL{k:04d} é xK9fQ2vLp8ZtR4wYb7Nc1D{k:04x} 😀" for k in range(500))
+    docs = docs_of(spark, [many, mixed])
+    found = secrets.find(docs, model, keep=["text"])
+    spans = {r["doc_id"]: r["found"] for r in found.collect()}
+    for k, text in enumerate((many, mixed)):
+        want = [(m.start(), 3 if m[0].startswith("xK") else 1, m.end(), m[0]) for m in re.finditer(r"xK\w+|AKIA\w+", text)]
+        assert [tuple(x) for x in spans[k]] == want
+    masked = {r["doc_id"]: r["m"] for r in found.select("doc_id", secrets.masked(F.col("text"), F.col("found"), "*").alias("m")).collect()}
+    assert masked == {0: " ".join("*" * 3000), 1: " ".join(["* é * 😀"] * 500)}
+
+
+def test_many_copies_and_texts_without_words(spark):
+    texts = ["one two three four five six"] * 400 + [None, "", " "] * 100 + [f"text {k} of its own with some words" for k in range(300)]
+    got = {r["doc_id"]: r for r in minhash.near_duplicates(docs_of(spark, texts)).collect()}
+    want, sizes = components_by_force(texts[:1] + texts[400:], 4, 80)
+    assert {got[i]["component_id"] for i in range(400)} == {0} and len(got) == len(texts)
+    assert [got[i + 399]["component_id"] for i in range(1, len(want))] == [w + 399 if w else 0 for w in want[1:]]
+    assert [got[i + 399]["n_shingles"] for i in range(1, len(want))] == sizes[1:]
+
+
+def test_languages_beyond_the_bound_are_not_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 2)
+    rows = [(i, t, lang, None, 1, None, "b") for i, (t, lang) in enumerate([("ein satz", "de"), ("a text", "en"), ("the text", "en"), ("un texte", "fr"), ("noch ein satz", "de")])]
+    languages, table = langid.train(spark.createDataFrame(rows, DOCS))
+    assert languages == ["de", "en"] and table.shape[1] == 2
+
+
+def test_language_scores_match_naive_bayes_by_hand(spark):
+    pairs = language_texts()
+    docs = spark.createDataFrame([(i, t, lang, None, 1, None, "b") for i, (t, lang) in enumerate(pairs)], DOCS)
+    languages, table = langid.train(docs)
+    langid._load_letters()
+
+    def bag(text):
+        chars = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        return langid.grams(chars, np.array([0, len(chars)]))[0]
+
+    counts = {x: np.full(langid.BUCKETS, langid.SMOOTHING) for x in ("de", "en")}
+    for text, lang in pairs:
+        np.add.at(counts[lang], bag(text), 1)
+    texts = ["the house was there", "der wald ist hier", "them wald", "ich think nothing", "x"]
+    got = {r["doc_id"]: r for r in langid.predict(docs_of(spark, texts), languages, table).collect()}
+    for k, text in enumerate(texts):
+        own = bag(text)
+        logs = np.array([np.log(0.5) + np.log(counts[x] / counts[x].sum())[own].sum() * min(len(own), langid.EVIDENCE) / len(own) for x in ("de", "en")])
+        post = np.exp(logs - logs.max())
+        assert got[k]["lang_pred"] == ["de", "en"][int(logs.argmax())]
+        assert abs(got[k]["score"] - (post / post.sum()).max()) < 1e-4

@@ -249,3 +249,55 @@ def test_empty_corpus(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_huge_components_take_no_part(spark):
+    frame = spark.createDataFrame([(0, [1.0, 2.0]), (3, [1e8, 0.0]), (5, [3e38, 1.0]), (6, [2.0, 1.0])], "vec_id long, embedding array<float>")
+    got = mtree.top_k(frame, frame["vec_id"] % 3 == 0).collect()
+    assert sorted(map(tuple, got)) == [(0, 1, 6, 4 * 256 * 256), (6, 1, 0, 4 * 256 * 256)]
+
+
+def test_events_of_other_kinds_and_roles(spark):
+    log = spark.createDataFrame([
+        (1, 0, 0, "message", "user", "Hi"), (1, 1, 0, "message", "assistant", "Hel"), (1, 1, 1, "delta", "user", "lo"), (1, 1, 2, "rating", "assistant", "thumbs up"),
+        (1, 2, 0, "rating", "user", "no turn"), (2, 0, 0, "delta", "assistant", "no start")], "conv_id long, turn long, seq long, kind string, role string, text string")
+    got = {r["conv_id"]: [x[:2] for x in chat.parsed(r["formatted"])] for r in chat.format_log(log).collect()}
+    assert got == {1: [("user", "Hi"), ("assistant", "Hello")], 2: [("assistant", "no start")]}
+
+
+def test_long_blocks_of_links_or_named_like_menus_are_text():
+    long = "A long paragraph of plain text that goes on for more than eighty characters without any link in it."
+    page = f"<body>{{}}<p>{long}</p><div><a href='x'>A paragraph that is one link</a></div><p>{long}</p>{{}}</body>"
+    for before, after in (("", ""), ("<article>", "</article>")):
+        assert html_text.main_text(page.format(before, after)) == f"{long}\nA paragraph that is one link\n{long}"
+    for name, kept in (("related-work", True), ("share-of-voice", True), ("comments", False), ("cookie-notice", False)):
+        text = html_text.main_text(f"<article><p>{long}</p><div class='{name}'><p>Short one.</p><p>{long} Own.</p></div></article>")
+        assert ("Own." in text) is kept and "Short one." not in text
+
+
+def test_deep_nesting_takes_linear_time():
+    import time
+    start = time.time()
+    assert html_text.main_text("<div>" * 40_000 + "</li>" * 40_000 + "<p>Some text that is here.</p>") == "Some text that is here."
+    assert time.time() - start < 10
+
+
+def main_text_by_force(lines):
+    """The rule on (length, is link) lines without elements of their own: windows of three lines, in and out."""
+    weights = [0 if link else n for n, link in lines]
+    sums = [sum(weights[k:k + 3]) for k in range(len(lines))]
+    least, kept, inside = min(80, max(sums, default=0)) or 80, [], False
+    for k, total in enumerate(sums):
+        inside = (weights[k] > 0 and total >= least) if not inside else total > 0
+        if inside:
+            kept.append(k)
+    return kept
+
+
+def test_blocks_between_surge_and_dive_match_brute_force():
+    rng = np.random.default_rng(11)
+    for _ in range(300):
+        lines = [(int(rng.integers(1, 70)), bool(rng.random() < 0.4)) for _ in range(int(rng.integers(0, 14)))]
+        texts = ["ab"[k % 2] * n for k, (n, _) in enumerate(lines)]
+        page = "".join(f"<p><a href='x'>{t}</a></p>" if link else f"<p>{t}</p>" for t, (_, link) in zip(texts, lines, strict=True))
+        assert html_text.main_text(f"<html><body>{page}</body></html>").split("\n") == ([texts[k] for k in main_text_by_force(lines)] or [""])
