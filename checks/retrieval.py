@@ -11,7 +11,8 @@ from foliant.functions import text as T
 from foliant.operators import lexical as L
 from foliant.operators import retrieve as H
 from foliant.operators import vectors as V
-from foliant.plans.scans import top_rows
+from foliant.plans.scans import dense_index, top_rows
+from foliant.session import stored
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -26,6 +27,10 @@ def register(name: str, sql: str | None = None):
     return add
 
 
+def _features(queries):
+    return L.query_features(L.scoped(queries), L.QUERY)
+
+
 def mixed_queries(spark, d):
     b = S.table(spark, d, "benchmark")
     name = F.regexp_extract("text", "[A-Z][a-z]+", 0)
@@ -188,39 +193,37 @@ def j16(spark, d):
 @register("a01_a02_term_weights", f"""
 WITH {R.lexical('mixed')} SELECT term, coalesce(df, 0) AS df, round(weight, 6) AS weight FROM w LEFT JOIN df USING (term)""")
 def a01(spark, d):
-    c = S.stored_chunks(spark, d)
-    f = L.query_features(mixed_queries(spark, d), ["query_id"])
-    terms = L.feature_terms(f, ["query_id"]).select("term").union(
-        L.feature_terms(L.variant_features(f), ["query_id"]).select("term")).distinct()
-    freq = L.document_frequency(L.chunk_tokens(c), terms)
-    return L.term_weights(terms, freq, c.count()).join(freq, "term", "left").select(
-        "term", F.coalesce("df", F.lit(0)).alias("df"), F.round("weight", 6).alias("weight"))
+    index = L.index_of(S.stored_chunks(spark, d))
+    f = _features(mixed_queries(spark, d))
+    terms = L.feature_terms(f, L.QUERY).select("dataset_id", "term").union(
+        L.feature_terms(L.variant_features(f), L.QUERY).select("dataset_id", "term")).distinct()
+    return L.term_weights(terms, L.document_frequency(index, terms), index.sizes).select("term", "df", F.round("weight", 6).alias("weight"))
 
 
 @register("a03_entity_intro", f"WITH {R.lexical('mixed')} SELECT source_name, term, first AS intro_index FROM intro")
 def a03(spark, d):
-    f = L.query_features(mixed_queries(spark, d), ["query_id"])
-    return L.entity_intro(L.chunk_tokens(S.stored_chunks(spark, d)), f)
+    return L.entity_intro(L.index_of(S.stored_chunks(spark, d)), _features(mixed_queries(spark, d))).drop("dataset_id")
 
 
 @register("w05_intro_bonus", f"WITH {R.lexical('mixed')} SELECT query_id, source_name, chunk_index, chunk_id, CAST(intro AS DOUBLE) AS intro FROM bonus")
 def w05(spark, d):
-    f = L.query_features(mixed_queries(spark, d), ["query_id"])
-    tokens = L.chunk_tokens(S.stored_chunks(spark, d))
-    return L.intro_bonus(tokens, f, L.entity_intro(tokens, f))
+    f, index = _features(mixed_queries(spark, d)), L.index_of(S.stored_chunks(spark, d))
+    bonus = L.intro_bonus(index, f, L.entity_intro(index, f))
+    return bonus.join(index.keys("source_name", "chunk_index", "chunk_id"), "chunk_no").drop("chunk_no")
 
 
 @register("j11_phrase_join", f"WITH {R.lexical('mixed')} SELECT query_id, source_name, chunk_index, chunk_id, ph AS phrases FROM ws_ph")
 def j11(spark, d):
-    return L.phrase_hits(S.stored_chunks(spark, d), L.query_features(mixed_queries(spark, d), ["query_id"]))
+    index = L.index_of(S.stored_chunks(spark, d))
+    hits = L.phrase_hits(index, _features(mixed_queries(spark, d)))
+    return hits.join(index.keys("source_name", "chunk_index", "chunk_id"), "chunk_no").drop("chunk_no")
 
 
 @register("j10_m03_whole_scores", f"""
 WITH {R.lexical('mixed')} SELECT query_id, chunk_id, hits, round(score, 6) AS score FROM ws""")
 def m03(spark, d):
-    c = S.stored_chunks(spark, d)
-    features, _, _ = H.prepare_queries(mixed_queries(spark, d), c)
-    return L.whole_scores(c, L.chunk_tokens(c), features).select(
+    index, features, _ = H.prepare_queries(mixed_queries(spark, d), S.stored_chunks(spark, d))
+    return L.whole_scores(index, features).join(index.keys("chunk_id"), "chunk_no").select(
         "query_id", "chunk_id", F.col("hits").cast("int").alias("hits"), F.round("whole", 6).alias("score"))
 
 
@@ -228,8 +231,8 @@ _LEX = "SELECT query_id, chunk_id, lpos, score, hits, round(whole, 6) AS whole,
 
 
 def _lexical(queries, c):
-    features, _, total = H.prepare_queries(queries, c)
-    out = L.lexical_candidates(c, features, H.candidate_limit_value(total))
+    index, features, _ = H.prepare_queries(queries, c)
+    out = L.lexical_candidates(index, features)
     return out.select("query_id", "chunk_id", "lpos", "score", "hits", F.round("whole", 6).alias("whole"),
                       F.round("best_window", 6).alias("best_window"), "intro")
 
@@ -247,9 +250,8 @@ def m04b(spark, d):
 @register("a15_max_lexical_score", f"""
 WITH {R.lexical('plain')} SELECT query_id, chunk_id, round(score / max(score) OVER (PARTITION BY query_id), 6) AS share FROM lex""")
 def a15(spark, d):
-    c = S.stored_chunks(spark, d)
-    features, _, total = H.prepare_queries(S.benchmark_queries(spark, d), c)
-    out = L.lexical_candidates(c, features, H.candidate_limit_value(total))
+    index, features, _ = H.prepare_queries(S.benchmark_queries(spark, d), S.stored_chunks(spark, d))
+    out = L.lexical_candidates(index, features)
     return out.select("query_id", "chunk_id", F.round(F.col("score") / F.max("score").over(Window.partitionBy("query_id")), 6).alias("share"))
 
 
@@ -258,12 +260,11 @@ WITH {R.lexical('plain')}
 SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
   SELECT query_id, chunk_id, round(sum(weight), 6) AS score FROM held JOIN f_d USING (term) JOIN w USING (term) GROUP BY ALL)) WHERE rank <= 4""")
 def direct_top(spark, d):
-    c = S.stored_chunks(spark, d)
-    features, _, _ = H.prepare_queries(S.benchmark_queries(spark, d), c)
+    index, features, _ = H.prepare_queries(S.benchmark_queries(spark, d), S.stored_chunks(spark, d))
     terms = features.select("query_id", F.explode("weights").alias("term", "weight"), "direct").filter(
         F.array_contains("direct", F.col("term"))).drop("direct")
-    held = L.chunk_tokens(c).select("chunk_id", F.explode("tokens").alias("term"))
-    scored = held.join(terms, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("weight"), 6).alias("score"))
+    held = index.held(terms.withColumn("dataset_id", F.lit(""))).join(index.keys("chunk_id"), "chunk_no")
+    scored = held.groupBy("query_id", "chunk_id").agg(F.round(F.sum("weight"), 6).alias("score"))
     return top_rows(scored, ["query_id"], [F.desc("score"), F.col("chunk_id")], 4)
 
 
@@ -297,35 +298,31 @@ def j12(spark, d):
 
 
 def _stages(queries, c):
-    features, parts, total = H.prepare_queries(queries, c)
-    limit = H.candidate_limit_value(total)
-    vec = H.vector_candidates(features, V.embed(c.select(*L.CHUNK, "content"), "content"), limit)
-    return features, parts, total, limit, vec
+    index, features, _ = H.prepare_queries(queries, c)
+    return index, features, H.vector_candidates(features, V.embed(index.chunks.select(*L.CHUNK, "content", "tokens"), "content"))
 
 
 @register("j09_vector_candidates", f"""
 WITH {R.vector('plain')} SELECT query_id, chunk_id, distance, round(relevance, 6) AS relevance, vpos FROM vec""")
 def vec_candidates(spark, d):
-    _, _, _, _, vec = _stages(S.benchmark_queries(spark, d), S.stored_chunks(spark, d))
+    _, _, vec = _stages(S.benchmark_queries(spark, d), S.stored_chunks(spark, d))
     return vec.select("query_id", "chunk_id", "distance", F.round("relevance", 6).alias("relevance"), "vpos")
 
 
 @register("j13_u01_fused_candidates", f"""
 WITH {R.hybrid('plain')} SELECT query_id, chunk_id, round(v, 6) AS v, round(l, 6) AS l, hits FROM fu""")
 def j13(spark, d):
-    c = S.stored_chunks(spark, d)
-    features, _, _, limit, vec = _stages(S.benchmark_queries(spark, d), c)
-    fused = H.fuse(vec, L.lexical_candidates(c, features, limit))
+    index, features, vec = _stages(S.benchmark_queries(spark, d), S.stored_chunks(spark, d))
+    fused = H.fuse(vec, L.lexical_candidates(index, features))
     return fused.select("query_id", "chunk_id", F.round("v", 6).alias("v"), F.round("l", 6).alias("l"), "hits")
 
 
 @register("w04_ranked_candidates", f"""
 WITH {R.hybrid('plain')} SELECT query_id, chunk_id, nearby, combined, relevance, global_rank FROM ra""")
 def w04(spark, d):
-    c = S.stored_chunks(spark, d)
-    features, _, total, limit, vec = _stages(S.benchmark_queries(spark, d), c)
-    fused = H.fuse(vec, L.lexical_candidates(c, features, limit))
-    return H.rank_candidates(H.expand(fused, features, limit, total), c, features).select(
+    index, features, vec = _stages(S.benchmark_queries(spark, d), S.stored_chunks(spark, d))
+    fused = H.fuse(vec, L.lexical_candidates(index, features))
+    return H.rank_candidates(H.expand(fused, features), index.chunks, features).select(
         "query_id", "chunk_id", "nearby", "combined", "relevance", "global_rank")
 
 
@@ -334,12 +331,43 @@ _RET = "SELECT query_id, rank, chunk_id, source_name, chunk_index, content, dist
 
 @register("m05_t04_hybrid_retrieval", f"WITH {R.hybrid('plain')} {_RET}")
 def m05(spark, d):
-    return H.retrieve(S.benchmark_queries(spark, d), S.stored_chunks(spark, d))
+    return H.retrieve(S.benchmark_queries(spark, d), S.stored_chunks(spark, d)).drop("dataset_id")
 
 
 @register("m05_t05_hybrid_retrieval_mixed", f"WITH {R.hybrid('mixed')} {_RET}")
 def m05b(spark, d):
-    return H.retrieve(mixed_queries(spark, d), S.stored_chunks(spark, d))
+    return H.retrieve(mixed_queries(spark, d), S.stored_chunks(spark, d)).drop("dataset_id")
+
+
+#: Corpora of very different sizes; each names its sources by their place in it, so that names repeat from corpus to corpus.
+CORPORA = ["en", "de", "fr", "es", "none"]
+
+
+def _of_corpora(spark, d):
+    from foliant.operators.ingest import fixed_chunks
+    docs = S.table(spark, d, "documents").withColumn("dataset_id", F.coalesce("lang", F.lit("none")))
+    placed = dense_index(docs.select("doc_id", "dataset_id", "text"), ["dataset_id"], "doc_id", "place")
+    name = F.concat(F.lit("text-"), F.col("place").cast("string"))
+    own = placed.select(name.alias("name"), F.concat("dataset_id", F.lit("/"), name).alias("path"),
+                        F.sha2(F.concat("dataset_id", F.lit("-"), name), 256).alias("sha256"), F.col("text").alias("content"))
+    chunks = fixed_chunks(own).withColumn("dataset_id", F.substring_index("source_path", "/", 1))
+    queries = S.table(spark, d, "benchmark").select(
+        F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.element_at(F.array(*map(F.lit, CORPORA)), (F.col("item_id") % 5 + 1).cast("int")).alias("dataset_id"))
+    return queries, stored(L.with_tokens(chunks))
+
+
+def _corpus_sql(own: str) -> str:
+    """The hybrid query over one corpus alone."""
+    docs = f"(SELECT doc_id, text, 'text-' || row_number() OVER (ORDER BY doc_id) AS name FROM documents WHERE coalesce(lang, 'none') = '{own}')"
+    sources = f"src AS (SELECT sha256('{own}-' || name) AS sha256, name, '{own}/' || name AS path, text AS content, '' AS corpus, doc_id FROM {docs})"
+    whole = R.hybrid("plain").replace(S.SOURCES.strip(), sources)
+    whole = whole.replace(R.QUERY_SETS["plain"], f"q AS (SELECT item_id AS query_id, text AS query FROM benchmark WHERE item_id % 5 = {CORPORA.index(own)})")
+    return f"SELECT '{own}' AS dataset_id, * FROM (WITH {whole} {_RET})"
+
+
+@register("m05_t04_t05_corpus_retrieval", " UNION ALL ".join(map(_corpus_sql, CORPORA)))
+def m05c(spark, d):
+    return H.retrieve(*_of_corpora(spark, d))
 
 
 _BLOCK = "'[Excerpt ' || {n} || ' | chunk_id=' || chunk_id || ' | source=' || source_name || ']' || chr(10) || {t}"

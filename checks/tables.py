@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from foliant.operators.ingest import fixed_chunks
 from foliant.operators.lexical import with_tokens
 from foliant.plans.sizing import widen
-from foliant.session import cut
+from foliant.session import stored
 
 
 TEXT_KEYS = {"documents": "doc_id", "conversations": "conv_id", "pages": "page_id"}
@@ -38,7 +38,7 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
 
 def stored_chunks(spark: SparkSession, d: str) -> DataFrame:
     """The chunk table as ingestion leaves it for retrieval: written once, with its tokens."""
-    return cut(with_tokens(chunks(spark, d)))
+    return stored(with_tokens(chunks(spark, d)))
 
 
 def benchmark_queries(spark: SparkSession, d: str) -> DataFrame:

@@ -121,30 +121,58 @@ def _compat_runs() -> dict[str, str]:
     return {ch: form for ch, form in forms if len(form) > 1 and not form.isspace() and any(ord(x) < 0x80 for x in form)}
 
 
+def _char_class(codes) -> str:
+    """A pattern class of code points, consecutive ones merged to ranges."""
+    ranges: list[list[int]] = []
+    for code in sorted(codes):
+        if ranges and code == ranges[-1][1] + 1:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return "".join(f"\\x{{{a:x}}}" if a == b else f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges)
+
+
+#: Combining marks that may compose with an ASCII letter before them.
+_MARKS = range(0x300, 0x370)
+#: The letters of most Latin texts; what the rule leaves alone among them is told apart first.
+_LATIN = range(0x250)
+
+
 @lru_cache(maxsize=1)
 def _composed() -> str:
     """A pattern of an ASCII letter and a mark that compose to another letter, by the Unicode rule."""
     letters: dict[str, str] = {}
-    for mark in map(chr, range(0x300, 0x370)):
+    for mark in map(chr, _MARKS):
         for letter in map(chr, range(0x41, 0x7B)):
             if letter.isalpha() and len(unicodedata.normalize("NFC", letter + mark)) == 1:
                 letters[mark] = letters.get(mark, "") + letter
-    return "|".join(f"[{own}]{mark}" for mark, own in letters.items())
+    return f"(?=[A-Za-z][{_char_class(_MARKS)}])(?:" + "|".join(f"[{own}]{mark}" for mark, own in letters.items()) + ")"
+
+
+@lru_cache(maxsize=1)
+def _changing() -> str:
+    """A pattern of the characters that the compatibility form may change.
+
+    ASCII and the unchanged Latin letters fail its first, short class; all others are looked up in merged ranges.
+    """
+    codes = {ord(ch) for ch in (*_compat_pairs()[0], *_compat_runs())} | set(_MARKS)
+    return f"[[^{_char_class(set(_LATIN) - codes)}]&&[{_char_class(codes)}]]"
 
 
 def compat_form(x) -> Column:
     """Unicode compatibility form as far as ASCII characters go, without leaving the JVM.
 
     Characters that become ASCII are spelled out; an ASCII letter that composes with the
-    mark behind it becomes a letter that isn't ASCII.
+    mark behind it becomes a letter that isn't ASCII. One test per text finds those that hold
+    no such character, which is nearly all.
     """
     c = col(x)
     forms = F.from_json(F.lit(json.dumps(_compat_runs())), "map<string,string>")
-    held = "[" + "".join(f"\\x{{{ord(ch):x}}}" for ch in _compat_runs()) + "]"
-    spelled = F.when(c.rlike(held), F.array_join(F.transform(
-        F.split(c, ""), lambda ch: F.coalesce(F.try_element_at(forms, ch), ch)), "")).otherwise(c)
+    held = f"[[^\\x00-\\x7F]&&[{_char_class(map(ord, _compat_runs()))}]]"
+    spelled = F.when(c.rlike(held), F.array_join(F.transform(F.split(c, ""), lambda ch: F.when(
+        ch.rlike(held), F.coalesce(F.try_element_at(forms, ch), ch)).otherwise(ch)), "")).otherwise(c)
     composed = F.regexp_replace(spelled, _composed(), "\u00e9")
-    return F.when(c.rlike(r"[^\x00-\x7F]"), F.translate(composed, *_compat_pairs())).otherwise(c)
+    return F.when(c.rlike(_changing()), F.translate(composed, *_compat_pairs())).otherwise(c)
 
 
 def search_norm(x) -> Column:

@@ -270,10 +270,11 @@ def parse_responses(responses: DataFrame) -> DataFrame:
 
 def with_support(retrieved: DataFrame, chunks: DataFrame, window: int = 2) -> DataFrame:
     """Retrieved chunks followed by their neighbors at a fixed relevance, each chunk once."""
-    base = retrieved.select("query_id", F.col("rank").alias("place") if "rank" in retrieved.columns else "place",
+    corpus = [c for c in ("dataset_id",) if c in retrieved.columns and c in chunks.columns]
+    base = retrieved.select("query_id", *corpus, F.col("rank").alias("place") if "rank" in retrieved.columns else "place",
                             "chunk_id", "source_name", "chunk_index", "content", "distance", "relevance")
-    seeds = base.select("query_id", "source_name", "chunk_index", F.col("place").alias("seed_no"))
-    around = as_retrieved(neighbors(seeds, chunks.select("chunk_id", "source_name", "chunk_index", "content"), ["query_id"], window),
+    seeds = base.select("query_id", *corpus, "source_name", "chunk_index", F.col("place").alias("seed_no"))
+    around = as_retrieved(neighbors(seeds, chunks.select(*corpus, "chunk_id", "source_name", "chunk_index", "content"), ["query_id"], window),
                           SUPPORT_RELEVANCE).select(*base.columns)
     return merge_lists([base, is_blocked(around, "content", "retrieved_context", "_b").filter("not _b").drop("_b")])
 
@@ -307,9 +308,10 @@ def grounded_answers(queries: DataFrame, chunks: DataFrame, retrieved: DataFrame
     hits = retrieve(open_q, chunks) if retrieved is None else retrieved.join(open_q.select("query_id"), "query_id", "left_semi")
     hits = is_blocked(hits, "content", "retrieved_context", "_b").filter("not _b").drop("_b")
     evidence = cut(with_support(hits, chunks))
+    corpus = [c for c in ("dataset_id",) if c in evidence.columns]
     wide = merge_lists([evidence, as_retrieved(neighbors(
-        evidence.select("query_id", "source_name", "chunk_index", F.col("place").alias("seed_no")),
-        chunks.select("chunk_id", "source_name", "chunk_index", "content"), ["query_id"], 2), SUPPORT_RELEVANCE).select(*evidence.columns)])
+        evidence.select("query_id", *corpus, "source_name", "chunk_index", F.col("place").alias("seed_no")),
+        chunks.select(*corpus, "chunk_id", "source_name", "chunk_index", "content"), ["query_id"], 2), SUPPORT_RELEVANCE).select(*evidence.columns)])
     extracted = extractive_answers(open_q, wide).withColumnRenamed("answer", "extracted")
     rows = open_q.withColumn("strong", needs_strong_support("query")).join(
         support_gate(open_q, evidence), "query_id", "left").join(extracted, "query_id", "left")

@@ -1,26 +1,44 @@
-"""Lexical scoring of chunks against many queries at once.
-
-Whole chunks are scored through a term join (each chunk only meets the queries
-it shares a term with). Sentence windows, which cost far more, are scored only
-for pairs whose score bound can still reach the query's candidate list, so the
-result is exact while most windows are never built.
+"""Lexical scoring of chunks against many queries at once, corpus by corpus.
+
+A corpus is a ``dataset_id``; tables without one are a single corpus. Its chunks are stored
+as an index: a chunk table with the distinct tokens of each chunk, and postings, rows of
+(corpus, term, block) with the numbers of the chunks that hold the term.
+
+Candidates are found by max-score evaluation, as joins. The rarest terms of a query come
+first: their postings give a first set of chunks, whose exact scores set a floor under the
+query's candidate list. A chunk that holds only terms whose weights together stay below
+that floor can't get in, so the postings of a query's commonest terms are never read; of
+the other chunks those go on whose sum so far plus all that is left can still reach the
+floor. Sentence windows, which need the chunks' texts, are scored in two waves: the best
+pairs first, then those that the raised floor leaves. The result is exact; a test
+compares it with scoring everything.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import lists
 from ..functions import text as T
 from ..plans.scans import top_rows
-from ..plans.sizing import bounded_broadcast, is_small, spread
-from ..session import cut
+from ..plans.sizing import bounded_broadcast, spread
+from ..session import cut, stored
+from .phrases import found_in
 
-CHUNK = ["source_name", "chunk_index", "chunk_id"]
+CHUNK = ["dataset_id", "source_name", "chunk_index", "chunk_id"]
+QUERY = ["query_id", "dataset_id"]
 FACTS = ["direct", "expanded", "entity", "weights", "phrases", "variant_terms", "description", "role"]
 MIN_SCORE = 1.4
 SLACK = 1e-6
+#: Weights of a matched term by its class, and what else can add to a score (fixed values).
+DIRECT, EXPANDED, ENTITY = 1.35, 0.65, 0.3
+PER_VARIANT, DESCRIBED, ROLED, MOST_INTRO = 0.9, 0.8, 1.2, 0.9
+#: Chunks of one row of postings at most.
+POSTINGS_BLOCK = 8192
+#: Postings of the rarest terms that set the first floor, as a multiple of the candidate limit.
+LEAD = 20
 
 
 # -- queries ---------------------------------------------------------------------------
@@ -54,8 +72,9 @@ def query_features(queries: DataFrame, keys: list[str], query: str = "query", si
 
 def variant_features(features: DataFrame, synonyms: dict[str, str] | None = None) -> DataFrame:
     """Features of variant 2, 3, ... of each multi-part query, those without tokens left out."""
-    parts = features.filter("multi_part").select("query_id", F.posexplode("variants").alias("variant_no", "variant"))
-    out = query_features(parts.filter("variant_no > 0"), ["query_id", "variant_no"], "variant", True, synonyms)
+    own = [c for c in QUERY if c in features.columns]
+    parts = features.filter("multi_part").select(*own, F.posexplode("variants").alias("variant_no", "variant"))
+    out = query_features(parts.filter("variant_no > 0"), [*own, "variant_no"], "variant", True, synonyms)
     return out.filter(F.size("direct") > 0)
 
 
@@ -74,65 +93,98 @@ def feature_terms(features: DataFrame, keys: list[str]) -> DataFrame:
 
 # -- corpus -----------------------------------------------------------------------------
 
+def scoped(df: DataFrame) -> DataFrame:
+    """``df`` with its ``dataset_id``; without one, all rows belong to one corpus."""
+    return df if "dataset_id" in df.columns else df.withColumn("dataset_id", F.lit(""))
+
+
 def with_tokens(chunks: DataFrame) -> DataFrame:
-    """Chunks with their distinct search tokens, to be written once and searched often."""
-    return chunks.withColumn("tokens", T.search_token_set(T.search_norm("content")))
+    """Chunks with a number, their distinct search tokens and what scoring needs of their text, to be stored once and searched often."""
+    rows = scoped(chunks).withColumn("tokens", T.search_token_set(T.search_norm("content")))
+    return rows.withColumns({
+        "chunk_no": F.monotonically_increasing_id(), "has_question": F.contains("content", F.lit("?")),
+        "description_cue": F.arrays_overlap("tokens", T.words(lists.DESCRIPTION_CUES)),
+        "role_cue": F.arrays_overlap("tokens", T.words(lists.ROLE_CUES))})
 
 
 def chunk_tokens(chunks: DataFrame) -> DataFrame:
-    """Chunk key, distinct tokens and question-mark flag; the text itself is left behind.
+    """Chunk key, distinct tokens and question-mark flag; the text itself is left behind."""
+    rows = chunks if "tokens" in chunks.columns else with_tokens(chunks)
+    return scoped(rows).select(*CHUNK, "tokens", F.contains("content", F.lit("?")).alias("has_question"))
+
+
+class ChunkIndex:
+    """A stored chunk table, its postings and the size of each corpus.
 
-    A chunk table written with its ``tokens`` is taken as it is.
+    ``chunks``: as ``with_tokens`` makes them, stored (their numbers must not change any more).
     """
-    if "tokens" in chunks.columns:
-        return chunks.select(*CHUNK, "tokens", F.contains("content", F.lit("?")).alias("has_question"))
-    return chunks.select(*CHUNK, "content", T.search_norm("content").alias("norm")).select(
-        *CHUNK, T.search_token_set("norm").alias("tokens"), F.contains("content", F.lit("?")).alias("has_question"))
+
+    def __init__(self, chunks: DataFrame) -> None:
+        self.chunks = chunks
+        held = chunks.select("dataset_id", "chunk_no", F.explode("tokens").alias("term"))
+        block = F.floor(F.col("chunk_no") / POSTINGS_BLOCK).alias("block")
+        rows = held.groupBy("dataset_id", "term", block).agg(F.collect_list("chunk_no").alias("chunk_nos"))
+        self.postings = stored(rows.sortWithinPartitions("dataset_id", "term"))
+        self.sizes = cut(chunks.groupBy("dataset_id").agg(F.count("*").alias("total")))
+
+    def held(self, terms: DataFrame) -> DataFrame:
+        """(chunk_no and the columns of ``terms``) of every posting of some (dataset_id, term)."""
+        met = self.postings.join(bounded_broadcast(terms), ["dataset_id", "term"])
+        return met.withColumn("chunk_no", F.explode("chunk_nos")).drop("chunk_nos", "block")
+
+    def keys(self, *columns: str) -> DataFrame:
+        return self.chunks.select("chunk_no", *(columns or CHUNK))
+
+
+def index_of(chunks: DataFrame | ChunkIndex) -> ChunkIndex:
+    """The index of a chunk table; one that is indexed or stored with its tokens is taken as it is."""
+    if isinstance(chunks, ChunkIndex):
+        return chunks
+    return ChunkIndex(chunks if "chunk_no" in chunks.columns else stored(with_tokens(chunks)))
 
 
-def document_frequency(tokens: DataFrame, terms: DataFrame) -> DataFrame:
-    """Chunks holding each wanted term. Tokens are distinct per chunk, so a count is enough."""
-    wanted = bounded_broadcast(terms.select("term").distinct())
-    held = tokens.select(F.explode("tokens").alias("term")).join(wanted, "term")
-    return held.groupBy("term").agg(F.count("*").alias("df"))
+def document_frequency(index: ChunkIndex, terms: DataFrame) -> DataFrame:
+    """Chunks of each corpus that hold each wanted term (dataset_id, term)."""
+    wanted = bounded_broadcast(terms.select("dataset_id", "term").distinct())
+    return index.postings.join(wanted, ["dataset_id", "term"]).groupBy("dataset_id", "term").agg(F.sum(F.size("chunk_nos")).alias("df"))
 
 
 def idf(total, frequency) -> Column:
     return F.log((T.col(total) + 1) / (T.col(frequency) + 1)) + F.lit(1.0)
 
 
-def term_weights(terms: DataFrame, frequency: DataFrame, total: int) -> DataFrame:
-    """Weight of every wanted term; a corpus without chunks weighs all terms 1."""
-    distinct = terms.select("term").distinct()
-    if total == 0:
-        return distinct.withColumn("weight", F.lit(1.0))
-    return distinct.join(frequency, "term", "left").select(
-        "term", idf(F.lit(float(total)), F.coalesce("df", F.lit(0)).cast("double")).alias("weight"))
+def term_weights(terms: DataFrame, frequency: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Weight and frequency of every wanted (dataset_id, term); a corpus without chunks weighs all terms 1."""
+    rows = terms.select("dataset_id", "term").distinct().join(frequency, ["dataset_id", "term"], "left").join(F.broadcast(sizes), "dataset_id", "left")
+    df = F.coalesce("df", F.lit(0))
+    weight = F.when(F.col("total") > 0, idf(F.col("total").cast("double"), df.cast("double"))).otherwise(1.0)
+    return rows.select("dataset_id", "term", weight.alias("weight"), df.alias("df"))
 
 
 def with_weights(features: DataFrame, keys: list[str], weights: DataFrame) -> DataFrame:
     """Add each query's term weights as one map (as long as the query, not the corpus)."""
-    per_query = feature_terms(features, keys).select(*keys, "term").join(weights, "term").groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("weights"))
+    per_query = feature_terms(features, keys).select(*keys, "term").join(weights, ["dataset_id", "term"]).groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("weights"),
+        F.map_from_entries(F.collect_list(F.struct("term", "df"))).alias("frequencies"))
     empty = F.create_map().cast("map<string,double>")
-    return features.join(per_query, keys, "left").withColumn("weights", F.coalesce("weights", empty))
+    return features.join(per_query, keys, "left").withColumns({
+        "weights": F.coalesce("weights", empty), "frequencies": F.coalesce("frequencies", F.create_map().cast("map<string,bigint>"))})
 
 
-def entity_intro(tokens: DataFrame, features: DataFrame) -> DataFrame:
+def entity_intro(index: ChunkIndex, features: DataFrame) -> DataFrame:
     """First chunk index of every queried entity per source."""
-    entities = features.filter("description or role").select(F.explode("entity").alias("term")).distinct()
-    held = tokens.select("source_name", "chunk_index", F.explode("tokens").alias("term"))
-    return held.join(bounded_broadcast(entities), "term").groupBy("source_name", "term").agg(
-        F.min("chunk_index").alias("intro_index"))
+    asked = features.filter("description or role").select("dataset_id", F.explode("entity").alias("term")).distinct()
+    held = index.held(asked).join(index.keys("source_name", "chunk_index"), "chunk_no")
+    return held.groupBy("dataset_id", "source_name", "term").agg(F.min("chunk_index").alias("intro_index"))
 
 
-def intro_bonus(tokens: DataFrame, features: DataFrame, intro: DataFrame) -> DataFrame:
+def intro_bonus(index: ChunkIndex, features: DataFrame, intro: DataFrame) -> DataFrame:
     """Bonus of chunks near the first mention of an entity of the query."""
-    asked = features.filter("description or role").select("query_id", F.explode("entity").alias("term"))
-    held = tokens.select(*CHUNK, F.explode("tokens").alias("term")).join(bounded_broadcast(asked), "term")
+    asked = features.filter("description or role").select(*QUERY, F.explode("entity").alias("term"))
+    held = index.held(asked).join(index.keys("source_name", "chunk_index"), "chunk_no")
     gap = F.abs(F.col("chunk_index") - F.col("intro_index"))
-    value = F.when(gap <= 1, 0.9).when(gap <= 2, 0.6).when(gap <= 4, 0.3).otherwise(0.0)
-    return held.join(intro, ["source_name", "term"]).groupBy("query_id", *CHUNK).agg(F.max(value).alias("intro"))
+    value = F.when(gap <= 1, MOST_INTRO).when(gap <= 2, 0.6).when(gap <= 4, 0.3).otherwise(0.0)
+    return held.join(intro, ["dataset_id", "source_name", "term"]).groupBy("query_id", "chunk_no").agg(F.max(value).alias("intro"))
 
 
 # -- scores --------------------------------------------------------------------------------
@@ -141,10 +193,10 @@ def combine_score(direct_sum, expanded_sum, entity_sum, direct_n, expanded_n, en
                   description, role, description_cue, role_cue, question, bound: bool = False) -> Column:
     """The lexical score of one text. ``bound`` leaves out all that can only lower it."""
     matched = (direct_n + expanded_n + entity_n + phrases) > 0
-    score = direct_sum * 1.35 + expanded_sum * 0.65 + entity_sum * 0.3 + phrases * 5.0
-    score = score + F.greatest(variants - 1, F.lit(0)) * 0.9
-    score = score + F.when(description & (entity_n > 0) & description_cue, 0.8).otherwise(0.0)
-    score = score + F.when(role & ((entity_n > 0) | (direct_n > 0)) & role_cue, 1.2).otherwise(0.0)
+    score = direct_sum * DIRECT + expanded_sum * EXPANDED + entity_sum * ENTITY + phrases * 5.0
+    score = score + F.greatest(variants - 1, F.lit(0)) * PER_VARIANT
+    score = score + F.when(description & (entity_n > 0) & description_cue, DESCRIBED).otherwise(0.0)
+    score = score + F.when(role & ((entity_n > 0) | (direct_n > 0)) & role_cue, ROLED).otherwise(0.0)
     if not bound:
         score = score - F.when(question, 2.5).otherwise(0.0)
         only_entity = (entity_n > 0) & (direct_n == 0) & (expanded_n == 0) & (phrases == 0)
@@ -161,49 +213,36 @@ def unit(text) -> Column:
 def pair_score(u: Column, f: dict[str, Column] | None = None) -> Column:
     """struct<hits, score> of a ``unit`` against the query features on the same row."""
     f = f or {c: F.col(c) for c in FACTS}
-    norm, tokens = u["norm"], u["tokens"]
+    hits = F.size(F.filter(f["phrases"], lambda p: F.contains(u["norm"], p)))
+    cues = {"description_cue": F.arrays_overlap(u["tokens"], T.words(lists.DESCRIPTION_CUES)),
+            "role_cue": F.arrays_overlap(u["tokens"], T.words(lists.ROLE_CUES)), "has_question": u["question"]}
+    return F.when(F.size(u["tokens"]) == 0, F.struct(F.lit(0).alias("hits"), F.lit(0.0).alias("score"))).otherwise(
+        T.let(token_score(u["tokens"], hits, f, cues), lambda s: F.struct(s["hits"].alias("hits"), s["score"].alias("score"))))
+
+
+def token_score(tokens: Column, hits: Column, f: dict[str, Column], cues: dict[str, Column]) -> Column:
+    """struct<hits, score, bound> of a text with these tokens, phrase hits and cues against a query's features."""
     total = lambda shared: F.aggregate(shared, F.lit(0.0), lambda s, t: s + f["weights"][t])
 
     def scored(p):
-        score = combine_score(
-            total(p["direct"]), total(p["expanded"]), total(p["entity"]),
-            F.size(p["direct"]), F.size(p["expanded"]), F.size(p["entity"]), p["hits"],
-            F.size(F.filter(f["variant_terms"], lambda s: F.arrays_overlap(s, tokens))), f["description"], f["role"],
-            F.arrays_overlap(tokens, T.words(lists.DESCRIPTION_CUES)),
-            F.arrays_overlap(tokens, T.words(lists.ROLE_CUES)), u["question"])
-        return F.struct(p["hits"].alias("hits"), score.alias("score"))
+        args = (total(p["direct"]), total(p["expanded"]), total(p["entity"]),
+                F.size(p["direct"]), F.size(p["expanded"]), F.size(p["entity"]), p["hits"],
+                F.size(F.filter(f["variant_terms"], lambda s: F.arrays_overlap(s, tokens))), f["description"], f["role"],
+                cues["description_cue"], cues["role_cue"], cues["has_question"])
+        return F.struct(p["hits"].alias("hits"), combine_score(*args).alias("score"), combine_score(*args, bound=True).alias("bound"))
 
-    parts = F.struct(*[F.array_intersect(f[c], tokens).alias(c) for c in ("direct", "expanded", "entity")],
-                     F.size(F.filter(f["phrases"], lambda p: F.contains(norm, p))).alias("hits"))
-    return F.when(F.size(tokens) == 0, F.struct(F.lit(0).alias("hits"), F.lit(0.0).alias("score"))).otherwise(
-        T.let(parts, scored))
+    return T.let(F.struct(*[F.array_intersect(f[c], tokens).alias(c) for c in ("direct", "expanded", "entity")], hits.alias("hits")), scored)
 
 
-def phrase_hits(chunks: DataFrame, features: DataFrame) -> DataFrame:
-    """Quoted phrases of each query that occur in a chunk's normal form.
+def phrase_hits(index: ChunkIndex, features: DataFrame) -> DataFrame:
+    """Quoted phrases of each query that occur in a chunk's normal form: query_id, chunk_no, phrases.
 
-    An equi-join on an anchor that every match must hold: an inner word of the
-    phrase, or for phrases of one or two words their first characters.
+    One scan of each text, whatever the number of phrases: see ``phrases.found_in``.
     """
-    phrases = features.select("query_id", F.explode("phrases").alias("phrase")).filter(F.length("phrase") > 0)
-    parts = F.split("phrase", " ")
-    inner = F.slice(parts, F.lit(2), F.size(parts) - 2)
-    longest = F.element_at(F.array_sort(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)["w"]
-    gram = 4
-    anchored = phrases.withColumn("anchor", F.when(F.size(parts) > 2, longest).otherwise(F.substring("phrase", 1, gram)))
-    anchored = anchored.withColumn("by_gram", F.size(parts) <= 2)
-    lengths = [r[0] for r in anchored.filter("by_gram").select(F.length("anchor")).distinct().limit(gram).collect()]
-    norm = chunks.select(*CHUNK, T.search_norm("content").alias("norm"))
-    grams = [F.transform(F.sequence(F.lit(1), F.length("norm") - (n - 1)), lambda i, n=n: F.substr("norm", i, F.lit(n)))
-             for n in lengths]
-    grams = [F.when(F.length("norm") >= n, g).otherwise(F.array().cast("array<string>")) for n, g in zip(lengths, grams)]
-    tagged = lambda arr, flag: F.transform(arr, lambda a: F.struct(a.alias("anchor"), F.lit(flag).alias("by_gram")))
-    keys = tagged(F.array_distinct(F.split("norm", " ")), False)
-    for g in grams:
-        keys = F.concat(keys, tagged(F.array_distinct(g), True))
-    held = norm.withColumn("key", F.explode(keys)).select(*CHUNK, "norm", "key.anchor", "key.by_gram")
-    return (held.join(bounded_broadcast(anchored), ["anchor", "by_gram"]).filter(F.contains("norm", F.col("phrase")))
-            .groupBy("query_id", *CHUNK).agg(F.count_distinct("phrase").alias("phrases")))
+    asked = features.select(*QUERY, F.explode("phrases").alias("phrase")).filter(F.length("phrase") > 0)
+    texts = index.chunks.select("dataset_id", "chunk_no", T.search_norm("content").alias("norm"))
+    met = found_in(asked.select("dataset_id", "phrase").distinct(), texts, ["dataset_id", "chunk_no"], "norm", within="dataset_id")
+    return met.join(bounded_broadcast(asked), ["dataset_id", "phrase"]).groupBy("query_id", "chunk_no").agg(F.count("*").alias("phrases"))
 
 
 def _has_any(features: DataFrame, condition) -> bool:
@@ -211,32 +250,33 @@ def _has_any(features: DataFrame, condition) -> bool:
 
 
 def weighted_terms(features: DataFrame) -> DataFrame:
-    """Query terms with weight and a mark of the variants they belong to."""
-    terms = feature_terms(features, ["query_id"]).join(
-        features.select("query_id", F.explode("weights").alias("term", "weight")), ["query_id", "term"])
+    """Query terms with weight, frequency, what a match adds at most, and a mark of the variants they belong to."""
+    terms = feature_terms(features, QUERY).join(
+        features.select("query_id", "frequencies", F.explode("weights").alias("term", "weight")), ["query_id", "term"])
     bits = F.aggregate("in_variants", F.lit(0).cast("long"), lambda m, i: m.bitwiseOR(
         F.when(i < 63, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))))
-    return terms.withColumn("variant_bits", bits)
+    share = lambda flag, value: F.when(F.col(flag), value).otherwise(0.0)
+    gain = F.col("weight") * (share("is_direct", DIRECT) + share("is_expanded", EXPANDED) + share("is_entity", ENTITY))
+    return terms.withColumns({"variant_bits": bits, "gain": gain, "df": F.element_at("frequencies", F.col("term"))}).drop("frequencies")
 
 
 def score_units(units: DataFrame, key: list[str], terms: DataFrame, features: DataFrame,
                 pairs: DataFrame | None = None, said: DataFrame | None = None) -> DataFrame:
-    """Score and upper bound of every (query, unit) that shares a term or a phrase.
+    """Score of every (query, unit) that shares a term or a phrase.
 
-    ``units``: key, tokens, has_question, spread by chunk, so that exploding,
-    joining the terms and grouping all happen inside one partition. ``pairs``
-    limits the queries of each chunk. ``said``: query_id, key, phrases.
+    ``units``: key, tokens, has_question; the first key column is the chunk's number. With
+    ``pairs`` (query_id, chunk_no) a unit only meets the terms of its chunk's queries, by an
+    equi-join on chunk and term. ``said``: query_id, key, phrases.
     """
     facts = ["has_question", "description_cue", "role_cue"]
     base = units.select(
-        *key, "has_question", F.arrays_overlap("tokens", T.words(lists.DESCRIPTION_CUES)).alias("description_cue"),
+        *key, *(["dataset_id"] if pairs is None else []), "has_question", F.arrays_overlap("tokens", T.words(lists.DESCRIPTION_CUES)).alias("description_cue"),
         F.arrays_overlap("tokens", T.words(lists.ROLE_CUES)).alias("role_cue"), "tokens")
-    held = base.select(*key, *facts, F.explode("tokens").alias("term"))
+    held = base.withColumn("term", F.explode("tokens")).drop("tokens")
     if pairs is None:
-        met = held.join(bounded_broadcast(terms), "term")
+        met = held.join(bounded_broadcast(terms), ["dataset_id", "term"])
     else:
-        met = held.join(bounded_broadcast(pairs.select("query_id", *CHUNK)), CHUNK).join(
-            bounded_broadcast(terms), ["query_id", "term"])
+        met = held.join(pairs.select("query_id", "chunk_no").join(bounded_broadcast(terms), "query_id"), ["chunk_no", "term"])
     weight = lambda flag: F.sum(F.when(F.col(flag), F.col("weight")).otherwise(0.0))
     # up to 63 variants fit one number, which aggregates far cheaper than lists
     if _has_any(features, F.size("variant_terms") > 63):
@@ -259,73 +299,149 @@ def score_units(units: DataFrame, key: list[str], terms: DataFrame, features: Da
     args = [F.col(c) for c in ("ds", "xs", "es", "dn", "xn", "en", "phrases", "vn", "description", "role",
                                "description_cue", "role_cue", "has_question")]
     return matched.join(bounded_broadcast(flags), "query_id").select(
-        "query_id", *key, F.col("phrases").cast("int").alias("hits"), combine_score(*args).alias("score"),
-        combine_score(*args, bound=True).alias("bound"))
+        "query_id", *key, F.col("phrases").cast("int").alias("hits"), combine_score(*args).alias("score"))
 
 
-def whole_scores(chunks: DataFrame, tokens: DataFrame, features: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """Score of every (query, chunk) pair that shares a term or a phrase, and its upper bound."""
-    said = phrase_hits(chunks, features) if _has_any(features, "has_quote") else None
+def whole_scores(index: ChunkIndex, features: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """Score of every (query, chunk) pair that shares a term or a phrase: as many rows as there are such pairs."""
+    said = phrase_hits(index, features) if _has_any(features, "has_quote") else None
     terms = cut(weighted_terms(features)) if terms is None else terms
-    return score_units(tokens, CHUNK, terms, features, said=said).withColumnRenamed("score", "whole")
+    units = index.chunks.select("chunk_no", "dataset_id", "tokens", "has_question")
+    return score_units(units, ["chunk_no"], terms, features, said=said).withColumnRenamed("score", "whole")
+
+
+# -- candidates ------------------------------------------------------------------------------
+
+def _extras(features: DataFrame) -> DataFrame:
+    """What a query's score can have at most besides its terms, before and after windows count."""
+    flag = lambda c, value: F.when(F.col(c), value).otherwise(0.0)
+    return features.select(
+        "query_id", "limit",
+        (F.greatest(F.size("variant_terms") - 1, F.lit(0)) * PER_VARIANT + flag("description", DESCRIBED) + flag("role", ROLED)).alias("extra"),
+        F.when(F.col("description") | F.col("role"), MOST_INTRO).otherwise(0.0).alias("most_intro"))
+
+
+def _pair_scores(index: ChunkIndex, features: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Exact whole score and bound of given (query_id, chunk_no, hits) pairs, from the chunks' stored tokens."""
+    facts = [c for c in FACTS if c != "phrases"]
+    tokens = index.chunks.select("chunk_no", "tokens", "has_question", "description_cue", "role_cue")
+    rows = pairs.join(tokens, "chunk_no").join(bounded_broadcast(features.select("query_id", *facts)), "query_id").filter(F.size("tokens") > 0)
+    scored = token_score(F.col("tokens"), F.col("hits"), {c: F.col(c) for c in facts}, {c: F.col(c) for c in ("has_question", "description_cue", "role_cue")})
+    return rows.select("query_id", "chunk_no", "hits", scored.alias("s")).select("query_id", "chunk_no", "hits", F.col("s.score").alias("whole"), F.col("s.bound").alias("bound"))
+
+
+def _floors(scored: DataFrame, extras: DataFrame, score: Column) -> DataFrame:
+    """query_id, floor (hits, score) of the last row that its limit lets in; queries with fewer rows have none."""
+    rows = scored.join(bounded_broadcast(extras.select("query_id", "limit")), "query_id").withColumn("_s", score)
+    last = top_rows(rows, ["query_id"], [F.col("hits").desc(), F.col("_s").desc()], F.col("limit"), "_r").filter("_r = limit")
+    return last.select("query_id", F.struct("hits", F.col("_s").alias("score")).alias("floor"))
 
 
-def window_scores(chunks: DataFrame, pairs: DataFrame, features: DataFrame, terms: DataFrame) -> DataFrame:
-    """Best window (phrase hits, then score) of the given (query, chunk) pairs.
+def _reaching(pairs: DataFrame, floors: DataFrame, top: Column) -> DataFrame:
+    """Pairs that can still get into their query's list."""
+    floor = F.col("floor")
+    open_ = floor.isNull() | (F.col("hits") > floor["hits"]) | ((F.col("hits") == floor["hits"]) & (top >= floor["score"] - SLACK))
+    return pairs.join(bounded_broadcast(floors), "query_id", "left").filter(open_).drop("floor")
+
+
+def candidate_pairs(index: ChunkIndex, features: DataFrame, terms: DataFrame, said: DataFrame | None = None, prune: bool = True) -> DataFrame:
+    """Pairs (query_id, chunk_no, hits) among which each query's best ``limit`` chunks are: max-score evaluation.
+
+    ``terms``: as ``weighted_terms``, written. ``said``: query_id, chunk_no, phrases. Without ``prune`` all pairs that share a term or a phrase.
+    """
+    extras = cut(_extras(features))
+    order = Window.partitionBy("query_id").orderBy(F.desc("gain"), "term")
+    so_far = order.rowsBetween(Window.unboundedPreceding, -1)
+    to_come = order.rowsBetween(0, Window.unboundedFollowing)
+    ranked = terms.join(bounded_broadcast(extras), "query_id").withColumns({
+        "df_before": F.coalesce(F.sum("df").over(so_far), F.lit(0)), "rest": F.sum("gain").over(to_come)})
+    wanted = ["query_id", "dataset_id", "term", "gain"]
+    if prune:
+        ranked = cut(ranked)
+        lead = index.held(ranked.filter(F.col("df_before") < F.col("limit") * LEAD).select(*wanted))
+        first = lead.groupBy("query_id", "chunk_no").agg(F.sum("gain").alias("sum"), F.lit(0).alias("hits")).join(bounded_broadcast(extras), "query_id")
+        first = top_rows(first, ["query_id"], [F.desc("sum"), F.col("chunk_no")], F.col("limit")).select("query_id", "chunk_no", "hits")
+        floors = cut(_floors(_pair_scores(index, features, first), extras, F.col("whole") * 0.75).select("query_id", F.col("floor.score").alias("least")))
+        ranked = ranked.join(bounded_broadcast(floors), "query_id", "left").withColumn("least", F.coalesce("least", F.lit(MIN_SCORE)) - SLACK)
+        reach = lambda total: (total + F.col("extra")) * 1.2 + F.col("most_intro")
+        # of each query's terms those are read whose rest alone could still bring half of what is needed
+        ranked = ranked.withColumn("read", reach(F.col("rest")) >= F.col("least") / 2)
+        left = ranked.groupBy("query_id").agg(F.sum(F.when(~F.col("read"), F.col("gain")).otherwise(0.0)).alias("left"), F.first("least").alias("least"),
+                                              F.first("extra").alias("extra"), F.first("most_intro").alias("most_intro"))
+        met = index.held(ranked.filter("read").select(*wanted)).groupBy("query_id", "chunk_no").agg(F.sum("gain").alias("sum"))
+        pairs = met.join(bounded_broadcast(left), "query_id").filter(reach(F.col("sum") + F.col("left")) >= F.col("least")).select("query_id", "chunk_no")
+    else:
+        pairs = index.held(terms.select(*wanted)).select("query_id", "chunk_no").distinct()
+    if said is None:
+        return pairs.withColumn("hits", F.lit(0))
+    return pairs.join(said, ["query_id", "chunk_no"], "full_outer").select("query_id", "chunk_no", F.coalesce("phrases", F.lit(0)).cast("int").alias("hits"))
+
+
+def window_scores(index: ChunkIndex, pairs: DataFrame, features: DataFrame, terms: DataFrame) -> DataFrame:
+    """Best window (phrase hits, then score) of the given (query_id, chunk_no, hits) pairs.
 
     Windows are built once per chunk and then meet the few queries that want it.
     """
-    wanted = bounded_broadcast(pairs.select(*CHUNK).distinct())
-    texts = spread(chunks.select(*CHUNK, "content").join(wanted, CHUNK), *CHUNK)
-    units = texts.select(*CHUNK, F.posexplode(F.transform(T.sentence_windows("content"), lambda w: unit(w))).alias("window_no", "u"))
-    units = units.select(*CHUNK, "window_no", "u.norm", "u.tokens", F.col("u.question").alias("has_question"))
-    key = [*CHUNK, "window_no"]
+    wanted = bounded_broadcast(pairs.select("chunk_no").distinct())
+    texts = spread(index.chunks.select("chunk_no", "content").join(wanted, "chunk_no"), "chunk_no")
+    units = texts.select("chunk_no", F.posexplode(F.transform(T.sentence_windows("content"), lambda w: unit(w))).alias("window_no", "u"))
+    units = units.select("chunk_no", "window_no", "u.norm", "u.tokens", F.col("u.question").alias("has_question"))
+    key = ["chunk_no", "window_no"]
     said = None
     if _has_any(features, "has_quote"):
         # a window can only hold phrases its chunk holds
-        quoting = pairs.filter("hits > 0").select("query_id", *CHUNK)
+        quoting = pairs.filter("hits > 0").select("query_id", "chunk_no")
         phrases = features.select("query_id", F.explode("phrases").alias("phrase"))
-        said = units.select(*key, "norm").join(bounded_broadcast(quoting), CHUNK).join(bounded_broadcast(phrases), "query_id").filter(
+        said = units.select(*key, "norm").join(bounded_broadcast(quoting), "chunk_no").join(bounded_broadcast(phrases), "query_id").filter(
             F.contains("norm", F.col("phrase"))).groupBy("query_id", *key).agg(F.count_distinct("phrase").alias("phrases"))
     scored = score_units(units, key, terms, features, pairs, said)
-    return scored.groupBy("query_id", *CHUNK).agg(F.max(F.struct("hits", "score")).alias("window"))
+    return scored.groupBy("query_id", "chunk_no").agg(F.max(F.struct("hits", "score")).alias("window"))
 
 
-def lexical_candidates(chunks: DataFrame, features: DataFrame, limit: int, prune: bool = True) -> DataFrame:
-    """Best ``limit`` chunks per query by (phrase hits, lexical score).
+def _final_scores(index: ChunkIndex, pairs: DataFrame, features: DataFrame, terms: DataFrame) -> DataFrame:
+    """query_id, chunk_no, whole, best_window, intro, score, hits of pairs (query_id, chunk_no, hits, whole, intro)."""
+    nothing = F.struct(F.lit(0).alias("hits"), F.lit(0.0).alias("score"))
+    rows = pairs.withColumnRenamed("hits", "whole_hits").join(
+        window_scores(index, pairs, features, terms), ["query_id", "chunk_no"], "left").withColumn("window", F.coalesce("window", nothing))
+    best = F.col("window.score")
+    return rows.select(
+        "query_id", "chunk_no", "whole", best.alias("best_window"), "intro",
+        F.round(F.greatest(best, F.col("whole") * 0.75) + F.least(best, F.col("whole")) * 0.2 + F.col("intro"), 6).alias("score"),
+        F.greatest(F.col("whole_hits"), F.col("window.hits")).cast("int").alias("hits"))
+
+
+def lexical_candidates(chunks: DataFrame | ChunkIndex, features: DataFrame, limit: Column | int | None = None, prune: bool = True) -> DataFrame:
+    """Best ``limit`` chunks per query by (phrase hits, lexical score); by default each query's own ``limit`` column.
 
     Columns: query_id, chunk key, score, hits, whole, best_window, intro, lpos.
     """
-    tokens = spread(chunk_tokens(chunks), *CHUNK)
+    index = index_of(chunks)
+    if limit is not None:
+        features = features.withColumn("limit", F.lit(limit) if isinstance(limit, int) else limit)
     terms = cut(weighted_terms(features))
-    pairs = whole_scores(chunks, tokens, features, terms)
+    said = cut(phrase_hits(index, features)) if _has_any(features, "has_quote") else None
+    pairs = _pair_scores(index, features, candidate_pairs(index, features, terms, said, prune))
     if _has_any(features, "(description or role) and size(entity) > 0"):
-        bonus = intro_bonus(tokens, features, entity_intro(tokens, features))
-        pairs = pairs.join(bonus, ["query_id", *CHUNK], "left").withColumn("intro", F.coalesce("intro", F.lit(0.0)))
+        bonus = intro_bonus(index, features, entity_intro(index, features))
+        pairs = pairs.join(bonus, ["query_id", "chunk_no"], "left").withColumn("intro", F.coalesce("intro", F.lit(0.0)))
     else:
         pairs = pairs.withColumn("intro", F.lit(0.0))
     pairs = pairs.withColumn("top", F.col("bound") + F.least("bound", "whole") * 0.2 + F.col("intro")).filter(
         (F.col("hits") > 0) | (F.col("top") >= MIN_SCORE - SLACK))
+    columns = ["query_id", "chunk_no", "hits", "whole", "intro"]
     if prune:
-        pairs = cut(pairs.select("query_id", *CHUNK, "hits", "whole", "intro", "top"))
-        pairs = pairs.withColumn("sure", F.col("whole") * 0.75 + F.col("intro"))
-        kth = top_rows(pairs, ["query_id"], [F.col("hits").desc(), F.col("sure").desc()], limit).groupBy("query_id").agg(
-            F.min(F.struct("hits", "sure")).alias("floor"), F.count("*").alias("_n"))
-        if is_small(features):  # one row per query at most
-            kth = F.broadcast(kth)
-        pairs = pairs.join(kth, "query_id").filter(
-            (F.col("_n") < limit) | (F.col("hits") > F.col("floor.hits"))
-            | ((F.col("hits") == F.col("floor.hits")) & (F.col("top") >= F.col("floor.sure") - SLACK)))
-    pairs = cut(pairs.select("query_id", *CHUNK, "hits", "whole", "intro"))
-    nothing = F.struct(F.lit(0).alias("hits"), F.lit(0.0).alias("score"))
-    scored = pairs.withColumnRenamed("hits", "whole_hits").join(
-        window_scores(chunks, pairs, features, terms), ["query_id", *CHUNK], "left").withColumn(
-        "window", F.coalesce("window", nothing))
-    best = F.col("window.score")
-    scored = scored.select(
-        "query_id", *CHUNK, "whole", best.alias("best_window"), "intro",
-        F.round(F.greatest(best, F.col("whole") * 0.75) + F.least(best, F.col("whole")) * 0.2 + F.col("intro"), 6).alias("score"),
-        F.greatest(F.col("whole_hits"), F.col("window.hits")).cast("int").alias("hits"))
+        extras = cut(_extras(features))
+        pairs = cut(pairs.select(*columns, "top"))
+        pairs = cut(_reaching(pairs, _floors(pairs, extras, F.col("whole") * 0.75 + F.col("intro")), F.col("top")))
+        wave = pairs.join(bounded_broadcast(extras.select("query_id", "limit")), "query_id")
+        wave = cut(top_rows(wave, ["query_id"], [F.desc("hits"), F.desc("top"), F.col("chunk_no")], F.col("limit") * 2).select(*columns))
+        first = cut(_final_scores(index, wave, features, terms))
+        rest = pairs.join(wave.select("query_id", "chunk_no"), ["query_id", "chunk_no"], "left_anti")
+        rest = cut(_reaching(rest, _floors(first, extras, F.col("score")), F.col("top")).select(*columns))
+        scored = first.unionByName(_final_scores(index, rest, features, terms))
+    else:
+        scored = _final_scores(index, cut(pairs.select(*columns)), features, terms)
     kept = scored.filter((F.col("hits") > 0) | (F.col("score") >= MIN_SCORE - SLACK))
-    return top_rows(kept, ["query_id"], [F.col("hits").desc(), F.col("score").desc(), F.col("chunk_id"),
-                                         F.col("source_name")], limit, "lpos")
+    kept = kept.join(index.keys(), "chunk_no").drop("chunk_no").join(bounded_broadcast(features.select("query_id", "limit")), "query_id")
+    best = top_rows(kept, ["query_id"], [F.col("hits").desc(), F.col("score").desc(), F.col("chunk_id"), F.col("source_name")], F.col("limit"), "lpos")
+    return best.select("query_id", *CHUNK, "score", "hits", "whole", "best_window", "intro", "lpos")

@@ -1,4 +1,8 @@
-"""Hybrid retrieval: fusion of vector and lexical candidates, expansion, ranking, contexts."""
+"""Hybrid retrieval: fusion of vector and lexical candidates, expansion, ranking, contexts.
+
+A query asks one corpus (``dataset_id``); sizes, weights, limits, neighbors and ranks are
+those of that corpus. Tables without the column are one corpus.
+"""
 
 from __future__ import annotations
 
@@ -10,8 +14,8 @@ from ..functions import text as T
 from ..plans.scans import top_rows
 from ..plans.sizing import bounded_broadcast
 from ..session import cut
-from .lexical import (CHUNK, FACTS, chunk_tokens, document_frequency, feature_terms, lexical_candidates, pair_score,
-                      query_features, term_weights, unit, variant_features, with_weights)
+from .lexical import (CHUNK, FACTS, QUERY, ChunkIndex, document_frequency, feature_terms, index_of, lexical_candidates, pair_score,
+                      query_features, scoped, term_weights, unit, variant_features, with_weights)
 from .vectors import best_relevance, embed, nearest
 
 TOP_K = 4
@@ -38,15 +42,17 @@ def candidate_limit_value(n: int, top_k: int = TOP_K) -> int:
 def neighbors(seeds: DataFrame, chunks: DataFrame, keys: list[str], window: Column | int = 1) -> DataFrame:
     """Chunks of the same source within ``window`` places of a seed, each once, in seed order.
 
-    ``seeds``: keys, source_name, chunk_index, seed_no. The offsets are spelled
+    ``seeds``: keys, source_name, chunk_index, seed_no. Where both sides have a dataset_id,
+    sources of equal names in different ones are different sources. The offsets are spelled
     out, so the range condition becomes an equi-join on (source, index).
     """
     w = F.lit(window) if isinstance(window, int) else window
-    wanted = seeds.select(*keys, "source_name", "seed_no", F.explode(
+    source = [c for c in ("dataset_id", "source_name") if c in seeds.columns and c in chunks.columns]
+    wanted = seeds.select(*keys, *source, "seed_no", F.explode(
         F.transform(F.sequence(-w, w), lambda o: F.struct((F.col("chunk_index") + o).alias("at"), o.alias("offset")))).alias("p"))
-    first = wanted.groupBy(*keys, "source_name", F.col("p.at").alias("chunk_index")).agg(
+    first = wanted.groupBy(*keys, *source, F.col("p.at").alias("chunk_index")).agg(
         F.min(F.struct("seed_no", "p.offset")).alias("first_seen"))
-    found = chunks.join(bounded_broadcast(first), ["source_name", "chunk_index"])
+    found = chunks.join(bounded_broadcast(first), [*source, "chunk_index"])
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("first_seen"))
     return found.withColumn("place", place).drop("first_seen")
 
@@ -75,27 +81,29 @@ def nearby_support(keys: list[str]) -> Column:
     return F.count("*").over(window) - 1
 
 
-def prepare_queries(queries: DataFrame, chunks: DataFrame, query: str = "query", corpus_size: int | None = None,
+def prepare_queries(queries: DataFrame, chunks: DataFrame | ChunkIndex, query: str = "query", top_k: int = TOP_K,
                     synonyms: dict[str, str] | None = None):
-    """Query and variant features with corpus weights, both as written tables, and the corpus size."""
-    features = cut(query_features(queries, ["query_id"], query, synonyms=synonyms))
+    """The chunk index, and query and variant features with their corpus's weights, both as written tables.
+
+    The query features also have their corpus's ``total`` of chunks and its candidate ``limit``.
+    """
+    index = index_of(chunks)
+    features = cut(query_features(scoped(queries), QUERY, query, synonyms=synonyms))
     parts = cut(variant_features(features, synonyms))
-    total = chunks.count() if corpus_size is None else corpus_size
-    wanted = feature_terms(features, ["query_id"]).select("term").union(
-        feature_terms(parts, ["query_id"]).select("term")).distinct()
-    frequency = document_frequency(chunk_tokens(chunks), wanted)
-    weights = cut(term_weights(wanted, frequency, total))
-    return (cut(with_weights(features, ["query_id"], weights)),
-            cut(with_weights(parts, ["query_id", "variant_no"], weights)), total)
+    wanted = cut(feature_terms(features, QUERY).select("dataset_id", "term").union(
+        feature_terms(parts, [*QUERY, "variant_no"]).select("dataset_id", "term")).distinct())
+    weights = cut(term_weights(wanted, document_frequency(index, wanted), index.sizes))
+    sized = with_weights(features, QUERY, weights).join(bounded_broadcast(index.sizes), "dataset_id", "left").withColumn("total", F.coalesce("total", F.lit(0)))
+    return index, cut(sized.withColumn("limit", candidate_limit(F.col("total"), top_k))), cut(with_weights(parts, [*QUERY, "variant_no"], weights))
 
 
-def vector_candidates(features: DataFrame, vectors: DataFrame, limit: int, embed_fn=None) -> DataFrame:
+def vector_candidates(features: DataFrame, vectors: DataFrame, embed_fn=None) -> DataFrame:
     """Best relevance per (query, chunk) over the query's variants, in first-seen order (vpos).
 
     ``vectors``: chunk key and embedding.
     """
-    variants = features.select("query_id", F.posexplode("variants").alias("variant_no", "variant"))
-    hits = nearest(embed(variants, "variant", embed_fn), ["query_id", "variant_no"], vectors, CHUNK, limit)
+    variants = features.select(*QUERY, "limit", F.posexplode("variants").alias("variant_no", "variant"))
+    hits = nearest(embed(variants, "variant", embed_fn), [*QUERY, "variant_no"], vectors, CHUNK, F.col("limit"), within="dataset_id")
     best = best_relevance(hits, "query_id", CHUNK)
     return best.withColumn("vpos", F.row_number().over(Window.partitionBy("query_id").orderBy("first_seen", *CHUNK))).drop(
         "first_seen")
@@ -112,31 +120,30 @@ def fuse(vector: DataFrame, lexical: DataFrame) -> DataFrame:
         F.coalesce("hits", F.lit(0)).alias("hits"), "vpos", "lpos")
 
 
-def expand(fused: DataFrame, features: DataFrame, limit: int, corpus_size: int, top_k: int = TOP_K,
-           neighbor_window: int | None = None) -> DataFrame:
+def expand(fused: DataFrame, features: DataFrame, top_k: int = TOP_K, neighbor_window: int | None = None) -> DataFrame:
     """Candidates plus the positions around the seeds, with the best seed support of each position."""
-    flags = features.select("query_id", "has_quote", "multi_part", "description", "role")
+    flags = features.select("query_id", "has_quote", "multi_part", "description", "role", "total", "limit")
     rows = fused.join(bounded_broadcast(flags), "query_id")
     first = Window.partitionBy("query_id").orderBy(F.coalesce("lpos", F.lit(1 << 30)), "vpos")
     lead = max(top_k + 2, 6)
-    is_seed = F.when(F.col("has_quote"), F.row_number().over(first) <= max(limit, top_k + 2)).otherwise(
+    is_seed = F.when(F.col("has_quote"), F.row_number().over(first) <= F.greatest(F.col("limit"), F.lit(top_k + 2))).otherwise(
         (F.coalesce("lpos", F.lit(1 << 30)) <= lead) | (F.coalesce("vpos", F.lit(1 << 30)) <= lead))
     seeds = rows.withColumn("_seed", is_seed).filter("_seed")
     wide = F.lit(neighbor_window) if neighbor_window is not None else F.when(
-        F.col("multi_part") | F.lit(corpus_size >= 40) | F.col("description"), 2).otherwise(1)
+        F.col("multi_part") | (F.col("total") >= 40) | F.col("description"), 2).otherwise(1)
     around = seeds.select(
-        "query_id", "source_name", F.greatest("v", "l").alias("support"),
+        *QUERY, "source_name", F.greatest("v", "l").alias("support"),
         F.explode(F.transform(F.sequence(-wide, wide), lambda o: F.col("chunk_index") + o)).alias("chunk_index"))
-    around = around.groupBy("query_id", "source_name", "chunk_index").agg(F.max("support").alias("support"))
-    return rows.drop("has_quote", "multi_part", "description", "role").join(
-        around, ["query_id", "source_name", "chunk_index"], "full_outer").withColumnRenamed("chunk_id", "_candidate")
+    around = around.groupBy(*QUERY, "source_name", "chunk_index").agg(F.max("support").alias("support"))
+    return rows.drop("has_quote", "multi_part", "description", "role", "total", "limit").join(
+        around, [*QUERY, "source_name", "chunk_index"], "full_outer").withColumnRenamed("chunk_id", "_candidate")
 
 
 def rank_candidates(expanded: DataFrame, chunks: DataFrame, features: DataFrame) -> DataFrame:
     """Bonuses, combined score, relevance and global rank of every candidate."""
-    flags = features.select("query_id", "has_quote", "multi_part", "description", "role")
+    flags = features.select("query_id", "has_quote", "multi_part", "description", "role", "total")
     texts = chunks.select(*CHUNK, "content")
-    rows = texts.join(bounded_broadcast(expanded), ["source_name", "chunk_index"]).join(
+    rows = texts.join(bounded_broadcast(expanded), ["dataset_id", "source_name", "chunk_index"]).join(
         bounded_broadcast(flags), "query_id")
     in_expansion = F.col("support").isNotNull()
     only_expansion = in_expansion & F.col("_candidate").isNull()
@@ -164,32 +171,31 @@ def variant_picks(ranked: DataFrame, parts: DataFrame) -> DataFrame:
         "query_id", *CHUNK).agg(F.min("variant_no").alias("slot"))
 
 
-def finish(ranked: DataFrame, picks: DataFrame, corpus_size: int, top_k: int = TOP_K) -> DataFrame:
+def finish(ranked: DataFrame, picks: DataFrame, top_k: int = TOP_K) -> DataFrame:
     """Reserved part picks first, then the global ranking, cut to the query's limit."""
-    limit = F.when(F.col("multi_part") | F.lit(corpus_size >= 40), top_k + 2).otherwise(max(top_k, 6))
+    limit = F.when(F.col("multi_part") | (F.col("total") >= 40), top_k + 2).otherwise(max(top_k, 6))
     order = Window.partitionBy("query_id").orderBy(F.coalesce("slot", F.lit(1 << 30)), "global_rank")
     return ranked.join(picks, ["query_id", *CHUNK], "left").withColumn("rank", F.row_number().over(order)).filter(
-        F.col("rank") <= limit).select("query_id", "rank", "chunk_id", "source_name", "chunk_index", "content",
-                                       F.round("distance", 6).alias("distance"), "relevance")
+        F.col("rank") <= limit).select("query_id", "rank", *CHUNK, "content", F.round("distance", 6).alias("distance"), "relevance")
 
 
-def retrieve(queries: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None, top_k: int = TOP_K,
+def retrieve(queries: DataFrame, chunks: DataFrame | ChunkIndex, vectors: DataFrame | None = None, top_k: int = TOP_K,
              neighbor_window: int | None = None, embed_fn=None, synonyms: dict[str, str] | None = None,
              query: str = "query") -> DataFrame:
-    """Batch hybrid retrieval: queries (query_id, query) against chunks.
+    """Batch hybrid retrieval: queries (query_id, query) against the chunks of their corpora.
 
-    Returns query_id, rank, chunk key, content, distance, relevance.
+    With a ``dataset_id`` on both sides each query only meets the chunks of its own; a query
+    of a corpus without chunks gets none. Returns query_id, rank, chunk key, content, distance, relevance.
     """
-    features, parts, total = prepare_queries(queries, chunks, query, synonyms=synonyms)
-    limit = candidate_limit_value(total, top_k)
+    index, features, parts = prepare_queries(queries, chunks, query, top_k, synonyms)
     if vectors is None:
-        known = ["tokens"] if "tokens" in chunks.columns and embed_fn is None else []
-        vectors = embed(chunks.select(*CHUNK, "content", *known), "content", embed_fn)
-    lexical = lexical_candidates(chunks, features, limit)
-    fused = fuse(vector_candidates(features, vectors, limit, embed_fn), lexical)
-    expanded = expand(fused, features, limit, total, top_k, neighbor_window)
-    ranked = cut(rank_candidates(expanded, chunks, features))
-    return finish(ranked, variant_picks(ranked, parts), total, top_k)
+        known = ["tokens"] if embed_fn is None else []
+        vectors = embed(index.chunks.select(*CHUNK, "content", *known), "content", embed_fn)
+    lexical = lexical_candidates(index, features)
+    fused = fuse(vector_candidates(features, scoped(vectors), embed_fn), lexical)
+    expanded = expand(fused, features, top_k, neighbor_window)
+    ranked = cut(rank_candidates(expanded, index.chunks, features))
+    return finish(ranked, variant_picks(ranked, parts), top_k)
 
 
 # -- contexts -----------------------------------------------------------------------------

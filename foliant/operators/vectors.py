@@ -8,17 +8,22 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import cosine, relevance, search_norm, search_token_set
 from ..plans.scans import top_rows
-from ..plans.sizing import is_small
+from ..plans.sizing import bounded_broadcast, is_small
+from ..session import stored
 
 EMBED_BATCH = 24
 QUERY_BLOCK = 1024
-VECTOR_BLOCK = 65_536
 BROADCAST_VECTORS = 20_000
+#: Items around one pivot, about; more share a pivot in parts of so many. Pivots are broadcast.
+PIVOT_BLOCK, MOST_PIVOTS = 4096, 4096
+#: Distances are rounded to six places, squared ones before their root is taken.
+ROUNDING = 1e-6
 
 
 # -- embedding slot -------------------------------------------------------------------------
@@ -113,7 +118,8 @@ def _best_of(matrix: np.ndarray, items: pd.DataFrame, queries: np.ndarray, keys:
         rows, cols = rows[best], cols[best]
     else:
         rows, cols = np.indices(gaps.shape).reshape(2, -1)
-    out = pd.concat([keys.iloc[rows].reset_index(drop=True), items.iloc[cols].reset_index(drop=True)], axis=1)
+    own = [c for c in keys.columns if c not in items.columns]
+    out = pd.concat([keys[own].iloc[rows].reset_index(drop=True), items.iloc[cols].reset_index(drop=True)], axis=1)
     out["distance"] = gaps[rows, cols]
     return out
 
@@ -122,54 +128,129 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), dtype="float64")
 
 
-def nearest(queries: DataFrame, query_cols: list[str], items: DataFrame, item_cols: list[str], k: int,
+def _near(matrix: np.ndarray, items: pd.DataFrame, queries: np.ndarray, keys: pd.DataFrame, limits: np.ndarray, within: str | None) -> pd.DataFrame:
+    """As ``_best_of`` with a limit per query; with ``within`` a query meets only items that share that key's value."""
+    parts = []
+    groups = [(np.arange(len(items)), np.arange(len(keys)))] if within is None else [
+        (np.flatnonzero((items[within] == value).to_numpy()), np.flatnonzero((keys[within] == value).to_numpy())) for value in items[within].unique()]
+    for own, asked in groups:
+        for start in range(0, len(asked), QUERY_BLOCK):
+            part = asked[start:start + QUERY_BLOCK]
+            block = _best_of(matrix[own], items.iloc[own].reset_index(drop=True), queries[part], keys.iloc[part].reset_index(drop=True), int(limits[part].max()))
+            parts.append(block)
+    return pd.concat(parts) if parts else pd.DataFrame()
+
+
+#: Key and distances of an item's or a query's pivots.
+_TO_PIVOT = "pivot int, gap double"
+
+
+def _to_pivots(pivots, vector: str, nearest_only: bool):
+    """Adds to each row its nearest pivot and the distance to it, or the distances to all pivots."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        centers = pivots.value
+        for batch in batches:
+            if batch.empty:
+                continue
+            points = _matrix(batch[vector])
+            gaps = np.sqrt(np.maximum((points * points).sum(1)[:, None] + (centers * centers).sum(1) - 2.0 * points @ centers.T, 0.0))
+            if nearest_only:
+                yield batch.assign(pivot=gaps.argmin(axis=1).astype("int32"), gap=gaps.min(axis=1))
+            else:
+                yield batch.assign(gaps=gaps.tolist())
+    return run
+
+
+def _by_pivots(q: DataFrame, v: DataFrame, query_cols: list[str], item_cols: list[str], within: str | None, columns: list[str], schema: str) -> DataFrame:
+    """Partial nearest lists of many queries: items in blocks around pivots, (query, block) pairs ruled out by the triangle inequality.
+
+    Items are dealt to their nearest of about |items| / PIVOT_BLOCK pivots, at most MOST_PIVOTS.
+    A query first meets the nearest blocks that together hold its limit (of its corpus); its
+    worst distance there is a radius, and it goes on only to blocks whose pivot is no farther
+    than that radius plus the block's own. Blocks and the queries that want them are cut into
+    parts of PIVOT_BLOCK items and QUERY_BLOCK queries, of which each pair is one group.
+    """
+    spark = v.sparkSession
+    count = v.count()
+    wanted = min(MOST_PIVOTS, max(1, math.ceil(count / PIVOT_BLOCK)))
+    chosen = v.orderBy(F.xxhash64(*item_cols), *item_cols).limit(wanted).select("i_vector").collect()
+    if not chosen:
+        return spark.createDataFrame([], schema)
+    pivots = spark.sparkContext.broadcast(np.array([r[0] for r in chosen], dtype="float64"))
+    corpus = [within] if within else []
+    names = lambda df, drop=(): ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name not in drop)
+    dealt = stored(v.mapInPandas(_to_pivots(pivots, "i_vector", True), f"{names(v)}, {_TO_PIVOT}"))
+    blocks = dealt.groupBy(*corpus, "pivot").agg(F.max("gap").alias("radius"), F.count("*").alias("n"))
+    asked = stored(q.mapInPandas(_to_pivots(pivots, "q_vector", False), f"{names(q)}, gaps array<double>"))
+    pairs = asked.select(*query_cols, "k", F.posexplode("gaps").alias("pivot", "away")).join(F.broadcast(blocks), [*corpus, "pivot"])
+    order = Window.partitionBy(*query_cols).orderBy(F.col("away") + F.col("radius"), "pivot")
+    pairs = stored(pairs.withColumn("before", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
+
+    def met(own: DataFrame) -> DataFrame:
+        part = lambda cols, n, size: F.pmod(F.xxhash64(*cols), F.greatest(F.lit(1), F.ceil(F.col(n) / size)))
+        sizes = own.groupBy(*corpus, "pivot").agg(F.count("*").alias("queries"), F.first("n").alias("n"))
+        known = lambda: F.broadcast(sizes.toDF(*sizes.columns))  # each side of the cogroup needs columns of its own
+        meeting = own.select(*query_cols, "pivot").join(asked.drop("gaps"), query_cols).join(known(), [*corpus, "pivot"])
+        meeting = meeting.withColumn("qp", part(query_cols, "queries", QUERY_BLOCK)).withColumn(
+            "ip", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / PIVOT_BLOCK) - 1)))
+        items = dealt.join(known(), [*corpus, "pivot"]).withColumn("ip", part(item_cols, "n", PIVOT_BLOCK)).withColumn(
+            "qp", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("queries") / QUERY_BLOCK) - 1)))
+        key = [*corpus, "pivot", "ip", "qp"]
+
+        def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            if left.empty or right.empty:
+                return pd.DataFrame(columns=columns)
+            return _near(_matrix(right["i_vector"]), right[item_cols], _matrix(left["q_vector"]), left[query_cols], left["k"].to_numpy(), None)[columns]
+
+        return meeting.groupBy(*key).cogroup(items.groupBy(*key)).applyInPandas(meet, schema)
+
+    near = F.col("before") < F.col("k")
+    first = stored(met(pairs.filter(near)))
+    ordered = Window.partitionBy(*query_cols).orderBy("distance")
+    worst = first.join(asked.select(*query_cols, "k"), query_cols).withColumn("_n", F.row_number().over(ordered)).filter("_n = k")
+    worst = worst.select(*query_cols, F.sqrt(F.col("distance") + ROUNDING).alias("reach"))
+    rest = pairs.filter(~near).join(worst, query_cols, "left").filter(
+        F.col("reach").isNull() | (F.col("away") - F.col("radius") <= F.col("reach") + ROUNDING))
+    return first.unionByName(met(rest))
+
+
+def nearest(queries: DataFrame, query_cols: list[str], items: DataFrame, item_cols: list[str], k: int | Column,
             query_vector: str = "embedding", item_vector: str = "embedding",
-            broadcast_vectors: int = BROADCAST_VECTORS) -> DataFrame:
-    """Exact ``k`` nearest items of every query by squared distance.
+            broadcast_vectors: int = BROADCAST_VECTORS, within: str | None = None) -> DataFrame:
+    """Exact ``k`` nearest items of every query by squared distance; ``k`` may be a column of the queries.
 
-    Few queries (counted first): they travel to the items as one matrix, each task
-    keeps only its own best ``k`` per query, and those partial lists are merged.
-    Many queries: queries and items are cut into blocks, each pair of blocks meets
-    in one bounded group, again keeping only partial lists. Never all pairs.
+    ``within``: a key of both sides; a query meets only items of its own value of it.
+    Few queries (counted first) travel to the items as one matrix, each task keeps only its
+    own best per query, and those partial lists are merged. Many meet the items in blocks
+    around pivots, most of which are ruled out before the shuffle (``_by_pivots``). No pair table exists in either case.
     """
-    q = queries.select(*query_cols, F.col(query_vector).alias("q_vector"))
+    limit = F.lit(k) if isinstance(k, int) else k
+    q = stored(queries.select(*query_cols, limit.cast("int").alias("k"), F.col(query_vector).alias("q_vector")))
     v = items.select(*item_cols, F.col(item_vector).alias("i_vector"))
-    schema = ", ".join(
-        [f"`{f.name}` {f.dataType.simpleString()}" for f in [*q.schema.fields, *v.schema.fields]
-         if f.name not in ("q_vector", "i_vector")] + ["distance double"])
-    columns = [*query_cols, *item_cols, "distance"]
+    columns = [*[c for c in query_cols if c not in item_cols], *item_cols, "distance"]
+    kinds = {f.name: f.dataType.simpleString() for f in [*q.schema.fields, *v.schema.fields]} | {"distance": "double"}
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns)
     if is_small(q, broadcast_vectors):
         local = q.toPandas()
-        shared = q.sparkSession.sparkContext.broadcast((local[query_cols], _matrix(local["q_vector"])))
+        shared = q.sparkSession.sparkContext.broadcast((local[query_cols], local["k"].to_numpy(), _matrix(local["q_vector"])))
 
         def scan(batches):
-            keys, matrix = shared.value
+            keys, limits, matrix = shared.value
             for batch in batches:
-                if len(batch) == 0 or len(keys) == 0:
-                    continue
-                block, ids = _matrix(batch["i_vector"]), batch[item_cols]
-                for start in range(0, len(keys), QUERY_BLOCK):
-                    part = slice(start, start + QUERY_BLOCK)
-                    yield _best_of(block, ids, matrix[part], keys.iloc[part], k)[columns]
+                if len(batch) and len(keys):
+                    out = _near(_matrix(batch["i_vector"]), batch[item_cols], matrix, keys, limits, within)
+                    if len(out):
+                        yield out[columns]
 
         partial = v.mapInPandas(scan, schema)
     else:
-        q_blocks = max(1, math.ceil(q.count() / QUERY_BLOCK))
-        v_blocks = max(1, math.ceil(v.count() / VECTOR_BLOCK))
-        qb = (q.withColumn("qb", F.pmod(F.xxhash64(*query_cols), F.lit(q_blocks)))
-              .withColumn("vb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(v_blocks - 1).cast("long")))))
-        vb = (v.withColumn("vb", F.pmod(F.xxhash64(*item_cols), F.lit(v_blocks)))
-              .withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long")))))
-
-        def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            if left.empty or right.empty:
-                return pd.DataFrame(columns=columns)
-            return _best_of(_matrix(right["i_vector"]), right[item_cols], _matrix(left["q_vector"]),
-                            left[query_cols], k)[columns]
-
-        partial = qb.groupBy("qb", "vb").cogroup(vb.groupBy("qb", "vb")).applyInPandas(meet, schema)
+        partial = _by_pivots(q, stored(v), query_cols, item_cols, within, columns, schema)
     order = [F.col("distance"), *[F.col(c) for c in item_cols]]
-    return top_rows(partial, query_cols, order, k).withColumn("relevance", relevance("distance"))
+    if isinstance(k, int):
+        best = top_rows(partial, query_cols, order, k)
+    else:
+        best = top_rows(partial.join(bounded_broadcast(q.select(*query_cols, "k")), query_cols), query_cols, order, F.col("k")).drop("k")
+    return best.withColumn("relevance", relevance("distance"))
 
 
 def best_relevance(hits: DataFrame, query: str, item_cols: list[str]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,18 +35,29 @@ def build_session(app_name: str = "foliant", master: str | None = None, **conf)
     return builder.getOrCreate()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage through a reliable checkpoint in the cluster's shared folder.
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's shared folder, ``spark.checkpoint.dir`` of the session.
 
-    The folder is the session's ``spark.checkpoint.dir``. Where none is named, a private
-    folder is made if driver and executors are one process, as in tests; on a cluster
-    that is an error, since executors would not see each other's files.
+    Where none is named, a private folder is made if driver and executors are one process,
+    as in tests; on a cluster that is an error, since executors would not see each other's files.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and context.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut lineage through a reliable checkpoint in the cluster's shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the cluster's shared folder: cuts lineage as well, and readers take only the columns they need."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

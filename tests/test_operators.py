@@ -115,8 +115,8 @@ def test_pruning_never_changes_candidates(spark):
                                    "chunk_id string, source_name string, chunk_index int, content string")
     queries = spark.createDataFrame([(i, " ".join(rng.sample(words, 6))) for i in range(6)] + [(9, 'what "w1x w2x w3x" and w4x')],
                                     "query_id int, query string")
-    features, _, _ = H.prepare_queries(queries, chunks)
-    rows = lambda prune: sorted(map(tuple, L.lexical_candidates(chunks, features, 5, prune).select(
+    index, features, _ = H.prepare_queries(queries, chunks)
+    rows = lambda prune: sorted(map(tuple, L.lexical_candidates(index, features, 5, prune).select(
         "query_id", "chunk_id", "lpos", "score", "hits").collect()))
     assert rows(True) == rows(False) and len(rows(True)) > 20
 
