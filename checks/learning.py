@@ -12,6 +12,7 @@ from foliant.functions import lists as LI
 from foliant.functions import text as T
 from foliant.operators import answer as A
 from foliant.operators import grade as G
+from foliant.operators import prompts as P
 from foliant.operators import questions as Q
 from foliant.operators import retrieve as H
 from foliant.session import cut
@@ -322,12 +323,62 @@ def item_chunks(spark, d, c):
 
 
 def _graded(spark, d, responses=None):
-    """Every attempt, with its whole document as evidence; one whose document has no chunk is graded without."""
+    """Every attempt, with its whole document as evidence; one whose document has no chunk, with what its question retrieves."""
     c = S.stored_chunks(spark, d)
     a = cut(attempts(spark, d).join(item_chunks(spark, d, c), "item_id", "left"))
     return G.grade(a, G.grading_contexts(a, c), responses)
 
 
+def _embedded(name, source):
+    """CTE name: key and x, the offline embedding of the texts of ``source`` (key, text)."""
+    tokens = S.search_tokens(S.search_norm("text"))
+    return f"""{name}_t AS (SELECT key, unnest(list_distinct({tokens})) AS term FROM (SELECT key, text, {S.search_norm('text')} AS norm FROM {source})),
+{name}_c AS (SELECT key, CAST('0x' || substr(md5(term), 1, 4) AS INTEGER) % 64 AS b, count(*) AS c FROM {name}_t GROUP BY ALL),
+{name} AS (SELECT key, b, c / sqrt(sum(c * c) OVER (PARTITION BY key)) AS x FROM {name}_c)"""
+
+
+_LINES = r"list_filter(list_transform(regexp_split_to_array(d.text, '\r\n|\r|\n'), lambda s: " + S.strip("s") + "), lambda s: s <> '')"
+
+
+@register("m18_answer_similarities", f"""
+WITH {_ATTEMPTS}, docs AS (SELECT b.item_id, b.text AS reference, unnest(list_distinct({S.sentences("array_to_string(" + _LINES + ", ' ')", 20)})) AS sentence FROM benchmark b JOIN documents d ON d.doc_id = b.item_id),
+marked AS (SELECT item_id, sentence, round(len(list_intersect({sql_content_terms("'What is said here?'")}, {sql_content_terms('sentence')})) * 1.35 + len(list_intersect({sql_content_terms('reference')}, {sql_content_terms('sentence')})) * 1.1, 6) AS score FROM docs),
+best AS (SELECT item_id, sentence FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, sentence DESC) AS r FROM marked WHERE score > 0) WHERE r <= 3),
+texts AS (SELECT DISTINCT text AS key, text FROM (SELECT {S.sq('given')} AS text FROM att UNION ALL SELECT reference FROM att UNION ALL SELECT sentence FROM best)),
+{_embedded('v', 'texts')},
+said AS (SELECT attempt_id, item_id, {S.sq('given')} AS answer, reference FROM att WHERE {S.sq('given')} <> ''),
+pairs AS (SELECT attempt_id, 0 AS kind, answer AS a, reference AS b FROM said UNION ALL SELECT attempt_id, 1, answer, sentence FROM said JOIN best USING (item_id) UNION ALL SELECT attempt_id, 2, reference, sentence FROM said JOIN best USING (item_id)),
+dots AS (SELECT attempt_id, kind, p.a, p.b, coalesce(sum(l.x * r.x), 0) AS dot FROM pairs p LEFT JOIN v l ON l.key = p.a LEFT JOIN v r ON r.key = p.b AND r.b = l.b GROUP BY ALL)
+SELECT attempt_id, coalesce(round(max(dot) FILTER (kind = 0), 6), 0) AS similarity, coalesce(round(max(dot) FILTER (kind = 1), 6), 0) AS evidence_similarity, coalesce(round(max(dot) FILTER (kind = 2), 6), 0) AS reference_similarity
+FROM att LEFT JOIN dots USING (attempt_id) WHERE item_id IN (SELECT doc_id FROM documents) GROUP BY 1""")
+def m18s(spark, d):
+    """Cosines of answers, references and best evidence, with the item's document as context."""
+    docs = S.table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("context"))
+    a = attempts(spark, d).join(docs, "item_id").withColumn("question", F.lit("What is said here?"))
+    out = G.grade(a.drop("context"), a.select("attempt_id", "context"))
+    return out.select("attempt_id", *[F.round(c, 6).alias(c) for c in ("similarity", "evidence_similarity", "reference_similarity")])
+
+
+@register("m30_prompts", f"""
+WITH {_ATTEMPTS} SELECT 'grading' AS kind, attempt_id AS id, 'Question: What is said?' || chr(10) || chr(10) || 'Context:' || chr(10) || d.text || chr(10) || chr(10) || 'Reference answer: ' || reference
+  || chr(10) || chr(10) || 'Student''s answer: ' || given AS prompt FROM att JOIN documents d ON d.doc_id = att.item_id
+UNION ALL SELECT 'retry', item_id, 'Question: ' || b.text || chr(10) || chr(10) || 'Excerpts:' || chr(10) || d.text || chr(10) || chr(10) || 'Answer in one or two sentences.' FROM benchmark b JOIN documents d ON d.doc_id = b.item_id WHERE item_id % 2 = 0
+UNION ALL SELECT 'question', doc_id, 'Asked before:' || chr(10) || CASE WHEN source = 'src1' THEN '- Why?' || chr(10) || '- Who?' ELSE '- none' END || chr(10) || chr(10) || 'Passage:' || chr(10) || '[chunk_id=' || doc_id || ' | source=' || source || ']' || chr(10) || text FROM documents""")
+def m30(spark, d):
+    docs = S.table(spark, d, "documents")
+    texts = docs.select(F.col("doc_id").alias("item_id"), F.col("text").alias("context"))
+    a = attempts(spark, d).join(texts, "item_id").withColumn("question", F.lit("What is said?"))
+    grading = P.grading_prompts(a.drop("context"), a.select("attempt_id", "context"))
+    b = S.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    parsed = A.parse_responses(b.select("query_id", F.when(F.pmod("query_id", F.lit(2)) == 0, "No JSON at all here.").otherwise('{"status":"supported","answer":"Yes indeed.","evidence_ids":[]}').alias("raw_text")))
+    retry = P.retry_prompts(b, texts.withColumnRenamed("item_id", "query_id"), parsed)
+    recent = spark.createDataFrame([("src1", "Who?", 2), ("src1", "Why?", 1)], "dataset_id string, question string, age int")
+    chunks = docs.select(F.col("source").alias("dataset_id"), F.col("doc_id").alias("chunk_id"), F.col("source").alias("source_name"), F.col("text").alias("content"))
+    made = P.question_prompts(chunks, recent)
+    shown = lambda kind, rows: rows.select(F.lit(kind).alias("kind"), F.col("query_id").cast("long").alias("id"), "prompt")
+    return shown("grading", grading).unionByName(shown("retry", retry)).unionByName(shown("question", made))
+
+
 @register("m15_m18_j15_graded_answers")
 def m18(spark, d):
     return _graded(spark, d).select("attempt_id", "score", "feedback", "floor")

@@ -11,19 +11,34 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions import lists
 from ..functions import text as T
-from .retrieve import excerpt_block, joined_blocks, neighbors
+from ..plans.sizing import spread
+from ..session import cut, stored
+from .lexical import ChunkIndex
+from .retrieve import build_context, excerpt_block, joined_blocks, neighbors, retrieve
+from .vectors import embed
 
-# the lowest ratio any grading rule looks at
-LEAST_RATIO = 0.5
+#: The lowest ratios that any grading rule looks at: of an answer to its reference, and to evidence.
+LEAST_RATIO, LEAST_EVIDENCE_RATIO = 0.5, 0.82
 
 
 def _ratios(lefts: pd.Series, rights: pd.Series) -> pd.Series:
-    """Matching-block ratio of each pair; pairs that cannot reach the lowest threshold score 0."""
-    def one(a: str, b: str) -> float:
-        if not a or not b or 2 * min(len(a), len(b)) / (len(a) + len(b)) < LEAST_RATIO:
+    """Matching-block ratio of each pair of texts, the first of a row being answer and reference.
+
+    A pair that can't reach the lowest ratio that counts for it, by its lengths or by the
+    characters that both texts have, scores 0 without being matched.
+    """
+    def one(a: str, b: str, least: float) -> float:
+        if not a or not b or 2 * min(len(a), len(b)) < least * (len(a) + len(b)):
             return 0.0
-        return 1.0 if a == b else SequenceMatcher(None, a, b).ratio()
-    return pd.Series([[one(a, b) for a, b in zip(x, y)] for x, y in zip(lefts, rights)])
+        if a == b:
+            return 1.0
+        match = SequenceMatcher(None, a, b)
+        return match.ratio() if match.quick_ratio() >= least else 0.0
+
+    def of_row(x, y) -> list[float]:
+        return [one(a, b, LEAST_EVIDENCE_RATIO if k else LEAST_RATIO) for k, (a, b) in enumerate(zip(x, y, strict=True))]
+
+    return pd.Series([of_row(x, y) for x, y in zip(lefts, rights, strict=True)])
 
 
 sequence_ratios = F.pandas_udf(_ratios, ArrayType(DoubleType()))
@@ -74,13 +89,10 @@ def context_sentences(context) -> Column:
     return F.array_distinct(T.sentences(F.array_join(lines, " "), 20))
 
 
-def best_evidence(question_terms, reference_terms, context, limit: int = 3) -> Column:
-    """Sentences sharing most with question and reference, best first, ties by text descending."""
-    def scored(s):
-        own = T.content_terms(s)
-        return T.let(own, lambda t: F.struct(
-            F.round(T.overlap(question_terms, t) * 1.35 + T.overlap(reference_terms, t) * 1.1, 6).alias("score"), s.alias("sentence")))
-    ranked = F.reverse(F.array_sort(F.filter(F.transform(context_sentences(context), scored), lambda r: r["score"] > 0)))
+def best_evidence(question_terms, reference_terms, sentences, limit: int = 3) -> Column:
+    """Of sentences (array of sentence and terms) those sharing most with question and reference, best first, ties by text descending."""
+    scored = lambda s: F.struct(F.round(T.overlap(question_terms, s["terms"]) * 1.35 + T.overlap(reference_terms, s["terms"]) * 1.1, 6).alias("score"), s["sentence"].alias("sentence"))
+    ranked = F.reverse(F.array_sort(F.filter(F.transform(T.col(sentences), scored), lambda r: r["score"] > 0)))
     return F.transform(F.slice(ranked, 1, limit), lambda r: r["sentence"])
 
 
@@ -160,33 +172,91 @@ def _whole_score(x) -> Column:
     return F.when(T.col(x).isNull(), 0).otherwise(exact)
 
 
-def grading_contexts(attempts: DataFrame, chunks: DataFrame, window: int = 2) -> DataFrame:
-    """Context text per attempt from its question's chunks and their neighbors."""
-    wanted = attempts.select("attempt_id", F.posexplode("source_chunk_ids").alias("seed_no", "chunk_id"))
-    place = chunks.select("chunk_id", "source_name", "chunk_index", "content")
-    seeds = wanted.join(place.drop("content"), "chunk_id")
-    near = neighbors(seeds.drop("chunk_id"), place, ["attempt_id"], window).withColumnRenamed("attempt_id", "query_id")
-    return joined_blocks(near, "place", excerpt_block("place", "chunk_id", "source_name", "content")).withColumnRenamed("query_id", "attempt_id")
-
-
-def grade(attempts: DataFrame, contexts: DataFrame, responses: DataFrame | None = None) -> DataFrame:
-    """attempt_id, score, feedback, floor. Everything after the context join is row-local.
+def grading_contexts(attempts: DataFrame, chunks: DataFrame | ChunkIndex, window: int = 2, **retrieval) -> DataFrame:
+    """Context text per attempt: its question's chunks and their neighbors, or, without any of these, what its question retrieves.
 
-    ``attempts``: attempt_id, question, model_answer, user_answer and optionally
-    similarity, evidence_similarity, reference_similarity (0 without embeddings).
-    ``responses``: attempt_id, status fields score and feedback of a model, optional.
+    ``retrieval``: options of ``retrieve`` for the latter; with a ``dataset_id`` on both sides a question stays in its corpus.
+    Attempts on the same chunks, and those that ask the same, share one context, which is built once.
+    """
+    table = chunks.chunks if isinstance(chunks, ChunkIndex) else chunks
+    place = table.select("chunk_id", *[c for c in ("dataset_id",) if c in table.columns], "source_name", "chunk_index", "content")
+    ids = F.coalesce("source_chunk_ids", F.array().cast("array<string>")) if "source_chunk_ids" in attempts.columns else F.array().cast("array<string>")
+    rows = attempts.withColumn("_ids", ids).withColumn("_key", F.sha2(F.to_json("_ids"), 256))
+    wanted = rows.filter(F.size("_ids") > 0).select("_key", "_ids").dropDuplicates(["_key"]).select(F.col("_key").alias("query_id"), F.posexplode("_ids").alias("seed_no", "chunk_id"))
+    seeds = wanted.join(place.drop("content"), "chunk_id").drop("chunk_id")
+    near = neighbors(seeds, place, ["query_id"], window)
+    block = excerpt_block("place", "chunk_id", "source_name", "content")
+    own = cut(joined_blocks(near, "place", block).withColumnRenamed("query_id", "_key"))
+    placed = cut(rows.join(own, "_key", "left"))
+    corpus = [c for c in ("dataset_id",) if c in rows.columns]
+    open_ = placed.filter("context is null").withColumn("_key", F.sha2(F.to_json(F.struct(*corpus, "question")), 256))
+    if not open_.isEmpty():
+        asked = open_.select(F.col("_key").alias("query_id"), *corpus, F.col("question").alias("query")).dropDuplicates(["query_id"])
+        found = retrieve(asked, chunks, **retrieval)
+        found = build_context(found).withColumnRenamed("query_id", "_key")
+        open_ = open_.drop("context").join(found, "_key", "left")
+    return placed.filter("context is not null").select("attempt_id", "context").unionByName(open_.filter("context is not null").select("attempt_id", "context"))
+
+
+def graded_items(attempts: DataFrame, contexts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(attempts with ``item``, items with their best evidence and context terms).
+
+    An item is a question, a reference answer and a context; what depends on these alone is
+    computed once for all attempts on it, and what depends on the context once for all items.
     """
+    key = lambda *c: F.sha2(F.to_json(F.struct(*c)), 256)
     rows = attempts.join(contexts, "attempt_id", "left").withColumn("context", F.coalesce("context", F.lit("")))
-    for name in ("similarity", "evidence_similarity", "reference_similarity"):
+    rows = rows.withColumn("_context", F.sha2("context", 256))
+    rows = stored(rows.withColumn("item", key("question", "model_answer", "_context")))
+    texts = rows.select("_context", "context").dropDuplicates(["_context"])
+    sentence = lambda s: F.struct(s.alias("sentence"), T.content_terms(s).alias("terms"))
+    texts = stored(spread(texts, "_context").select("_context", T.content_terms("context").alias("ct"), T.word_set(T.question_norm("context")).alias("cw"),
+                                                   F.transform(context_sentences("context"), sentence).alias("sentences")))
+    items = rows.select("item", "question", "model_answer", "_context").dropDuplicates(["item"])
+    items = items.withColumn("rq", T.quoted_content("model_answer")).withColumn("rt", T.content_terms("model_answer")).withColumn("qt", T.content_terms("question"))
+    items = items.withColumn("rqt", F.when(F.col("rq") != "", T.content_terms("rq")).otherwise(F.col("rt")))
+    items = items.join(texts, "_context").withColumn("evidence", best_evidence(F.col("qt"), F.col("rqt"), F.col("sentences")))
+    kept = ["item", "rt", "rqt", "ct", "cw", "evidence"]
+    return rows.drop("context", "_context"), stored(items.select(*kept))
+
+
+def answer_similarities(attempts: DataFrame, items: DataFrame, embed_fn=None) -> DataFrame:
+    """attempt_id and the cosines of answer and reference, and the best ones of each with the item's evidence.
+
+    Every distinct text is embedded once, known by its hash, and its vector joined in where the text stands.
+    """
+    texts = attempts.join(items.select("item", "evidence"), "item").select(
+        "attempt_id", T.squeeze(F.coalesce("user_answer", F.lit(""))).alias("answer"), F.col("model_answer").alias("reference"), "evidence")
+    texts = texts.filter("answer != ''")
+    roles = F.concat(F.array(F.struct(F.lit("answer").alias("role"), F.col("answer").alias("text")), F.struct(F.lit("reference").alias("role"), F.col("reference").alias("text"))),
+                     F.transform("evidence", lambda e: F.struct(F.lit("evidence").alias("role"), e.alias("text"))))
+    said = cut(texts.select("attempt_id", F.explode(roles).alias("r")).select("attempt_id", "r.role", F.coalesce("r.text", F.lit("")).alias("text")).withColumn("hash", F.sha2("text", 256)))
+    vectors = embed(said.select("hash", "text").dropDuplicates(["hash"]), "text", embed_fn)
+    placed = said.select("attempt_id", "role", "hash").join(vectors, "hash")
+    one = lambda role: placed.filter(F.col("role") == role).select("attempt_id", F.col("embedding").alias(role))
+    rows = one("answer").join(one("reference"), "attempt_id").join(one("evidence"), "attempt_id", "left")
+    best = lambda left: F.coalesce(F.max(T.cosine(left, "evidence")), F.lit(0.0))
+    return rows.groupBy("attempt_id").agg(F.max(T.cosine("answer", "reference")).alias("similarity"), best("answer").alias("evidence_similarity"), best("reference").alias("reference_similarity"))
+
+
+def grade(attempts: DataFrame, contexts: DataFrame, responses: DataFrame | None = None, embed_fn=None, embedded: bool = True) -> DataFrame:
+    """attempt_id, score, feedback, floor, and the similarities that the floors saw.
+
+    ``attempts``: attempt_id, question, model_answer, user_answer; with all of similarity,
+    evidence_similarity and reference_similarity these are taken as they are. Otherwise they
+    are computed by ``embed_fn`` (the offline embedding without one), or are 0 with ``embedded=False``.
+    ``responses``: attempt_id, status fields score and feedback of a model, optional.
+    """
+    similar = ["similarity", "evidence_similarity", "reference_similarity"]
+    attempts, items = graded_items(attempts, contexts)
+    if embedded and not set(similar) <= set(attempts.columns):
+        attempts = attempts.drop(*similar).join(answer_similarities(attempts, items, embed_fn), "attempt_id", "left")
+    rows = attempts.join(items, "item")
+    for name in similar:
         rows = rows.withColumn(name, F.coalesce(F.col(name), F.lit(0.0)) if name in attempts.columns else F.lit(0.0))
-    rows = rows.withColumn("user", T.squeeze(F.coalesce("user_answer", F.lit(""))))
-    rows = rows.withColumn("un", T.grading_norm("user")).withColumn("rn", T.grading_norm("model_answer"))
-    rows = rows.withColumn("ut", T.content_terms("user")).withColumn("rt", T.content_terms("model_answer")).withColumn(
-        "ct", T.content_terms("context")).withColumn("qt", T.content_terms("question"))
-    rows = rows.withColumn("rq", T.quoted_content("model_answer"))
-    rows = rows.withColumn("rqt", F.when(F.col("rq") != "", T.content_terms("rq")).otherwise(F.col("rt")))
-    rows = rows.withColumn("evidence", F.when(F.col("un") != "", best_evidence(F.col("qt"), F.col("rqt"), F.col("context"))).otherwise(
-        F.array().cast("array<string>")))
+    rows = spread(rows, "attempt_id").withColumn("user", T.squeeze(F.coalesce("user_answer", F.lit(""))))
+    rows = rows.withColumn("un", T.grading_norm("user")).withColumn("rn", T.grading_norm("model_answer")).withColumn("ut", T.content_terms("user"))
+    rows = rows.withColumn("evidence", F.when(F.col("un") != "", F.col("evidence")).otherwise(F.array().cast("array<string>")))
     rows = rows.withColumn("en", F.transform("evidence", T.grading_norm)).withColumn("et", F.transform("evidence", lambda e: T.content_terms(e)))
     rows = rows.withColumn("eq", F.transform("evidence", T.quoted_content))
     rows = rows.withColumn("eqn", F.transform("eq", T.grading_norm)).withColumn("eqt", F.transform("eq", lambda e: T.content_terms(e)))
@@ -226,7 +296,7 @@ def grade(attempts: DataFrame, contexts: DataFrame, responses: DataFrame | None
     if responses is not None:
         words = lambda c: T.word_set(T.question_norm(c))
         share_of = lambda a, b, whole: T.overlap(a, b).cast("double") / F.greatest(F.size(whole), F.lit(1))
-        blend = blended_similarity(sim, ev, share_of(words("context"), words("user"), words("user")),
+        blend = blended_similarity(sim, ev, share_of(F.col("cw"), words("user"), words("user")),
                                    share_of(words("model_answer"), words("user"), words("model_answer")))
         rows = rows.join(responses.select("attempt_id", _whole_score("score").alias("_given"), T.squeeze(
             F.coalesce("feedback", F.lit(""))).alias("_said")), "attempt_id", "left").withColumn("_fallback", similarity_score(blend))
@@ -237,4 +307,4 @@ def grade(attempts: DataFrame, contexts: DataFrame, responses: DataFrame | None
         raised = usable_ & open_ & (clamped == F.col("floor")) & (clamped > F.col("_given"))
         rows = rows.withColumn("_final", final).withColumn("feedback", F.when(open_ & usable_ & ~raised, F.col("_said")).when(
             open_, rubric("_final")).otherwise(F.col("feedback"))).withColumn("score", F.col("_final"))
-    return rows.select("attempt_id", F.col("score").cast("int").alias("score"), "feedback", "model_answer", F.col("floor").cast("int").alias("floor"))
+    return rows.select("attempt_id", F.col("score").cast("int").alias("score"), "feedback", "model_answer", F.col("floor").cast("int").alias("floor"), *similar)

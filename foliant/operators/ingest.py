@@ -9,8 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import col, corpus_clean, strip
+from ..functions.text import col, corpus_clean, let, strip
 from ..plans.scans import top_rows
+from ..plans.sizing import bounded_broadcast
+from ..session import cut, stored
 
 CHUNK_SIZE = 1100
 CHUNK_OVERLAP = 220
@@ -76,6 +78,45 @@ def dataset_ids(sources: DataFrame, corpus: str = "corpus") -> DataFrame:
     return ordered.mapInPandas(feed, "corpus string, dataset_id string, source_count long")
 
 
+#: Entries of one run of a change key, about; a run is one row's work.
+RUN = 1024
+
+
+def change_keys(entries: DataFrame, corpus: str = "corpus", run: int = RUN) -> DataFrame:
+    """corpus, change_key, entry_count: equal keys mean equal multisets of entries (all other columns).
+
+    Entries are hashed each for itself and fall into runs by the first hexadecimal digits of
+    their hashes, as many digits as leave about ``run`` entries to a run. A run's digest is
+    that of its sorted hashes; digests of runs are brought together in the same way, two
+    digits at a time, down to one per corpus. So a corpus of any size spreads over many tasks, unlike the
+    dataset id, which is defined over one ordered byte sequence.
+    """
+    body = F.to_json(F.struct(*[F.col(c) for c in entries.columns if c != corpus]), {"ignoreNullFields": "false"})
+    hashed = entries.select(F.col(corpus).alias("corpus"), F.sha2(body, 256).alias("digest"))
+    sizes = cut(hashed.groupBy("corpus").agg(F.count("*").alias("entry_count")))
+    digits = F.greatest(F.lit(0), F.ceil(F.log(F.col("entry_count") / run) / F.log(F.lit(16.0)))).cast("int")
+    sizes = sizes.withColumn("digits", digits)
+    most = sizes.agg(F.coalesce(F.max("digits"), F.lit(0))).head()[0]
+    rows = hashed.join(bounded_broadcast(sizes.select(F.col("corpus").alias("_c"), "digits")), F.col("corpus").eqNullSafe(F.col("_c"))).select(
+        "corpus", F.substr("digest", F.lit(1), F.col("digits")).alias("run"), "digest")
+    joined = lambda of: F.sha2(F.array_join(F.array_sort(F.collect_list(of)), ""), 256).alias("digest")
+    rows = rows.groupBy("corpus", "run").agg(joined("digest"))
+    while most > 0:
+        # runs of shorter prefixes wait until the others have come down to their length
+        rows = rows.withColumn("up", F.when(F.length("run") == most, F.substr("run", F.lit(1), F.lit(max(0, most - 2)))).otherwise(F.col("run")))
+        own = F.when(F.length("run") == most, F.concat("run", "digest")).otherwise(F.col("digest"))
+        merged = F.when(F.max(F.length("run")) == most, F.sha2(F.array_join(F.array_sort(F.collect_list(own)), ""), 256)).otherwise(F.first("digest"))
+        rows = rows.groupBy("corpus", "up").agg(merged.alias("digest")).withColumnRenamed("up", "run")
+        most = max(0, most - 2)
+    return sizes.select("corpus", "entry_count").join(rows.select(F.col("corpus").alias("_c"), F.col("digest").alias("change_key")), F.col("corpus").eqNullSafe(F.col("_c"))).drop("_c")
+
+
+def changed_by_key(old: DataFrame, new: DataFrame, corpus: str = "corpus") -> DataFrame:
+    """corpus, changed: corpora of either side whose change keys differ; only one row a corpus is compared."""
+    a, b = (change_keys(side, corpus).select("corpus", F.col("change_key").alias(name)) for side, name in ((old, "was"), (new, "now")))
+    return a.join(b, "corpus", "full_outer").select("corpus", (~F.col("was").eqNullSafe(F.col("now"))).alias("changed"))
+
+
 def corpus_labels(sources: DataFrame, corpus: str, order: str, name: str = "name", limit: int = 80) -> DataFrame:
     """Names joined by ``, `` and cut to ``limit``: only the names that can still show are gathered."""
     shown = top_rows(sources.select(F.col(corpus).alias("corpus"), F.col(name).alias("name"), F.col(order).alias("_o")),
@@ -93,12 +134,17 @@ def chunk_id(sha, index) -> Column:
 
 
 def fixed_chunks(sources: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
-    """Windows of ``size`` characters at a stride of ``size - overlap``, all native."""
+    """Windows of ``size`` characters at a stride of ``size - overlap``, all native.
+
+    They are cut from a form of four bytes a character, so that a window is a place in
+    memory; from UTF-8 each cut would count the characters before it.
+    """
     text = F.col("_text")
     starts = F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(size - overlap))
+    window = lambda wide, s: strip(F.decode(F.substring(wide, s * 4 + 1, F.lit(size * 4)), "UTF-32"))
+    cut_up = let(F.encode(text, "UTF-32"), lambda wide: F.transform(starts, lambda s: window(wide, s)))
     pieces = sources.withColumn("_text", corpus_clean("content")).filter(F.length("_text") > 0).select(
-        "name", "path", "sha256",
-        F.posexplode(F.transform(starts, lambda s: strip(F.substr(text, s + 1, F.lit(size))))).alias("chunk_index", "content"))
+        "name", "path", "sha256", F.posexplode(cut_up).alias("chunk_index", "content"))
     return _chunk_rows(pieces)
 
 
@@ -176,17 +222,51 @@ def pending_sources(sources: DataFrame, chunked: DataFrame) -> DataFrame:
     return sources.join(chunked.select(F.col("source_sha256").alias("sha256")), "sha256", "left_anti")
 
 
-def write_chunks(chunks: DataFrame, path: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
-                 mode: str = "append") -> None:
-    (chunks.withColumn("chunk_size", F.lit(size)).withColumn("chunk_overlap", F.lit(overlap))
-     .withColumn("version", F.lit(CHUNK_VERSION))
-     .write.mode(mode).partitionBy("version", "chunk_size", "chunk_overlap").parquet(path))
+_STORE = ["version", "chunk_size", "chunk_overlap", "bucket"]
+CHUNK_ROW = "chunk_id string, source_name string, source_path string, source_sha256 string, chunk_index int, content string"
+
+
+def write_chunks(chunks: DataFrame, path: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> None:
+    """Put chunks into the store at ``path``; sources that it holds already are replaced, so that a repeated write changes nothing.
+
+    The store is cut into buckets by the first two digits of the source's hash. Only the
+    buckets of the written sources are read and written anew, each as a whole: a write that
+    fails leaves them as they were.
+    """
+    spark = chunks.sparkSession
+    new = stored(chunks.withColumn("bucket", F.substring("source_sha256", 1, 2)))
+    touched = [r[0] for r in new.select("bucket").distinct().collect()]  # 256 at most
+    rows = new
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        held = _held(spark, path, size, overlap).filter(F.col("bucket").isin(touched))
+        kept = held.join(new.select("source_sha256").distinct(), "source_sha256", "left_anti")
+        rows = stored(new.unionByName(kept.select(*new.columns)))
+    (rows.withColumn("version", F.lit(CHUNK_VERSION)).withColumn("chunk_size", F.lit(size)).withColumn("chunk_overlap", F.lit(overlap))
+     .repartition("bucket").sortWithinPartitions("bucket", "source_sha256", "chunk_index")
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*_STORE).parquet(path))
+
+
+def _held(spark, path: str, size: int, overlap: int) -> DataFrame:
+    rows = spark.read.schema(f"{CHUNK_ROW}, version int, chunk_size int, chunk_overlap int, bucket string").parquet(path)
+    return rows.filter((F.col("version") == CHUNK_VERSION) & (F.col("chunk_size") == size) & (F.col("chunk_overlap") == overlap))
 
 
 def read_chunks(spark, path: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
-    stored = spark.read.parquet(path)
-    return stored.filter((F.col("version") == CHUNK_VERSION) & (F.col("chunk_size") == size)
-                         & (F.col("chunk_overlap") == overlap)).drop("version", "chunk_size", "chunk_overlap")
+    """The stored chunks of one size and overlap."""
+    return _held(spark, path, size, overlap).drop(*_STORE)
+
+
+def reused_chunks(sources: DataFrame, path: str, chunker=fixed_chunks, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
+    """The chunks of all ``sources``: stored ones are read, only the others are cut and stored. Each has the name and path of its source here."""
+    spark = sources.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    known = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    pending = pending_sources(sources, read_chunks(spark, path, size, overlap)) if known else sources
+    write_chunks(chunker(pending.dropDuplicates(["sha256"]), size, overlap), path, size, overlap)
+    chunks = read_chunks(spark, path, size, overlap).drop("source_name", "source_path")
+    own = sources.select(F.col("name").alias("source_name"), F.col("path").alias("source_path"), F.col("sha256").alias("source_sha256"))
+    return chunks.join(own, "source_sha256").select(*[c.split(" ")[0] for c in CHUNK_ROW.split(", ")])
 
 
 def chunk_status(sources: DataFrame, chunks: DataFrame, key: str = "sha256") -> DataFrame:
