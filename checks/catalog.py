@@ -219,6 +219,50 @@ def f16(spark, d):
                                                 T.initials(F.concat_ws(" ", "c_name", F.lower("c_mktsegment"))).alias("initials"))
 
 
+@register("m26_four_event_kinds", f"""
+WITH {sql_policy()},
+questions AS (SELECT b.item_id, 'q' || b.item_id AS question_id, b.text AS answer, d.source, d.doc_id FROM benchmark b JOIN documents d ON d.doc_id = b.item_id),
+asked_rows AS (SELECT 'user_question' AS event_type, item_id AS k, source AS names, answer AS user_question, NULL AS generated_question, answer AS model_answer, NULL AS user_answer, NULL AS score, NULL AS question_id, NULL AS security_stage, NULL AS categories FROM questions),
+made_rows AS (SELECT 'generated_question', item_id, source, NULL, 'What is said in ' || question_id || '?', answer, NULL, NULL, question_id, NULL, NULL FROM questions),
+graded_rows AS (SELECT 'graded_answer', item_id, source, NULL, 'What is said in ' || question_id || '?', answer, lower(answer), item_id % 11, question_id, NULL, NULL FROM questions),
+blocked_rows AS (SELECT 'security_event', conv_id, '', NULL, NULL, NULL, NULL, NULL, NULL, 'user_query', trim(categories) FROM decided WHERE categories <> '')
+SELECT * FROM asked_rows UNION ALL SELECT * FROM made_rows UNION ALL SELECT * FROM graded_rows UNION ALL SELECT * FROM blocked_rows""")
+def m26(spark, d):
+    """Audit rows of answered, made and graded questions about documents, and of blocked messages, as the log has them when read back."""
+    b = S.table(spark, d, "benchmark").select("item_id", F.col("text").alias("answer"))
+    docs = S.table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), "source")
+    at = F.timestamp_seconds(F.col("item_id"))
+    base = b.join(docs, "item_id").select(
+        "item_id", "answer", F.array("source").alias("source_names"), F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("question_id"),
+        F.col("item_id").cast("string").alias("session_id"), F.lit("d").alias("dataset_id"), F.array().cast("array<string>").alias("evidence_ids"))
+    told = base.select("*", F.col("item_id").alias("query_id"), F.col("answer").alias("query"), F.col("item_id").alias("attempt_id"), F.concat(F.lit("What is said in "), F.col("question_id"), F.lit("?")).alias("question"),
+                       F.col("answer").alias("model_answer"), F.col("evidence_ids").alias("source_chunk_ids"), at.alias("created_at"), F.lower("answer").alias("user_answer"),
+                       F.pmod("item_id", F.lit(11)).cast("int").alias("score"), F.lit("Seen.").alias("feedback"))
+    m = S.table(spark, d, "conversations")
+    lead = F.element_at(F.array(*[F.lit(a) for a in ASKS]), (F.pmod(F.col("conv_id") * 7 + F.col("turn"), F.lit(len(ASKS))) + 1).cast("int"))
+    tagged = J.tagged_messages(m.select(F.col("conv_id").cast("string").alias("session_id"), F.lit(None).cast("string").alias("dataset_id"), F.concat(lead, "text").alias("text"), F.timestamp_seconds("turn").alias("at")), "text")
+    rows = [X.asked_rows(told, told.select("query_id", "query", "session_id", "dataset_id"), F.current_timestamp()), X.made_rows(told),
+            X.graded_rows(told, told, told, F.current_timestamp()), X.security_rows(tagged, "user_query", F.col("at"), "text")]
+    path = scratch(spark) + "/log"
+    for part in rows:
+        X.append_interactions(part, path)
+    log = spark.read.schema(X.INTERACTION_SCHEMA).parquet(path)
+    return log.select("event_type", F.col("session_id").cast("long").alias("k"), F.array_join("source_file_names", ",").alias("names"), "user_question", "generated_question", "model_answer",
+                      "user_answer", "score", "question_id", "security_stage", F.array_join("security_categories", " ").alias("categories"))
+
+
+@register("s04_s10_page_rows", """
+SELECT source, doc_id AS page, lang AS section, text, CASE WHEN doc_id % 3 = 0 THEN 'Figure ' || doc_id END AS visual_text, doc_id % 3 = 0 AS has_visual_description FROM documents""")
+def s04(spark, d):
+    """Page rows written as JSON lines and read back."""
+    seen = F.pmod("doc_id", F.lit(3)) == 0
+    pages = S.table(spark, d, "documents").select("source", F.col("doc_id").cast("int").alias("page"), F.col("lang").alias("section"), "text",
+                                                  F.when(seen, F.concat(F.lit("Figure "), F.col("doc_id").cast("string"))).alias("visual_text"), seen.alias("has_visual_description"))
+    path = scratch(spark) + "/pages"
+    X.write_pages(pages, path)
+    return X.read_pages(spark, path).withColumn("page", F.col("page").cast("long"))
+
+
 @register("s07_m26_interactions", """
 SELECT event_type, session_id, score FROM (
   SELECT 'graded_answer' AS event_type, CAST(doc_id AS VARCHAR) AS session_id, quality * 10 AS score FROM labels
@@ -321,12 +365,47 @@ WITH e AS (SELECT CAST(conv_id AS VARCHAR) AS session_id, turn AS seq, text, CAS
 c AS (SELECT session_id, max(seq) FILTER (kind = 'replace') AS cut_at FROM e GROUP BY 1)
 SELECT session_id, coalesce(string_agg(text, '' ORDER BY seq) FILTER (kind <> 'done' AND seq >= coalesce(cut_at, -1)), '') AS answer, count(*) FILTER (kind = 'token') AS tokens FROM e JOIN c USING (session_id) GROUP BY 1""")
 def r04(spark, d):
+    """A third of the events come one micro-batch after their successors; a last one moves the watermark past all."""
     c = S.table(spark, d, "conversations")
     events = answer_events(c.join(c.groupBy("conv_id").agg(F.max("turn").alias("last")), "conv_id"))
+    behind = F.pmod(F.col("seq") + F.col("session_id").cast("long"), F.lit(3)) == 1
+    beat = spark.range(1).select(F.lit("").alias("session_id"), F.timestamp_seconds(F.lit(10**8)).alias("ts"), F.lit(0).cast("long").alias("seq"), F.lit("beat").alias("kind"), F.lit("").alias("text"))
+    return finished(spark, J.assemble_answers(in_turn(spark, events.filter(~behind), events.filter(behind), beat), late="1 hour"))
+
+
+def in_turn(spark, *frames):
+    """A stream that has each frame as a micro-batch of its own."""
     base = scratch(spark)
-    events.write.parquet(f"{base}/in")
-    stream = spark.readStream.schema(events.schema).parquet(f"{base}/in")
-    return finished(spark, J.assemble_answers(stream))
+    for k, frame in enumerate(frames):
+        frame.select(*frames[0].columns).coalesce(1).write.parquet(f"{base}/in/{k}")
+    return spark.readStream.schema(frames[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in/*")
+
+
+_MARK = "mark AS (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE AS mark FROM events WHERE event_id % 10 <> 0 AND event_id % 3 <> 0)"
+
+
+@register("r07_late_events", f"""
+WITH {_MARK}, kept AS (SELECT user_id, ts, event_type FROM events, mark WHERE event_id % 10 <> 0 OR ts > mark)
+SELECT user_id AS session_id, date_trunc('hour', ts) AS start, count(*) FILTER (event_type = 'click') AS tokens FROM kept GROUP BY 1, 2
+UNION ALL SELECT NULL, NULL, count(*) FROM events, mark WHERE event_id % 10 = 0 AND ts <= mark""")
+def r07(spark, d):
+    """Every tenth event comes two micro-batches after most others. Windows of the others and of those still in time, and, without a session, the number of dropped events."""
+    events = stream_events(S.table(spark, d, "events"))
+    late, first = F.pmod("event_id", F.lit(10)) == 0, F.pmod("event_id", F.lit(3)) != 0
+    beat = events.limit(1).withColumn("ts", F.timestamp_seconds(F.lit(4 * 10**9)))
+    stream = in_turn(spark, events.filter(~late & first), events.filter(~late & ~first), events.filter(late), beat)
+    counter, base, name = J.LateRows(), scratch(spark), "late-" + uuid.uuid4().hex
+    spark.streams.addListener(counter)
+    windows = J.throughput_windows(J.on_time(stream), late=None)
+
+    def write(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{base}/out/{batch_id}")
+
+    J.run_available(windows, write, f"{base}/state", name=name)
+    dropped = counter.of(name)
+    spark.streams.removeListener(counter)
+    out = spark.read.schema(windows.schema).option("recursiveFileLookup", "true").parquet(f"{base}/out").select("session_id", "start", "tokens")
+    return out.unionByName(spark.range(1).select(F.lit(None).cast(windows.schema["session_id"].dataType).alias("session_id"), F.lit(None).cast("timestamp").alias("start"), F.lit(dropped).cast("long").alias("tokens")))
 
 
 @register("r04_assembled_answers_batch", ORACLES["r04_assembled_answers"])

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks import tables as S
 from foliant.functions import text as T
 from foliant.operators import ingest as I
 from foliant.operators import vectors as V
+from foliant.session import shared_dir
 from foliant.sources import text_files as X
 
 QUERIES: dict = {}
@@ -50,6 +53,67 @@ def s03(spark, d):
     return I.dataset_ids(S.sources(spark, d))
 
 
+def _entry_sql(keep):
+    return f"SELECT corpus, sha256('{{\"name\":\"' || name || '\",\"sha256\":\"' || sha256 || '\"}}') AS digest FROM src WHERE {keep}"
+
+
+def _key_sql(name, keep):
+    """Change keys of corpora whose runs take at most two digits."""
+    return f"""{name}_e AS ({_entry_sql(keep)}), {name}_n AS (SELECT corpus, count(*) AS entry_count, greatest(0, CAST(ceil(ln(count(*) / 16.0) / ln(16.0)) AS INTEGER)) AS digits FROM {name}_e GROUP BY 1),
+{name}_r AS (SELECT corpus, digits, substr(digest, 1, digits) AS run, sha256(string_agg(digest, '' ORDER BY digest)) AS digest FROM {name}_e JOIN {name}_n USING (corpus) GROUP BY 1, 2, 3),
+{name} AS (SELECT corpus, entry_count, CASE WHEN digits = 0 THEN min(digest) ELSE sha256(string_agg(run || digest, '' ORDER BY run || digest)) END AS change_key FROM {name}_r JOIN {name}_n USING (corpus, digits) GROUP BY corpus, entry_count, digits)"""
+
+
+@register("s03_s15_change_keys", f"WITH {S.SOURCES}, {_key_sql('k', 'true')} SELECT corpus, entry_count, change_key FROM k")
+def s03b(spark, d):
+    return I.change_keys(S.sources(spark, d).select("corpus", "name", "sha256"), run=16)
+
+
+@register("s15_changed_by_key", f"""
+WITH {S.SOURCES}, gone AS (SELECT corpus, bool_or(doc_id % 97 = 0) AS changed, bool_and(doc_id % 97 = 0) AS empty FROM src GROUP BY 1) SELECT corpus, changed FROM gone""")
+def s15b(spark, d):
+    s = S.sources(spark, d)
+    entries = s.select("corpus", "name", "sha256")
+    return I.changed_by_key(entries, s.filter("doc_id % 97 <> 0").select("corpus", "name", "sha256"))
+
+
+@register("s11_j06_chunk_store", f"""
+WITH {S.CHUNKS} SELECT chunk_id, source_name, source_path, source_sha256, chunk_index, content FROM chunks""")
+def s11(spark, d):
+    """Chunks of two thirds of the sources are stored, twice; then all are asked for, and only the rest is cut."""
+    path = f"{shared_dir(spark).rstrip('/')}/chunks-{uuid.uuid4().hex}"
+    s = S.sources(spark, d)
+    some = s.filter("doc_id % 3 <> 0")
+    I.reused_chunks(some, path)
+    I.write_chunks(I.fixed_chunks(some.filter("doc_id % 3 = 1")), path)
+    return I.reused_chunks(s, path)
+
+
+@register("f45_flat_content", """
+SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN text WHEN 1 THEN text || chr(10) || role ELSE text END AS content FROM conversations""")
+def f45(spark, d):
+    """Message contents as strings, lists of strings and lists with a text part, an image part and an empty one."""
+    c = S.table(spark, d, "conversations")
+    part = F.to_json(F.array(F.struct(F.col("text").alias("text"))))
+    both = F.to_json(F.array("text", "role"))
+    mixed = F.concat(F.lit('[{"image":"x"},'), F.substr(part, F.lit(2), F.length(part) - 2), F.lit(',""]'))
+    kind = F.pmod("turn", F.lit(3))
+    from foliant.functions.responses import flat_content
+    rows = c.withColumn("raw", F.when(kind == 0, F.col("text")).when(kind == 1, both).otherwise(mixed))
+    return rows.select("conv_id", "turn", flat_content("raw").alias("content"))
+
+
+@register("x04_m02_words_as_chunks", r"""
+SELECT doc_id, CAST(len(list_filter(regexp_extract_all(text, '[^\n]+'), lambda x: length(trim(x)) >= 40)) AS BIGINT) AS chunks FROM documents WHERE length(text) > 0""")
+def x04(spark, d):
+    """Another splitter in the chunking slot: lines."""
+    named = S.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("name"), F.lit("").alias("path"), F.sha2("text", 256).alias("sha256"), F.col("text").alias("content"))
+    made = I.recursive_chunks(named, splitter=lambda text, size, overlap: text.split("\n"))
+    counts = made.groupBy(F.col("source_name").cast("long").alias("doc_id")).agg(F.count("*").alias("chunks"))
+    docs = S.table(spark, d, "documents").filter("length(text) > 0").select("doc_id")
+    return docs.join(counts, "doc_id", "left").withColumn("chunks", F.coalesce("chunks", F.lit(0)).cast("long"))
+
+
 @register("s06_filtered_listing", """
 SELECT o_orderkey, o_custkey, o_orderdate FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey""")
 def s06(spark, d):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import preview
+
 PAGE_SCHEMA = "source string, page int, section string, text string, visual_text string, has_visual_description boolean"
 INTERACTION_SCHEMA = (
     "event_type string, timestamp timestamp, session_id string, dataset_id string, "
@@ -82,6 +84,36 @@ def interaction_rows(*parts: DataFrame) -> DataFrame:
     return out
 
 
+def asked_rows(answers: DataFrame, queries: DataFrame, at: Column) -> DataFrame:
+    """``user_question`` rows of answered queries. ``queries``: query_id, query, session_id, dataset_id."""
+    rows = queries.join(answers.select("query_id", "answer", "evidence_ids", "source_names"), "query_id")
+    return rows.select(F.lit("user_question").alias("event_type"), at.alias("timestamp"), "session_id", "dataset_id", F.col("source_names").alias("source_file_names"),
+                       F.col("query").alias("user_question"), F.col("answer").alias("model_answer"), "evidence_ids")
+
+
+def made_rows(questions: DataFrame) -> DataFrame:
+    """``generated_question`` rows. ``questions``: question_id, session_id, dataset_id, question, model_answer, source_names, source_chunk_ids, created_at."""
+    return questions.select(F.lit("generated_question").alias("event_type"), F.col("created_at").alias("timestamp"), "session_id", "dataset_id",
+                            F.col("source_names").alias("source_file_names"), F.col("question").alias("generated_question"), "model_answer", "question_id", "source_chunk_ids")
+
+
+def graded_rows(grades: DataFrame, attempts: DataFrame, questions: DataFrame, at: Column) -> DataFrame:
+    """``graded_answer`` rows. ``attempts``: attempt_id, question_id, session_id, user_answer; ``grades``: attempt_id, score, feedback."""
+    told = questions.select("question_id", "dataset_id", F.col("source_names").alias("source_file_names"), F.col("question").alias("generated_question"), "model_answer", "source_chunk_ids")
+    rows = attempts.select("attempt_id", "question_id", "session_id", "user_answer").join(grades.select("attempt_id", "score", "feedback"), "attempt_id").join(told, "question_id")
+    return rows.withColumns({"event_type": F.lit("graded_answer"), "timestamp": at}).drop("attempt_id")
+
+
+def security_rows(decisions: DataFrame, stage: str, at: Column, text: str, decision: str = "decision") -> DataFrame:
+    """``security_event`` rows of the blocked texts. ``decisions``: session_id, dataset_id, the text and its policy decision."""
+    d = F.col(decision)
+    rows = decisions.filter(d["blocked"])
+    names = F.col("source_file_names") if "source_file_names" in decisions.columns else F.array().cast("array<string>")
+    return rows.select(F.lit("security_event").alias("event_type"), at.alias("timestamp"), "session_id", "dataset_id", names.alias("source_file_names"),
+                       F.lit(stage).alias("security_stage"), d["blocked"].alias("security_blocked"), d["categories"].alias("security_categories"),
+                       F.transform(d["findings"], lambda x: x["reason"]).alias("security_reasons"), preview(text).alias("text_preview"))
+
+
 def append_interactions(rows: DataFrame, path: str) -> None:
     interaction_rows(rows).write.mode("append").partitionBy("event_type").parquet(path)
 
