@@ -242,15 +242,15 @@ def answer_similarities(attempts: DataFrame, items: DataFrame, embed_fn=None) ->
 def grade(attempts: DataFrame, contexts: DataFrame, responses: DataFrame | None = None, embed_fn=None, embedded: bool = True) -> DataFrame:
     """attempt_id, score, feedback, floor, and the similarities that the floors saw.
 
-    ``attempts``: attempt_id, question, model_answer, user_answer; with all of similarity,
-    evidence_similarity and reference_similarity these are taken as they are. Otherwise they
+    ``attempts``: attempt_id, question, model_answer, user_answer; with any of similarity,
+    evidence_similarity and reference_similarity these are taken as they are (0 for the others). Otherwise they
     are computed by ``embed_fn`` (the offline embedding without one), or are 0 with ``embedded=False``.
     ``responses``: attempt_id, status fields score and feedback of a model, optional.
     """
     similar = ["similarity", "evidence_similarity", "reference_similarity"]
     attempts, items = graded_items(attempts, contexts)
-    if embedded and not set(similar) <= set(attempts.columns):
-        attempts = attempts.drop(*similar).join(answer_similarities(attempts, items, embed_fn), "attempt_id", "left")
+    if embedded and not set(similar) & set(attempts.columns):
+        attempts = attempts.join(answer_similarities(attempts, items, embed_fn), "attempt_id", "left")
     rows = attempts.join(items, "item")
     for name in similar:
         rows = rows.withColumn(name, F.coalesce(F.col(name), F.lit(0.0)) if name in attempts.columns else F.lit(0.0))
