@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from checks import tables as S
+from checks.learning import _KEPT, question_rows
 from checks.pages import ASKS, sql_policy
 from foliant.functions import text as T
 from foliant.operators import catalog as K
@@ -414,12 +415,11 @@ def r04b(spark, d):
     return J.assembled_batch(answer_events(c.join(c.groupBy("conv_id").agg(F.max("turn").alias("last")), "conv_id")))
 
 
-@register("r05_streamed_questions")
+@register("r05_streamed_questions", f"WITH RECURSIVE {_KEPT}")
 def r05(spark, d):
-    from checks.learning import question_rows
     base = scratch(spark)
     rows = question_rows(spark, d).withColumn("question_id", F.col("seq").cast("string"))
-    rows.repartitionByRange(2, "seq").write.parquet(f"{base}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    half = rows.agg((F.max("seq") / 2).alias("half")).head()[0]
+    stream = in_turn(spark, rows.filter(F.col("seq") < half), rows.filter(F.col("seq") >= half))
     J.run_available(stream, J.reject_asked(f"{base}/accepted"), f"{base}/state")
     return spark.read.parquet(f"{base}/accepted").select("dataset_id", "seq")

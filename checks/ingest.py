@@ -214,7 +214,19 @@ def s15b(spark, d):
     return I.changed_corpora(old.select(cols), new.select(cols))
 
 
-@register("s16_embedding_slot")
+_BUCKETS = f"""{S.CHUNKS}, t AS (SELECT chunk_id, source_name, chunk_index, unnest(list_distinct({S.search_tokens('norm')})) AS term FROM (SELECT *, {S.search_norm('content')} AS norm FROM chunks)),
+b AS (SELECT chunk_id, source_name, CAST('0x' || substr(md5(term), 1, 4) AS INTEGER) % 64 AS bucket, count(*) AS c FROM t GROUP BY ALL)"""
+
+
+@register("s16_embedded_chunks", f"WITH {_BUCKETS} SELECT chunk_id, source_name, bucket, round(c / sqrt(sum(c * c) OVER (PARTITION BY chunk_id, source_name)), 6) AS value FROM b")
+def s16b(spark, d):
+    """Every component of every chunk's vector that isn't 0."""
+    e = V.embed(S.chunks(spark, d).select("chunk_id", "source_name", "content"), "content")
+    return e.select("chunk_id", "source_name", F.posexplode("embedding").alias("bucket", "value")).filter("value <> 0").withColumn("value", F.round("value", 6))
+
+
+@register("s16_embedding_slot", f"""
+WITH {S.CHUNKS} SELECT chunk_id, CASE WHEN len({S.search_tokens('norm')}) > 0 THEN 1.0::DOUBLE ELSE 0.0 END AS length FROM (SELECT *, {S.search_norm('content')} AS norm FROM chunks)""")
 def s16(spark, d):
     e = V.embed(S.chunks(spark, d).select("chunk_id", "content"), "content")
     return e.select("chunk_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v * v), 6).alias("length"))

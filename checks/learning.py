@@ -178,7 +178,7 @@ def p05(spark, d):
     return Q.eligible_chunks(c, "corpus").select("corpus", "chunk_id")
 
 
-@register("t11_shuffled_chunks")
+@register("t11_shuffled_chunks", f"WITH {S.CHUNKS} SELECT chunk_id FROM chunks")
 def t11(spark, d):
     return Q.shuffled(S.chunks(spark, d)).select("chunk_id")
 
@@ -229,7 +229,15 @@ def j17(spark, d):
         "dataset_id", F.col("l_id").alias("early"), F.col("r_id").alias("late"), F.round("similarity", 6).alias("similarity"))
 
 
-@register("j18_keep_first_questions")
+_KEPT = f"""{_QROWS}, cand AS (SELECT dataset_id, id, row_number() OVER (PARTITION BY dataset_id ORDER BY id) AS k FROM qf),
+conf AS (SELECT dataset_id, late AS id, list(early) AS c FROM pairs WHERE similarity >= {Q.SAME_QUESTION} GROUP BY 1, 2),
+step AS (SELECT dataset_id, k, id, c FROM cand LEFT JOIN conf USING (dataset_id, id)),
+kept AS (SELECT DISTINCT dataset_id, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS acc FROM cand
+  UNION ALL SELECT r.dataset_id, s.k, CASE WHEN s.c IS NOT NULL AND list_has_any(r.acc, s.c) THEN r.acc ELSE list_append(r.acc, s.id) END FROM kept r JOIN step s ON s.dataset_id = r.dataset_id AND s.k = r.k + 1)
+SELECT dataset_id, unnest(acc) AS seq FROM (SELECT dataset_id, arg_max(acc, k) AS acc FROM kept GROUP BY 1)"""
+
+
+@register("j18_keep_first_questions", f"WITH RECURSIVE {_KEPT}")
 def j18(spark, d):
     return Q.keep_first(question_rows(spark, d)).select("dataset_id", "seq")
 

@@ -153,26 +153,27 @@ def _composed() -> str:
 def _changing() -> str:
     """A pattern of the characters that the compatibility form may change.
 
-    ASCII and the unchanged Latin letters fail its first, short class; all others are looked up in merged ranges.
+    ASCII fails its first class, one range, and the unchanged Latin letters its second; all others are looked up in merged ranges.
     """
     codes = {ord(ch) for ch in (*_compat_pairs()[0], *_compat_runs())} | set(_MARKS)
-    return f"[[^{_char_class(set(_LATIN) - codes)}]&&[{_char_class(codes)}]]"
+    return f"[\\x{{80}}-\\x{{10FFFF}}&&[^{_char_class(set(_LATIN) - codes - set(range(0x80)))}]&&[{_char_class(codes)}]]"
 
 
 def compat_form(x) -> Column:
     """Unicode compatibility form as far as ASCII characters go, without leaving the JVM.
 
     Characters that become ASCII are spelled out; an ASCII letter that composes with the
-    mark behind it becomes a letter that isn't ASCII. One test per text finds those that hold
-    no such character, which is nearly all.
+    mark behind it becomes a letter that isn't ASCII. Two tests per text find those that hold
+    no such character, which is nearly all: whether it is ASCII as a whole, and one pattern.
     """
     c = col(x)
     forms = F.from_json(F.lit(json.dumps(_compat_runs())), "map<string,string>")
-    held = f"[[^\\x00-\\x7F]&&[{_char_class(map(ord, _compat_runs()))}]]"
+    held = f"[\\x{{80}}-\\x{{10FFFF}}&&[{_char_class(map(ord, _compat_runs()))}]]"
     spelled = F.when(c.rlike(held), F.array_join(F.transform(F.split(c, ""), lambda ch: F.when(
         ch.rlike(held), F.coalesce(F.try_element_at(forms, ch), ch)).otherwise(ch)), "")).otherwise(c)
     composed = F.regexp_replace(spelled, _composed(), "\u00e9")
-    return F.when(c.rlike(_changing()), F.translate(composed, *_compat_pairs())).otherwise(c)
+    changed = F.when(c.rlike(_changing()), F.translate(composed, *_compat_pairs())).otherwise(c)
+    return F.when(F.octet_length(c) == F.length(c), c).otherwise(changed)
 
 
 def search_norm(x) -> Column:

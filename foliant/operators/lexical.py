@@ -38,7 +38,9 @@ PER_VARIANT, DESCRIBED, ROLED, MOST_INTRO = 0.9, 0.8, 1.2, 0.9
 #: Chunks of one row of postings at most.
 POSTINGS_BLOCK = 8192
 #: Postings of the rarest terms that set the first floor, as a multiple of the candidate limit.
-LEAD = 20
+LEAD = 60
+#: Share of a query's floor that the terms whose postings aren't read could bring at most; chunks are ruled out by the others' sum.
+UNREAD = 0.2
 
 
 # -- queries ---------------------------------------------------------------------------
@@ -264,14 +266,12 @@ def score_units(units: DataFrame, key: list[str], terms: DataFrame, features: Da
                 pairs: DataFrame | None = None, said: DataFrame | None = None) -> DataFrame:
     """Score of every (query, unit) that shares a term or a phrase.
 
-    ``units``: key, tokens, has_question; the first key column is the chunk's number. With
+    ``units``: key, tokens, has_question, description_cue, role_cue; the first key column is the chunk's number. With
     ``pairs`` (query_id, chunk_no) a unit only meets the terms of its chunk's queries, by an
     equi-join on chunk and term. ``said``: query_id, key, phrases.
     """
     facts = ["has_question", "description_cue", "role_cue"]
-    base = units.select(
-        *key, *(["dataset_id"] if pairs is None else []), "has_question", F.arrays_overlap("tokens", T.words(lists.DESCRIPTION_CUES)).alias("description_cue"),
-        F.arrays_overlap("tokens", T.words(lists.ROLE_CUES)).alias("role_cue"), "tokens")
+    base = units.select(*key, *(["dataset_id"] if pairs is None else []), *facts, "tokens")
     held = base.withColumn("term", F.explode("tokens")).drop("tokens")
     if pairs is None:
         met = held.join(bounded_broadcast(terms), ["dataset_id", "term"])
@@ -288,7 +288,7 @@ def score_units(units: DataFrame, key: list[str], terms: DataFrame, features: Da
         F.count_if("is_direct").alias("dn"), F.count_if("is_expanded").alias("xn"), F.count_if("is_entity").alias("en"),
         variants.alias("vn"), *[F.max(c).alias(c) for c in facts])
     if said is not None:
-        known = base.filter(F.size("tokens") > 0).select(*key, *[F.col(c).alias(f"_{c}") for c in facts])
+        known = (base.filter(F.size("tokens") > 0) if pairs is None else base).select(*key, *[F.col(c).alias(f"_{c}") for c in facts])
         matched = matched.join(said.join(known, key), ["query_id", *key], "full_outer")
         for c in facts:
             matched = matched.withColumn(c, F.coalesce(c, f"_{c}"))
@@ -306,7 +306,7 @@ def whole_scores(index: ChunkIndex, features: DataFrame, terms: DataFrame | None
     """Score of every (query, chunk) pair that shares a term or a phrase: as many rows as there are such pairs."""
     said = phrase_hits(index, features) if _has_any(features, "has_quote") else None
     terms = cut(weighted_terms(features)) if terms is None else terms
-    units = index.chunks.select("chunk_no", "dataset_id", "tokens", "has_question")
+    units = index.chunks.select("chunk_no", "dataset_id", "tokens", "has_question", "description_cue", "role_cue")
     return score_units(units, ["chunk_no"], terms, features, said=said).withColumnRenamed("score", "whole")
 
 
@@ -317,7 +317,8 @@ def _extras(features: DataFrame) -> DataFrame:
     flag = lambda c, value: F.when(F.col(c), value).otherwise(0.0)
     return features.select(
         "query_id", "limit",
-        (F.greatest(F.size("variant_terms") - 1, F.lit(0)) * PER_VARIANT + flag("description", DESCRIBED) + flag("role", ROLED)).alias("extra"),
+        # variants beyond 63 have no bit of their own and count as matched
+        (F.greatest(F.size("variant_terms") - 63, F.lit(0)) * PER_VARIANT + flag("description", DESCRIBED) + flag("role", ROLED)).alias("extra"),
         F.when(F.col("description") | F.col("role"), MOST_INTRO).otherwise(0.0).alias("most_intro"))
 
 
@@ -355,21 +356,26 @@ def candidate_pairs(index: ChunkIndex, features: DataFrame, terms: DataFrame, sa
     to_come = order.rowsBetween(0, Window.unboundedFollowing)
     ranked = terms.join(bounded_broadcast(extras), "query_id").withColumns({
         "df_before": F.coalesce(F.sum("df").over(so_far), F.lit(0)), "rest": F.sum("gain").over(to_come)})
-    wanted = ["query_id", "dataset_id", "term", "gain"]
+    wanted = ["query_id", "dataset_id", "term", "gain", "variant_bits"]
     if prune:
         ranked = cut(ranked)
         lead = index.held(ranked.filter(F.col("df_before") < F.col("limit") * LEAD).select(*wanted))
         first = lead.groupBy("query_id", "chunk_no").agg(F.sum("gain").alias("sum"), F.lit(0).alias("hits")).join(bounded_broadcast(extras), "query_id")
-        first = top_rows(first, ["query_id"], [F.desc("sum"), F.col("chunk_no")], F.col("limit")).select("query_id", "chunk_no", "hits")
-        floors = cut(_floors(_pair_scores(index, features, first), extras, F.col("whole") * 0.75).select("query_id", F.col("floor.score").alias("least")))
+        first = top_rows(first, ["query_id"], [F.desc("sum"), F.col("chunk_no")], F.col("limit") * 2).select("query_id", "chunk_no", "hits")
+        best = _pair_scores(index, features, first).withColumn("intro", F.lit(0.0)).join(bounded_broadcast(extras.select("query_id", "limit")), "query_id")
+        best = cut(top_rows(best, ["query_id"], [F.desc("whole"), F.col("chunk_no")], F.col("limit")).select("query_id", "chunk_no", "hits", "whole", "intro"))
+        floors = cut(_floors(_final_scores(index, best, features, terms).withColumn("hits", F.lit(0)), extras, F.col("score")).select("query_id", F.col("floor.score").alias("least")))
         ranked = ranked.join(bounded_broadcast(floors), "query_id", "left").withColumn("least", F.coalesce("least", F.lit(MIN_SCORE)) - SLACK)
-        reach = lambda total: (total + F.col("extra")) * 1.2 + F.col("most_intro")
-        # of each query's terms those are read whose rest alone could still bring half of what is needed
-        ranked = ranked.withColumn("read", reach(F.col("rest")) >= F.col("least") / 2)
-        left = ranked.groupBy("query_id").agg(F.sum(F.when(~F.col("read"), F.col("gain")).otherwise(0.0)).alias("left"), F.first("least").alias("least"),
-                                              F.first("extra").alias("extra"), F.first("most_intro").alias("most_intro"))
-        met = index.held(ranked.filter("read").select(*wanted)).groupBy("query_id", "chunk_no").agg(F.sum("gain").alias("sum"))
-        pairs = met.join(bounded_broadcast(left), "query_id").filter(reach(F.col("sum") + F.col("left")) >= F.col("least")).select("query_id", "chunk_no")
+        reach = lambda total, variants: (total + F.col("extra") + F.greatest(variants - 1, F.lit(0)) * PER_VARIANT) * 1.2 + F.col("most_intro")
+        bits = F.bit_or("variant_bits").over(order.rowsBetween(0, Window.unboundedFollowing))
+        # of each query's terms those are read whose rest alone could still bring a good part of what is needed
+        ranked = ranked.withColumn("read", reach(F.col("rest"), F.bit_count(bits)) >= F.col("least") * UNREAD)
+        unread = lambda value, nothing: F.when(~F.col("read"), value).otherwise(nothing)
+        left = ranked.groupBy("query_id").agg(F.sum(unread(F.col("gain"), 0.0)).alias("left"), F.bit_or(unread(F.col("variant_bits"), F.lit(0).cast("long"))).alias("left_bits"),
+                                              F.first("least").alias("least"), F.first("extra").alias("extra"), F.first("most_intro").alias("most_intro"))
+        met = index.held(ranked.filter("read").select(*wanted)).groupBy("query_id", "chunk_no").agg(F.sum("gain").alias("sum"), F.bit_or("variant_bits").alias("bits"))
+        variants = F.bit_count(F.col("bits").bitwiseOR(F.col("left_bits")))
+        pairs = met.join(bounded_broadcast(left), "query_id").filter(reach(F.col("sum") + F.col("left"), variants) >= F.col("least")).select("query_id", "chunk_no")
     else:
         pairs = index.held(terms.select(*wanted)).select("query_id", "chunk_no").distinct()
     if said is None:
@@ -382,10 +388,14 @@ def window_scores(index: ChunkIndex, pairs: DataFrame, features: DataFrame, term
 
     Windows are built once per chunk and then meet the few queries that want it.
     """
-    wanted = bounded_broadcast(pairs.select("chunk_no").distinct())
-    texts = spread(index.chunks.select("chunk_no", "content").join(wanted, "chunk_no"), "chunk_no")
-    units = texts.select("chunk_no", F.posexplode(F.transform(T.sentence_windows("content"), lambda w: unit(w))).alias("window_no", "u"))
-    units = units.select("chunk_no", "window_no", "u.norm", "u.tokens", F.col("u.question").alias("has_question"))
+    # of a window's tokens only those count that a query of its chunk asks for: the others go before they are rows
+    asked = pairs.select("query_id", "chunk_no").join(bounded_broadcast(terms.select("query_id", "term")), "query_id")
+    asked = asked.groupBy("chunk_no").agg(F.collect_set("term").alias("asked"))
+    texts = spread(index.chunks.select("chunk_no", "content").join(asked, "chunk_no"), "chunk_no")
+    units = texts.select("chunk_no", "asked", F.posexplode(F.transform(T.sentence_windows("content"), lambda w: unit(w))).alias("window_no", "u"))
+    units = units.filter(F.size("u.tokens") > 0).select(
+        "chunk_no", "window_no", "u.norm", F.array_intersect("u.tokens", "asked").alias("tokens"), F.col("u.question").alias("has_question"),
+        F.arrays_overlap("u.tokens", T.words(lists.DESCRIPTION_CUES)).alias("description_cue"), F.arrays_overlap("u.tokens", T.words(lists.ROLE_CUES)).alias("role_cue"))
     key = ["chunk_no", "window_no"]
     said = None
     if _has_any(features, "has_quote"):
