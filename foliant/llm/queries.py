@@ -115,6 +115,8 @@ SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings),
 s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
+    "op3_chat_format": queries_sql.OP3,
+    "op5_minhash_near_dedup": queries_sql.OP5,
     "op11_importance_resampling": queries_sql.OP11,
     "op13_merkle_manifest": queries_sql.OP13,
 }

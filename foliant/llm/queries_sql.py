@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
+from foliant.llm import chat
+
 #: Table of the CRC-32 of single bytes, and the CRC of a text's UTF-8 bytes.
 CRC_TABLE = "crc_table AS MATERIALIZED (SELECT list(list_reduce(list_prepend(b, range(8)), lambda c, _k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS t FROM range(256) AS bytes(b))"
 
@@ -65,3 +69,30 @@ far AS (SELECT w.doc_id, w.source, r.pos, 0 AS level, r.n, w.value, w.proof FROM
   FROM far f JOIN upper_steps s ON s.level = f.level AND s.pos = f.pos WHERE f.n > 1)
 SELECT f.doc_id, l.leaf, r.digest AS subroot, u.digest AS root, sha256(f.proof) AS proof_sha256, f.value AS folded_root, f.value = u.digest AS verified
 FROM far f JOIN leaves l ON l.doc_id = f.doc_id JOIN subroots r ON r.source IS NOT DISTINCT FROM f.source, (SELECT digest FROM upper WHERE n = 1) u WHERE f.n = 1"""
+
+
+#: The template's own strings, and those of others, by their lengths and as one pattern whose every match is escaped by one more character.
+_ESCAPABLE = "|".join(re.escape(x[0]) + r"\\*" + re.escape(x[1:]) for x in [chat.OPEN, chat.MIDDLE, chat.LEARN, chat.CLOSE, *chat.FOREIGN])
+
+
+def _formatted(x: str) -> str:
+    return f"length({x}) + len(regexp_extract_all({x}, '{_ESCAPABLE}'))"
+
+
+OP3 = f"""
+WITH rows_ AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+learned AS (SELECT *, role = 'assistant' AS learns FROM rows_)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (learns), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (learns), '')) AS loss_sha256,
+  CAST(sum({len(chat.OPEN) + len(chat.CLOSE)} + CASE WHEN learns THEN {len(chat.LEARN)} ELSE {len(chat.MIDDLE)} END + {_formatted("role")} + {_formatted("text")}) AS BIGINT) AS formatted_chars
+FROM learned GROUP BY conv_id"""
+
+OP5 = rf"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ') || ' .'] ELSE [] END AS s FROM words),
+held AS (SELECT doc_id, len(s) AS n, md5(unnest(s)) AS h FROM sets),
+links AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM held a JOIN held b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach AS (SELECT a AS doc_id, b AS other FROM links UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other),
+least AS (SELECT doc_id, min(other) AS other FROM reach GROUP BY 1)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, coalesce(other, doc_id)) AS component_id, doc_id = least(doc_id, coalesce(other, doc_id)) AS kept FROM sets LEFT JOIN least USING (doc_id)"""
