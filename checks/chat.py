@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import tables as S
-from checks.pages import _ASKED, asked
+from checks.pages import _ASKED, asked, sql_policy
 from foliant.functions import lists as LI
 from foliant.functions import responses as R
 from foliant.functions import text as T
@@ -154,7 +154,10 @@ def p07(spark, d):
     return C.mark_safe(messages(spark, d)).filter("safe").select("conv_id", "turn")
 
 
-@register("p07_unsafe_history")
+@register("p07_unsafe_history", f"""
+WITH {sql_policy()}, {sql_policy("model_output", "_said")}
+SELECT conv_id, turn, role FROM asked a JOIN decided d USING (conv_id, turn) JOIN decided_said s USING (conv_id, turn)
+WHERE length({S.strip('a.text')}) = 0 OR CASE lower({S.strip('role')}) WHEN 'user' THEN d.categories <> '' WHEN 'assistant' THEN s.categories <> '' ELSE true END""")
 def p07b(spark, d):
     return C.mark_safe(asked(spark, d).withColumnRenamed("text", "content")).filter("not safe").select("conv_id", "turn", "role")
 
@@ -254,6 +257,15 @@ def m27(spark, d):
     return parse_responses(responses(spark, d)).select("query_id", "parse_path", "status", "answer")
 
 
-@register("f52_finalized_responses")
+@register("f52_finalized_responses", rf"""
+WITH b AS (SELECT doc_id, text, '{{"status":"supported","answer":' || to_json({S.sq('text')}) || ',"evidence_ids":["abcdefabcdef-0001"]}}' AS body FROM documents),
+r AS (SELECT doc_id, regexp_replace(CASE doc_id % 4 WHEN 0 THEN '```json' || chr(10) || body || chr(10) || '```' WHEN 1 THEN 'Sure: ' || body || ' done'
+  WHEN 2 THEN substr(body, 1, length(body) - 1) ELSE 'Answer: ' || text END, '\s+$', '') AS s FROM b),
+l AS (SELECT doc_id, s, {S.strip(f"({_LASTLINE})[-1]")} AS last, right(s, 1) AS e, lower(regexp_extract(s, '([a-zA-Z'']+)$')) AS word,
+  len(regexp_extract_all(s, '[A-Za-z0-9'']+')) AS total FROM r)
+SELECT doc_id AS query_id, {S.strip('s')} || CASE WHEN doc_id % 4 = 2 THEN '}}' ELSE '' END AS text,
+  CASE WHEN doc_id % 4 = 2 THEN 'open_brackets' WHEN doc_id % 4 < 2 THEN NULL WHEN list_contains({S.arr(LI.DANGLING_CONNECTORS)}, word) THEN 'dangling_connector'
+  WHEN e IN ('.', '!', '?', ')', ']', '}}', '"', '''', '`') THEN NULL WHEN e IN (':', ';', ',', '-', '/', '\', '(', '[', '{{') THEN 'unterminated_sentence'
+  WHEN regexp_matches(last, '[=:{{}}()\[\]<>]') THEN NULL WHEN len(regexp_extract_all(last, '[A-Za-z0-9'']+')) >= CASE WHEN total >= 40 THEN 2 ELSE 4 END THEN 'unterminated_sentence' END AS reason FROM l""")
 def f52(spark, d):
     return responses(spark, d).select("query_id", R.finalized("raw_text").alias("text"), R.truncation_reason("raw_text").alias("reason"))

@@ -232,6 +232,18 @@ def s16(spark, d):
     return e.select("chunk_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v * v), 6).alias("length"))
 
 
+@register("x01_own_embedding", f"""
+WITH {S.CHUNKS} SELECT chunk_id, source_name, CAST(length(content) AS DOUBLE) AS size, CAST(length(content) - length(replace(content, 'e', '')) AS DOUBLE) AS e_count FROM chunks""")
+def x01(spark, d):
+    """Another function in the embedding slot: the length of a chunk and how often it holds an e."""
+    def measure(batches):
+        for b in batches:
+            yield b.drop(columns=["text"]).assign(embedding=[[float(len(t)), float(t.count("e"))] for t in b["text"]])
+
+    e = V.embed(S.chunks(spark, d).select("chunk_id", "source_name", "content"), "content", measure)
+    return e.select("chunk_id", "source_name", F.col("embedding")[0].alias("size"), F.col("embedding")[1].alias("e_count"))
+
+
 @register("s18_upload_dedup", """
 WITH batch AS (SELECT DISTINCT lang AS user_id, source AS original_name, sha256(text) AS sha256 FROM documents),
 stored AS (SELECT DISTINCT lang AS user_id, source AS original_name, sha256(text) AS sha256 FROM documents JOIN labels USING (doc_id))

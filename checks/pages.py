@@ -130,7 +130,7 @@ def f23(spark, d):
     return S.table(spark, d, "documents").select("doc_id", P.split_glued(glued).alias("text"))
 
 
-@register("f24_drop_caps")
+@register("f24_drop_caps", "SELECT doc_id, text FROM documents")
 def f24(spark, d):
     doubled = F.regexp_replace("text", r"\b([A-Z])([a-z]{4,})\b", "$1$2 $2")
     return S.table(spark, d, "documents").select("doc_id", P.drop_cap_inline(doubled).alias("text"))
@@ -376,32 +376,41 @@ def asked(spark, d):
 _ASKED = f"asked AS (SELECT conv_id, turn, role, {S.arr(ASKS)}[(conv_id * 7 + turn) % {len(ASKS)} + 1] || text AS text FROM conversations)"
 
 
-def sql_policy() -> str:
-    """Categories of a user query, by the rule texts."""
+def sql_policy(purpose: str = "user_query", p: str = "") -> str:
+    """Categories of a user query or of a model's output, by the rule texts; ``p`` ends the names of its tables."""
+    output = purpose == "model_output"
     has = lambda phrases: f"regexp_matches(n, {pattern(phrases)})"
     any_ = lambda phrases: "(" + " OR ".join(f"contains(n, {S.lit(p)})" for p in phrases) + ")"
     starts = "(" + " OR ".join(f"starts_with(n, {S.lit(p)})" for p in PL.EDUCATIONAL_STARTS) + ")"
     matches = lambda pats: "(" + " OR ".join(f"regexp_matches(n, {S.lit('(?i)' + p)})" for p in pats) + ")"
-    return f"""{_ASKED},
-pn AS (SELECT conv_id, turn, {_T} AS t, lower({S.sq(_T)}) AS n FROM asked),
-pf AS (SELECT *, {starts} OR {any_(PL.EDUCATIONAL_HINTS)} AS edu, NOT {starts} AND {any_(PL.DIRECT_REQUESTS)} AS direct,
-  {has(PL.CREATIVE_VERBS)} AND {has(PL.CREATIVE_NOUNS)} AS creative, {has(PL.INSTRUCTIONAL_HINTS)} AS steps, {has(PL.REAL_TARGETS)} AS real,
-  {has(PL.ACCESS_ACTIONS)} AS access, {any_(PL.ARTIFACT_PHRASES)} AS artifact FROM pn),
-pc AS (SELECT conv_id, turn,
-  CASE WHEN edu AND NOT direct THEN NULL WHEN {matches(PL.EXPLICIT_HARM_PATTERNS)} THEN 0.99
+    lesson = "edu AND NOT direct"
+    mixed = f"{has(PL.DISTRESS_HINTS)} AND {has(PL.MEANS_HINTS)} AND {has(PL.METHOD_ASK_HINTS)}"
+    shaped = "(" + " OR ".join(f"regexp_matches(t, {S.lit('(?i)' + x)})" for x in PL.LIST_SHAPE_PATTERNS) + ")"
+    harm = f"""CASE WHEN {lesson} THEN NULL WHEN {mixed} THEN 0.97
+    WHEN {shaped} AND ({matches(PL.OUTPUT_METHOD_PATTERNS)} OR ({has(PL.OUTPUT_HINTS)} AND {has(PL.OUTPUT_DANGER_HINTS)})) THEN 0.94 END""" if output else \
+        f"""CASE WHEN {lesson} THEN NULL WHEN {matches(PL.EXPLICIT_HARM_PATTERNS)} THEN 0.99
     WHEN {matches(PL.HARM_METHOD_PATTERNS)} OR ({has(PL.MEANS_HINTS)} AND {has(PL.METHOD_ASK_HINTS)} AND {has(PL.BODY_HINTS)}) THEN 0.98
-    WHEN creative THEN NULL WHEN {has(PL.DISTRESS_HINTS)} AND {has(PL.MEANS_HINTS)} AND {has(PL.METHOD_ASK_HINTS)} THEN 0.97 END AS self_harm,
+    WHEN creative THEN NULL WHEN {mixed} THEN 0.97 END"""
+    told = f"AND ({has(PL.SYSTEM_SECRET_TARGETS)} OR real)" if output else ""
+    loose = f"OR ({matches(PL.OVERRIDE_PATTERNS)} AND NOT {has(PL.INTERNAL_TARGETS)} AND NOT {has(PL.GUARDRAIL_TARGETS)})" if output else ""
+    return f"""{'' if p else _ASKED + ','}
+pn{p} AS (SELECT conv_id, turn, {_T} AS t, lower({S.sq(_T)}) AS n FROM asked),
+pf{p} AS (SELECT *, {starts} OR {any_(PL.EDUCATIONAL_HINTS)} AS edu, NOT {starts} AND {any_(PL.DIRECT_REQUESTS)} AS direct,
+  {has(PL.CREATIVE_VERBS)} AND {has(PL.CREATIVE_NOUNS)} AS creative, {has(PL.INSTRUCTIONAL_HINTS)} AS steps, {has(PL.REAL_TARGETS)} AS real,
+  {has(PL.ACCESS_ACTIONS)} AS access, {any_(PL.ARTIFACT_PHRASES)} AS artifact FROM pn{p}),
+pc{p} AS (SELECT conv_id, turn,
+  {harm} AS self_harm,
   CASE WHEN coalesce({', '.join(_SECRETS)}) IS NOT NULL THEN 0.99
-    WHEN {has(PL.SECRET_TARGETS)} AND (access OR {has(PL.EXFILTRATION_HINTS)}) AND NOT (edu AND NOT direct) AND NOT (creative AND NOT steps AND NOT real)
+    WHEN {has(PL.SECRET_TARGETS)} AND (access OR {has(PL.EXFILTRATION_HINTS)}) AND NOT (edu AND NOT direct) AND NOT (creative AND NOT steps AND NOT real) {told}
     THEN CASE WHEN real OR {has(['.env', 'environment variables'])} THEN 0.9 ELSE 0.82 END END AS sensitive_data,
-  CASE WHEN NOT ({matches(PL.OVERRIDE_PATTERNS)} OR ({has(PL.INTERNAL_TARGETS)} AND access)) OR (edu AND NOT direct) OR (creative AND NOT steps) THEN NULL
+  CASE WHEN NOT ({matches(PL.OVERRIDE_PATTERNS)} OR ({has(PL.INTERNAL_TARGETS)} AND access)) OR (edu AND NOT direct) OR (creative AND NOT steps) {loose} THEN NULL
     WHEN {has(PL.INTERNAL_TARGETS)} AND access THEN 0.92 ELSE 0.84 END AS prompt_injection,
   CASE WHEN {has(PL.BYPASS_TERMS)} AND NOT (edu AND NOT (steps OR direct)) AND NOT (creative AND NOT steps) AND (steps OR real OR direct)
     THEN CASE WHEN real OR {has(['bypass auth', 'bypass authentication'])} THEN 0.9 ELSE 0.8 END END AS security_bypass,
   CASE WHEN {has(PL.MALICIOUS_TERMS)} AND NOT (edu AND NOT ({has(PL.BUILD_HINTS)} OR steps)) AND NOT (creative AND NOT steps AND NOT artifact)
-    AND ({has(PL.BUILD_HINTS)} OR steps OR direct) THEN CASE WHEN artifact THEN 0.9 ELSE 0.82 END END AS malicious_action FROM pf),
-decided AS (SELECT conv_id, turn, {' || '.join(f"CASE WHEN {c} IS NOT NULL THEN '{c} ' ELSE '' END" for c in PL.CATEGORY_ORDER)} AS categories,
-  CAST(coalesce(greatest({', '.join(PL.CATEGORY_ORDER)}), 0) AS DOUBLE) AS confidence FROM pc)"""
+    AND ({has(PL.BUILD_HINTS)} OR steps OR direct) THEN CASE WHEN artifact THEN 0.9 ELSE 0.82 END END AS malicious_action FROM pf{p}),
+decided{p} AS (SELECT conv_id, turn, {' || '.join(f"CASE WHEN {c} IS NOT NULL THEN '{c} ' ELSE '' END" for c in PL.CATEGORY_ORDER)} AS categories,
+  CAST(coalesce(greatest({', '.join(PL.CATEGORY_ORDER)}), 0) AS DOUBLE) AS confidence FROM pc{p})"""
 
 
 @register("m20_a13_policy_decisions", f"WITH {sql_policy()} SELECT conv_id, turn, trim(categories) AS categories, confidence, categories <> '' AS blocked FROM decided")

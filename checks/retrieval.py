@@ -11,7 +11,7 @@ from foliant.functions import text as T
 from foliant.operators import lexical as L
 from foliant.operators import retrieve as H
 from foliant.operators import vectors as V
-from foliant.plans.scans import dense_index, top_rows
+from foliant.plans.scans import dense_index, sorted_place, top_rows
 from foliant.session import stored
 
 QUERIES: dict = {}
@@ -292,9 +292,9 @@ wanted AS (SELECT corpus, source_name, chunk_index + o AS chunk_index, min({{s:
 SELECT corpus, chunk_id, row_number() OVER (PARTITION BY corpus ORDER BY seen) AS place FROM wanted JOIN chunks USING (corpus, source_name, chunk_index)""")
 def j12(spark, d):
     c = S.chunks(spark, d).withColumn("corpus", F.substring_index("source_name", "-", 1))
-    order = Window.partitionBy("corpus").orderBy(F.desc(F.length("content")), "chunk_id")
-    seeds = c.select("corpus", "source_name", "chunk_index", F.row_number().over(order).alias("seed_no"))
-    return H.neighbors(seeds, c.drop("corpus"), ["corpus"], 2).select("corpus", "chunk_id", "place")
+    seeds = sorted_place(c.select("corpus", "source_name", "chunk_index", "chunk_id", F.length("content").alias("size")),
+                         ["corpus"], [F.desc("size"), F.col("chunk_id")], "seed_no")
+    return H.neighbors(seeds, c.drop("corpus"), ["corpus"], 2, whole=True).select("corpus", "chunk_id", "place")
 
 
 def _stages(queries, c):

@@ -179,7 +179,8 @@ def extractive_answers(queries: DataFrame, evidence: DataFrame) -> DataFrame:
     diagnosis and treatment, identity and responsibility, general.
     """
     q = queries.select("query_id", F.col("query").alias("question"))
-    sentences = evidence_sentences(evidence).join(q, "query_id").withColumn("entity", entity_name("question"))
+    # read by seven selections: cut into sentences once
+    sentences = cut(evidence_sentences(evidence).join(q, "query_id").withColumn("entity", entity_name("question")))
     pair = lambda left, right, glue: left.join(right, "query_id").select("query_id", T.squeeze(glue).alias("answer"))
     found = [reported_speech(evidence.join(q, "query_id"))]
     why = sentences.filter(wants_reason("question"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..plans.scans import top_rows
+from ..plans.scans import sorted_place, top_rows
 from ..plans.sizing import bounded_broadcast
 from ..session import cut
 from .lexical import (CHUNK, FACTS, QUERY, ChunkIndex, document_frequency, feature_terms, index_of, lexical_candidates, pair_score,
@@ -39,12 +39,16 @@ def candidate_limit_value(n: int, top_k: int = TOP_K) -> int:
     return min(max(top_k * 3, 12), max(n, 12)) if n else max(top_k * 2, 8)
 
 
-def neighbors(seeds: DataFrame, chunks: DataFrame, keys: list[str], window: Column | int = 1) -> DataFrame:
+def neighbors(seeds: DataFrame, chunks: DataFrame, keys: list[str], window: Column | int = 1,
+              whole: bool = False) -> DataFrame:
     """Chunks of the same source within ``window`` places of a seed, each once, in seed order.
 
     ``seeds``: keys, source_name, chunk_index, seed_no. Where both sides have a dataset_id,
     sources of equal names in different ones are different sources. The offsets are spelled
     out, so the range condition becomes an equi-join on (source, index).
+
+    A retrieved list has few seeds, and each key's places are numbered in one task. With
+    ``whole`` a key's seeds may be a whole corpus; places are then numbered in ranges.
     """
     w = F.lit(window) if isinstance(window, int) else window
     source = [c for c in ("dataset_id", "source_name") if c in seeds.columns and c in chunks.columns]
@@ -53,6 +57,8 @@ def neighbors(seeds: DataFrame, chunks: DataFrame, keys: list[str], window: Colu
     first = wanted.groupBy(*keys, *source, F.col("p.at").alias("chunk_index")).agg(
         F.min(F.struct("seed_no", "p.offset")).alias("first_seen"))
     found = chunks.join(bounded_broadcast(first), [*source, "chunk_index"])
+    if whole:
+        return sorted_place(found, keys, [F.col("first_seen")]).drop("first_seen")
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("first_seen"))
     return found.withColumn("place", place).drop("first_seen")
 

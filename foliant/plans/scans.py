@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import stored
+
 BLOCK = 8192
 
 
@@ -84,6 +86,29 @@ def preceding_rows(df: DataFrame, keys: list[str], position: str, fields: list[s
     )
 
 
+def sorted_place(df: DataFrame, keys: list[str], order: list[Column], out: str = "place") -> DataFrame:
+    """Position 1, 2, 3, ... of each row within its key by any ``order``, whatever the size of a key.
+
+    Rows are dealt into ranges of (keys, order) and written, so that the ranges stay as they
+    are when an executor is lost. A place is the row's place in its range plus the rows of the
+    key in earlier ranges; only one row per key and range is scanned for that. A null is a key
+    of its own. Rows that are equal in ``order`` follow each other in any sequence; they are dealt apart too.
+    """
+    by = [*[F.col(k).asc_nulls_first() for k in keys], *order, F.col("_tie")]
+    dealt = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*by).sortWithinPartitions(*by)
+    dealt = stored(dealt.drop("_tie").withColumn("_at", F.monotonically_increasing_id()))
+    dealt = dealt.withColumn("_range", F.shiftright("_at", 33))
+    sums = dealt.groupBy(*keys, "_range").agg(F.min("_at").alias("_first"), F.count("*").alias("_rows"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)], F.col("_range").alias("_of"), "_first",
+                       F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    same = F.col("_range") == F.col("_of")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_{i}"))
+    place = (F.col("_at") - F.col("_first") + F.col("_before") + 1).cast("long")
+    return dealt.join(sums, same).select(*df.columns, place.alias(out))
+
+
 def top_rows(df: DataFrame, keys: list[str], order: list[Column], limit: Column | int, out: str = "rank") -> DataFrame:
     """Best rows per key. A constant limit is pushed below the shuffle as a group limit."""
     window = Window.partitionBy(*keys).orderBy(*order)

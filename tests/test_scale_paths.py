@@ -15,6 +15,7 @@ from foliant.operators import lexical as L
 from foliant.operators import phrases as P
 from foliant.operators import retrieve as H
 from foliant.operators import vectors as V
+from foliant.plans.scans import sorted_place
 from foliant.session import shared_dir
 from foliant.streaming import jobs as J
 
@@ -258,3 +259,25 @@ def test_a_batch_reads_only_the_buckets_of_its_keys(spark):
     assert "PartitionFilters" in plan and "bucket" in plan and held.count() < 60
     write(one, 1)
     assert spark.read.parquet(path).count() == 301
+
+
+def test_sorted_places_of_a_hot_key_are_dense(spark):
+    rng = random.Random(9)
+    rows = [("hot" if i % 3 else [None, "a", "b"][i // 3 % 3], rng.randrange(40), i) for i in range(900)]
+    df = spark.createDataFrame(rows, "k string, size int, id long")
+    got = {r.id: r.place for r in sorted_place(df, ["k"], [F.desc("size"), F.col("id")]).collect()}
+    for key in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == key), key=lambda r: (-r[1], r[2]))
+        assert [got[r[2]] for r in mine] == list(range(1, len(mine) + 1))
+    tied = sorted_place(df, ["k"], [F.col("size") * 0], "n").filter("k = 'hot'")
+    assert sorted(r.n for r in tied.collect()) == list(range(1, 601))
+    assert sorted_place(df.limit(0), ["k"], [F.col("id")]).count() == 0
+
+
+def test_neighbors_of_whole_corpora_are_placed_as_those_of_lists(spark):
+    chunks = spark.createDataFrame(
+        [(f"{s}{i}", s, i, "x") for s, n in (("s", 50), ("t", 3)) for i in range(n)],
+        "chunk_id string, source_name string, chunk_index int, content string")
+    seeds = chunks.select(F.lit(1).alias("query_id"), "source_name", "chunk_index", F.xxhash64("chunk_id").alias("seed_no"))
+    few, many = ({r.chunk_id: r.place for r in H.neighbors(seeds, chunks, ["query_id"], 2, whole=w).collect()} for w in (False, True))
+    assert few == many and len(many) == 53
