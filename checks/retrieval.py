@@ -291,9 +291,10 @@ WITH {S.CHUNKS}, seeds AS (SELECT source_name, chunk_index, row_number() OVER (P
 wanted AS (SELECT corpus, source_name, chunk_index + o AS chunk_index, min({{s: seed_no, o: o}}) AS seen FROM seeds, (SELECT unnest([-2, -1, 0, 1, 2]) AS o) GROUP BY ALL)
 SELECT corpus, chunk_id, row_number() OVER (PARTITION BY corpus ORDER BY seen) AS place FROM wanted JOIN chunks USING (corpus, source_name, chunk_index)""")
 def j12(spark, d):
-    c = S.chunks(spark, d).withColumn("corpus", F.substring_index("source_name", "-", 1))
-    seeds = sorted_place(c.select("corpus", "source_name", "chunk_index", "chunk_id", F.length("content").alias("size")),
-                         ["corpus"], [F.desc("size"), F.col("chunk_id")], "seed_no")
+    # texts are cut once; places need their lengths only
+    c = stored(S.chunks(spark, d).select(F.substring_index("source_name", "-", 1).alias("corpus"), "source_name", "chunk_index", "chunk_id",
+                                         F.length("content").alias("size")))
+    seeds = sorted_place(c, ["corpus"], [F.desc("size"), F.col("chunk_id")], "seed_no").drop("chunk_id", "size")
     return H.neighbors(seeds, c.drop("corpus"), ["corpus"], 2, whole=True).select("corpus", "chunk_id", "place")
 
 
