@@ -87,28 +87,39 @@ def change_keys(entries: DataFrame, corpus: str = "corpus", run: int = RUN) -> D
 
     Entries are hashed each for itself and fall into runs by the first hexadecimal digits of
     their hashes, as many digits as leave about ``run`` entries to a run. A run's digest is
-    that of its sorted hashes; digests of runs are brought together in the same way, two
-    digits at a time, down to one per corpus. So a corpus of any size spreads over many tasks, unlike the
-    dataset id, which is defined over one ordered byte sequence.
+    that of its sorted hashes; a corpus of one run has that as its key. Otherwise the key is the hash over its
+    runs in order, digits and digest, which go through one task with constant memory as in ``dataset_ids``: entries
+    of a corpus of any size spread over many tasks, and only one short row a run is left for the last step.
     """
     body = F.to_json(F.struct(*[F.col(c) for c in entries.columns if c != corpus]), {"ignoreNullFields": "false"})
     hashed = entries.select(F.col(corpus).alias("corpus"), F.sha2(body, 256).alias("digest"))
     sizes = cut(hashed.groupBy("corpus").agg(F.count("*").alias("entry_count")))
     digits = F.greatest(F.lit(0), F.ceil(F.log(F.col("entry_count") / run) / F.log(F.lit(16.0)))).cast("int")
-    sizes = sizes.withColumn("digits", digits)
-    most = sizes.agg(F.coalesce(F.max("digits"), F.lit(0))).head()[0]
-    rows = hashed.join(bounded_broadcast(sizes.select(F.col("corpus").alias("_c"), "digits")), F.col("corpus").eqNullSafe(F.col("_c"))).select(
-        "corpus", F.substr("digest", F.lit(1), F.col("digits")).alias("run"), "digest")
-    joined = lambda of: F.sha2(F.array_join(F.array_sort(F.collect_list(of)), ""), 256).alias("digest")
-    rows = rows.groupBy("corpus", "run").agg(joined("digest"))
-    while most > 0:
-        # runs of shorter prefixes wait until the others have come down to their length
-        rows = rows.withColumn("up", F.when(F.length("run") == most, F.substr("run", F.lit(1), F.lit(max(0, most - 2)))).otherwise(F.col("run")))
-        own = F.when(F.length("run") == most, F.concat("run", "digest")).otherwise(F.col("digest"))
-        merged = F.when(F.max(F.length("run")) == most, F.sha2(F.array_join(F.array_sort(F.collect_list(own)), ""), 256)).otherwise(F.first("digest"))
-        rows = rows.groupBy("corpus", "up").agg(merged.alias("digest")).withColumnRenamed("up", "run")
-        most = max(0, most - 2)
-    return sizes.select("corpus", "entry_count").join(rows.select(F.col("corpus").alias("_c"), F.col("digest").alias("change_key")), F.col("corpus").eqNullSafe(F.col("_c"))).drop("_c")
+    named = sizes.select("corpus", "entry_count", digits.alias("digits"), F.to_json(F.struct("corpus")).alias("key"))
+    rows = hashed.join(bounded_broadcast(named.select(F.col("corpus").alias("_c"), "digits", "key")), F.col("corpus").eqNullSafe(F.col("_c"))).select(
+        "key", F.substr("digest", F.lit(1), F.col("digits")).alias("run"), "digest")
+    rows = rows.groupBy("key", "run").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("digest")), ""), 256).alias("digest"))
+    ordered = rows.repartition("key").sortWithinPartitions("key", "run").select("key", (F.col("run") == "").alias("whole"), F.concat("run", "digest").alias("entry"))
+
+    def feed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state = None, None
+        for batch in batches:
+            done = []
+            for (key, whole), runs in batch.groupby(["key", "whole"], sort=False)["entry"]:
+                if key != current and state is not None:
+                    done.append((current, state.hexdigest()))
+                    state = None
+                if whole:
+                    done.append((key, runs.iloc[0]))
+                    continue
+                current, state = key, state or hashlib.sha256()
+                state.update("".join(runs).encode())
+            if done:
+                yield pd.DataFrame(done, columns=["key", "change_key"])
+        if state is not None:
+            yield pd.DataFrame([(current, state.hexdigest())], columns=["key", "change_key"])
+
+    return named.join(ordered.mapInPandas(feed, "key string, change_key string"), "key").select("corpus", "entry_count", "change_key")
 
 
 def changed_by_key(old: DataFrame, new: DataFrame, corpus: str = "corpus") -> DataFrame:
