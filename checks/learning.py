@@ -224,8 +224,8 @@ pairs AS (SELECT a.dataset_id, a.id AS early, b.id AS late, len(list_intersect(a
 
 @register("j17_f48_similar_questions", f"WITH {_QROWS} SELECT dataset_id, early, late, round(similarity, 6) AS similarity FROM pairs WHERE similarity >= 0.82 - 1e-12")
 def j17(spark, d):
-    sets = Q._token_sets(question_rows(spark, d), ["dataset_id", "seq"], "question").groupBy("dataset_id", "tokens").agg(F.min("seq").alias("id"))
-    return Q.similar_sets(cut(sets), cut(sets)).filter("l_id < r_id").select(
+    sets = cut(Q._token_sets(question_rows(spark, d), ["dataset_id", "seq"], "question").groupBy("dataset_id", "tokens").agg(F.min("seq").alias("id")))
+    return Q.similar_sets(sets, sets).filter("l_id < r_id").select(
         "dataset_id", F.col("l_id").alias("early"), F.col("r_id").alias("late"), F.round("similarity", 6).alias("similarity"))
 
 

@@ -122,41 +122,49 @@ def _token_sets(questions: DataFrame, keys: list[str], question: str) -> DataFra
         "tokens", F.array_sort(T.word_set("normalized")))
 
 
-def _prefixes(sets: DataFrame, frequency: DataFrame, keys: list[str], least: float) -> DataFrame:
-    """The rarest tokens of each set: two sets as similar as ``least`` must share one of them."""
-    ranked = sets.select(*keys, "tokens", F.explode("tokens").alias("token")).join(frequency, ["dataset_id", "token"])
+def _prefixes(sets: DataFrame, frequency: DataFrame, least: float) -> DataFrame:
+    """The rarest tokens of each set with their places: two sets as similar as ``least`` must share one of them."""
+    # a set's tokens meet their counts one row each, without the set: a row with all of it would carry it once per token
+    ranked = sets.select("dataset_id", "id", F.explode("tokens").alias("token")).join(frequency.hint("merge"), ["dataset_id", "token"])
     order = F.transform(F.array_sort(F.collect_list(F.struct("n", "token"))), lambda x: x["token"])
-    whole = ranked.groupBy(*keys).agg(order.alias("by_rarity"), F.any_value("tokens").alias("tokens"))
+    whole = ranked.groupBy("dataset_id", "id").agg(order.alias("by_rarity"))
     size = F.size("by_rarity")
     keep = size - F.ceil(size * least - 1e-9).cast("int") + 1
-    return whole.select(*keys, "tokens", F.explode(F.slice("by_rarity", F.lit(1), keep)).alias("token"))
+    return whole.select("dataset_id", "id", size.alias("size"), F.posexplode(F.slice("by_rarity", F.lit(1), keep)).alias("place", "token"))
 
 
 def similar_sets(left: DataFrame, right: DataFrame, least: float = SAME_QUESTION) -> DataFrame:
     """Pairs (dataset_id, l_id, r_id, similarity) of token sets at least ``least`` alike.
 
     Both sides: dataset_id, id, tokens, with one row per distinct set, so copies
-    never meet each other. Candidates share a rare prefix token and fit in size.
+    never meet each other. Candidates share a rare prefix token, fit in size, and have enough tokens
+    left from there on; only they get their sets. The joins are merges: their sides are narrow and compress well,
+    so that by the size of a shuffle they would be broadcast, and grow on the driver.
     """
-    every = left.select("dataset_id", "tokens").unionByName(right.select("dataset_id", "tokens"))
+    every = left.select("dataset_id", "tokens") if left is right else left.select("dataset_id", "tokens").unionByName(right.select("dataset_id", "tokens"))
     frequency = every.select("dataset_id", F.explode("tokens").alias("token")).groupBy("dataset_id", "token").agg(F.count("*").alias("n"))
-    side = lambda df, p: _prefixes(df, frequency, ["dataset_id", "id"], least).select(
-        "dataset_id", "token", F.col("id").alias(f"{p}_id"), F.col("tokens").alias(f"{p}_tokens"))
-    fits = (F.size("l_tokens") >= F.size("r_tokens") * least - 1e-9) & (F.size("r_tokens") >= F.size("l_tokens") * least - 1e-9)
-    met = side(left, "l").join(side(right, "r"), ["dataset_id", "token"]).filter(fits)
-    scored = met.withColumn("similarity", T.jaccard("l_tokens", "r_tokens")).filter(F.col("similarity") >= least - 1e-12)
-    return scored.groupBy("dataset_id", "l_id", "r_id").agg(F.max("similarity").alias("similarity"))
+    own = cut(_prefixes(left, frequency, least))
+    other = own if left is right else cut(_prefixes(right, frequency, least))
+    side = lambda df, p: df.select("dataset_id", "token", *[F.col(c).alias(f"{p}_{c}") for c in ("id", "size", "place")])
+    fits = (F.col("l_size") >= F.col("r_size") * least - 1e-9) & (F.col("r_size") >= F.col("l_size") * least - 1e-9)
+    # the first token two sets share has all others they share behind it
+    rest = F.least(F.col("l_size") - F.col("l_place"), F.col("r_size") - F.col("r_place"))
+    enough = rest >= (F.col("l_size") + F.col("r_size")) * (least / (1 + least)) - 1e-9
+    met = side(own, "l").join(side(other, "r").hint("merge"), ["dataset_id", "token"]).filter(fits & enough).select("dataset_id", "l_id", "r_id").distinct()
+    of = lambda df, p: df.select("dataset_id", F.col("id").alias(f"{p}_id"), F.col("tokens").alias(f"{p}_tokens")).hint("merge")
+    both = met.join(of(left, "l"), ["dataset_id", "l_id"]).join(of(right, "r"), ["dataset_id", "r_id"])
+    return both.select("dataset_id", "l_id", "r_id", T.jaccard("l_tokens", "r_tokens").alias("similarity")).filter(F.col("similarity") >= least - 1e-12)
 
 
 def not_asked_before(candidates: DataFrame, history: DataFrame, question: str = "question") -> DataFrame:
     """Candidates unlike every question of the history of their dataset."""
-    new = _token_sets(candidates, ["dataset_id", "question_id"], question)
-    sets = lambda df: df.groupBy("dataset_id", "tokens").agg(F.lit(1).alias("_")).select(
-        "dataset_id", "tokens", F.array_join("tokens", " ").alias("id"))
-    old = _token_sets(history, ["dataset_id"], question)
+    digest = F.unhex(F.sha2(F.array_join("tokens", " "), 256))
+    new = cut(_token_sets(candidates, ["dataset_id", "question_id"], question).withColumn("id", digest))
+    old = _token_sets(history, ["dataset_id"], question).withColumn("id", digest)
+    sets = lambda df: cut(df.groupBy("dataset_id", "id").agg(F.any_value("tokens").alias("tokens")))
     known = similar_sets(sets(new), sets(old)).select("dataset_id", F.col("l_id").alias("id")).distinct()
-    stale = new.withColumn("id", F.array_join("tokens", " ")).join(known, ["dataset_id", "id"]).select("dataset_id", "question_id")
-    return candidates.join(stale, ["dataset_id", "question_id"], "left_anti")
+    stale = new.select("dataset_id", "question_id", "id").join(known.hint("merge"), ["dataset_id", "id"]).select("dataset_id", "question_id")
+    return candidates.join(stale.hint("merge"), ["dataset_id", "question_id"], "left_anti")
 
 
 def keep_first(candidates: DataFrame, order: str = "seq", question: str = "question") -> DataFrame:
@@ -166,24 +174,22 @@ def keep_first(candidates: DataFrame, order: str = "seq", question: str = "quest
     until none is undecided. Copies collapse to their first row beforehand.
     """
     rows = _token_sets(candidates, ["dataset_id", order], question)
-    first = rows.groupBy("dataset_id", "tokens").agg(F.min(order).alias("id"))
-    first = cut(first)
-    pairs = cut(similar_sets(first, first).filter("l_id < r_id").select("dataset_id", F.col("l_id").alias("early"), F.col("r_id").alias("late")))
+    first = cut(rows.groupBy("dataset_id", "tokens").agg(F.min(order).alias("id")))
+    edges = cut(similar_sets(first, first).filter("l_id < r_id").select("dataset_id", F.col("l_id").alias("early"), F.col("r_id").alias("late")))
     undecided, kept = first.select("dataset_id", "id"), None
-    edges = pairs
     while True:
         blocked = edges.select("dataset_id", F.col("late").alias("id")).distinct()
-        winners = cut(undecided.join(blocked, ["dataset_id", "id"], "left_anti"))
-        kept = winners if kept is None else cut(kept.unionByName(winners))
-        lost = edges.join(winners.withColumnRenamed("id", "early"), ["dataset_id", "early"]).select(
+        winners = cut(undecided.join(blocked.hint("merge"), ["dataset_id", "id"], "left_anti"))
+        kept = winners if kept is None else kept.unionByName(winners)
+        lost = edges.join(winners.withColumnRenamed("id", "early").hint("merge"), ["dataset_id", "early"]).select(
             "dataset_id", F.col("late").alias("id")).distinct()
-        undecided = cut(undecided.join(winners, ["dataset_id", "id"], "left_anti").join(lost, ["dataset_id", "id"], "left_anti"))
+        decided = winners.unionByName(lost)
+        undecided = cut(undecided.join(decided.hint("merge"), ["dataset_id", "id"], "left_anti"))
         if not undecided.head(1):
             break
-        live = undecided.select("dataset_id", "id")
-        edges = cut(edges.join(live.withColumnRenamed("id", "early"), ["dataset_id", "early"], "left_semi").join(
-            live.withColumnRenamed("id", "late"), ["dataset_id", "late"], "left_semi"))
-    return candidates.join(kept.withColumnRenamed("id", order), ["dataset_id", order], "left_semi")
+        edges = cut(edges.join(undecided.withColumnRenamed("id", "early").hint("merge"), ["dataset_id", "early"], "left_semi").join(
+            undecided.withColumnRenamed("id", "late").hint("merge"), ["dataset_id", "late"], "left_semi"))
+    return candidates.join(kept.withColumnRenamed("id", order).hint("merge"), ["dataset_id", order], "left_semi")
 
 
 def recent_questions(history: DataFrame, limit: int = RECENT, order: str = "seq") -> DataFrame:

@@ -2,9 +2,14 @@
 
 import hashlib
 import json
+import random
+import uuid
 
 import __spark_entry__ as registered
 from foliant.operators import ingest as I
+from foliant.operators import questions as Q
+from foliant.session import shared_dir
+
 
 def folder_tables(spark, path):
     """Tables as folders of several files."""
@@ -14,12 +19,14 @@ def folder_tables(spark, path):
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(3).write.parquet(f"{path}/conversations.parquet")
     return str(path)
 
+
 def test_tables_that_are_folders_can_be_streamed(spark, tmp_path):
     d, queries = folder_tables(spark, tmp_path), registered.queries()
     assert queries["r01_streamed_ingest"](spark, d).count() == 4
     assert queries["r01_streamed_chunks"](spark, d).count() == 4
     assert queries["r02_streamed_policy"](spark, d).count() == 12
 
+
 def test_own_pairs_of_a_text_survive_the_round_trip(spark, tmp_path):
     texts = ["Nthe the end", "Eand and. Hand\nand Handa", "éEarly early Earlyé arlyé", "Sthe  the the"]
     rows = [(k, t) for k, t in enumerate(texts)]
@@ -27,6 +34,7 @@ def test_own_pairs_of_a_text_survive_the_round_trip(spark, tmp_path):
     got = registered.queries()["f24_drop_caps"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == rows
 
+
 def test_change_keys_with_more_than_two_digits(spark):
     rows = [("long", f"n{k}") for k in range(3000)] + [("short", f"n{k}") for k in range(100)] + [("one", "x"), (None, "y")]
     got = {r.corpus: r.change_key for r in I.change_keys(spark.createDataFrame(rows, "corpus string, name string"), run=4).collect()}
@@ -40,3 +48,36 @@ def test_change_keys_with_more_than_two_digits(spark):
         return sha("".join(r + x for r, x in sorted(ends.items()))) if digits else ends[""]
 
     assert got == {"long": key([f"n{k}" for k in range(3000)], 3), "short": key([f"n{k}" for k in range(100)], 2), "one": key(["x"], 0), None: key(["y"], 0)}
+
+
+def test_similar_sets_are_whole_and_not_broadcast(spark):
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(40)]
+    sets = {}
+    for k in range(300):
+        base = set(rng.sample(words, rng.randint(3, 20))) if k % 3 == 0 or not sets else set(rng.choice(list(sets.values())))
+        base ^= set(rng.sample(words, rng.randint(0, 2)))
+        if base and base not in sets.values():
+            sets[k] = base
+    rows = [("d", k, sorted(v)) for k, v in sets.items()]
+    table = spark.createDataFrame(rows, "dataset_id string, id long, tokens array<string>")
+    for other in (table, table.filter("id % 2 = 0")):
+        found = Q.similar_sets(table, other)
+        got = {(r.l_id, r.r_id) for r in found.collect()}
+        ids = {r.id for r in other.collect()}
+        assert got == {(a, b) for a in sets for b in ids if len(sets[a] & sets[b]) >= 0.82 * len(sets[a] | sets[b]) - 1e-12}
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rejection_in_batches_keeps_what_one_batch_keeps(spark):
+    from foliant.streaming import jobs as J
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(12)]
+    rows = [(str(k % 2), str(k), k, " ".join(rng.sample(words, rng.randint(5, 7)))) for k in range(120)]
+    table = spark.createDataFrame(rows, "dataset_id string, question_id string, seq long, question string")
+    path = f"{shared_dir(spark).rstrip('/')}/asked-{uuid.uuid4().hex}"
+    write = J.reject_asked(path)
+    write(table.filter("seq < 50"), 0)
+    write(table.filter("seq >= 50"), 1)
+    once = {r.seq for r in Q.keep_first(table).collect()}
+    assert {r.seq for r in spark.read.parquet(path).collect()} == once and 0 < len(once) < 120
