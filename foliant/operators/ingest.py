@@ -6,6 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,7 @@ CHUNK_OVERLAP = 220
 MIN_CHUNK_CHARS = 40
 SEPARATORS = ["\n\n", "\n", ". ", "? ", "! ", "; ", ": ", " "]
 CHUNK_VERSION = 1
+BATCH_CHARS = 1 << 20
 TEXT_SUFFIXES = [".txt"]
 PDF_SUFFIXES = [".pdf"]
 IMAGE_SUFFIXES = [".png", ".jpg", ".jpeg", ".webp", ".bmp", ".gif"]
@@ -199,6 +201,26 @@ def _merge(parts: list[str], size: int, overlap: int) -> list[str]:
     return [m for m in merged if m]
 
 
+def chunk_batches(batches: Iterator[pa.RecordBatch], split) -> Iterator[pa.RecordBatch]:
+    """Pieces of the texts of (name, path, sha256, content) batches, one text after another: a batch may
+    hold thousands, and all their pieces as Python rows take several times its size."""
+    schema = pa.schema([("name", pa.string()), ("path", pa.string()), ("sha256", pa.string()), ("chunk_index", pa.int32()), ("content", pa.string())])
+    rows_of = lambda columns: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+    for batch in batches:
+        made, held = ([], [], [], [], []), 0
+        for name, path, sha256, content in zip(*batch.columns, strict=True):
+            text = content.as_py()
+            for number, piece in enumerate(split(text) if text else []):
+                for column, value in zip(made, (name.as_py(), path.as_py(), sha256.as_py(), number, piece.strip()), strict=True):
+                    column.append(value)
+                held += len(piece)
+                if held > BATCH_CHARS:
+                    yield rows_of(made)
+                    made, held = ([], [], [], [], []), 0
+        if made[0]:
+            yield rows_of(made)
+
+
 def recursive_chunks(sources: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
                      splitter=split_recursively) -> DataFrame:
     """Recursive chunking: sequential inside a document, documents spread over all tasks.
@@ -207,15 +229,8 @@ def recursive_chunks(sources: DataFrame, size: int = CHUNK_SIZE, overlap: int =
     """
     cleaned = sources.select("name", "path", "sha256", corpus_clean("content").alias("content"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            pieces = batch["content"].map(lambda t: list(enumerate(splitter(t, size, overlap))) if t else [])
-            out = batch.assign(piece=pieces).explode("piece").dropna(subset=["piece"])
-            yield pd.DataFrame({
-                "name": out["name"], "path": out["path"], "sha256": out["sha256"],
-                "chunk_index": [i for i, _ in out["piece"]], "content": [c.strip() for _, c in out["piece"]]})
-
-    return _chunk_rows(cleaned.mapInPandas(
+    run = lambda batches: chunk_batches(batches, lambda text: splitter(text, size, overlap))
+    return _chunk_rows(cleaned.mapInArrow(
         run, "name string, path string, sha256 string, chunk_index int, content string"))
 
 

@@ -81,3 +81,16 @@ def test_rejection_in_batches_keeps_what_one_batch_keeps(spark):
     write(table.filter("seq >= 50"), 1)
     once = {r.seq for r in Q.keep_first(table).collect()}
     assert {r.seq for r in spark.read.parquet(path).collect()} == once and 0 < len(once) < 120
+
+
+def test_chunks_of_a_batch_come_in_bounded_parts(spark):
+    """No batch of chunks is much larger than the limit, however many texts come in one."""
+    rows = [(f"n{k}", "p", f"h{k}", "a line of words that is long enough to stay\n" * 3000) for k in range(20)] + [("none", "p", "h", None)]
+    table = spark.createDataFrame(rows, "name string, path string, sha256 string, content string").coalesce(1)
+    parts = list(I.chunk_batches(iter(table.toArrow().to_batches()), lambda text: text.split("\n")))
+    sizes = [sum(map(len, part["content"].to_pylist())) for part in parts]
+    assert len(parts) > 2 and max(sizes) < I.BATCH_CHARS + 100
+    assert I.recursive_chunks(table, splitter=lambda text, size, overlap: text.split("\n")).count() == 20 * 3000
+    whole = list(I.recursive_chunks(table).select("source_name", "chunk_index", "content").collect())
+    assert [r.content for r in sorted((r for r in whole if r.source_name == "n3"), key=lambda r: r.chunk_index)] == [
+        c for c in I.split_recursively(table.collect()[3].content.strip()) if len(c) >= I.MIN_CHUNK_CHARS]
