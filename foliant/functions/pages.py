@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -101,22 +103,23 @@ def is_bad_extraction(x) -> Column:
 
     def judged(s):
         count = lambda part: F.length(s) - F.length(F.replace(s, F.lit(part)))
+        letters = F.length(s) - F.length(F.regexp_replace(s, r"[a-zA-Z\p{L}]+", ""))
         lines = F.filter(F.transform(F.split(s, "\n", -1), strip), lambda v: v != "")
-        few = F.size(F.filter(lines, lambda v: F.length(v) <= 2)).cast("double")
-        short = F.array_sort(F.regexp_extract_all(s, F.lit(r"(?U)\b\w{1,3}\b"), F.lit(0)))
-        # longest run of one word in sorted order
-        start = F.struct(F.lit("").alias("word"), F.lit(0).alias("run"), F.lit(0).alias("best"))
-        def step(state, w):
-            run = F.when(state["word"] == w, state["run"] + 1).otherwise(1)
-            return F.struct(w.alias("word"), run.alias("run"), F.greatest(state["best"], run).alias("best"))
-        top = F.aggregate(short, start, step, lambda state: state["best"])
+        few = lambda own: F.size(F.filter(own, lambda v: F.length(v) <= 2)).cast("double")
+        short = F.sort_array(F.regexp_extract_all(s, F.lit(r"(?U)\b\w{1,3}\b"), F.lit(0)))
+
+        def monotonous(own):
+            # in sorted order a word that is more than half of all stands in the middle
+            middle = F.get(own, F.floor(F.size(own) / 2).cast("int"))
+            top = F.size(own) - F.size(F.array_remove(own, middle))
+            return F.when(F.size(own) >= 20, (top > 12) & (top / F.size(own) > 0.5)).otherwise(False)
+
         return (
             F.when(F.length(s) < 30, True)
             .when((count("\ufffd") > 3) | (count("\u00ad") > 8), True)
-            .when(F.regexp_count(s, F.lit(r"\p{L}")) / F.length(s) < 0.4, True)
-            .when((F.size(lines) >= 8) & (few / F.size(lines) > 0.35), True)
-            .when(F.size(short) >= 20, (top > 12) & (top / F.size(short) > 0.5))
-            .otherwise(False))
+            .when(letters / F.length(s) < 0.4, True)
+            .when(let(lines, lambda own: (F.size(own) >= 8) & (few(own) / F.size(own) > 0.35)), True)
+            .otherwise(let(short, monotonous)))
 
     return let(text, judged)
 
@@ -127,16 +130,27 @@ def is_boilerplate(line, patterns=lists.BOILERPLATE_LINES, credits=lists.CREDIT_
     return let(strip(line), lambda s: _is_furniture(s, patterns, credits))
 
 
+def _has_choice(pattern: str) -> bool:
+    """Whether a pattern may have alternatives outside of groups."""
+    bare = re.sub(r"\\.", "", pattern)
+    while (inner := re.sub(r"\([^()]*\)", "", bare)) != bare:
+        bare = inner
+    return "|" in bare
+
+
 def _is_furniture(s: Column, patterns, credits) -> Column:
-    cased = "|".join(f"(?:{p})" for p, ignore in patterns if not ignore)
-    uncased = "|".join(f"(?:{p})" for p, ignore in patterns if ignore)
     hit = s.rlike("(?iU)" + lists.MAP_COORDINATE)
     if credits:
-        hit = hit | s.rlike("|".join(quote(m) for m in credits))
-    if cased:
-        hit = hit | s.rlike("(?U)" + cased)
-    if uncased:
-        hit = hit | s.rlike("(?iU)" + uncased)
+        initials = "".join(sorted({quote(m[0]) for m in credits if m}))
+        hit = hit | s.rlike(("" if "" in credits else f"(?=[{initials}])") + "(?:" + "|".join(quote(m) for m in credits) + ")")
+    for flags, own in (("(?U)", [p for p, ignore in patterns if not ignore]), ("(?iU)", [p for p, ignore in patterns if ignore])):
+        # a pattern that begins with its anchor is tried once, an alternative with one at every place
+        opening = [p for p in own if p.startswith("^") and not _has_choice(p)]
+        others = [p for p in own if p not in opening]
+        if opening:
+            hit = hit | s.rlike(f"{flags}^(?:" + "|".join(f"(?:{p[1:]})" for p in opening) + ")")
+        if others:
+            hit = hit | s.rlike(flags + "|".join(f"(?:{p})" for p in others))
     kept = F.lit(False)
     for start in lists.KEPT_LINE_STARTS:
         kept = kept | s.startswith(start)
@@ -162,7 +176,10 @@ def _reads_like_heading(s: Column) -> Column:
 
 def tagged_line(line) -> Column:
     c = col(line)
-    s = strip(c)
+    return let(strip(c), lambda s: _tagged(c, s))
+
+
+def _tagged(c: Column, s: Column) -> Column:
     return (
         F.when((s == "") | s.rlike(lists.TAGGED_LINE), c)
         .when(s.rlike("(?U)" + lists.NUMBERED_QUESTION), F.concat(F.lit("[Review Question] "), s))

@@ -5,7 +5,11 @@ import json
 import random
 import uuid
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as registered
+from foliant.functions import pages as P
+from foliant.functions import text as T
 from foliant.operators import ingest as I
 from foliant.operators import questions as Q
 from foliant.session import shared_dir
@@ -94,3 +98,30 @@ def test_chunks_of_a_batch_come_in_bounded_parts(spark):
     whole = list(I.recursive_chunks(table).select("source_name", "chunk_index", "content").collect())
     assert [r.content for r in sorted((r for r in whole if r.source_name == "n3"), key=lambda r: r.chunk_index)] == [
         c for c in I.split_recursively(table.collect()[3].content.strip()) if len(c) >= I.MIN_CHUNK_CHARS]
+
+
+def test_white_space_is_trimmed_without_patterns(spark):
+    white = "\t\n\x0b\x0c\r \x85\xa0      　"
+    rows = [(f"{white}a{white}b{white}",), (white,), ("",), ("\x1c a​",), (None,)]
+    table = spark.createDataFrame(rows, "t string")
+    pattern = F.regexp_replace("t", r"(?U)^\s+|\s+$", "")
+    ends = F.regexp_replace("t", r"(?U)\s+$", "")
+    assert table.filter(~T.strip("t").eqNullSafe(pattern) | ~T.rstrip("t").eqNullSafe(ends)).count() == 0
+    assert "regexp" not in table.select(T.strip("t"))._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_a_text_of_one_short_word_is_bad_and_words_are_sorted_once(spark):
+    rows = [("the " * 13 + "cat " * 12,), ("the " * 13 + "cat dog " * 7,), ("the " * 12 + "cat dog " * 4,), ("the " * 9 + "of " * 10 + "ab " * 2,)]
+    table = spark.createDataFrame(rows, "t string")
+    assert [r[0] for r in table.select(P.is_bad_extraction("t")).collect()] == [True, False, False, False]
+    plan = table.select(P.is_bad_extraction("t").alias("bad"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1 and "aggregate(" not in plan
+
+
+def test_page_furniture_with_choices_of_any_shape(spark):
+    lines = ["Page 12", "a Page 12", "see AP Photo", "AP photo", "go visit www.a.org now", "right", "left or right", "or left"]
+    table = spark.createDataFrame([(x,) for x in lines], "t string")
+    got = [r[0] for r in table.select(P.is_boilerplate("t")).collect()]
+    assert got == [True, False, True, False, True, False, False, False]
+    own = [(r"^left|right$", True), (r"^or (left|none)$", False)]
+    assert [r[0] for r in table.select(P.is_boilerplate("t", own, [])).collect()] == [False] * 5 + [True, True, True]
