@@ -11,7 +11,7 @@ from ..functions import pages as P
 from ..functions.text import squeeze, strip
 from ..plans.scans import carry_forward, running_sum
 from ..plans.sizing import bounded_broadcast
-from ..session import cut
+from ..session import cut, stored
 
 TEXT_RICH = 1400
 SHORT_PAGE = 60
@@ -99,6 +99,7 @@ def section_pages(pages: DataFrame, steps=P.STEPS, ratio: float = 0.3, min_pages
     rows = rows.withColumn("text", strip_furniture(F.col("text"), F.col("headers")))
     rows = rows.withColumn("heading", page_heading(F.col("text"), F.col("headers"))).withColumn(
         "text", annotated(F.col("text"), F.col("headers"))).drop("headers")
+    rows = stored(rows)  # read twice by the scan
     rows = carry_forward(rows, ["source"], "page", "heading", "section")
     return rows.filter(F.length("text") > 0)
 
