@@ -11,7 +11,9 @@ import __spark_entry__ as registered
 from foliant.functions import pages as P
 from foliant.functions import text as T
 from foliant.operators import ingest as I
+from foliant.operators import lexical as L
 from foliant.operators import questions as Q
+from foliant.operators import retrieve as H
 from foliant.session import shared_dir
 
 
@@ -125,3 +127,20 @@ def test_page_furniture_with_choices_of_any_shape(spark):
     assert got == [True, False, True, False, True, False, False, False]
     own = [(r"^left|right$", True), (r"^or (left|none)$", False)]
     assert [r[0] for r in table.select(P.is_boilerplate("t", own, [])).collect()] == [False] * 5 + [True, True, True]
+
+
+def test_a_batch_of_queries_makes_postings_of_its_own_terms_only(spark):
+    rows = [("s", k, f"c{k}", f"Word{k % 7} stands near common thing number {k} of the list") for k in range(60)]
+    chunks = L.with_tokens(spark.createDataFrame(rows, "source_name string, chunk_index int, chunk_id string, content string"))
+    ask = lambda text: spark.createDataFrame([(1, text)], "query_id long, query string")
+    whole = L.index_of(chunks)
+    assert whole.postings.select("term").distinct().count() > 20
+    index = L.ChunkIndex(whole.chunks)
+    for text in ("word3 common", "word5 thing"):
+        index, features, _ = H.prepare_queries(ask(text), index)
+        assert "postings" not in index.__dict__ and index._part.select("term").distinct().count() == 2
+        terms = L.feature_terms(features, L.QUERY).select("dataset_id", "term")
+        df = lambda i: sorted(map(tuple, i.frequencies(terms).collect()))
+        assert df(index) == df(whole) == df(L.ChunkIndex(whole.chunks))
+        found = lambda i: sorted(map(tuple, i.held(terms).select("term", "chunk_no").collect()))
+        assert found(index) == found(whole) == found(L.ChunkIndex(whole.chunks)) and len(found(index)) > 0
