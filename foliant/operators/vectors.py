@@ -18,10 +18,12 @@ from ..plans.sizing import bounded_broadcast, is_small
 from ..session import stored
 
 EMBED_BATCH = 24
-QUERY_BLOCK = 1024
+#: Distances computed at once, at most.
+QUERY_BLOCK, DISTANCES = 1024, 4 << 20
 BROADCAST_VECTORS = 20_000
-#: Items around one pivot, about; more share a pivot in parts of so many. Pivots are broadcast.
-PIVOT_BLOCK, MOST_PIVOTS = 4096, 4096
+#: Items around one pivot, about; more share a pivot in parts of so many, and queries of a block come in parts of as
+#: many. Where nothing is ruled out, each side is sent once per part of the other. Pivots are broadcast.
+PIVOT_BLOCK, MOST_PIVOTS = 16384, 4096
 #: Distances are rounded to six places, squared ones before their root is taken.
 ROUNDING = 1e-6
 
@@ -134,8 +136,9 @@ def _near(matrix: np.ndarray, items: pd.DataFrame, queries: np.ndarray, keys: pd
     groups = [(np.arange(len(items)), np.arange(len(keys)))] if within is None else [
         (np.flatnonzero((items[within] == value).to_numpy()), np.flatnonzero((keys[within] == value).to_numpy())) for value in items[within].unique()]
     for own, asked in groups:
-        for start in range(0, len(asked), QUERY_BLOCK):
-            part = asked[start:start + QUERY_BLOCK]
+        step = max(1, min(QUERY_BLOCK, DISTANCES // max(1, len(own))))
+        for start in range(0, len(asked), step):
+            part = asked[start:start + step]
             block = _best_of(matrix[own], items.iloc[own].reset_index(drop=True), queries[part], keys.iloc[part].reset_index(drop=True), int(limits[part].max()))
             parts.append(block)
     return pd.concat(parts) if parts else pd.DataFrame()
@@ -168,7 +171,7 @@ def _by_pivots(q: DataFrame, v: DataFrame, query_cols: list[str], item_cols: lis
     A query first meets the nearest blocks that together hold its limit (of its corpus); its
     worst distance there is a radius, and it goes on only to blocks whose pivot is no farther
     than that radius plus the block's own. Blocks and the queries that want them are cut into
-    parts of PIVOT_BLOCK items and QUERY_BLOCK queries, of which each pair is one group.
+    parts of PIVOT_BLOCK items and queries, of which each pair is one group.
     """
     spark = v.sparkSession
     count = v.count()
@@ -191,10 +194,10 @@ def _by_pivots(q: DataFrame, v: DataFrame, query_cols: list[str], item_cols: lis
         sizes = own.groupBy(*corpus, "pivot").agg(F.count("*").alias("queries"), F.first("n").alias("n"))
         known = lambda: F.broadcast(sizes.toDF(*sizes.columns))  # each side of the cogroup needs columns of its own
         meeting = own.select(*query_cols, "pivot").join(asked.drop("gaps"), query_cols).join(known(), [*corpus, "pivot"])
-        meeting = meeting.withColumn("qp", part(query_cols, "queries", QUERY_BLOCK)).withColumn(
+        meeting = meeting.withColumn("qp", part(query_cols, "queries", PIVOT_BLOCK)).withColumn(
             "ip", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / PIVOT_BLOCK) - 1)))
         items = dealt.join(known(), [*corpus, "pivot"]).withColumn("ip", part(item_cols, "n", PIVOT_BLOCK)).withColumn(
-            "qp", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("queries") / QUERY_BLOCK) - 1)))
+            "qp", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("queries") / PIVOT_BLOCK) - 1)))
         key = [*corpus, "pivot", "ip", "qp"]
 
         def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

@@ -5,6 +5,8 @@ import json
 import random
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 import __spark_entry__ as registered
@@ -14,6 +16,7 @@ from foliant.operators import ingest as I
 from foliant.operators import lexical as L
 from foliant.operators import questions as Q
 from foliant.operators import retrieve as H
+from foliant.operators import vectors as V
 from foliant.session import shared_dir
 
 
@@ -144,3 +147,14 @@ def test_a_batch_of_queries_makes_postings_of_its_own_terms_only(spark):
         assert df(index) == df(whole) == df(L.ChunkIndex(whole.chunks))
         found = lambda i: sorted(map(tuple, i.held(terms).select("term", "chunk_no").collect()))
         assert found(index) == found(whole) == found(L.ChunkIndex(whole.chunks)) and len(found(index)) > 0
+
+
+def test_distances_at_once_are_bounded_however_large_a_block(monkeypatch):
+    rng, seen, whole = np.random.default_rng(1), [], V._best_of
+    items, queries = rng.normal(size=(90, 4)), rng.normal(size=(40, 4))
+    keys = lambda name, n: pd.DataFrame({name: np.arange(n)})
+    ask = lambda: V._near(items, keys("i", 90), queries, keys("q", 40), np.full(40, 3), None).reset_index(drop=True)
+    expected = ask()
+    monkeypatch.setattr(V, "DISTANCES", 900)
+    monkeypatch.setattr(V, "_best_of", lambda m, i, q, k, n: seen.append(len(m) * len(q)) or whole(m, i, q, k, n))
+    assert ask().equals(expected) and len(seen) == 4 and max(seen) == 900
