@@ -10,7 +10,7 @@ from ..functions import lists
 from ..functions import text as T
 from ..functions.policy import is_blocked
 from ..plans.scans import top_rows
-from ..session import cut
+from ..session import cut, stored
 
 MIN_QUESTION_CHUNK = 180
 SAME_QUESTION = 0.82
@@ -48,8 +48,8 @@ def restates(question, answer, limit: float = 0.72) -> Column:
 
 def eligible_chunks(chunks: DataFrame, dataset: str = "dataset_id") -> DataFrame:
     """Safe chunks long enough for a question; all safe chunks where none is long enough."""
-    safe = is_blocked(chunks, "content", "retrieved_context", "_b").filter("not _b").drop("_b").withColumn(
-        "_long", F.length(T.strip("content")) >= MIN_QUESTION_CHUNK)
+    safe = stored(is_blocked(chunks, "content", "retrieved_context", "_b").filter("not _b").drop("_b").withColumn(
+        "_long", F.length(T.strip("content")) >= MIN_QUESTION_CHUNK))  # judged once, read twice
     some = safe.groupBy(dataset).agg(F.max("_long").alias("_some"))
     return safe.join(some, dataset).filter(F.col("_long") | ~F.col("_some")).drop("_long", "_some")
 
