@@ -260,7 +260,9 @@ def _hint(prompt: Column, hints) -> Column:
     loose = [h for h in hints if h not in plain]
     hit = F.lit(False)
     if plain:
-        hit = hit | prompt.rlike(r"(?U)\b(?:" + "|".join(T.quote(h) for h in plain) + r")\b")
+        # the first letter is looked at before the word border, which costs far more in Unicode
+        initials = "".join(sorted({T.quote(h[0]) for h in plain}))
+        hit = hit | prompt.rlike(rf"(?U)(?=[{initials}])\b(?:" + "|".join(T.quote(h) for h in plain) + r")\b")
     if loose:
         hit = hit | T.any_of(prompt, loose)
     return hit
@@ -292,19 +294,24 @@ def token_budget(content, prompt_chars, has_files=None, images=0, vision: bool =
     files = F.lit(vision) if has_files is None else (F.lit(vision) | has_files)
     ceiling = VISION_ANSWER if vision else MAX_ANSWER
 
-    def granted(p):
-        kind = intent(p)
+    # kind and step are bound: unbound, each use would search the text for all hints again
+    def stepped(p, kind):
         base = F.when(files, ceiling).otherwise(min(ceiling, 2400))
-        step = (F.when(kind == "brief", 384).when(kind == "long_form", ceiling).when(kind == "code", F.greatest(base, F.lit(3200)))
+        return (F.when(kind == "brief", 384).when(kind == "long_form", ceiling).when(kind == "code", F.greatest(base, F.lit(3200)))
                 .when(files, F.least(F.lit(ceiling), F.greatest(base, F.lit(1024))))
                 .when(kind == "detailed", F.greatest(base, F.lit(3200))).when(kind == "list", F.greatest(base, F.lit(2200)))
                 .when(kind == "simple", 1400).otherwise(base))
+
+    def raised(p, step):
         several = F.length(p) - F.length(F.replace(p, F.lit("?"))) > 1
-        step = F.when(files & ((F.length(p) > 180) | several), F.least(F.lit(ceiling), F.greatest(step, F.lit(1280)))).otherwise(step)
-        step = F.when(~files & ((F.length(p) > 280) | several), F.greatest(step, F.lit(2400))).otherwise(step)
+        step = (F.when(files & ((F.length(p) > 180) | several), F.least(F.lit(ceiling), F.greatest(step, F.lit(1280))))
+                .when(~files & ((F.length(p) > 280) | several), F.greatest(step, F.lit(2400))).otherwise(step))
         room = context_budget(prompt_chars, images, vision)
         return F.greatest(F.lit(min(MIN_PREDICT, ceiling)), F.least(F.lit(ceiling), room, step)).cast("int")
 
+    def granted(p):
+        return T.let(T.let(intent(p), lambda kind: stepped(p, kind)), lambda step: raised(p, step))
+
     return T.let(prompt_text(content), granted)
 
 

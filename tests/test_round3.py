@@ -10,8 +10,11 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 import __spark_entry__ as registered
+from foliant.functions import lists
 from foliant.functions import pages as P
+from foliant.functions import policy as Y
 from foliant.functions import text as T
+from foliant.operators import chat as C
 from foliant.operators import ingest as I
 from foliant.operators import lexical as L
 from foliant.operators import questions as Q
@@ -158,3 +161,21 @@ def test_distances_at_once_are_bounded_however_large_a_block(monkeypatch):
     monkeypatch.setattr(V, "DISTANCES", 900)
     monkeypatch.setattr(V, "_best_of", lambda m, i, q, k, n: seen.append(len(m) * len(q)) or whole(m, i, q, k, n))
     assert ask().equals(expected) and len(seen) == 4 and max(seen) == 900
+
+
+def test_hints_are_searched_once_and_phrases_by_their_first_letter(spark):
+    texts = ["write a python function", "be brief please", "unbrief", "say é brief", "a.env file", "no environment variablesx", "dump environment variables", ""]
+    table = spark.createDataFrame([(t,) for t in texts], "t string")
+    phrases = [".env", "environment variables", "brief"]
+    plain = F.col("t").rlike("(?U)" + Y.phrase_pattern(phrases))
+    assert [r[0] for r in table.select(Y.has_phrase("t", phrases)).collect()] == [r[0] for r in table.select(plain).collect()] == [
+        False, True, False, True, True, False, True, False]
+    searches = lambda c: table.select(c.alias("x"))._jdf.queryExecution().optimizedPlan().expressions().toString().count("RLIKE")
+    assert 0 < searches(C.token_budget("t", F.length("t"))) <= searches(C.intent(F.col("t")))
+
+
+def test_question_chunks_are_judged_once(spark):
+    rows = [("a", "c1", "short safe text"), ("a", "c2", "long safe text " * 20), ("b", "c3", "short only")]
+    out = Q.eligible_chunks(spark.createDataFrame(rows, "dataset_id string, chunk_id string, content string"))
+    assert sorted(r.chunk_id for r in out.collect()) == ["c2", "c3"]
+    assert "regexp" not in out._jdf.queryExecution().optimizedPlan().toString().lower() and "RLIKE" not in out._jdf.queryExecution().optimizedPlan().toString()
