@@ -131,9 +131,9 @@ def m08(spark, d):
                     F.concat(F.lit("Who is "), name, F.lit("?")), F.concat(F.lit("What did "), name, F.lit(" say when leaving?")))
     q = docs.select(F.posexplode(kinds).alias("k", "query"), (F.col("doc_id") * 4).alias("b")).select((F.col("b") + F.col("k")).alias("query_id"), "query")
     body = F.concat(name, F.lit(' said when leaving, "I could not come in." The housekeeper is his sister and the treatment was air. The result was solitude for all of them here. '), "text")
-    e = docs.select((F.col("doc_id") * 4).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"), body.alias("content")).select(
-        (F.col("b") + F.col("k")).alias("query_id"), F.lit(1).alias("place"), "content", F.lit(1.0).alias("relevance"))
-    return A.extractive_answers(q, e)
+    e = docs.select((F.col("doc_id") * 4).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"), F.col("doc_id").alias("text_id")).select(
+        (F.col("b") + F.col("k")).alias("query_id"), F.lit(1).alias("place"), "text_id", F.lit(1.0).alias("relevance"))
+    return A.extractive_answers(q, e, docs.select(F.col("doc_id").alias("text_id"), body.alias("content")))
 
 
 @register("m12_t06_grounded_answers", f"""

@@ -56,66 +56,163 @@ def speech_verb(q) -> Column:
 
 # -- sentences of the evidence ------------------------------------------------------------
 
-def evidence_sentences(evidence: DataFrame, least: int = 40) -> DataFrame:
-    """Sentences of each query's evidence in reading order, fragments left out."""
-    return evidence.select(
-        "query_id", "place", "relevance", F.posexplode(T.sentences("content", least)).alias("sentence_no", "sentence")
-    ).filter(~F.col("sentence").rlike("^[a-z]"))
+def _terms(x) -> Column:
+    return T.word_set(T.question_norm(x))
 
 
-def _first_best(rows: DataFrame, score: str = "score") -> DataFrame:
-    return top_rows(rows, ["query_id"], [F.desc(score), F.col("place"), F.col("sentence_no")], 1, "_r").drop("_r")
+def text_sentences(content, asides: bool = True, least: int = 40) -> Column:
+    """Sentences of a text in reading order, fragments left out, each with what every question about it needs:
+    no, sentence, norm, words and, with ``asides``, lowered, asks and tells."""
 
+    def lowered(s):
+        return F.struct(s["no"].alias("no"), s["sentence"].alias("sentence"), F.lower(s["sentence"]).alias("lowered"))
 
-def _terms(x) -> Column:
-    return T.word_set(T.question_norm(x))
+    def formed(s):
+        # a sentence has no white space but single spaces, so the normal form needs no Unicode classes
+        norm = F.trim(F.regexp_replace(F.regexp_replace(s["lowered"], "[^a-z0-9 ]+", ""), " {2,}", " "))
+        return F.struct(s["no"].alias("no"), s["sentence"].alias("sentence"), s["lowered"].alias("lowered"), norm.alias("norm"))
+
+    def parted(s):
+        own = [s[c].alias(c) for c in ("no", "sentence", "norm")] + [F.split(s["norm"], " ").alias("words")]
+        if asides:
+            own += [s["lowered"].alias("lowered"), T.any_of(s["lowered"], lists.ASKING_PHRASES).alias("asks"),
+                    T.any_of(s["lowered"], lists.TELLING_PHRASES).alias("tells")]
+        return F.struct(*own)
+
+    numbered = F.transform(T.sentences(content, least), lambda s, i: F.struct(i.alias("no"), s.alias("sentence")))
+    whole = F.filter(numbered, lambda s: ~s["sentence"].rlike("^[a-z]"))
+    return F.transform(F.transform(F.transform(whole, lowered), formed), parted)
+
+
+def _ranked(keep, score, first=None):
+    """Struct per sentence that sorts as its rank in one text: wanted phrases first, then score, then place."""
+    rows = F.filter("sentences", keep)
+    return F.transform(rows, lambda s: F.struct(
+        (F.lit(False) if first is None else first(s)).alias("first"), F.round(score(s), 6).alias("score"),
+        (-s["no"]).alias("back"), s["sentence"].alias("sentence"), s["norm"].alias("norm")))
+
+
+def _best(ranked: Column) -> Column:
+    return F.array(F.array_max(ranked))
+
+
+def _best_two(ranked: Column) -> Column:
+    """The best sentence, and the best one of another normal form."""
+    return T.let(ranked, lambda r: T.let(F.array_max(r), lambda top: F.array(
+        top, F.array_max(F.filter(r, lambda x: x["norm"] != top["norm"])))))
+
+
+def _hinted(hints, phrases=()) -> Column:
+    """Sentences supported by the question and the hints; those that hold a hint phrase come before all others."""
+    def hits(s):
+        out = F.lit(0)
+        for phrase in phrases:
+            out = out + F.contains(s["lowered"], F.lit(phrase)).cast("int")
+        return out
+
+    def score(s):
+        return (T.overlap(F.col("asked"), s["words"]) + T.overlap(T.words(hints), s["words"]) * 1.8 + hits(s) * 5.0
+                + F.col("relevance") * 2.0 - F.when(F.contains(s["sentence"], F.lit("?")), 3.0).otherwise(0.0)
+                - F.when(s["asks"], 3.0).otherwise(0.0) - F.when(s["tells"], 3.0).otherwise(0.0))
+
+    ranked = _ranked(lambda s: s["norm"] != "", score, lambda s: hits(s) > 0)
+    return F.filter(ranked, lambda r: r["score"] > -1.0)
+
+
+def _named(s, leads: str) -> Column:
+    return (F.col("entity") == "") | F.contains(s["lowered"], F.lower("entity")) | s["lowered"].rlike(leads)
+
+
+def _identity() -> Column:
+    return _ranked(
+        lambda s: F.arrays_overlap(s["words"], T.words(lists.IDENTITY_REQUIRED))
+        & (_named(s, "^(?:she is |he is |they are )") | s["lowered"].contains("john's sister"))
+        & ~T.any_of(s["lowered"], ["my brother", "a friend who"]),
+        lambda s: T.overlap(F.col("asked"), s["words"]) + T.overlap(T.words(lists.IDENTITY_HINTS), s["words"]) * 1.8 + F.col("relevance") * 2.0)
 
 
-def best_sentence(rows: DataFrame, hints, phrases=(), exclude: DataFrame | None = None, out: str = "sentence") -> DataFrame:
-    """Best supported sentence per query; one that holds a hint phrase wins over all others.
+def _responsibility() -> Column:
+    return _ranked(
+        lambda s: F.arrays_overlap(s["words"], T.words(lists.RESPONSIBILITY_REQUIRED)) & _named(s, "^(?:she |he |they )")
+        & ~T.any_of(s["lowered"], ["don't care", "do not care"]),
+        lambda s: T.overlap(F.col("asked"), s["words"]) + T.overlap(T.words(lists.RESPONSIBILITY_HINTS), s["words"]) * 1.9
+        + T.overlap(T.words(lists.RESPONSIBILITY_REQUIRED), s["words"]) * 2.2 + F.col("relevance") * 2.0
+        + F.when(s["lowered"].contains("sees to everything"), 2.0).otherwise(0.0))
 
-    ``rows``: evidence sentences joined with ``question``. ``exclude``: query_id, excluded.
+
+def _first_of(picks: DataFrame, part: str, out: str, other_than: DataFrame | None = None) -> DataFrame:
+    """The best pick of a part per query: query_id, sentence as ``out``, norm. ``other_than``: picks whose normal form it must not have."""
+    rows = picks.filter(F.col("part") == part)
+    if other_than is not None:
+        rows = rows.join(other_than.select("query_id", F.col("norm").alias("taken")), "query_id", "left").filter(
+            F.col("taken").isNull() | (F.col("norm") != F.col("taken")))
+    best = top_rows(rows, ["query_id"], [F.desc("first"), F.desc("score"), F.col("place"), F.desc("back")], 1, "_r")
+    return best.select("query_id", F.col("sentence").alias(out), "norm")
+
+
+def _general() -> Column:
+    """The two sentences that share most with the question."""
+    shared = F.transform("sentences", lambda s: F.struct(T.overlap(F.col("terms"), s["words"]).alias("n"), s.alias("s")))
+    # terms that are shared are support terms of the sentence; without any it must have one of its own
+    own = lambda s: F.size(F.filter(F.array_except(s["words"], T.words(lists.SUPPORT_STOPWORDS)), lambda t: F.length(t) > 1)) > 0
+    told = F.filter(shared, lambda x: (x["n"] >= 2) | ((F.size("terms") <= 4) & ((x["n"] > 0) | own(x["s"]))))
+    scored = F.transform(told, lambda x: F.struct(
+        F.lit(False).alias("first"),
+        F.round(x["n"] + F.col("relevance") * 2.0 - F.when(F.contains(x["s"]["sentence"], F.lit("?")), 2.5).otherwise(0.0), 6).alias("score"),
+        F.lit(0).alias("back"), x["s"]["sentence"].alias("sentence"), x["s"]["norm"].alias("norm")))
+    return F.slice(F.sort_array(F.filter(scored, lambda x: x["score"] > 0), asc=False), 1, 2)
+
+
+#: Parts of the answers by what a question asks for: the first sentence, and the second, which must have another form.
+PARTS = {"why": ("reason", "effect"), "ill": ("diagnosis", "treatment"), "who": ("identity", "responsibility")}
+
+
+def _picks(rows: DataFrame, typed: bool) -> DataFrame:
+    """query_id, place, part, first, score, back, sentence, norm: what goes on from a (query, text), its best sentences for each part.
+
+    Where a text has both sentences of a typed answer, in whatever forms, the question needs no general one.
     """
-    lowered = F.lower("sentence")
-    hits = F.lit(0)
-    for phrase in phrases:
-        hits = hits + F.contains(lowered, F.lit(phrase)).cast("int")
-    own = _terms("sentence")
-    score = (T.overlap(_terms("question"), own) + T.overlap(T.words(hints), own) * 1.8 + F.col("phrase_hits") * 5.0
-             + F.col("relevance") * 2.0 - F.when(F.contains("sentence", F.lit("?")), 3.0).otherwise(0.0)
-             - F.when(T.any_of(lowered, lists.ASKING_PHRASES), 3.0).otherwise(0.0)
-             - F.when(T.any_of(lowered, lists.TELLING_PHRASES), 3.0).otherwise(0.0))
-    kept = rows.filter(T.question_norm("sentence") != "")
-    if exclude is not None:
-        kept = kept.join(exclude, "query_id", "left").filter(
-            F.coalesce(F.col("excluded"), F.lit("")).eqNullSafe("") | (T.question_norm("sentence") != T.question_norm("excluded")))
-    scored = kept.withColumn("phrase_hits", hits).withColumn("score", F.round(score, 6)).filter("score > -1.0")
-    best = top_rows(scored, ["query_id"], [F.desc(F.col("phrase_hits") > 0), F.desc("score"), F.col("place"),
-                                           F.col("sentence_no")], 1, "_r")
-    return best.select("query_id", F.col("sentence").alias(out))
-
-
-def identity_sentence(rows: DataFrame) -> DataFrame:
-    lowered, own = F.lower("sentence"), _terms("sentence")
-    named = (F.col("entity") == "") | F.contains(lowered, F.lower("entity")) | lowered.rlike("^(?:she is |he is |they are )") \
-        | lowered.contains("john's sister")
-    kept = rows.filter(F.arrays_overlap(own, T.words(lists.IDENTITY_REQUIRED)) & named
-                       & ~T.any_of(lowered, ["my brother", "a friend who"]))
-    score = T.overlap(_terms("question"), own) + T.overlap(T.words(lists.IDENTITY_HINTS), own) * 1.8 + F.col("relevance") * 2.0
-    return _first_best(kept.withColumn("score", F.round(score, 6))).select("query_id", F.col("sentence").alias("identity"))
-
-
-def responsibility_sentence(rows: DataFrame, identity: DataFrame) -> DataFrame:
-    lowered, own = F.lower("sentence"), _terms("sentence")
-    named = (F.col("entity") == "") | F.contains(lowered, F.lower("entity")) | lowered.rlike("^(?:she |he |they )")
-    kept = rows.join(identity, "query_id", "left").filter(
-        F.arrays_overlap(own, T.words(lists.RESPONSIBILITY_REQUIRED)) & named
-        & ~T.any_of(lowered, ["don't care", "do not care"])
-        & (F.col("identity").isNull() | (T.question_norm("sentence") != T.question_norm("identity"))))
-    score = (T.overlap(_terms("question"), own) + T.overlap(T.words(lists.RESPONSIBILITY_HINTS), own) * 1.9
-             + T.overlap(T.words(lists.RESPONSIBILITY_REQUIRED), own) * 2.2 + F.col("relevance") * 2.0
-             + F.when(lowered.contains("sees to everything"), 2.0).otherwise(0.0))
-    return _first_best(kept.withColumn("score", F.round(score, 6))).select("query_id", F.col("sentence").alias("responsibility"))
+    tag = lambda part: lambda x: F.struct(F.lit(part).alias("part"), x.alias("x"))
+    none = F.array().cast("array<struct<first:boolean,score:double,back:int,sentence:string,norm:string>>")
+    if typed:
+        best = {"reason": _best(_hinted(lists.REASON_HINTS, lists.REASON_PHRASES)), "effect": _best_two(_hinted(lists.CONSEQUENCE_HINTS, lists.CONSEQUENCE_PHRASES)),
+                "diagnosis": _best(_hinted(lists.DIAGNOSIS_HINTS)), "treatment": _best_two(_hinted(lists.TREATMENT_HINTS)),
+                "identity": _best(_identity()), "responsibility": _best_two(_responsibility())}
+        found = F.struct(*[F.when(F.col(kind), best[part]).otherwise(none).alias(part) for kind, pair in PARTS.items() for part in pair])
+        got = lambda z, part, i: F.get(z[part], F.lit(i)).isNotNull()
+        settled = lambda z: (got(z, "reason", 0) & got(z, "effect", 1)) | (got(z, "diagnosis", 0) & got(z, "treatment", 1)) | got(z, "responsibility", 1)
+        parts = T.let(found, lambda z: F.concat(
+            *[F.transform(z[part], tag(part)) for part in best], F.transform(F.when(settled(z), none).otherwise(_general()), tag("general"))))
+    else:
+        parts = F.transform(_general(), tag("general"))
+    picks = rows.select("query_id", "place", F.explode(parts).alias("p"))
+    return picks.filter("p.x is not null").select("query_id", "place", "p.part", "p.x.*")
+
+
+def sentence_answers(uses: DataFrame, texts: DataFrame, typed: bool = True) -> DataFrame:
+    """query_id, answer, branch from the sentences of each question's texts; a text is cut into sentences once for all of them."""
+    rows = uses.join(_texts_of(texts, uses).select("text_id", text_sentences("content", typed).alias("sentences")), "text_id")
+    picks = cut(_picks(rows, typed))
+    found = {}
+    if typed:
+        joined = lambda left, right, glue: left.drop("norm").join(right.drop("norm"), "query_id").select("query_id", T.squeeze(glue).alias("answer"))
+        first = {pair[0]: _first_of(picks, pair[0], pair[0]) for pair in PARTS.values()}
+        second = {b: _first_of(picks, b, b, first[a]) for a, b in PARTS.values()}
+        duty = second["responsibility"].drop("norm").join(first["identity"].drop("norm"), "query_id", "left").join(
+            uses.filter("who").select("query_id", "entity").distinct(), "query_id")
+        found = {
+            "reason": joined(first["reason"], second["effect"], F.concat(F.lit("Reason: "), "reason", F.lit(" Consequence: "), "effect")),
+            "treatment": joined(first["diagnosis"], second["treatment"], F.concat_ws(" ", "diagnosis", "treatment")),
+            "identity": duty.select("query_id", T.squeeze(F.concat_ws(
+                " ", named_sentence("entity", "identity"), named_sentence("entity", "responsibility"))).alias("answer"))}
+    two = top_rows(picks.filter("part = 'general'"), ["query_id"], [F.desc("score"), F.desc("sentence")], 2, "r")
+    text = F.transform(F.array_sort(F.collect_list(F.struct("r", "sentence"))), lambda x: x["sentence"])
+    found["general"] = two.groupBy("query_id").agg(T.squeeze(F.array_join(text, " ")).alias("answer"))
+    rows = None
+    for order, (name, part) in enumerate(found.items()):
+        part = part.filter("answer <> ''").withColumn("branch", F.lit(name)).withColumn("_o", F.lit(order))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows.groupBy("query_id").agg(F.min_by(F.struct("answer", "branch"), "_o").alias("b")).select("query_id", "b.answer", "b.branch")
 
 
 def named_sentence(entity, sentence) -> Column:
@@ -129,26 +226,34 @@ def named_sentence(entity, sentence) -> Column:
             .otherwise(s))
 
 
-def reported_speech(rows: DataFrame) -> DataFrame:
-    """Answers to "what did X say when ...": query_id, answer. ``rows``: evidence joined with question."""
-    asked = T.strip(F.lower("question"))
+def asks_for_speech(q) -> Column:
+    asked = T.strip(F.lower(T.col(q)))
+    return asked.startswith("what did ") & (asked.contains(" when ") | (speech_verb(q) != ""))
+
+
+def reported_speech(uses: DataFrame, texts: DataFrame) -> DataFrame:
+    """Answers to "what did X say when ...": query_id, answer."""
+    rows = uses.filter(asks_for_speech("question"))
     rows = rows.withColumn("verb", speech_verb("question")).withColumn("entity", entity_name("question"))
-    rows = rows.filter(asked.startswith("what did ") & (asked.contains(" when ") | (F.col("verb") != "")))
     cue = T.question_norm(F.regexp_extract(T.strip("question"), r"(?iU)\bwhen\b\s+(.+?)\??$", 1))
-    rows = rows.withColumn("cue", T.word_set(cue)).withColumn("text", T.squeeze("content")).withColumn("lowered", F.lower("text"))
-    rows = rows.withColumn("shared", T.overlap("cue", _terms("text")))
+    rows = rows.withColumn("cue", T.word_set(cue))
+    # generators keep filters from computing the columns they look at a second time
+    form = lambda text: F.struct(text.alias("text"), F.lower(text).alias("lowered"))
+    spoken_texts = _texts_of(texts, rows).select("text_id", F.inline(F.transform(F.array(T.squeeze("content")), form))).filter(
+        T.any_of("lowered", lists.SPEECH_MARKERS))
+    # white space is single spaces by now
+    spoken_texts = spoken_texts.select("*", F.explode(F.array(F.split(F.regexp_replace("lowered", "[^a-z0-9 ]+", ""), " +"))).alias("words"))
+    rows = rows.join(spoken_texts, "text_id").withColumn("shared", T.overlap("cue", "words"))
     enough = (F.size("cue") == 0) | (F.col("shared") >= F.greatest(F.lit(1), F.least(F.lit(2), F.size("cue"))))
-    rows = rows.filter(((F.col("entity") == "") | F.contains("lowered", F.lower("entity"))) & enough
-                       & T.any_of("lowered", lists.SPEECH_MARKERS))
-    quotes = T.quoted_segments("text")
-    rows = rows.withColumn("quotes", quotes)
-    spoken = T.squeeze(F.array_join(F.when((F.size("cue") > 0) & (F.size("quotes") > 1), F.slice("quotes", -1, 1)).otherwise(F.col("quotes")), " "))
+    rows = rows.filter(((F.col("entity") == "") | F.contains("lowered", F.lower("entity"))) & enough)
     lead = T.squeeze(T.strip_chars(F.regexp_extract(
         "text", r"(?iU)^(.+?)\b(?:said|whispered|asked|replied|returned|cried|shouted)\b", 1), " \"'?,;:-"))
     tail = F.when(F.contains("text", F.lit(",")), T.squeeze(T.strip_chars(F.substring_index("text", ",", -1), " \"'?"))).otherwise("")
-    rows = rows.withColumn("spoken", spoken).withColumn("spoken", F.when(
-        (F.col("spoken") == "") & (F.col("verb") != ""), lead).otherwise(F.col("spoken")))
-    rows = rows.withColumn("spoken", F.when(F.col("spoken") == "", tail).otherwise(F.col("spoken"))).filter(F.length("spoken") >= 6)
+    spoken = T.let(T.quoted_segments("text"), lambda quotes: T.squeeze(F.array_join(
+        F.when((F.size("cue") > 0) & (F.size(quotes) > 1), F.slice(quotes, -1, 1)).otherwise(quotes), " ")))
+    spoken = T.let(spoken, lambda s: F.when((s == "") & (F.col("verb") != ""), lead).otherwise(s))
+    spoken = T.let(spoken, lambda s: F.when(s == "", tail).otherwise(s))
+    rows = rows.select("*", F.explode(F.array(spoken)).alias("spoken")).filter(F.length("spoken") >= 6)
     guessed = (F.when(F.contains("lowered", F.lit("ask")) | F.contains("spoken", F.lit("?")), "asked")
                .when(F.contains("lowered", F.lit(" replied ")), "replied").when(F.contains("lowered", F.lit(" returned ")), "returned")
                .otherwise("said"))
@@ -160,52 +265,34 @@ def reported_speech(rows: DataFrame) -> DataFrame:
     return top_rows(rows, ["query_id"], [F.desc("score"), F.col("place")], 1, "_r").select("query_id", "answer")
 
 
-def general_answer(rows: DataFrame) -> DataFrame:
-    """The two sentences that share most with the question, best first."""
-    q, s = T.support_terms("question"), T.support_terms("sentence")
-    scored = rows.withColumn("q", q).withColumn("s", s).withColumn("overlap", T.overlap("q", "s")).filter(
-        (F.size("s") > 0) & ((F.col("overlap") >= 2) | (F.size("q") <= 4)))
-    scored = scored.withColumn("score", F.round(F.col("overlap") + F.col("relevance") * 2.0
-                                                - F.when(F.contains("sentence", F.lit("?")), 2.5).otherwise(0.0), 6)).filter("score > 0")
-    best = top_rows(scored, ["query_id"], [F.desc("score"), F.desc("sentence")], 2, "r")
-    text = F.transform(F.array_sort(F.collect_list(F.struct("r", "sentence"))), lambda x: x["sentence"])
-    return best.groupBy("query_id").agg(T.squeeze(F.array_join(text, " ")).alias("answer"))
+def _texts_of(texts: DataFrame, uses: DataFrame) -> DataFrame:
+    return texts.join(uses.select("text_id").distinct(), "text_id", "left_semi")
 
 
-def extractive_answers(queries: DataFrame, evidence: DataFrame) -> DataFrame:
-    """query_id, answer, branch. Evidence: query_id, place, content, relevance.
+def extractive_answers(queries: DataFrame, evidence: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """query_id, answer, branch. Evidence: query_id, place, relevance, content, or text_id instead of content where
+    ``texts`` (text_id, content) has each text once.
 
     Branches in order of precedence: reported speech, reason and consequence,
-    diagnosis and treatment, identity and responsibility, general.
+    diagnosis and treatment, identity and responsibility, general. What speech answers goes no further.
     """
     q = queries.select("query_id", F.col("query").alias("question"))
-    # read by seven selections: cut into sentences once
-    sentences = cut(evidence_sentences(evidence).join(q, "query_id").withColumn("entity", entity_name("question")))
-    pair = lambda left, right, glue: left.join(right, "query_id").select("query_id", T.squeeze(glue).alias("answer"))
-    found = [reported_speech(evidence.join(q, "query_id"))]
-    why = sentences.filter(wants_reason("question"))
-    reason = best_sentence(why, lists.REASON_HINTS, lists.REASON_PHRASES, out="reason")
-    effect = best_sentence(why, lists.CONSEQUENCE_HINTS, lists.CONSEQUENCE_PHRASES,
-                           reason.withColumnRenamed("reason", "excluded"), "effect")
-    found.append(pair(reason, effect, F.concat(F.lit("Reason: "), "reason", F.lit(" Consequence: "), "effect")))
-    ill = sentences.filter(wants_treatment("question"))
-    diagnosis = best_sentence(ill, lists.DIAGNOSIS_HINTS, out="diagnosis")
-    treatment = best_sentence(ill, lists.TREATMENT_HINTS, (), diagnosis.withColumnRenamed("diagnosis", "excluded"), "treatment")
-    found.append(pair(diagnosis, treatment, F.concat_ws(" ", "diagnosis", "treatment")))
-    who = sentences.filter(wants_identity("question"))
-    identity = identity_sentence(who)
-    duty = responsibility_sentence(who, identity).join(identity, "query_id", "left").join(
-        q.withColumn("entity", entity_name("question")), "query_id")
-    found.append(duty.select("query_id", T.squeeze(F.concat_ws(
-        " ", named_sentence("entity", "identity"), named_sentence("entity", "responsibility"))).alias("answer")))
-    found.append(general_answer(sentences))
-    names = ["speech", "reason", "treatment", "identity", "general"]
-    rows = None
-    for order, (name, part) in enumerate(zip(names, found)):
-        part = part.filter("answer <> ''").withColumn("branch", F.lit(name)).withColumn("_o", F.lit(order))
-        rows = part if rows is None else rows.unionByName(part)
-    return rows.groupBy("query_id").agg(F.min_by(F.struct("answer", "branch"), "_o").alias("b")).select(
-        "query_id", "b.answer", "b.branch")
+    if texts is None:
+        evidence = evidence.filter(F.col("content").isNotNull()).withColumn("text_id", F.unhex(F.sha2(F.encode("content", "UTF-8"), 256)))
+        texts = evidence.select("text_id", "content")
+        texts = texts.groupBy("text_id").agg(F.any_value("content").alias("content"))
+    uses = evidence.select("query_id", "place", "relevance", "text_id")
+    q = cut(q.withColumns({"why": wants_reason("question"), "ill": wants_treatment("question"), "who": wants_identity("question"),
+                           "said": asks_for_speech("question")}))
+    some = lambda kind: len(q.filter(kind).select(F.lit(1)).head(1)) > 0
+    speech, open_q = None, q
+    if some("said"):
+        speaking = uses.join(q.filter("said").select("query_id", "question"), "query_id")
+        speech = cut(reported_speech(speaking, texts).filter("answer <> ''").withColumn("branch", F.lit("speech")))
+        open_q = q.join(speech.select("query_id"), "query_id", "left_anti")
+    asked = open_q.select("query_id", *PARTS, _terms("question").alias("asked"), T.support_terms("question").alias("terms"), entity_name("question").alias("entity"))
+    rows = sentence_answers(uses.join(asked, "query_id"), texts, some("why or ill or who"))
+    return rows if speech is None else rows.unionByName(speech)
 
 
 # -- gate and evidence ------------------------------------------------------------------------

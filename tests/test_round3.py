@@ -14,6 +14,7 @@ from foliant.functions import lists
 from foliant.functions import pages as P
 from foliant.functions import policy as Y
 from foliant.functions import text as T
+from foliant.operators import answer as A
 from foliant.operators import chat as C
 from foliant.operators import ingest as I
 from foliant.operators import lexical as L
@@ -179,3 +180,25 @@ def test_question_chunks_are_judged_once(spark):
     out = Q.eligible_chunks(spark.createDataFrame(rows, "dataset_id string, chunk_id string, content string"))
     assert sorted(r.chunk_id for r in out.collect()) == ["c2", "c3"]
     assert "regexp" not in out._jdf.queryExecution().optimizedPlan().toString().lower() and "RLIKE" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_typed_answers_take_each_text_once(spark):
+    asks = ["Why did Anna leave and what was the result?", "Who is Anna?", "What did Anna say when leaving home today?"]
+    same = ["Because of the long storm Anna had to leave the old house early.", "Because of the long storm, Anna had to leave the old house early!"]
+    filler = [f"Some other sentence number {k} tells of the river and of the hills." for k in range(400)]
+    shared = " ".join(same + filler + ["As a result the house stood empty and the garden went to ruin soon.", "Anna is the sister of John and keeps his house in order."])
+    plain = "Nothing much happened to anybody in the town on that quiet day."
+    q = spark.createDataFrame([(k, asks[k % 3]) for k in range(12)], "query_id int, query string")
+    uses = spark.createDataFrame([(k, p, t, 1.0) for k in range(12) for p, t in ((1, 7), (2, 8))], "query_id int, place int, text_id int, relevance double")
+    texts = spark.createDataFrame([(7, shared), (8, plain)], "text_id int, content string")
+    key = lambda rows: sorted((r.query_id, r.branch, r.answer) for r in rows.collect())
+    got = key(A.extractive_answers(q, uses, texts))
+    assert got == key(A.extractive_answers(q, uses.join(texts, "text_id").drop("text_id")))
+    by = {k: (branch, answer) for k, branch, answer in got}
+    assert by[0][0] == "reason" and by[0][1].count("long storm") == 1  # the second sentence has another form
+    assert set(by) == {k for k in range(12) if k % 3 != 2}
+    # a long text sends on its best sentences only, not all of them
+    asked = q.select("query_id", F.col("query").alias("question"), A.wants_reason("query").alias("why"), A.wants_treatment("query").alias("ill"), A.wants_identity("query").alias("who"),
+                     T.word_set(T.question_norm("query")).alias("asked"), T.support_terms("query").alias("terms"), A.entity_name("query").alias("entity"))
+    rows = uses.join(asked, "query_id").join(texts.select("text_id", A.text_sentences("content").alias("sentences")), "text_id")
+    assert A._picks(rows, True).count() <= 5 * uses.count()
