@@ -223,7 +223,8 @@ def j11(spark, d):
 WITH {R.lexical('mixed')} SELECT query_id, chunk_id, hits, round(score, 6) AS score FROM ws""")
 def m03(spark, d):
     index, features, _ = H.prepare_queries(mixed_queries(spark, d), S.stored_chunks(spark, d))
-    return L.whole_scores(index, features).join(index.keys("chunk_id"), "chunk_no").select(
+    # the pairs stay where they are: only the keys are dealt out
+    return L.whole_scores(index, features).join(index.keys("chunk_id").hint("shuffle_hash"), "chunk_no").select(
         "query_id", "chunk_id", F.col("hits").cast("int").alias("hits"), F.round("whole", 6).alias("score"))
 
 

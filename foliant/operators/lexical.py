@@ -298,52 +298,92 @@ def weighted_terms(features: DataFrame) -> DataFrame:
     return terms.withColumns({"variant_bits": bits, "gain": gain, "df": F.element_at("frequencies", F.col("term"))}).drop("frequencies")
 
 
-def score_units(units: DataFrame, key: list[str], terms: DataFrame, features: DataFrame,
-                pairs: DataFrame | None = None, said: DataFrame | None = None) -> DataFrame:
-    """Score of every (query, unit) that shares a term or a phrase.
+#: What scoring needs to know of a text besides its tokens.
+CUES = ["has_question", "description_cue", "role_cue"]
+SUMMED = ["dw", "xw", "ew", "dx_n", "e_n", "in_variants", "variant_bits"]
 
-    ``units``: key, tokens, has_question, description_cue, role_cue; the first key column is the chunk's number. With
-    ``pairs`` (query_id, chunk_no) a unit only meets the terms of its chunk's queries, by an
-    equi-join on chunk and term. ``said``: query_id, key, phrases.
-    """
-    facts = ["has_question", "description_cue", "role_cue"]
-    base = units.select(*key, *(["dataset_id"] if pairs is None else []), *facts, "tokens")
-    held = base.withColumn("term", F.explode("tokens")).drop("tokens")
-    if pairs is None:
-        met = held.join(bounded_broadcast(terms), ["dataset_id", "term"])
-    else:
-        met = held.join(pairs.select("query_id", "chunk_no").join(bounded_broadcast(terms), "query_id"), ["chunk_no", "term"])
-    weight = lambda flag: F.sum(F.when(F.col(flag), F.col("weight")).otherwise(0.0))
+
+def _summands(terms: DataFrame) -> DataFrame:
+    """``terms`` with what each adds to a text's sums; two counts share one number."""
+    weight = lambda flag: F.when(F.col(flag), F.col("weight")).otherwise(0.0)
+    one = lambda flag: F.when(F.col(flag), 1).otherwise(0).cast("long")
+    return terms.select(
+        *QUERY, "term", weight("is_direct").alias("dw"), weight("is_expanded").alias("xw"), weight("is_entity").alias("ew"),
+        (one("is_direct") + F.shiftleft(one("is_expanded"), 32)).alias("dx_n"), one("is_entity").alias("e_n"), "in_variants", "variant_bits")
+
+
+def _sums(features: DataFrame) -> list[Column]:
+    """Aggregates over the terms that a query and a text share."""
     # up to 63 variants fit one number, which aggregates far cheaper than lists
     if _has_any(features, F.size("variant_terms") > 63):
         variants = F.size(F.array_distinct(F.flatten(F.collect_list("in_variants"))))
     else:
         variants = F.bit_count(F.bit_or("variant_bits"))
-    matched = met.groupBy("query_id", *key).agg(
-        weight("is_direct").alias("ds"), weight("is_expanded").alias("xs"), weight("is_entity").alias("es"),
-        F.count_if("is_direct").alias("dn"), F.count_if("is_expanded").alias("xn"), F.count_if("is_entity").alias("en"),
-        variants.alias("vn"), *[F.max(c).alias(c) for c in facts])
+    return [F.sum("dw").alias("ds"), F.sum("xw").alias("xs"), F.sum("ew").alias("es"), F.sum("dx_n").alias("dx_n"), F.sum("e_n").alias("e_n"), variants.alias("vn")]
+
+
+def _counted(matched: DataFrame) -> DataFrame:
+    low = F.lit((1 << 32) - 1)
+    return matched.withColumns({"dn": F.col("dx_n").bitwiseAND(low), "xn": F.shiftright("dx_n", 32), "en": F.col("e_n").bitwiseAND(low)})
+
+
+def _scored(matched: DataFrame, key: list[str], features: DataFrame) -> DataFrame:
+    args = [F.col(c) for c in ("ds", "xs", "es", "dn", "xn", "en", "phrases", "vn", "description", "role",
+                               "description_cue", "role_cue", "has_question")]
+    return matched.join(bounded_broadcast(features.select("query_id", "description", "role")), "query_id").select(
+        "query_id", *key, F.col("phrases").cast("int").alias("hits"), combine_score(*args).alias("score"))
+
+
+def score_units(units: DataFrame, key: list[str], terms: DataFrame, features: DataFrame, pairs: DataFrame, said: DataFrame | None = None) -> DataFrame:
+    """Score of every (query, unit) that shares a term or a phrase, among ``pairs`` (query_id, chunk_no).
+
+    ``units``: key, tokens, has_question, description_cue, role_cue; the first key column is the chunk's number. A unit
+    only meets the terms of its chunk's queries, by an equi-join on chunk and term. ``said``: query_id, key, phrases.
+    """
+    base = units.select(*key, *CUES, "tokens")
+    held = base.withColumn("term", F.explode("tokens")).drop("tokens")
+    met = held.join(pairs.select("query_id", "chunk_no").join(bounded_broadcast(_summands(terms)), "query_id"), ["chunk_no", "term"])
+    matched = _counted(met.groupBy("query_id", *key).agg(*_sums(features), *[F.max(c).alias(c) for c in CUES]))
     if said is not None:
-        known = (base.filter(F.size("tokens") > 0) if pairs is None else base).select(*key, *[F.col(c).alias(f"_{c}") for c in facts])
+        known = base.select(*key, *[F.col(c).alias(f"_{c}") for c in CUES])
         matched = matched.join(said.join(known, key), ["query_id", *key], "full_outer")
-        for c in facts:
+        for c in CUES:
             matched = matched.withColumn(c, F.coalesce(c, f"_{c}"))
         matched = matched.na.fill(0)
     else:
         matched = matched.withColumn("phrases", F.lit(0))
-    flags = features.select("query_id", "description", "role")
-    args = [F.col(c) for c in ("ds", "xs", "es", "dn", "xn", "en", "phrases", "vn", "description", "role",
-                               "description_cue", "role_cue", "has_question")]
-    return matched.join(bounded_broadcast(flags), "query_id").select(
-        "query_id", *key, F.col("phrases").cast("int").alias("hits"), combine_score(*args).alias("score"))
+    return _scored(matched, key, features)
+
+
+#: Chunks that meet all queries in one task.
+SCORED_CHUNKS = 4096
 
 
 def whole_scores(index: ChunkIndex, features: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """Score of every (query, chunk) pair that shares a term or a phrase: as many rows as there are such pairs."""
-    said = phrase_hits(index, features) if _has_any(features, "has_quote") else None
+    """Score of every (query, chunk) pair that shares a term or a phrase: as many rows as there are such pairs.
+
+    There are far more pairs than chunks, so chunks are dealt out by their number before they meet the queries and no
+    pair is shuffled: the rows stay dealt by ``chunk_no``. The phrases that a query has in a chunk count as one more
+    term, which only that query asks for.
+    """
     terms = cut(weighted_terms(features)) if terms is None else terms
-    units = index.chunks.select("chunk_no", "dataset_id", "tokens", "has_question", "description_cue", "role_cue")
-    return score_units(units, ["chunk_no"], terms, features, said=said).withColumnRenamed("score", "whole")
+    units = index.chunks.select("chunk_no", "dataset_id", "tokens", *CUES).filter(F.size("tokens") > 0)
+    width = max(int(index.chunks.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")),
+                -(-(index.sizes.agg(F.sum("total")).head()[0] or 0) // SCORED_CHUNKS))
+    units = units.repartition(width, "chunk_no")
+    wanted = _summands(terms)
+    held = F.transform("tokens", lambda t: F.struct(t.alias("term"), F.lit(0).cast("long").alias("n")))
+    if _has_any(features, "has_quote"):
+        own = F.concat(F.lit("\0"), F.col("query_id").cast("string"))  # no token has this character
+        said = phrase_hits(index, features).groupBy("chunk_no").agg(F.collect_list(F.struct(own.alias("term"), F.col("phrases").alias("n"))).alias("said"))
+        units = units.join(said.hint("merge"), "chunk_no", "left")
+        held = F.concat(held, F.coalesce("said", F.array().cast("array<struct<term:string,n:bigint>>")))
+        nothing = {c: F.lit(None if c == "in_variants" else 0).cast(wanted.schema[c].dataType) for c in SUMMED}
+        wanted = wanted.unionByName(features.filter("has_quote").select(*QUERY, own.alias("term"), *[v.alias(c) for c, v in nothing.items()]))
+    met = units.select("chunk_no", "dataset_id", *CUES, F.inline(held)).join(bounded_broadcast(wanted), ["dataset_id", "term"])
+    met = met.withColumn("e_n", F.col("e_n") + F.shiftleft("n", 32))
+    matched = _counted(met.groupBy("query_id", "chunk_no", *CUES).agg(*_sums(features))).withColumn("phrases", F.shiftright("e_n", 32))
+    return _scored(matched, ["chunk_no"], features).withColumnRenamed("score", "whole")
 
 
 # -- candidates ------------------------------------------------------------------------------

@@ -202,3 +202,23 @@ def test_typed_answers_take_each_text_once(spark):
                      T.word_set(T.question_norm("query")).alias("asked"), T.support_terms("query").alias("terms"), A.entity_name("query").alias("entity"))
     rows = uses.join(asked, "query_id").join(texts.select("text_id", A.text_sentences("content").alias("sentences")), "text_id")
     assert A._picks(rows, True).count() <= 5 * uses.count()
+
+
+def test_whole_scores_are_exact_and_pairs_are_not_shuffled(spark):
+    rng = random.Random(9)
+    words = [f"word{k}" for k in range(60)] + ["of", "the", "who", "Anna", "Bell"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 30))) + rng.choice(["", "?"]) for _ in range(80)] + ["of the", "", "the of"]
+    chunks = spark.createDataFrame([(f"s{k % 7}", k, f"c{k:03d}", t) for k, t in enumerate(texts)], "source_name string, chunk_index int, chunk_id string, content string")
+    asked = [" ".join(rng.choice(words) for _ in range(5)) for _ in range(12)] + ['"of the" word1', '"word3 word4" and "the who"', "Who is Anna and what is the role of Anna here?", '"of the"']
+    index, features, _ = H.prepare_queries(spark.createDataFrame(list(enumerate(asked)), "query_id int, query string"), chunks)
+    whole = L.whole_scores(index, features)
+    bare = L.whole_scores(index, features.filter("not has_quote"))  # phrase hits have a shuffle of their own
+    assert "hashpartitioning(query_id" not in bare._jdf.queryExecution().executedPlan().toString()
+    got = {(r.query_id, r.chunk_no): (r.hits, round(r.whole, 6)) for r in whole.collect()}
+    said = L.phrase_hits(index, features).withColumnRenamed("phrases", "hits")
+    pairs = features.select("query_id").crossJoin(index.chunks.select("chunk_no")).join(said, ["query_id", "chunk_no"], "left").na.fill(0)
+    known = {(r.query_id, r.chunk_no): (r.hits, round(r.whole, 6)) for r in L._pair_scores(index, features, pairs).collect()}
+    terms = {r.query_id: set(r.direct) | set(r.expanded) | set(r.entity) for r in features.collect()}
+    tokens = {r.chunk_no: set(r.tokens) for r in index.chunks.collect()}
+    assert got == {k: v for k, v in known.items() if v[0] or terms[k[0]] & tokens[k[1]]}
+    assert any(hits for hits, _ in got.values())
