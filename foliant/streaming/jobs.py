@@ -238,5 +238,6 @@ def reject_asked(path: str) -> Callable[[DataFrame, int], None]:
     def write(batch: DataFrame, batch_id: int) -> None:
         key = batch.schema["dataset_id"].dataType.simpleString()
         accepted = of_other_batches(batch, batch_id, path, "dataset_id", f"dataset_id {key}, question string")
-        _append(keep_first(not_asked_before(batch, accepted)), batch_id, path, "dataset_id")
+        fresh = batch if accepted.isEmpty() else not_asked_before(batch, accepted)
+        _append(keep_first(fresh), batch_id, path, "dataset_id")
     return write

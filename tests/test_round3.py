@@ -96,6 +96,53 @@ def test_rejection_in_batches_keeps_what_one_batch_keeps(spark):
     assert {r.seq for r in spark.read.parquet(path).collect()} == once and 0 < len(once) < 120
 
 
+def test_rejection_builds_no_table_on_the_driver(spark):
+    """No join of a micro-batch is a broadcast, however small its sides are."""
+    from foliant.streaming import jobs as J
+    table = spark.createDataFrame([("d", str(k), k, f"w{k // 3} x{k // 3} y{k // 3} z{k // 3} u{k // 3} v{k}") for k in range(60)],
+                                  "dataset_id string, question_id string, seq long, question string")
+    write = J.reject_asked(f"{shared_dir(spark).rstrip('/')}/asked-{uuid.uuid4().hex}")
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty(30_000)
+    seen = {store.executionsList().apply(i).executionId() for i in range(store.executionsList().size())}
+    write(table.filter("seq < 30"), 0)
+    write(table.filter("seq >= 30"), 1)
+    bus.waitUntilEmpty(30_000)
+    ran = store.executionsList()
+    plans = [x.physicalPlanDescription() for x in (ran.apply(i) for i in range(ran.size())) if x.executionId() not in seen]
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
+def test_a_first_batch_meets_no_history(spark, monkeypatch):
+    from foliant.streaming import jobs as J
+
+    def never(*_):
+        raise AssertionError("nothing was accepted yet")
+
+    monkeypatch.setattr(J, "not_asked_before", never)
+    path = f"{shared_dir(spark).rstrip('/')}/asked-{uuid.uuid4().hex}"
+    J.reject_asked(path)(spark.createDataFrame([("d", "1", 1, "one two"), ("d", "2", 2, "two one"), ("d", "3", 3, "?")], "dataset_id string, question_id string, seq long, question string"), 0)
+    assert [r.seq for r in spark.read.parquet(path).collect()] == [1]
+
+
+def test_streamed_questions_come_in_many_files(spark, tmp_path, monkeypatch):
+    """A micro-batch is not written by one task, and both are whole."""
+    from checks import catalog
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(9)]
+    rows = [(k, t, "user" if t % 2 == 0 else "assistant", " ".join(rng.sample(words, rng.randint(4, 7)))) for k in range(40) for t in range(4)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    base = f"{shared_dir(spark).rstrip('/')}/asked-{uuid.uuid4().hex}"
+    monkeypatch.setattr(catalog, "scratch", lambda _: base)
+    got = {(r.dataset_id, r.seq) for r in catalog.QUERIES["r05_streamed_questions"](spark, str(tmp_path)).collect()}
+    whole = {(r.dataset_id, r.seq) for r in Q.keep_first(catalog.question_rows(spark, str(tmp_path))).collect()}
+    assert got == whole and len(got) > 5
+    files = spark.read.option("recursiveFileLookup", "true").parquet(f"{base}/in").select(F.input_file_name().alias("f"), "seq").groupBy("f").agg(F.max("seq").alias("top")).collect()
+    half = max(r.top for r in files) / 2
+    assert sum(r.top < half for r in files) > 1 and sum(r.top >= half for r in files) > 1
+    assert spark.read.parquet(f"{base}/accepted").select("batch").distinct().count() == 2
+
+
 def test_chunks_of_a_batch_come_in_bounded_parts(spark):
     """No batch of chunks is much larger than the limit, however many texts come in one."""
     rows = [(f"n{k}", "p", f"h{k}", "a line of words that is long enough to stay\n" * 3000) for k in range(20)] + [("none", "p", "h", None)]
