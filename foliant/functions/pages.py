@@ -204,12 +204,19 @@ def caption_without_echo(x) -> Column:
     c = _flat(x)
     for pattern in (lists.CAPTION_PROMPT_ECHO, lists.CAPTION_CHECKLIST_ECHO):
         c = strip(F.regexp_replace(c, "(?iU)" + pattern, ""))
-    lead = F.when(c.rlike(r"(?iU)(?:The|This) image\b"), F.regexp_extract(c, r"(?iU)^(.*?)(?:The|This) image\b", 1)).otherwise("")
-    start = F.length(lead)
+
+    def behind(s):
+        lead = F.when(s.rlike(r"(?iU)(?:The|This) image\b"), F.regexp_extract(s, r"(?iU)^(.*?)(?:The|This) image\b", 1)).otherwise("")
+        return let(lead, lambda v: F.when(_echoes(v), strip(F.substr(s, F.length(v) + 1))).otherwise(s))
+
+    return let(c, behind)
+
+
+def _echoes(lead: Column) -> Column:
     echoed = F.lit(False)
     for token in lists.CAPTION_ECHO_TOKENS:
         echoed = echoed | F.lower(lead).contains(token)
-    return F.when((start > 0) & echoed, strip(F.substr(c, start + 1))).otherwise(c)
+    return (F.length(lead) > 0) & echoed
 
 
 def caption_clean(x) -> Column:
