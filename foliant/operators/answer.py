@@ -333,10 +333,11 @@ def select_evidence(answers: DataFrame, evidence: DataFrame) -> DataFrame:
 # -- responses ----------------------------------------------------------------------------------
 
 def parse_responses(responses: DataFrame) -> DataFrame:
-    """query_id, status, answer, evidence_ids, parse_path from raw response text.
+    """query_id, status, answer, read, evidence_ids, parse_path from raw response text.
 
     Tried in order: JSON as it stands, JSON with mended brackets, fields by
     pattern, plain text. Only rows the native parse rejects reach the mending step.
+    ``read`` is the answer as the response has it, null without one; of a plain text too short to be used, ``answer`` is empty.
     """
     rows = responses.withColumn("candidate", R.json_candidate("raw_text")).withColumn("ok", R.is_json_object("candidate"))
     rows = rows.withColumn("mended", R.mend_json(F.when(~F.col("ok"), F.col("candidate"))))
@@ -345,12 +346,13 @@ def parse_responses(responses: DataFrame) -> DataFrame:
     rows = rows.withColumn("payload", R.json_payload(F.when(F.col("ok"), F.col("candidate")).when(F.col("mended_ok"), F.col("mended"))))
     path = (F.when(F.col("ok"), "json").when(F.col("mended_ok"), "repaired").when(F.col("partial").isNotNull(), "partial")
             .otherwise("plain"))
-    answer = F.when(path == "plain", R.plain_answer("raw_text")).otherwise(
-        T.squeeze(F.coalesce(F.col("payload.answer"), F.col("partial.answer"), F.lit(""))))
+    said = F.when(F.col("raw_text").isNotNull(), R.plain_text("raw_text"))
+    rows = rows.withColumn("read", F.when(path == "plain", said).otherwise(T.squeeze(F.coalesce("payload.answer", "partial.answer"))))
+    answer = F.when(path == "plain", R.usable_answer("read")).otherwise(F.coalesce("read", F.lit("")))
     ids = F.transform(F.coalesce(F.col("payload.evidence_ids"), F.col("partial.evidence_ids"), F.array().cast("array<string>")),
                       R.evidence_id)
     return rows.select("query_id", F.lower(T.strip(F.coalesce(F.col("payload.status"), F.col("partial.status"), F.lit("")))).alias("status"),
-                       answer.alias("answer"), ids.alias("evidence_ids"), path.alias("parse_path"), "raw_text",
+                       answer.alias("answer"), "read", ids.alias("evidence_ids"), path.alias("parse_path"), "raw_text",
                        F.col("payload.score").alias("score"), F.col("payload.feedback").alias("feedback"))
 
 

@@ -17,3 +17,12 @@ def test_captions_of_texts_without_words_are_those_of_the_sql(spark, tmp_path):
     got = {r.doc_id: r.caption for r in registered.queries()["f32_caption_echo"](spark, d).collect()}
     assert got == {0: "The image shows ", 1: "A plain lead. The image shows ", 2: "The image shows ", 3: "The image shows ",
                    4: None, 5: None, 6: "The image shows a map", 7: "The image shows Of land."}
+
+
+def test_short_plain_answers_are_read_but_not_used(spark, tmp_path):
+    rows = [(1, "Éaux."), (2, "Answer: Thtion."), (3, "Answer: the river is long"), (4, None), (5, '{"status": "supported"}')]
+    got = {r.query_id: (r.answer, r.read) for r in A.parse_responses(spark.createDataFrame(rows, "query_id int, raw_text string")).collect()}
+    assert got == {1: ("", "Éaux."), 2: ("", "Thtion."), 3: ("the river is long",) * 2, 4: ("", None), 5: ("", None)}
+    d = documents(spark, tmp_path, ["A.", "A.", "A.", "A.", None, None, None, None])
+    parsed = registered.queries()["m27_parsed_responses"](spark, d).collect()
+    assert {r.query_id: r.answer for r in parsed} == {k: "A." if k < 4 else None for k in range(8)}
