@@ -12,6 +12,7 @@ from foliant.operators import lexical as L
 from foliant.operators import retrieve as H
 from foliant.operators import vectors as V
 from foliant.plans.scans import dense_index, sorted_place, top_rows
+from foliant.plans.sizing import bounded_broadcast
 from foliant.session import stored
 
 QUERIES: dict = {}
@@ -264,7 +265,8 @@ def direct_top(spark, d):
     index, features, _ = H.prepare_queries(S.benchmark_queries(spark, d), S.stored_chunks(spark, d))
     terms = features.select("query_id", F.explode("weights").alias("term", "weight"), "direct").filter(
         F.array_contains("direct", F.col("term"))).drop("direct")
-    held = index.held(terms.withColumn("dataset_id", F.lit(""))).join(index.keys("chunk_id"), "chunk_no")
+    # chunks meet the terms where they are dealt to, and only the best four of each task are shuffled
+    held = L.deal(index, index.chunks.select("chunk_id", "tokens"), "chunk_id").select("chunk_id", F.explode("tokens").alias("term")).join(bounded_broadcast(terms), "term")
     scored = held.groupBy("query_id", "chunk_id").agg(F.round(F.sum("weight"), 6).alias("score"))
     return top_rows(scored, ["query_id"], [F.desc("score"), F.col("chunk_id")], 4)
 
