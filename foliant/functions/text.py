@@ -308,7 +308,11 @@ def sentences(x, min_chars: int = 1) -> Column:
     return F.filter(parts, lambda s: F.length(s) >= min_chars)
 
 
-def sentence_windows(x, max_chars: int = 420, min_chars: int = 30) -> Column:
+#: Characters of a window: of a pair of sentences at most, of any at least.
+WINDOW_MOST, WINDOW_LEAST = 420, 30
+
+
+def sentence_windows(x, max_chars: int = WINDOW_MOST, min_chars: int = WINDOW_LEAST) -> Column:
     """Each sentence, and each sentence joined to its successor while the pair is short."""
     return let(sentences(x), lambda parts: _windows(parts, max_chars, min_chars))
 

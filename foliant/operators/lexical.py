@@ -265,6 +265,24 @@ def unit(text) -> Column:
         norm.alias("norm"), T.search_token_set(norm).alias("tokens"), F.contains(T.col(text), F.lit("?")).alias("question")))
 
 
+def window_units(content) -> Column:
+    """The ``unit`` of each sentence window of a text (see ``text.sentence_windows``), from those of its sentences: each is brought
+    to its normal form once, not with its neighbors again. Equal windows aren't left out."""
+    parts = F.transform(T.sentences(content), lambda s: F.struct(F.length(s).alias("size"), unit(s).alias("u")))
+
+    def both(rows):
+        def windows(a, i):
+            b = F.get(rows, i + 1)
+            pair = F.struct((a["size"] + b["size"] + 1).alias("size"), F.struct(
+                F.trim(F.concat(a["u"]["norm"], F.lit(" "), b["u"]["norm"])).alias("norm"), F.array_union(a["u"]["tokens"], b["u"]["tokens"]).alias("tokens"),
+                (a["u"]["question"] | b["u"]["question"]).alias("question")).alias("u"))
+            return F.when(a["size"] + b["size"] + 1 <= T.WINDOW_MOST, F.array(a, pair)).otherwise(F.array(a))
+
+        return F.transform(F.filter(F.flatten(F.transform(rows, windows)), lambda w: w["size"] >= T.WINDOW_LEAST), lambda w: w["u"])
+
+    return T.let(parts, both)
+
+
 def pair_score(u: Column, f: dict[str, Column] | None = None) -> Column:
     """struct<hits, score> of a ``unit`` against the query features on the same row."""
     f = f or {c: F.col(c) for c in FACTS}
@@ -539,7 +557,7 @@ def window_scores(index: ChunkIndex, pairs: DataFrame, features: DataFrame, term
     asked = pairs.select("query_id", "chunk_no").join(bounded_broadcast(terms.select("query_id", "term")), "query_id")
     asked = asked.groupBy("chunk_no").agg(F.collect_set("term").alias("asked"))
     texts = spread(index.chunks.select("chunk_no", "content").join(asked, "chunk_no"), "chunk_no")
-    units = texts.select("chunk_no", "asked", F.posexplode(F.transform(T.sentence_windows("content"), lambda w: unit(w))).alias("window_no", "u"))
+    units = texts.select("chunk_no", "asked", F.posexplode(window_units("content")).alias("window_no", "u"))
     units = units.filter(F.size("u.tokens") > 0).select(
         "chunk_no", "window_no", "u.norm", F.array_intersect("u.tokens", "asked").alias("tokens"), F.col("u.question").alias("has_question"),
         F.arrays_overlap("u.tokens", T.words(lists.DESCRIPTION_CUES)).alias("description_cue"), F.arrays_overlap("u.tokens", T.words(lists.ROLE_CUES)).alias("role_cue"))

@@ -75,3 +75,13 @@ def test_direct_term_pairs_are_not_shuffled(spark, tmp_path):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning(query_id") == 1 and "WindowGroupLimit" in plan and "hashpartitioning(chunk_no" not in plan
     assert {r.query_id: r["count"] for r in got.groupBy("query_id").count().collect()} == dict.fromkeys(range(5), 4)
+
+
+def test_windows_are_put_together_from_sentences(spark):
+    texts = ["One two of it. Three's a crowd; four' 'five of all!  Is it? \u00a0Yes <channel|> it \u212b \u0301is here now. Short. ", "", "no stop here at all but long enough", "x" * 300 + ". " + "y" * 300 + ". End.",
+             "One two of it is here now. One two of it is here now. Caf\u00e9 cafe\u0301 \u2460 \ufb01nd it. \u0301Mark first; \u00a8 odd?"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, content string")
+    got = rows.select("k", F.explode(L.window_units("content")).alias("u")).select("k", "u.*").distinct()
+    want = rows.select("k", F.explode(T.sentence_windows("content")).alias("w")).select("k", L.unit("w").alias("u")).select("k", "u.*").distinct()
+    form = lambda df: sorted((r.k, r.norm, r.question, *r.tokens) for r in df.collect())
+    assert form(got) == form(want) and len(form(got)) > 8
